@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, row_key, table
-from .repeats import counted, places
+from .common import keep, pack_texts, row_key, table, unpack
+from .repeats import at, counted, places
 
 WIDTH = 35
 GRAM = 8
@@ -46,8 +46,8 @@ def _pieces(width: int):
     def run(batches):
         for pdf in batches:
             out = []
-            for text, chosen in zip(pdf["text"], pdf["chosen"]):
-                words = text.encode("utf-8", "surrogatepass").split()
+            for packed, chosen in zip(pdf["packed"], pdf["chosen"]):
+                words = unpack(packed).split()
                 out += [(x["core"], x["context"], x["n"], x["variants"], x["at"] - x["low"], b" ".join(words[x["low"] : x["high"] + width])) for x in chosen]
             yield pd.DataFrame(out, columns=["core", "context", "n", "variants", "lead", "words"])
 
@@ -113,10 +113,10 @@ def _windows(width: int):
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs(doc_key, text) -> (doc_key, spans): runs of starts of `width`-word windows that start elsewhere too."""
+    """docs(doc_id, doc_key, text) -> (doc_key, spans): runs of starts of `width`-word windows that start elsewhere too."""
     found = places(docs, width, gram, by_word=True)
     chosen = counted(found).groupBy("doc_key").agg(F.collect_list(F.struct("core", "context", "n", "variants", "at", "low", "high")).alias("chosen"))
-    pieces = docs.dropDuplicates(["doc_key"]).select("doc_key", "text").join(chosen, "doc_key").select("text", "chosen")
+    pieces = pack_texts(docs).join(chosen, "doc_key").select("packed", "chosen")
     pieces = keep(pieces.mapInPandas(_pieces(width), "core long, context long, n long, variants long, lead int, words binary"))
 
     shards = max(1, -(-pieces.count() // SHARD_ROWS))
@@ -128,7 +128,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     starts = hot.join(twice, "window", "left_semi").groupBy("core", "context").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("first"), F.col("start").alias("last")))).alias("spans"))
 
     places_of = found.join(located.unionByName(starts), ["core", "context"])
-    windows = places_of.select("doc_key", F.explode("spans").alias("s"), "at")
+    windows = places_of.select("doc_key", F.explode("spans").alias("s"), at("place").alias("at"))
     windows = windows.select("doc_key", F.struct((F.col("at") + F.col("s.first")).alias("first"), (F.col("at") + F.col("s.last")).alias("last")).alias("s"))
     return windows.groupBy("doc_key").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
@@ -137,8 +137,8 @@ def _remove(width: int):
     def run(batches):
         for pdf in batches:
             out = []
-            for text, spans in zip(pdf["text"], pdf["spans"]):
-                words = text.encode("utf-8", "surrogatepass").split()
+            for packed, spans in zip(pdf["packed"], pdf["spans"]):
+                words = unpack(packed).split()
                 kept, at, removed = [], 0, []
                 for s in spans if spans is not None else ():
                     end = s["last"] + width
@@ -151,7 +151,7 @@ def _remove(width: int):
                     at = r["end"]
                 kept += words[at:]
                 out.append((len(words), len(words) - len(kept), removed, b" ".join(kept)))
-            yield pd.concat([pdf.drop(columns=["text", "spans"]), pd.DataFrame(out, columns=["n_words", "n_removed", "removed", "kept"], index=pdf.index)], axis=1)
+            yield pd.concat([pdf[["doc_id"]], pd.DataFrame(out, columns=["n_words", "n_removed", "removed", "kept"], index=pdf.index)], axis=1)
 
     return run
 
@@ -159,8 +159,8 @@ def _remove(width: int):
 def dedup_phrases(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, n_removed, removed word spans, kept text), a row for each document."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", row_key("doc_id", "text"))
-    spans = repeated_windows(rows.select("doc_key", "text"), width)
-    done = rows.join(spans, "doc_key", "left").select("doc_id", "text", "spans")
+    spans = repeated_windows(rows, width)
+    done = pack_texts(rows).join(spans, "doc_key", "left").select("doc_id", "packed", "spans")
     return done.mapInPandas(_remove(width), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
 

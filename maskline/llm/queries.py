@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .phrase_dedup import op9_phrase_dedup
+from .simhash_near import op10_simhash_near
 from .suffix_dedup import op7_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op7_suffix_dedup,)}
+QUERIES = {f.__name__: f for f in (op7_suffix_dedup, op9_phrase_dedup, op10_simhash_near)}
 SQL: dict[str, str] = {}

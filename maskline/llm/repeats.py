@@ -6,13 +6,28 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, byte_symbols, context_hashes, raw_bytes, word_hashes, words
 from .common import keep, text_blocks
 
-_SCHEMA = "doc_key long, at int, low int, high int, core long, context long"
+_SCHEMA = "doc_key long, place long, core long, context long"
+
+
+def low(place: str) -> Column:
+    """First window that picks the anchor."""
+    return F.shiftright(place, 20).cast("int")
+
+
+def at(place: str) -> Column:
+    """The anchor."""
+    return (F.shiftright(place, 20) + F.shiftright(place, 10).bitwiseAND(F.lit(1023))).cast("int")
+
+
+def high(place: str) -> Column:
+    """Last window that picks the anchor."""
+    return (F.shiftright(place, 20) + F.col(place).bitwiseAND(F.lit(1023))).cast("int")
 
 
 def _places(width: int, gram: int, by_word: bool) -> Callable:
@@ -31,7 +46,7 @@ def _places(width: int, gram: int, by_word: bool) -> Callable:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_key": keys[first + found["doc"]],
-                        **{k: (found[k] - base).astype(np.int32) for k in ("at", "low", "high")},
+                        "place": (found["low"] - base) << 20 | (found["at"] - found["low"]) << 10 | (found["high"] - found["low"]),
                         "core": found["core"].view(np.int64),
                         "context": context_hashes(plain, found["low"], found["high"] + width).view(np.int64),
                     }
@@ -41,19 +56,26 @@ def _places(width: int, gram: int, by_word: bool) -> Callable:
 
 
 def places(docs: DataFrame, width: int, gram: int, by_word: bool) -> DataFrame:
-    """Anchors of docs(doc_key, text): a row for each, with places counted from the document's start.
+    """Anchors of docs(doc_key, text) whose string recurs.
 
-    core names the anchor's string and context, with core, the symbols of all windows that pick it.
+    place holds, in one long, the first window that picks the anchor, from the document's start, and how
+    far after it the anchor and the last such window are (see `low`, `at` and `high`). core names the anchor's string and context, with core, the symbols of all windows that pick it.
+    How often a core occurs is summed on the map side first, so a core in a third of all rows moves as
+    one row for each task; the join that keeps the recurring ones is one that Spark splits where it is
+    skewed.
     """
-    return keep(docs.select("doc_key", "text").mapInArrow(_places(width, gram, by_word), _SCHEMA))
+    if width - gram >= 1 << 10:
+        raise ValueError("a place has 10 bits for what follows the first window")
+    found = keep(docs.select("doc_key", "text").mapInArrow(_places(width, gram, by_word), _SCHEMA))
+    again = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    return keep(found.join(again, "core", "left_semi"))
 
 
 def counted(found: DataFrame) -> DataFrame:
-    """Contexts of which another shares the core: how often each occurs, among how many, and one place of each.
+    """Different contexts: how often each occurs, how many share its core, and one place of each.
 
-    Both counts are summed on the map side first, so a context in a third of all rows moves as one row
-    for each task.
+    Counts are summed on the map side first here too.
     """
-    by_context = found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_key", "at", "low", "high")).alias("p"))
-    by_core = by_context.groupBy("core").agg(F.count("*").alias("variants"), F.sum("n").alias("total")).where("total > 1")
-    return by_context.join(by_core, "core").select("core", "context", "n", "variants", "p.doc_key", "p.at", "p.low", "p.high")
+    by_context = found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_key", "place")).alias("p"))
+    by_core = found.groupBy("core", "context").agg(F.lit(1)).groupBy("core").agg(F.count("*").alias("variants"))
+    return by_context.join(by_core, "core").select("core", "context", "n", "variants", "p.doc_key", low("p.place").alias("low"), at("p.place").alias("at"), high("p.place").alias("high"))

@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import raw_bytes
-from .common import keep, row_key, table
+from .common import keep, pack_texts, row_key, table, unpack
 from .lcpsort import longest_shared, shared_lengths
-from .repeats import counted, places
+from .repeats import at, counted, places
 
 WIDTH = 400
-GRAM = 100
+GRAM = 64
 
 
 def _contexts(width: int):
@@ -43,13 +42,12 @@ def _contexts(width: int):
     def run(batches):
         for batch in batches:
             rows = {k: [] for k in ("core", "context", "text", "left", "at", "last")}
-            raw, ends = raw_bytes(batch.column("text"))
-            starts = np.concatenate([[0], ends[:-1]])
-            for base, chosen in zip(starts.tolist(), batch.column("chosen").to_pylist()):
+            for packed, chosen in zip(batch.column("packed").to_pylist(), batch.column("chosen").to_pylist()):
+                raw = unpack(packed)
                 for x in chosen:
                     rows["core"].append(x["core"])
                     rows["context"].append(x["context"])
-                    text = raw[base + x["low"] : base + x["high"] + width].tobytes()
+                    text = raw[x["low"] : x["high"] + width]
                     rows["text"].append(text)
                     # the core's hash in front: only contexts of one anchor are compared
                     rows["left"].append(x["core"].to_bytes(8, "big", signed=True) + text[: x["at"] - x["low"]][::-1])
@@ -61,13 +59,13 @@ def _contexts(width: int):
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs(doc_key, text) -> (doc_key, spans): runs [first, last] of starts of `width`-byte strings that start elsewhere too."""
+    """docs(doc_id, doc_key, text) -> (doc_key, spans): runs [first, last] of starts of `width`-byte strings that start elsewhere too."""
     found = places(docs, width, gram, by_word=False)
     shared = keep(counted(found))
     whole = shared.where("n > 1").select("core", "context", (F.col("low") - F.col("at")).alias("from"), (F.col("high") - F.col("at")).alias("to"))
 
     chosen = shared.where("variants > 1").groupBy("doc_key").agg(F.collect_list(F.struct("core", "context", "at", "low", "high")).alias("chosen"))
-    texts = keep(docs.dropDuplicates(["doc_key"]).select("doc_key", "text").join(chosen, "doc_key").select("text", "chosen").mapInArrow(_contexts(width), "core long, context long, text binary, left binary, at int, last int"))
+    texts = keep(pack_texts(docs).join(chosen, "doc_key").select("packed", "chosen").mapInArrow(_contexts(width), "core long, context long, text binary, left binary, at int, last int"))
 
     lengths = shared_lengths(texts.select(F.col("left").alias("string"), "core", "context", F.lit(0).alias("depth")), 8)
     begins = texts.drop("left").join(lengths, ["core", "context"]).withColumn("depth", F.explode("depths"))
@@ -76,7 +74,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     ends = longest_shared(suffixes).where(F.col("shared") >= width)
     part = ends.join(begins.select("core", "context", "depth", "at", "last"), ["core", "context", "depth"]).select("core", "context", (-F.col("depth")).alias("from"), F.least(-F.col("depth") + F.col("shared") - width, F.col("last") - F.col("at")).alias("to"))
 
-    windows = found.join(whole.unionByName(part), ["core", "context"]).select("doc_key", F.struct((F.col("at") + F.col("from")).alias("first"), (F.col("at") + F.col("to")).alias("last")).alias("s"))
+    windows = found.join(whole.unionByName(part), ["core", "context"]).select("doc_key", "from", "to", at("place").alias("at")).select("doc_key", F.struct((F.col("at") + F.col("from")).alias("first"), (F.col("at") + F.col("to")).alias("last")).alias("s"))
     return windows.groupBy("doc_key").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
 
@@ -84,8 +82,8 @@ def _remove(width: int):
     def run(batches):
         for pdf in batches:
             out = []
-            for text, spans in zip(pdf["text"], pdf["spans"]):
-                raw, runs = text.encode("utf-8", "surrogatepass"), []
+            for packed, spans in zip(pdf["packed"], pdf["spans"]):
+                raw, runs = unpack(packed), []
                 for s in spans if spans is not None else ():
                     if runs and s["first"] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], s["last"] + width)
@@ -102,8 +100,8 @@ def _remove(width: int):
 def dedup_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, removed spans, kept bytes), a row for each document."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", row_key("doc_id", "text"))
-    spans = repeated_windows(rows.select("doc_key", "text"), width)
-    return rows.join(spans, "doc_key", "left").select("doc_id", "text", "spans").mapInPandas(_remove(width), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+    spans = repeated_windows(rows, width)
+    return pack_texts(rows).join(spans, "doc_key", "left").select("doc_id", "packed", "spans").mapInPandas(_remove(width), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
