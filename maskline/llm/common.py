@@ -72,16 +72,28 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES):
         yield first, texts.slice(first, n - first)
 
 
-def pack_texts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, doc_key, text) with the text as a zstd frame, `packed`: less than half to shuffle."""
+def sql_schema(df: DataFrame, *more: str) -> str:
+    """The schema of a DataFrame as text, with further columns."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+
+
+def extended(batch: pa.RecordBatch, drop: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch without its last `drop` columns and with new ones."""
+    n = batch.num_columns - drop
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *columns.values()], names=[*batch.schema.names[:n], *columns])
+
+
+def pack_texts(docs: DataFrame, *carry: str) -> DataFrame:
+    """docs(carry, doc_key, text) with the text as a zstd frame, `packed`: less than half to shuffle."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            packed = [press(x) for x in batch.column(2).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "doc_key", "packed"])
+            texts = batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()
+            yield extended(batch, 1, packed=pa.array([press(x) for x in texts], pa.binary()))
 
-    return docs.select("doc_id", "doc_key", "text").mapInArrow(run, "doc_id long, doc_key long, packed binary")
+    rows = docs.select(*carry, "doc_key", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, sql_schema(rows.drop("text"), "packed binary"))
 
 
 def unpack(packed: bytes) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import raw_bytes, span_hashes, word_hashes, words
-from .common import table, text_blocks
+from .common import extended, sql_schema, table, text_blocks
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -141,32 +141,48 @@ class Searcher:
                     yield first + i, self.items[j][0], share
 
 
+def _blocks(items: DataFrame):
+    """The items, at most about ITEMS at a time, as broadcast lists; hashed ids deal them out."""
+    n = max(1, -(-items.count() // ITEMS))
+    for k in range(n):
+        own = items.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield items.sparkSession.sparkContext.broadcast([(r.item_id, r.text or "") for r in own.toLocalIterator()])
+
+
 def contained(docs: DataFrame, items: DataFrame, *carry: str, least: float = CONTAINMENT) -> DataFrame:
     """docs(carry, text), items(item_id, text) -> (carry, item_id, containment) of all pairs with at least this containment."""
-    spark = docs.sparkSession
-    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", item_id long, containment double"
-    n = items.count()
-    blocks = max(1, -(-n // ITEMS))
-    out = None
-    for k in range(blocks):
-        # hashed ids cut the items into blocks of about ITEMS
-        own = items.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        given = spark.sparkContext.broadcast([(r.item_id, r.text or "") for r in own.toLocalIterator()])
+    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("whole text"))
+    schema, out = sql_schema(docs.select(*carry), "item_id long", "containment double"), None
+    for given in _blocks(items):
 
         def run(batches, given=given):
             searcher = Searcher(given.value)
             for batch in batches:
                 found = list(searcher.search(batch.column(batch.num_columns - 1), least))
-                at = pa.array([x[0] for x in found], pa.int64())
-                kept = [batch.column(i).take(at) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64())], names=[*batch.schema.names[:-1], "item_id", "containment"])
+                rows_ = batch.take(pa.array([x[0] for x in found], pa.int64()))
+                yield extended(rows_, 1, item_id=pa.array([x[1] for x in found], pa.int64()), containment=pa.array([x[2] for x in found], pa.float64()))
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, least: float = CONTAINMENT) -> DataFrame:
+    """The documents that contain no item, unchanged and where they are."""
+    names, kept = docs.columns, docs
+    for given in _blocks(items):
+
+        def run(batches, given=given):
+            searcher = Searcher(given.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[x[0] for x in searcher.search(batch.column(batch.num_columns - 1), least)]] = False
+                yield extended(batch.filter(pa.array(clean)), 1)
+
+        kept = kept.select(*names, F.coalesce("text", F.lit("")).alias("whole text")).mapInArrow(run, sql_schema(docs))
+    return kept
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, containment) of every benchmark item of which a document has at least 0.8."""
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import raw_bytes, word_hashes, words
-from .common import BLOCK_BYTES, held_out, table, text_blocks
+from .common import BLOCK_BYTES, extended, held_out, sql_schema, table, text_blocks
 from .labelled import Adam, fit_line, labelled_sample, sigmoid
 
 FOLDS, FOLD = 3, 1
@@ -212,13 +212,13 @@ def score(docs: DataFrame, model: Model | float, *carry: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             parts = [np.zeros(0)]
-            for _, texts in text_blocks(batch.column("text"), BLOCK_BYTES // 2):
+            for _, texts in text_blocks(batch.column(batch.num_columns - 1), BLOCK_BYTES // 2):
                 parts.append(document_scores(model, texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(np.concatenate(parts))], names=[*batch.schema.names[:-1], "score"])
+            yield extended(batch, 1, score=pa.array(np.concatenate(parts)))
 
-    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double" if carry else "score double")
+    kept = docs.select(*carry)
+    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("whole text"))
+    return rows.mapInArrow(run, sql_schema(kept, "score double"))
 
 
 def op6_line_quality(spark, sf_dir: str) -> DataFrame:

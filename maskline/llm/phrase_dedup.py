@@ -25,10 +25,11 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, pack_texts, row_key, table, unpack
+from .common import extended, keep, pack_texts, row_key, sql_schema, table, unpack
 from .repeats import at, counted, places
 
 WIDTH = 35
@@ -113,7 +114,7 @@ def _windows(width: int):
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs(doc_id, doc_key, text) -> (doc_key, spans): runs of starts of `width`-word windows that start elsewhere too."""
+    """docs(doc_key, text) -> (doc_key, spans): runs of starts of `width`-word windows that start elsewhere too."""
     found = places(docs, width, gram, by_word=True)
     chosen = counted(found).groupBy("doc_key").agg(F.collect_list(F.struct("core", "context", "n", "variants", "at", "low", "high")).alias("chosen"))
     pieces = pack_texts(docs).join(chosen, "doc_key").select("packed", "chosen")
@@ -133,14 +134,17 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     return windows.groupBy("doc_key").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
 
-def _remove(width: int):
+_REMOVED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _remove(width: int, tidy: bool):
     def run(batches):
-        for pdf in batches:
-            out = []
-            for packed, spans in zip(pdf["packed"], pdf["spans"]):
-                words = unpack(packed).split()
-                kept, at, removed = [], 0, []
-                for s in spans if spans is not None else ():
+        for batch in batches:
+            n_words, n_removed, spans_out, texts = [], [], [], []
+            for packed, spans in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                raw = unpack(packed)
+                words, kept, at, removed = raw.split(), [], 0, []
+                for s in spans or ():
                     end = s["last"] + width
                     if removed and s["first"] <= removed[-1]["end"]:
                         removed[-1]["end"] = max(end, removed[-1]["end"])
@@ -150,22 +154,29 @@ def _remove(width: int):
                     kept += words[at : r["start"]]
                     at = r["end"]
                 kept += words[at:]
-                out.append((len(words), len(words) - len(kept), removed, b" ".join(kept)))
-            yield pd.concat([pdf[["doc_id"]], pd.DataFrame(out, columns=["n_words", "n_removed", "removed", "kept"], index=pdf.index)], axis=1)
+                n_words.append(len(words))
+                n_removed.append(len(words) - len(kept))
+                spans_out.append(removed)
+                texts.append(b" ".join(kept) if removed or tidy else raw)
+            kept_texts = pa.array(texts, pa.binary()).cast(pa.string())
+            yield extended(batch, 2, n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()), removed=pa.array(spans_out, _REMOVED), kept=kept_texts)
 
     return run
 
 
-def dedup_phrases(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_words, n_removed, removed word spans, kept text), a row for each document."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", row_key("doc_id", "text"))
+def dedup_phrases(docs: DataFrame, *carry: str, width: int = WIDTH, tidy: bool = True) -> DataFrame:
+    """docs(carry, text) -> (carry, n_words, n_removed, removed word spans, kept text), a row for each document.
+
+    tidy: words are joined by one space even where none is removed; else such texts stay as they are.
+    """
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc_key", row_key(*carry, "text"))
     spans = repeated_windows(rows, width)
-    done = pack_texts(rows).join(spans, "doc_key", "left").select("doc_id", "packed", "spans")
-    return done.mapInPandas(_remove(width), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    done = pack_texts(rows, *carry).join(spans, "doc_key", "left").select(*carry, "packed", "spans")
+    return done.mapInArrow(_remove(width, tidy), sql_schema(done.drop("packed", "spans"), "n_words long", "n_removed long", "removed array<struct<start:long,end:long>>", "kept string"))
 
 
 def op9_phrase_dedup(spark, sf_dir: str) -> DataFrame:
-    done = dedup_phrases(table(spark, sf_dir, "documents"))
+    done = dedup_phrases(table(spark, sf_dir, "documents"), "doc_id")
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

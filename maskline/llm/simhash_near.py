@@ -7,9 +7,9 @@ three, and so on. So a candidate pair agrees in one segment and in one half of t
 both make the key under which different fingerprints meet. A pair must then pass the whole chain, and
 last the full Hamming check.
 
-Equal fingerprints are one row from the start. Within a key, fingerprints that a shared link already
+Equal fingerprints are one row from the start. Within a key, fingerprints that a path of links already
 joins are not linked again, so a key of m fingerprints gives at most m - 1 links and not all its pairs;
-a key with many fingerprints is first cut again by the bits that its key does not fix. Components come
+a key with many fingerprints is first cut again by the bits in which they still differ. Components come
 from min-label propagation with pointer jumping, cut by checkpoint() in the shared folder.
 
 Cases: null and empty texts, and texts of white space only, have no words and fingerprint zero, which
@@ -19,13 +19,16 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep, table
+from .common import cut, extended, keep, row_key, sql_schema, table
 
 BITS = 64
 SHINGLE = 4
@@ -55,18 +58,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(shingle: int):
-    def run(batches):
-        for pdf in batches:
-            prints = np.array([fingerprint(t, shingle) for t in pdf["text"]], _U).view(np.int64)
-            yield pdf.drop(columns=["text"]).assign(print=prints)
-
-    return run
+def fingerprints(docs: DataFrame, *carry: str, shingle: int = SHINGLE) -> DataFrame:
+    """docs(carry, text) -> (carry, print), a row for each."""
 
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            prints = np.fromiter((fingerprint(t, shingle) for t in texts), _U, len(texts))
+            yield extended(batch, 1, print=pa.array(prints.view(np.int64)))
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, print), a row for each."""
-    return docs.select("doc_id", "text").mapInPandas(_fingerprints(shingle), "doc_id long, print long")
+    rows = docs.select(*carry, F.col("text").alias("whole text"))
+    return rows.mapInArrow(run, sql_schema(docs.select(*carry), "print long"))
 
 
 def segments(radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -76,20 +78,27 @@ def segments(radius: int = RADIUS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _bits(value: Column, first: int, size: int) -> Column:
-    return F.shiftrightunsigned(value, first).bitwiseAND(F.lit((1 << size) - 1))
-
+def ring_masks(radius: int = RADIUS, chain: int = 2) -> list[int]:
+    """Sets of bits of which two fingerprints within the radius agree in one.
 
-def ring_keys(value: Column, radius: int = RADIUS) -> Column:
-    """Keys of which two fingerprints within the radius share one: a segment, and a half of the next."""
+    Of a chain of `chain` segments that keeps within its budgets the first agrees, and of the others' halves
+    as many as the chain's budget leaves.
+    """
     ring, out = segments(radius), []
-    for i, (first, size) in enumerate(ring):
-        nxt, width = ring[(i + 1) % len(ring)]
-        low = width // 2
-        for half, (a, n) in enumerate(((nxt, low), (nxt + low, width - low))):
-            tag = 2 * i + half
-            out.append(F.shiftleft(F.lit(tag).cast("long"), 48) + F.shiftleft(_bits(value, a, n), 24) + _bits(value, first, size))
-    return F.array(*out)
+    mask = lambda first, size: ((1 << size) - 1) << first
+    for i, own in enumerate(ring):
+        halves = []
+        for k in range(1, chain):
+            first, size = ring[(i + k) % len(ring)]
+            halves += [mask(first, size // 2), mask(first + size // 2, size - size // 2)]
+        equal = max(0, len(halves) - chain * radius // (radius + 1))
+        out += [mask(*own) | sum(x) for x in combinations(halves, equal)]
+    return out
+
+
+def ring_keys(value: Column, radius: int = RADIUS, chain: int = 2) -> Column:
+    signed = [m - (1 << 64) if m >> 63 else m for m in ring_masks(radius, chain)]
+    return F.array(*[F.xxhash64(F.lit(t), value.bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -130,76 +139,93 @@ class _Sets:
         return True
 
 
-def _link(prints: np.ndarray, rows: np.ndarray, radius: int, sets: _Sets, free: int, links: list) -> None:
-    """Spanning links among prints[rows]; free: bits that may still differ here."""
-    if len(rows) > BLOCK and bin(free).count("1") > 2 * (radius + 1):
-        places = [b for b in range(BITS) if free >> b & 1]
-        for i in range(radius + 1):  # one part of the free bits agrees
-            part = places[i :: radius + 1]
-            mask = sum(1 << b for b in part)
-            value = prints[rows] & _U(mask)
-            order = np.argsort(value, kind="stable")
-            cuts = np.flatnonzero(np.diff(value[order])) + 1
-            for group in np.split(rows[order], cuts):
-                if len(group) > 1 and len(group) < len(rows):
-                    _link(prints, group, radius, sets, free & ~mask, links)
-                elif len(group) == len(rows):
-                    return _link(prints, group, radius, sets, free & ~mask, links)
-        return
+def _near(x: np.ndarray, radius: int) -> np.ndarray:
+    """Indices of the differences that pass the ring's filter and then the full check."""
+    few = np.flatnonzero(chained(x, radius)) if len(x) else np.zeros(0, np.int64)
+    return few[_popcount(x[few]) <= radius]
+
+
+def _link(prints: np.ndarray, rows: np.ndarray, radius: int, sets: _Sets, links: list) -> None:
+    """Spanning links among prints[rows]; many rows are cut by the bits in which they still differ."""
+    if len(rows) > BLOCK:
+        varying = int(np.bitwise_or.reduce(prints[rows] ^ prints[rows[0]]))
+        places = [b for b in range(BITS) if varying >> b & 1]
+        if len(places) > 2 * (radius + 1):
+            for i in range(radius + 1):  # one part of these bits agrees
+                mask = sum(1 << b for b in places[i :: radius + 1])
+                value = prints[rows] & _U(mask)
+                order = np.argsort(value, kind="stable")
+                for group in np.split(rows[order], np.flatnonzero(np.diff(value[order])) + 1):
+                    if len(group) > 1:
+                        _link(prints, group, radius, sets, links)
+            return
     for i in range(0, len(rows), BLOCK):
         for j in range(i, len(rows), BLOCK):
-            a, b = rows[i : i + BLOCK], rows[j : j + BLOCK]
-            x = prints[a][:, None] ^ prints[b][None, :]
-            near = _popcount(x) <= radius
+            p, q = np.meshgrid(rows[i : i + BLOCK], rows[j : j + BLOCK], indexing="ij")
+            p, q = p.ravel(), q.ravel()
             if i == j:
-                near &= np.tri(len(a), k=-1, dtype=bool).T
-            p, q = np.nonzero(near)
-            pruned = chained(x[p, q], radius)
-            for s, t in zip(a[p[pruned]].tolist(), b[q[pruned]].tolist()):
-                if sets.join(s, t):
-                    links.append((s, t))
+                p, q = p[p < q], q[p < q]
+            for k in _near(prints[p] ^ prints[q], radius):
+                if sets.join(int(p[k]), int(q[k])):
+                    links.append((int(p[k]), int(q[k])))
+
+
+def spanning_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs of rows, sorted by key, that join all rows of a key that links join.
+
+    Rows of keys with few rows are compared with the row 1, 2, ... further on, all keys at once.
+    """
+    sets, links = _Sets(len(keys)), []
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+    sizes = np.diff(cuts)
+    for i in np.flatnonzero(sizes > BLOCK):
+        _link(prints, np.arange(cuts[i], cuts[i + 1]), radius, sets, links)
+    left = np.repeat(np.where(sizes > BLOCK, 0, sizes), sizes) - (np.arange(len(keys)) - np.repeat(cuts[:-1], sizes))
+    rows, step = np.flatnonzero(left > 1), 1
+    while len(rows):
+        for k in _near(prints[rows] ^ prints[rows + step], radius):
+            if sets.join(int(rows[k]), int(rows[k]) + step):
+                links.append((int(rows[k]), int(rows[k]) + step))
+        step += 1
+        rows = rows[left[rows] > step]
+    return links
 
 
 def _keyed(radius: int):
-    def one(prints: np.ndarray, key: int) -> pd.DataFrame:
-        ring = segments(radius)
-        i, half = divmod(key >> 48, 2)
-        (first, size), (nxt, width) = ring[i], ring[(i + 1) % len(ring)]
-        a, n = (nxt, width // 2) if not half else (nxt + width // 2, width - width // 2)
-        free = ((1 << BITS) - 1) & ~(((1 << size) - 1) << first) & ~(((1 << n) - 1) << a)
-        links: list = []
-        _link(prints, np.arange(len(prints)), radius, _Sets(len(prints)), free, links)
-        found = np.array(links, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": prints.view(np.int64)[found[:, 0]], "b": prints.view(np.int64)[found[:, 1]]})
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        prints = pdf["print"].to_numpy()
+        pairs = np.array(spanning_links(pdf["key"].to_numpy(), prints.view(_U), radius), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": prints[pairs[:, 0]], "b": prints[pairs[:, 1]]})
 
     def run(batches):
         """Rows come sorted by key; a key's rows may go over batches."""
         rest = None
         for pdf in batches:
+            if not len(pdf):
+                continue
             if rest is not None:
                 pdf = pd.concat([rest, pdf], ignore_index=True)
             keys = pdf["key"].to_numpy()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
+            last = int(np.searchsorted(keys, keys[-1], "left"))
             rest = pdf.iloc[last:]
-            bounds = [0, *cuts.tolist()]
-            prints = pdf["print"].to_numpy().view(_U)
-            found = [one(prints[i:j], int(keys[i])) for i, j in zip(bounds, bounds[1:]) if j - i > 1]
-            if found:
-                yield pd.concat(found)
-        if rest is not None and len(rest) > 1:
-            yield one(rest["print"].to_numpy().view(_U), int(rest["key"].iloc[0]))
+            if last:
+                yield found(pdf.iloc[:last])
+        if rest is not None:
+            yield found(rest)
 
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Different prints(print) -> links (a, b) within the radius; any two such prints are joined by a path of links."""
-    keyed = prints.select("print", F.explode(ring_keys(F.col("print"), radius)).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = keyed.join(counts, "key", "left_semi")
+def links(prints: DataFrame, radius: int = RADIUS, chain: int | None = None) -> DataFrame:
+    """Different prints(print) -> links (a, b) within the radius; any two such prints are joined by a path of links.
+
+    A longer chain makes longer keys, of which there are more: three segments from 2^24 prints on.
+    """
+    if chain is None:
+        chain = 2 if prints.count() < 1 << 24 else 3
+    keyed = prints.select("print", F.explode(ring_keys(F.col("print"), radius, chain)).alias("key"))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_keyed(radius), "a long, b long").distinct()
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_keyed(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
@@ -220,15 +246,26 @@ def components(edges: DataFrame, node: str = "node", label: str = "label") -> Da
         labels = labels.select("v", "l")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, print, component_id): the smallest doc_id that links lead to."""
-    rows = keep(fingerprints(docs, shingle))
+def near_duplicates(docs: DataFrame, *carry: str, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs(doc_id, carry, text) -> (doc_id, carry, print, component, component_id).
+
+    component names the group; component_id is the smallest doc_id in it.
+    """
+    rows = keep(fingerprints(docs, "doc_id", *carry, shingle=shingle))
     prints = keep(rows.groupBy("print").agg(F.min("doc_id").alias("first_id")))
-    joined = components(links(prints, radius), "print", "label")
-    members = prints.join(joined, "print", "left").withColumn("label", F.coalesce("label", "print"))
-    smallest = members.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = members.join(smallest, "label").select("print", "component_id")
-    return rows.join(classes, "print").select("doc_id", "print", "component_id")
+    joined = components(links(prints, radius), "print", "component")
+    members = prints.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print"))
+    smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    classes = members.join(smallest, "component").select("print", "component", "component_id")
+    return rows.join(classes, "print").select("doc_id", *carry, "print", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The documents without near duplicates: of each group the one with the smallest id (then key) stays."""
+    rows = docs.withColumn("doc_key", row_key("doc_id", "text"))
+    found = near_duplicates(rows, "doc_key", shingle=shingle, radius=radius)
+    stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "doc_key")).alias("s")).select(F.col("s.doc_key").alias("doc_key"))
+    return rows.join(stay, "doc_key", "left_semi").dropDuplicates(["doc_key"]).select(docs.columns)
 
 
 def op10_simhash_near(spark, sf_dir: str) -> DataFrame:

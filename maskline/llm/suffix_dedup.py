@@ -23,12 +23,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, pack_texts, row_key, table, unpack
+from .common import extended, keep, pack_texts, row_key, sql_schema, table, unpack
 from .lcpsort import longest_shared, shared_lengths
 from .repeats import at, counted, places
 
@@ -59,7 +58,7 @@ def _contexts(width: int):
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs(doc_id, doc_key, text) -> (doc_key, spans): runs [first, last] of starts of `width`-byte strings that start elsewhere too."""
+    """docs(doc_key, text) -> (doc_key, spans): runs [first, last] of starts of `width`-byte strings that start elsewhere too."""
     found = places(docs, width, gram, by_word=False)
     shared = keep(counted(found))
     whole = shared.where("n > 1").select("core", "context", (F.col("low") - F.col("at")).alias("from"), (F.col("high") - F.col("at")).alias("to"))
@@ -78,34 +77,40 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     return windows.groupBy("doc_key").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
 
+_REMOVED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _remove(width: int):
     def run(batches):
-        for pdf in batches:
-            out = []
-            for packed, spans in zip(pdf["packed"], pdf["spans"]):
+        for batch in batches:
+            sizes, removed, rest = [], [], []
+            for packed, spans in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 raw, runs = unpack(packed), []
-                for s in spans if spans is not None else ():
-                    if runs and s["first"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s["last"] + width)
+                for s in spans or ():
+                    if runs and s["first"] <= runs[-1]["end"]:
+                        runs[-1]["end"] = max(runs[-1]["end"], s["last"] + width)
                     else:
-                        runs.append([s["first"], s["last"] + width])
-                cuts = [0, *(x for r in runs for x in r), len(raw)]
-                kept = b"".join(raw[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2))
-                out.append((len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in runs], kept))
-            yield pd.concat([pdf[["doc_id"]], pd.DataFrame(out, columns=["n_bytes", "n_removed", "removed", "kept"], index=pdf.index)], axis=1)
+                        runs.append({"start": s["first"], "end": s["last"] + width})
+                cuts = [0, *(x for r in runs for x in (r["start"], r["end"])), len(raw)]
+                sizes.append(len(raw))
+                removed.append(runs)
+                rest.append(b"".join(raw[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2)))
+            gone = [n - len(x) for n, x in zip(sizes, rest)]
+            yield extended(batch, 2, n_bytes=pa.array(sizes, pa.int64()), n_removed=pa.array(gone, pa.int64()), removed=pa.array(removed, _REMOVED), kept=pa.array(rest, pa.binary()))
 
     return run
 
 
-def dedup_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, removed spans, kept bytes), a row for each document."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", row_key("doc_id", "text"))
+def dedup_bytes(docs: DataFrame, *carry: str, width: int = WIDTH) -> DataFrame:
+    """docs(carry, text) -> (carry, n_bytes, n_removed, removed byte spans, kept bytes), a row for each document."""
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc_key", row_key(*carry, "text"))
     spans = repeated_windows(rows, width)
-    return pack_texts(rows).join(spans, "doc_key", "left").select("doc_id", "packed", "spans").mapInPandas(_remove(width), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+    done = pack_texts(rows, *carry).join(spans, "doc_key", "left").select(*carry, "packed", "spans")
+    return done.mapInArrow(_remove(width), sql_schema(done.drop("packed", "spans"), "n_bytes long", "n_removed long", "removed array<struct<start:long,end:long>>", "kept binary"))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    done = dedup_bytes(table(spark, sf_dir, "documents"))
+    done = dedup_bytes(table(spark, sf_dir, "documents"), "doc_id")
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, held_out, table, text_blocks
+from .common import BLOCK_BYTES, extended, held_out, sql_schema, table, text_blocks
 from .labelled import Adam, labelled_sample, sigmoid
 
 FOLDS, FOLD = 5, 0
@@ -148,10 +148,10 @@ def _scores(model: Model):
         present = _present(model.buckets)
         for batch in batches:
             parts = [np.zeros(0)]
-            for _, texts in text_blocks(batch.column("text"), BLOCK_BYTES // 2):
+            for _, texts in text_blocks(batch.column(batch.num_columns - 1), BLOCK_BYTES // 2):
                 doc, feature, n = present(texts)
                 parts.append(sigmoid(np.bincount(doc, model.weights[feature].astype(float), n)[:n] + model.bias))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(np.concatenate(parts))], names=[*batch.schema.names[:-1], "score"])
+            yield extended(batch, 1, score=pa.array(np.concatenate(parts)))
 
     return run
 
@@ -160,9 +160,9 @@ def score(docs: DataFrame, model: Model | None, *carry: str) -> DataFrame:
     """The carried columns and `score`, the probability that the whole text is toxic."""
     if model is None:
         return docs.select(*carry, F.lit(0.0).alias("score"))
-    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_scores(model), f"{schema}, score double" if carry else "score double")
+    kept = docs.select(*carry)
+    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("whole text"))
+    return rows.mapInArrow(_scores(model), sql_schema(kept, "score double"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
