@@ -33,7 +33,7 @@ from .common import extended, keep, pack_texts, row_key, sql_schema, table, unpa
 from .repeats import at, counted, places
 
 WIDTH = 35
-GRAM = 8
+GRAM = 6
 #: Contexts in a shard, on average; contexts of one core that a shard takes.
 SHARD_ROWS = 6_000
 HOT = 20_000

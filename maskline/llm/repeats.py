@@ -30,7 +30,7 @@ def high(place: str) -> Column:
     return (F.shiftright(place, 20) + F.col(place).bitwiseAND(F.lit(1023))).cast("int")
 
 
-def _places(width: int, gram: int, by_word: bool) -> Callable:
+def _places(width: int, gram: int, by_word: bool, cores_only: bool = False) -> Callable:
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -42,6 +42,9 @@ def _places(width: int, gram: int, by_word: bool) -> Callable:
                 else:
                     symbols, plain = byte_symbols(raw), raw
                 found = anchors(symbols, ends, width, gram)
+                if cores_only:
+                    yield pa.RecordBatch.from_pydict({"core": found["core"].view(np.int64)})
+                    continue
                 base = np.concatenate([[0], ends[:-1]])[found["doc"]] if len(ends) else found["doc"]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -66,9 +69,11 @@ def places(docs: DataFrame, width: int, gram: int, by_word: bool) -> DataFrame:
     """
     if width - gram >= 1 << 10:
         raise ValueError("a place has 10 bits for what follows the first window")
-    found = keep(docs.select("doc_key", "text").mapInArrow(_places(width, gram, by_word), _SCHEMA))
-    again = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    return keep(found.join(again, "core", "left_semi"))
+    texts = docs.select("doc_key", "text")
+    # finding the places twice takes less than keeping all of them, most of which never recur
+    cores = texts.mapInArrow(_places(width, gram, by_word, cores_only=True), "core long")
+    again = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    return keep(texts.mapInArrow(_places(width, gram, by_word), _SCHEMA).join(again, "core", "left_semi"))
 
 
 def counted(found: DataFrame) -> DataFrame:
