@@ -2,8 +2,8 @@
 
 All of it is DataFrame functions. A text's terms are its pairs of neighbouring words (the last word also
 stands alone); every occurrence votes on each bit of the term's two 64-bit hashes, with the term's
-length as its weight, and a bit is one where more than half of the weight says so. The votes for bits i
-and i + 32 share one long, so 64 sums count 128 bits.
+length (31 at most) as its weight, and a bit is one where more than half of the weight says so. The votes
+for four bits share one long, so 32 sums count 128 bits.
 
 The search keeps a table for every choice of `leading` out of `radius + leading` blocks of bits, in which
 those blocks come first: two fingerprints within the radius agree in one of these choices.
@@ -21,47 +21,72 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES_RE, keep, table
+from .common import keep, table
 
 RADIUS, LEADING = 4, 2
 WORDS = 2  # longs of 64 bits
 LOWEST = -(1 << 63)
-_LANES = 0x0000000100000001
+#: Terms in a chunk and the largest weight: together below 2^16.
+CHUNK, MOST = 2048, 31
+_FOUR, _TWO = 0x0001000100010001, 0x0000FFFF0000FFFF
 
 
 def terms(text: Column) -> Column:
-    """Pairs of neighbouring words; the last word is paired with null."""
-    w = F.filter(F.split(text, SPACES_RE), lambda x: x != "")
-    return F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b"))
+    """A struct for each pair of neighbouring words (the last word is paired with null): hashes and weight.
+
+    The words are bound as a variable, so the text is split once.
+    """
+
+    def of(w: Column) -> Column:
+        def term(a: Column, i: Column) -> Column:
+            b = F.get(w, i + 1)
+            weight = F.least(F.length(a) + F.coalesce(F.length(b), F.lit(0)), F.lit(MOST)).cast("long")
+            return F.struct(F.xxhash64(a, b).alias("h0"), weight.alias("weight"))
+
+        return F.transform(w, term)
+
+    for c in "\t\n\x0b\x0c\r":  # splitting at one plain character takes no regular expression
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.transform(F.array(F.array_remove(F.split(text, " "), "")), of)[0]
+
+
+def _votes() -> list[Column]:
+    """Sums over a chunk's terms: the whole weight, and the votes for four bits in each long."""
+    out = [F.sum("weight").alias("weight")]
+    for k in range(WORDS):
+        out += [F.sum(F.shiftrightunsigned(f"h{k}", i).bitwiseAND(F.lit(_FOUR)) * F.col("weight")).alias(f"v{k}_{i}") for i in range(16)]
+    return out
 
 
-def _votes(term: Column) -> list[Column]:
-    """The sums that count votes: the whole weight, and two bits in each long."""
-    a, b = term["a"], term["b"]
-    weight = F.coalesce(F.length(a) + F.coalesce(F.length(b), F.lit(0)), F.lit(0)).cast("long")
-    out = [F.sum(weight).alias("weight")]
+def _widened() -> list[Column]:
+    """Sums over a text's chunks, with the votes for two bits in each long."""
+    out = [F.sum("weight").alias("weight")]
     for k in range(WORDS):
-        h = F.xxhash64(F.lit(k), a, b)
-        out += [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES)) * weight).alias(f"v{k}_{i}") for i in range(32)]
+        for i in range(16):
+            v = F.col(f"v{k}_{i}")
+            out += [F.sum(F.shiftrightunsigned(v, 16 * j).bitwiseAND(F.lit(_TWO))).alias(f"w{k}_{i + 16 * j}") for j in (0, 1)]
     return out
 
 
 def _majority(k: int) -> Column:
     """The k-th long of a fingerprint from its votes."""
-    out = F.lit(0).cast("long")
-    for i in range(32):
-        v = F.col(f"v{k}_{i}")
-        low, high = v.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(v, 32)
-        out = out.bitwiseOR(F.when(low * 2 > F.col("weight"), F.lit(1 << i)).otherwise(F.lit(0)))
-        bit = 1 << (i + 32)
-        out = out.bitwiseOR(F.when(high * 2 > F.col("weight"), F.lit(bit - (1 << 64) if bit >> 63 else bit)).otherwise(F.lit(0)))
-    return out
+    votes = ", ".join(f"w{k}_{i}" for i in range(32))
+    low, high = "cast((v & 4294967295) * 2 > weight as bigint)", "cast(shiftrightunsigned(v, 32) * 2 > weight as bigint)"
+    bits = f"transform(array({votes}), (v, i) -> shiftleft({low}, i) | shiftleft({high}, i + 32))"
+    return F.expr(f"aggregate({bits}, 0L, (s, x) -> s | x)")
 
 
 def fingerprints(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, print: array of two longs) for rows(keys, text), which the keys tell apart."""
-    words = rows.select(*keys, F.explode_outer(terms(F.col(text))).alias("t"))
-    voted = words.groupBy(*keys).agg(*_votes(F.col("t")))
+    """(keys, print: array of two longs) for rows(keys, text), which the keys tell apart.
+
+    Votes are counted in chunks of CHUNK terms, in which they fit 16 bits.
+    """
+    words = rows.select(*keys, F.posexplode_outer(terms(F.col(text))).alias("at", "t"))
+    chunk = F.shiftright(F.coalesce("at", F.lit(0)), CHUNK.bit_length() - 1)
+    h0 = F.coalesce("t.h0", F.lit(0))
+    more = [F.xxhash64(h0, F.lit(k)).alias(f"h{k}") for k in range(1, WORDS)]
+    chunks = words.select(*keys, chunk.alias("chunk"), h0.alias("h0"), *more, F.coalesce("t.weight", F.lit(0)).alias("weight")).groupBy(*keys, "chunk").agg(*_votes())
+    voted = chunks.groupBy(*keys).agg(*_widened())
     return voted.select(*keys, F.array(*[_majority(k) for k in range(WORDS)]).alias("print"))
 
 
