@@ -1 +1,373 @@
-"""Named queries (placeholder)."""
+"""Named queries over the given tables, each with equivalent SQL.
+
+Notes are `documents`. Gold is every occurrence of e-mail addresses, telephone numbers and IP addresses;
+the models are extractors that know more or fewer of these patterns (and web addresses, which over-redact)
+in each pass. Every table is read whole.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.constants import CODES, PASSES
+from ..functions.text import words
+from ..operators import aggregate, score, spans, validate
+from ..operators.extract import pattern_pairs
+from ..operators.segment import segments
+from . import reports
+
+EMAIL, PHONE, IP, WEB = "07_EMAIL_ADDRESS", "05_TELEPHONE_NUMBER", "16_IP_ADDRESS", "15_WEB_URL"
+FOUND = (
+    (EMAIL, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    (PHONE, r"\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}"),
+    (IP, r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
+    (WEB, r"[A-Za-z0-9.-]+\.com"),
+)
+GOLD = (EMAIL, PHONE, IP)
+MODELS = {"m_contact": ((EMAIL, PHONE), (IP,)), "m_email": ((EMAIL,), (PHONE,)), "m_full": (GOLD, ()), "m_wide": ((EMAIL, WEB), (PHONE, IP))}
+KNOWS = [(m, p, c) for m, (a, b) in MODELS.items() for p, codes in ((PASSES[0], a), (PASSES[1], (*a, *b))) for c in codes]
+KEYS = ("model_id", "pass", "doc_id")
+RESAMPLES = 40
+
+
+def _notes(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _literals(spark, sf) -> DataFrame:
+    pairs = segments(_notes(spark, sf)).select("doc_id", F.explode(pattern_pairs(F.col("text"), FOUND)).alias("p"))
+    return pairs.select("doc_id", "p.exact_text", "p.identifier_type").distinct()
+
+
+def _occurrences(spark, sf) -> DataFrame:
+    return spans.ground(_literals(spark, sf), _notes(spark, sf), ["doc_id"])
+
+
+def _predicted(spark, sf) -> DataFrame:
+    known = spark.createDataFrame(KNOWS, "model_id string, pass string, identifier_type string")
+    return _occurrences(spark, sf).join(F.broadcast(known), "identifier_type").select(*KEYS, "start", "end", "identifier_type")
+
+
+def _gold(spark, sf) -> tuple[DataFrame, DataFrame]:
+    docs = _notes(spark, sf).select("doc_id", F.length("text").alias("n_chars"))
+    gold = _occurrences(spark, sf).where(F.col("identifier_type").isin(*GOLD)).withColumnRenamed("identifier_type", "code")
+    # a span's number only has to tell it from others of its note
+    return docs, gold.withColumn("span_no", F.xxhash64("start", "end", "code"))
+
+
+def _universe(spark, sf) -> DataFrame:
+    models = spark.createDataFrame([(m, p) for m in MODELS for p in PASSES], "model_id string, pass string")
+    # eight rows
+    return _notes(spark, sf).select("doc_id").crossJoin(F.broadcast(models)).select(*KEYS)
+
+
+def _scored(spark, sf):
+    docs, gold = _gold(spark, sf)
+    return _universe(spark, sf), docs, gold, _predicted(spark, sf)
+
+
+def _operations(spark, sf) -> DataFrame:
+    """Every window answered; those of notes whose id ends in 3 were cut short, in 4 unusable, in 5 not strict."""
+    cut = segments(_notes(spark, sf)).select("doc_id", words(F.col("text")).cast("long").alias("prompt_tokens"))
+    d = F.col("doc_id") % 10
+    rows = cut.join(_universe(spark, sf), "doc_id")
+    asked = rows.select(*KEYS, F.when(d == 3, "length").otherwise("stop").alias("finish_reason"), "prompt_tokens", F.lit(2).cast("long").alias("completion_tokens"))
+    seen = rows.select(*KEYS, (d != 4).alias("envelope_usable"), (~d.isin(4, 5)).alias("strict_schema_valid"))
+    return score.document_operations(asked, seen)
+
+
+def _metrics(spark, sf) -> DataFrame:
+    args = _scored(spark, sf)
+    return aggregate.metrics_long(score.document_scores(*args), score.type_scores(*args), _operations(spark, sf))
+
+
+def _per_document(spark, sf) -> DataFrame:
+    return aggregate.per_document(score.document_scores(*_scored(spark, sf)), _operations(spark, sf))
+
+
+def segment_notes(spark, sf):
+    return segments(_notes(spark, sf)).select("doc_id", "segment_id", "start", "end", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+def segment_stats(spark, sf):
+    return segments(_notes(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.max("end").alias("n_chars"))
+
+
+def extract_patterns(spark, sf):
+    return _literals(spark, sf)
+
+
+def ground_occurrences(spark, sf):
+    return _predicted(spark, sf)
+
+
+def union_regions(spark, sf):
+    return spans.regions(_predicted(spark, sf), KEYS).select(*KEYS, F.col("region_no").cast("long").alias("region_no"), "start", "end")
+
+
+def overlap_components(spark, sf):
+    return spans.components(_predicted(spark, sf), KEYS).select(*KEYS, "start", "end", F.array_join("types", "|").alias("types"))
+
+
+def _first_pass(spark, sf):
+    return _predicted(spark, sf).where("model_id = 'm_wide' and pass = 'pass1'").drop("model_id", "pass")
+
+
+def neutral_redaction(spark, sf):
+    done = spans.neutral(_notes(spark, sf), spans.regions(_first_pass(spark, sf), ["doc_id"]), ["doc_id"])
+    return done.select("doc_id", F.length("neutral_text").alias("n_chars"), F.md5("neutral_text").alias("digest"))
+
+
+def typed_redaction(spark, sf):
+    done = spans.typed(_notes(spark, sf), _first_pass(spark, sf), ["doc_id"])
+    return done.select("doc_id", F.length("typed_text").alias("n_chars"), F.md5("typed_text").alias("digest"))
+
+
+def pass2_pieces(spark, sf):
+    return spans.pieces(_notes(spark, sf), spans.regions(_first_pass(spark, sf), ["doc_id"]), ["doc_id"])
+
+
+def map_back(spark, sf):
+    """Telephone numbers and addresses of redacted text, in source places."""
+    notes, found = _notes(spark, sf), spans.regions(_first_pass(spark, sf), ["doc_id"])
+    red = spans.neutral(notes, found, ["doc_id"]).select("doc_id", F.col("neutral_text").alias("text"))
+    pairs = red.select("doc_id", F.explode(pattern_pairs(F.col("text"), FOUND[1:3])).alias("p")).select("doc_id", "p.exact_text", "p.identifier_type")
+    return spans.map_back(spans.ground(pairs, red, ["doc_id"]), spans.pieces(notes, found, ["doc_id"]), ["doc_id"])
+
+
+def cumulative_union(spark, sf):
+    p = _predicted(spark, sf)
+    both = spans.merge(*[p.where(F.col("pass") == x).drop("pass") for x in PASSES])
+    return both.groupBy("model_id").agg(F.count("*").alias("n_spans"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def validate_verdicts(spark, sf):
+    item = lambda lit, kind: f'{{"exact_text": "{lit}", "identifier_type": "{kind}"}}'
+    content = '{"identifiers": [' + ", ".join([item("the", CODES[0]), item("the", CODES[0]), item("zzqx", CODES[0]), item("the", "NOPE"), "7"]) + "]}"
+    rows = _notes(spark, sf).select("doc_id", "text", F.when(F.col("doc_id") % 10 == 3, "length").otherwise("stop").alias("finish_reason"), F.lit(content).alias("content"))
+    return validate.verdicts(rows, "doc_id").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def doc_confusion(spark, sf):
+    return score.char_counts(*_scored(spark, sf))
+
+
+def type_confusion(spark, sf):
+    return score.type_scores(*_scored(spark, sf))
+
+
+def span_hits(spark, sf):
+    return score.span_hits(*_scored(spark, sf)).select(*KEYS, "start", "end", "code", "any", "full", "strict", "relaxed")
+
+
+def predicted_span_counts(spark, sf):
+    _, _, gold, predicted = _scored(spark, sf)
+    return score.predicted_spans(gold, predicted)
+
+
+def doc_operations(spark, sf):
+    return _operations(spark, sf)
+
+
+def metrics_all(spark, sf):
+    return _metrics(spark, sf).where("phi_type = 'ALL'").select("model_id", "pass", "cohort", *_METRIC_COLUMNS)
+
+
+_METRIC_COLUMNS = (
+    "n_docs n_notes doc_chars_total gt_phi_chars pred_phi_chars char_tp char_fp char_fn char_tn char_recall char_precision char_f1 char_specificity over_redaction_rate "
+    "zero_residual_notes median_residual_per_note max_residual_per_note expected_requests usable_rate json_valid_rate finish_stop_rate prompt_tokens completion_tokens char_recall_macro char_f1_macro"
+).split()
+
+
+def metrics_types(spark, sf):
+    return _metrics(spark, sf).where("phi_type <> 'ALL'").select("model_id", "pass", "cohort", "phi_type", "gt_phi_chars", "gt_span_count", "char_tp", "char_recall", "char_precision_typematched", "any_span_recall")
+
+
+def gold_types_present(spark, sf):
+    universe, _, gold, _ = _scored(spark, sf)
+    return aggregate.gold_types(universe, gold)
+
+
+def corpus_totals(spark, sf):
+    return reports.corpus_totals(*_gold(spark, sf))
+
+
+def corpus_categories(spark, sf):
+    return reports.corpus_categories(_gold(spark, sf)[1])
+
+
+def results_ranked(spark, sf):
+    return reports.ranked(_metrics(spark, sf), columns=("char_recall", "char_precision"))
+
+
+def figure5(spark, sf):
+    return reports.figure5(_metrics(spark, sf))
+
+
+def figure6(spark, sf):
+    return reports.figure6(_metrics(spark, sf), ((EMAIL, "email"), (PHONE, "telephone"), (IP, "address"), ("ALL", "overall")))
+
+
+def checkpoints(spark, sf):
+    return reports.checkpoints(spark)
+
+
+def bootstrap_ci(spark, sf):
+    rows = _per_document(spark, sf).where("model_id = 'm_contact'")
+    return reports.bootstrap(rows, RESAMPLES).select("model_id", "pass_", "notes", *[F.round(c, 9).alias(c) for c in ("recall", "low", "high")])
+
+
+def bootstrap_ci_exact(spark, sf):
+    return reports.bootstrap_exact(_per_document(spark, sf), RESAMPLES)
+
+
+# --- the same in SQL ---
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+
+
+def _islands(source: str, keys: str) -> str:
+    return f"""(SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS region_no FROM (
+      SELECT *, CASE WHEN s >= max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1 ELSE 0 END AS fresh FROM {source}))"""
+
+
+def _regions(source: str, keys: str) -> str:
+    return f"SELECT {keys}, region_no, min(s) AS s, max(e) AS e FROM {_islands(f'(SELECT DISTINCT {keys}, s, e FROM {source})', keys)} GROUP BY {keys}, region_no"
+
+
+_K = "model_id, pass, doc_id"
+_PREFIX = "substr({}, 1, 2)"
+_PARTS = {
+    "notes": "SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents",
+    "seg": "SELECT doc_id, i, CAST(i * 3100 AS INT) AS s, CAST(least(i * 3100 + 3500, n) AS INT) AS e, substr(text, i * 3100 + 1, 3500) AS t FROM notes, unnest(range(0, CAST(ceil(greatest(n - 3500, 0) / 3100.0) AS BIGINT) + 1)) AS u(i)",
+    "pat": f"SELECT * FROM (VALUES {_values(FOUND)}) AS v(code, re)",
+    "lits": "SELECT DISTINCT doc_id, code, lit FROM (SELECT doc_id, code, unnest(regexp_extract_all(t, re)) AS lit FROM seg, pat) WHERE lit <> ''",
+    "occ": "SELECT DISTINCT doc_id, code, CAST(p - 1 AS INT) AS s, CAST(p - 1 + length(lit) AS INT) AS e FROM lits JOIN notes USING (doc_id), unnest(range(1, n + 1)) AS u(p) WHERE substr(text, p, length(lit)) = lit",
+    "knows": f"SELECT * FROM (VALUES {_values(KNOWS)}) AS v(model_id, pass, code)",
+    "pred": "SELECT model_id, pass, doc_id, s, e, code FROM occ JOIN knows USING (code)",
+    "gold": f"SELECT doc_id, s, e, code FROM occ WHERE code IN ({', '.join(repr(c) for c in GOLD)})",
+    "uni": f"SELECT model_id, pass, doc_id FROM notes, (SELECT DISTINCT model_id, pass FROM (VALUES {_values((m, p) for m in MODELS for p in PASSES)}) AS v(model_id, pass))",
+    "reg": _regions("pred", _K),
+    "first": "SELECT doc_id, s, e, code FROM pred WHERE model_id = 'm_wide' AND pass = 'pass1'",
+    "freg": _regions("first", "doc_id"),
+    "fcomp": f"SELECT doc_id, region_no, min(s) AS s, max(e) AS e, list_sort(list(DISTINCT code)) AS types FROM {_islands('first', 'doc_id')} GROUP BY ALL",
+    "kept": """SELECT doc_id, CAST(0 AS INT) AS piece_no, 0 AS src_start, coalesce((SELECT min(s) FROM freg f WHERE f.doc_id = n.doc_id), n) AS src_end, 0 AS shift FROM notes n
+      UNION ALL SELECT f.doc_id, CAST(region_no AS INT), f.e, coalesce(lead(f.s) OVER w, n.n), sum(5 - (f.e - f.s)) OVER (PARTITION BY f.doc_id ORDER BY f.s ROWS UNBOUNDED PRECEDING)
+      FROM freg f JOIN notes n USING (doc_id) WINDOW w AS (PARTITION BY f.doc_id ORDER BY f.s)""",
+    "pieces": "SELECT doc_id, piece_no, CAST(src_start + shift AS INT) AS rep_start, CAST(src_end + shift AS INT) AS rep_end, CAST(src_start AS INT) AS src_start, src_end FROM kept",
+    "red": "SELECT doc_id, string_agg(substr(text, src_start + 1, src_end - src_start), '[PHI]' ORDER BY piece_no) AS text FROM pieces JOIN notes USING (doc_id) GROUP BY doc_id",
+    "gcov": _regions("gold", "doc_id"),
+    "gt": "SELECT doc_id, sum(e - s) AS gt FROM gcov GROUP BY 1",
+    "pc": f"SELECT {_K}, sum(e - s) AS pred_chars FROM reg GROUP BY ALL",
+    "tp": f"SELECT {_K}, sum(least(g.e, r.e) - greatest(g.s, r.s)) AS tp FROM gcov g JOIN reg r USING (doc_id) WHERE g.s < r.e AND r.s < g.e GROUP BY ALL",
+    "chars": f"""SELECT {_K}, n AS doc_chars, CAST(coalesce(gt, 0) AS BIGINT) AS gt, CAST(coalesce(pred_chars, 0) AS BIGINT) AS pred_chars, CAST(coalesce(tp, 0) AS BIGINT) AS tp
+      FROM uni JOIN notes USING (doc_id) LEFT JOIN gt USING (doc_id) LEFT JOIN pc USING ({_K}) LEFT JOIN tp USING ({_K})""",
+    "conf": "SELECT *, pred_chars - tp AS fp, gt - tp AS fn, doc_chars - (gt + pred_chars - tp) AS tn, gt - tp AS residual FROM chars",
+    "each": "SELECT model_id, pass, doc_id, s, e, code FROM uni JOIN gold USING (doc_id)",
+    "hits": """SELECT x.*, coalesce((SELECT sum(least(x.e, r.e) - greatest(x.s, r.s)) FROM reg r WHERE r.model_id = x.model_id AND r.pass = x.pass AND r.doc_id = x.doc_id AND x.s < r.e AND r.s < x.e), 0) AS covered,
+      CAST(EXISTS (SELECT 1 FROM pred p WHERE p.model_id = x.model_id AND p.pass = x.pass AND p.doc_id = x.doc_id AND p.s = x.s AND p.e = x.e) AS INT) AS strict,
+      CAST(EXISTS (SELECT 1 FROM pred p WHERE p.model_id = x.model_id AND p.pass = x.pass AND p.doc_id = x.doc_id AND abs(p.s - x.s) <= 2 AND abs(p.e - x.e) <= 2) AS INT) AS relaxed FROM each x""",
+    "shits": 'SELECT model_id, pass, doc_id, s, e, code, CAST(covered > 0 AS INT) AS "any", CAST(covered = e - s AS INT) AS "full", strict, relaxed FROM hits',
+    "gtc": _regions("gold", "doc_id, code"),
+    "pcp": _regions(f"(SELECT {_K}, {_PREFIX.format('code')} AS prefix, s, e FROM pred)", f"{_K}, prefix"),
+    "types": f"""SELECT b.model_id, b.pass, b.doc_id, b.code,
+      CAST((SELECT sum(e - s) FROM gtc g WHERE g.doc_id = b.doc_id AND g.code = b.code) AS BIGINT) AS gt,
+      CAST(coalesce((SELECT sum(least(g.e, r.e) - greatest(g.s, r.s)) FROM gtc g JOIN reg r ON g.doc_id = r.doc_id AND g.s < r.e AND r.s < g.e WHERE g.doc_id = b.doc_id AND g.code = b.code AND r.model_id = b.model_id AND r.pass = b.pass), 0) AS BIGINT) AS tp,
+      CAST(coalesce((SELECT sum(least(g.e, r.e) - greatest(g.s, r.s)) FROM gtc g JOIN pcp r ON g.doc_id = r.doc_id AND g.s < r.e AND r.s < g.e WHERE g.doc_id = b.doc_id AND g.code = b.code AND r.prefix = substr(b.code, 1, 2) AND r.model_id = b.model_id AND r.pass = b.pass), 0) AS BIGINT) AS tp_matched,
+      CAST(coalesce((SELECT sum(e - s) FROM pcp r WHERE r.doc_id = b.doc_id AND r.prefix = substr(b.code, 1, 2) AND r.model_id = b.model_id AND r.pass = b.pass), 0) AS BIGINT) AS pred_matched,
+      h.spans, h.a, h.f, h.st, h.re
+      FROM (SELECT DISTINCT model_id, pass, doc_id, code FROM each) b
+      JOIN (SELECT model_id, pass, doc_id, code, count(*) AS spans, CAST(sum("any") AS BIGINT) AS a, CAST(sum("full") AS BIGINT) AS f, CAST(sum(strict) AS BIGINT) AS st, CAST(sum(relaxed) AS BIGINT) AS re FROM shits GROUP BY ALL) h
+      ON h.model_id = b.model_id AND h.pass = b.pass AND h.doc_id = b.doc_id AND h.code = b.code""",
+    "ops": f"""SELECT {_K}, count(*) AS segments, count(*) FILTER (doc_id % 10 <> 3) AS stop, CAST(sum(len(list_filter(regexp_split_to_array(t, '\\s+'), w -> w <> ''))) AS BIGINT) AS prompt_tokens, CAST(2 * count(*) AS BIGINT) AS completion_tokens,
+      count(*) AS val_requests, count(*) FILTER (doc_id % 10 <> 4) AS usable, count(*) FILTER (doc_id % 10 NOT IN (4, 5)) AS valid, TRUE AS have_validation, doc_id % 10 NOT IN (3, 4) AS complete
+      FROM seg JOIN uni USING (doc_id) GROUP BY ALL""",
+    "rows_": f"SELECT c.*, o.* EXCLUDE (model_id, pass, doc_id), co.cohort FROM conf c JOIN ops o USING ({_K}), (VALUES ('all_expected'), ('operational_complete')) AS co(cohort) WHERE co.cohort = 'all_expected' OR o.complete",
+    "alls": """SELECT model_id, pass, cohort, count(*) AS n_notes, CAST(sum(doc_chars) AS BIGINT) AS doc_chars_total, CAST(sum(gt) AS BIGINT) AS gt_phi_chars, CAST(sum(pred_chars) AS BIGINT) AS pred_phi_chars, CAST(sum(tp) AS BIGINT) AS char_tp, CAST(sum(fp) AS BIGINT) AS char_fp, CAST(sum(fn) AS BIGINT) AS char_fn, CAST(sum(tn) AS BIGINT) AS char_tn,
+      count(*) FILTER (residual = 0) AS zero_residual_notes, median(residual) AS median_residual_per_note, max(residual) AS max_residual_per_note, CAST(sum(segments) AS BIGINT) AS expected_requests,
+      sum(usable)::DOUBLE / sum(val_requests) AS usable_rate, sum(valid)::DOUBLE / sum(val_requests) AS json_valid_rate, sum(stop)::DOUBLE / sum(segments) AS finish_stop_rate, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+      avg(CASE WHEN gt > 0 THEN tp::DOUBLE / gt END) AS char_recall_macro, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END) AS char_f1_macro FROM rows_ GROUP BY ALL""",
+    "rates": "SELECT *, char_tp::DOUBLE / nullif(gt_phi_chars, 0) AS char_recall, char_tp::DOUBLE / nullif(char_tp + char_fp, 0) AS char_precision, char_tn::DOUBLE / nullif(char_tn + char_fp, 0) AS char_specificity, char_fp::DOUBLE / nullif(char_tp + char_fp, 0) AS over_redaction_rate FROM alls",
+    "trows": f"""SELECT model_id, pass, cohort, code AS phi_type, CAST(sum(t.gt) AS BIGINT) AS gt_phi_chars, CAST(sum(t.spans) AS BIGINT) AS gt_span_count, CAST(sum(t.tp) AS BIGINT) AS char_tp, sum(t.tp)::DOUBLE / nullif(sum(t.gt), 0) AS char_recall,
+      sum(t.tp_matched)::DOUBLE / nullif(sum(t.pred_matched), 0) AS char_precision_typematched, sum(t.a)::DOUBLE / nullif(sum(t.spans), 0) AS any_span_recall FROM types t JOIN (SELECT {_K}, cohort FROM rows_) USING ({_K}) GROUP BY ALL HAVING sum(t.gt) > 0""",
+    "pdoc": "SELECT model_id, pass AS pass_, doc_id, gt, tp, row_number() OVER (PARTITION BY model_id, pass ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY model_id, pass) AS n FROM conf WHERE model_id = 'm_contact'",
+    "boot": f"""SELECT d.model_id, d.pass_, b, sum(p.tp)::DOUBLE / nullif(sum(p.gt), 0) AS r FROM (SELECT DISTINCT model_id, pass_, n FROM pdoc) d, unnest(range(0, {RESAMPLES})) AS u(b), unnest(range(0, n)) AS v(i)
+      JOIN pdoc p ON p.model_id = d.model_id AND p.pass_ = d.pass_ AND p.k = (('0x' || substr(md5('20260801-' || b || '-' || i), 1, 8))::BIGINT % d.n) + 1 GROUP BY ALL""",
+}
+
+
+def _needs(sql: str, seen: list[str]) -> None:
+    import re
+
+    names = set(re.findall(r"\b(?:FROM|JOIN|,)\s+(\w+)", sql))
+    for name in _PARTS:
+        if name in names and name not in seen:
+            _needs(_PARTS[name], seen)
+            seen.append(name)
+
+
+def _sql(final: str) -> str:
+    used: list[str] = []
+    _needs(final, used)
+    return "WITH " + ", ".join(f"{n} AS ({_PARTS[n]})" for n in used) + " " + final
+
+
+_SE = 's AS "start", e AS "end"'
+_MARK = "CASE WHEN len(types) = 1 THEN '[' || substr(types[1], 4) || ']' ELSE '[MULTIPLE_PHI:' || array_to_string(types, '|') || ']' END"
+_FINAL = {
+    "segment_notes": f"SELECT doc_id, 'S' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS segment_id, {_SE}, sha256(t) AS digest FROM seg",
+    "segment_stats": "SELECT doc_id, count(*) AS n_segments, max(e) AS n_chars FROM seg GROUP BY 1",
+    "extract_patterns": "SELECT doc_id, lit AS exact_text, code AS identifier_type FROM lits",
+    "ground_occurrences": f"SELECT {_K}, {_SE}, code AS identifier_type FROM pred",
+    "union_regions": f"SELECT {_K}, CAST(region_no AS BIGINT) AS region_no, {_SE} FROM reg",
+    "overlap_components": f"SELECT {_K}, min(s) AS \"start\", max(e) AS \"end\", string_agg(DISTINCT code, '|' ORDER BY code) AS types FROM {_islands('pred', _K)} GROUP BY {_K}, region_no",
+    "neutral_redaction": "SELECT doc_id, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM red",
+    "typed_redaction": f"""SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (SELECT p.doc_id, string_agg(coalesce(mark, '') || substr(text, src_start + 1, src_end - src_start), '' ORDER BY piece_no) AS t
+      FROM pieces p JOIN notes USING (doc_id) LEFT JOIN (SELECT doc_id, region_no, {_MARK} AS mark FROM fcomp) m ON m.doc_id = p.doc_id AND m.region_no = p.piece_no GROUP BY p.doc_id)""",
+    "pass2_pieces": "SELECT doc_id, piece_no, rep_start, rep_end, src_start FROM pieces",
+    "map_back": f"""SELECT DISTINCT o.doc_id, CAST(src_start + a - rep_start AS INT) AS "start", CAST(src_start + b - rep_start AS INT) AS "end", code AS identifier_type FROM (
+      SELECT l.doc_id, code, p - 1 AS a, p - 1 + length(lit) AS b FROM (SELECT DISTINCT doc_id, code, lit FROM (SELECT doc_id, code, unnest(regexp_extract_all(text, re)) AS lit FROM red, pat WHERE code IN ('{PHONE}', '{IP}'))) l
+      JOIN red USING (doc_id), unnest(range(1, length(text) + 1)) AS u(p) WHERE substr(text, p, length(lit)) = lit) o JOIN pieces q ON q.doc_id = o.doc_id AND rep_start <= a AND b <= rep_end""",
+    "cumulative_union": "SELECT model_id, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM (SELECT DISTINCT model_id, doc_id, s, e, code FROM pred) GROUP BY 1",
+    "validate_verdicts": """SELECT verdict, count(*) AS n FROM (SELECT unnest(CASE WHEN contains(text, 'the') THEN ['ok', 'duplicate', 'ungrounded', 'invalid_type', 'not_object'] ELSE ['ungrounded', 'ungrounded', 'ungrounded', 'invalid_type', 'not_object'] END) AS verdict
+      FROM notes WHERE doc_id % 10 <> 3) GROUP BY 1""",
+    "doc_confusion": f"SELECT {_K}, doc_chars, gt, pred_chars, tp, fp, fn, tn, residual FROM conf",
+    "type_confusion": f'SELECT {_K}, code, gt, tp, tp_matched, pred_matched, gt - tp AS fn, spans, a AS "any", f AS "full", st AS strict, re AS relaxed FROM types',
+    "span_hits": f'SELECT {_K}, {_SE}, code, "any", "full", strict, relaxed FROM shits',
+    "predicted_span_counts": f"""SELECT {_K}, count(*) AS pred_span_count, count(*) FILTER (EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND abs(g.s - p.s) <= 2 AND abs(g.e - p.e) <= 2)) AS relaxed_pred FROM (SELECT DISTINCT {_K}, s, e FROM pred) p GROUP BY ALL""",
+    "doc_operations": f"SELECT {_K}, segments, stop, prompt_tokens, completion_tokens, val_requests, usable, valid, have_validation, complete FROM ops",
+    "metrics_all": "SELECT model_id, pass, cohort, (SELECT count(DISTINCT doc_id) FROM notes) AS n_docs, * EXCLUDE (model_id, pass, cohort), CASE WHEN char_precision + char_recall > 0 THEN 2 * char_precision * char_recall / (char_precision + char_recall) END AS char_f1 FROM rates",
+    "metrics_types": "SELECT * FROM trows",
+    "gold_types_present": "SELECT model_id, string_agg(DISTINCT code, ';' ORDER BY code) AS gold_types_present FROM each GROUP BY 1",
+    "corpus_totals": """SELECT count(*) AS notes, CAST(sum(n) AS BIGINT) AS chars, (SELECT count(*) FROM gold) AS spans, (SELECT CAST(sum(e - s) AS BIGINT) FROM gcov) AS phi_chars, (SELECT count(DISTINCT code) FROM gold) AS categories,
+      quantile_cont(n, 0.5) AS median_chars, quantile_cont(n, 0.25) AS q1_chars, quantile_cont(n, 0.75) AS q3_chars, 100.0::DOUBLE * (SELECT sum(e - s) FROM gcov) / sum(n) AS density_pct FROM notes""",
+    "corpus_categories": "SELECT code, spans, 100.0::DOUBLE * spans / (SELECT count(*) FROM gold) AS share_pct, chars FROM (SELECT code, count(*) AS spans FROM gold GROUP BY 1) JOIN (SELECT code, CAST(sum(e - s) AS BIGINT) AS chars FROM gtc GROUP BY 1) USING (code)",
+    "results_ranked": "SELECT CAST(row_number() OVER (ORDER BY char_recall DESC NULLS LAST, model_id) AS INT) AS rank, model_id, char_recall, char_precision FROM rates WHERE pass = 'cumulative_pass2' AND cohort = 'all_expected'",
+    "figure5": "SELECT model_id, max(CASE WHEN pass = 'pass1' THEN char_recall END) AS char_recall_pass1, max(CASE WHEN pass = 'cumulative_pass2' THEN char_recall END) AS char_recall_cumulative_pass2, round(max(CASE WHEN pass = 'cumulative_pass2' THEN char_recall END) - max(CASE WHEN pass = 'pass1' THEN char_recall END), 6) AS added_by_pass2 FROM rates WHERE cohort = 'all_expected' GROUP BY 1",
+    "figure6": f"""SELECT r.model_id, max(CASE WHEN phi_type = '{EMAIL}' THEN t.char_recall END) AS email, max(CASE WHEN phi_type = '{PHONE}' THEN t.char_recall END) AS telephone, max(CASE WHEN phi_type = '{IP}' THEN t.char_recall END) AS address, max(r.char_recall) AS overall
+      FROM rates r LEFT JOIN trows t ON t.model_id = r.model_id AND t.pass = r.pass AND t.cohort = r.cohort WHERE r.pass = 'cumulative_pass2' AND r.cohort = 'all_expected' GROUP BY 1""",
+    "bootstrap_ci": """SELECT p.model_id, p.pass_, p.n AS notes, round(p.r, 9) AS recall, round(q.l, 9) AS low, round(q.h, 9) AS high FROM (SELECT model_id, pass_, max(n) AS n, sum(tp)::DOUBLE / nullif(sum(gt), 0) AS r FROM pdoc GROUP BY ALL) p
+      JOIN (SELECT model_id, pass_, quantile_cont(r, 0.025) AS l, quantile_cont(r, 0.975) AS h FROM boot GROUP BY ALL) q ON q.model_id = p.model_id AND q.pass_ = p.pass_""",
+}
+
+
+def _checkpoint_sql() -> str:
+    rows = []
+    for i, line in enumerate(reports.CHECKPOINTS.split("\n")[1:-1], 1):
+        m, name, dev, _, total, active, moe, medical, quant, size, repo = line.split("|")
+        params = f"{total} ({active} active)" if moe == "true" and active else total
+        rows.append(f"({i}, '{m}', '{name}', '{dev}', '{params}', '{'MoE' if moe == 'true' else 'dense'}', '{'yes' if medical == 'true' else ''}', '{quant}', CAST({size} AS DOUBLE), '{repo}')")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v(ord, model_id, model, developer, params, arch, medical, quant, size_gb, repo)"
+
+
+SQL = {k: _sql(v) for k, v in _FINAL.items()} | {"checkpoints": _checkpoint_sql()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        segment_notes, segment_stats, extract_patterns, ground_occurrences, union_regions, overlap_components, neutral_redaction, typed_redaction, pass2_pieces, map_back, cumulative_union, validate_verdicts,
+        doc_confusion, type_confusion, span_hits, predicted_span_counts, doc_operations, metrics_all, metrics_types, gold_types_present, corpus_totals, corpus_categories, results_ranked, figure5, figure6, checkpoints, bootstrap_ci, bootstrap_ci_exact,
+    )
+}
