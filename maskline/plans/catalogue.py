@@ -282,7 +282,7 @@ _PARTS = {
       FROM (SELECT DISTINCT model_id, pass, doc_id, code FROM each) b
       JOIN (SELECT model_id, pass, doc_id, code, count(*) AS spans, CAST(sum("any") AS BIGINT) AS a, CAST(sum("full") AS BIGINT) AS f, CAST(sum(strict) AS BIGINT) AS st, CAST(sum(relaxed) AS BIGINT) AS re FROM shits GROUP BY ALL) h
       ON h.model_id = b.model_id AND h.pass = b.pass AND h.doc_id = b.doc_id AND h.code = b.code""",
-    "ops": f"""SELECT {_K}, count(*) AS segments, count(*) FILTER (doc_id % 10 <> 3) AS stop, CAST(sum(len(list_filter(regexp_split_to_array(t, '\\s+'), w -> w <> ''))) AS BIGINT) AS prompt_tokens, CAST(2 * count(*) AS BIGINT) AS completion_tokens,
+    "ops": f"""SELECT {_K}, count(*) AS segments, count(*) FILTER (doc_id % 10 <> 3) AS stop, CAST(sum(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS prompt_tokens, CAST(2 * count(*) AS BIGINT) AS completion_tokens,
       count(*) AS val_requests, count(*) FILTER (doc_id % 10 <> 4) AS usable, count(*) FILTER (doc_id % 10 NOT IN (4, 5)) AS valid, TRUE AS have_validation, doc_id % 10 NOT IN (3, 4) AS complete
       FROM seg JOIN uni USING (doc_id) GROUP BY ALL""",
     "rows_": f"SELECT c.*, o.* EXCLUDE (model_id, pass, doc_id), co.cohort FROM conf c JOIN ops o USING ({_K}), (VALUES ('all_expected'), ('operational_complete')) AS co(cohort) WHERE co.cohort = 'all_expected' OR o.complete",
