@@ -81,11 +81,11 @@ def fingerprints(rows: DataFrame, text: str, *keys: str) -> DataFrame:
 
     Votes are counted in chunks of CHUNK terms, in which they fit 16 bits.
     """
-    words = rows.select(*keys, F.posexplode_outer(terms(F.col(text))).alias("at", "t"))
-    chunk = F.shiftright(F.coalesce("at", F.lit(0)), CHUNK.bit_length() - 1)
-    h0 = F.coalesce("t.h0", F.lit(0))
+    words = rows.select(*keys, F.posexplode_outer(terms(F.col(text))).alias("_at", "_term"))
+    chunk = F.shiftright(F.coalesce("_at", F.lit(0)), CHUNK.bit_length() - 1)
+    h0 = F.coalesce("_term.h0", F.lit(0))
     more = [F.xxhash64(h0, F.lit(k)).alias(f"h{k}") for k in range(1, WORDS)]
-    chunks = words.select(*keys, chunk.alias("chunk"), h0.alias("h0"), *more, F.coalesce("t.weight", F.lit(0)).alias("weight")).groupBy(*keys, "chunk").agg(*_votes())
+    chunks = words.select(*keys, chunk.alias("_chunk"), h0.alias("h0"), *more, F.coalesce("_term.weight", F.lit(0)).alias("weight")).groupBy(*keys, "_chunk").agg(*_votes())
     voted = chunks.groupBy(*keys).agg(*_widened())
     return voted.select(*keys, F.array(*[_majority(k) for k in range(WORDS)]).alias("print"))
 
