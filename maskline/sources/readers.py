@@ -28,13 +28,13 @@ def _part(pattern: str) -> Column:
 
 def _json(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     """Whole JSON files; what can't be parsed is null (`_broken`)."""
-    raw = spark.read.option("wholetext", True).options(**options).text(path)
+    raw = spark.read.options(**options).text(path, wholetext=True)
     return raw.select("*", "_metadata", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"))
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """<doc_id>.txt files, not in subfolders, with universal newlines; a bad id is an error, no file too."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     if not raw.head(1):
         raise FileNotFoundError(f"no notes in {folder}")
     doc = _part(r"([^/]*)\.txt$")

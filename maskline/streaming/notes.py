@@ -11,7 +11,7 @@ from ..plans.deidentify import deidentify
 
 def note_stream(spark: SparkSession, folder: str) -> DataFrame:
     """<doc_id>.txt files of a folder as a stream of (doc_id, text)."""
-    raw = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.txt").schema("value string").text(folder)
+    raw = spark.readStream.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return raw.select(F.regexp_extract("_metadata.file_name", r"(.*)\.txt$", 1).alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
