@@ -58,6 +58,11 @@ def _places(width: int, gram: int, by_word: bool, cores_only: bool = False) -> C
     return run
 
 
+def _apart(by_core: DataFrame) -> DataFrame:
+    """A small table of cores in a stage of its own, so that the join's other side can be split where it is skewed."""
+    return by_core.repartition(int(by_core.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def places(docs: DataFrame, width: int, gram: int, by_word: bool) -> DataFrame:
     """Anchors of docs(doc_key, text) whose string recurs.
 
@@ -72,7 +77,7 @@ def places(docs: DataFrame, width: int, gram: int, by_word: bool) -> DataFrame:
     texts = docs.select("doc_key", "text")
     # finding the places twice takes less than keeping all of them, most of which never recur
     cores = texts.mapInArrow(_places(width, gram, by_word, cores_only=True), "core long")
-    again = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    again = _apart(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     return keep(texts.mapInArrow(_places(width, gram, by_word), _SCHEMA).join(again, "core", "left_semi"))
 
 
@@ -82,5 +87,5 @@ def counted(found: DataFrame) -> DataFrame:
     Counts are summed on the map side first here too.
     """
     by_context = found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_key", "place")).alias("p"))
-    by_core = found.groupBy("core", "context").agg(F.lit(1)).groupBy("core").agg(F.count("*").alias("variants"))
+    by_core = _apart(found.groupBy("core", "context").agg(F.lit(1)).groupBy("core").agg(F.count("*").alias("variants")))
     return by_context.join(by_core, "core").select("core", "context", "n", "variants", "p.doc_key", low("p.place").alias("low"), at("p.place").alias("at"), high("p.place").alias("high"))
