@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, byte_symbols, context_hashes, raw_bytes, word_hashes, words
-from .common import keep, text_blocks
+from .common import BLOCK_BYTES, keep, text_blocks
+
+#: Symbols that are looked at together; more than a block of several documents has.
+PART = 1 << 22
 
 _SCHEMA = "doc_key long, place long, core long, context long"
 
@@ -30,30 +33,46 @@ def high(place: str) -> Column:
     return (F.shiftright(place, 20) + F.col(place).bitwiseAND(F.lit(1023))).cast("int")
 
 
-def _places(width: int, gram: int, by_word: bool, cores_only: bool = False) -> Callable:
+def _parts(symbols: np.ndarray, ends: np.ndarray, width: int, size: int):
+    """(first document, its start, symbols skipped, symbols, ends) of a block; a very long block comes in overlapping parts.
+
+    Every window is in one part. An anchor at a seam has two contexts, which only share a core.
+    """
+    if len(symbols) <= size:
+        yield 0, 0, 0, symbols, ends
+        return
+    for doc, (start, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        for skip in range(start, end - width + 1, size):
+            own = symbols[skip : min(skip + size + width - 1, end)]
+            yield doc, start, skip, own, np.array([len(own)])
+
+
+def _places(width: int, gram: int, by_word: bool, part: int, block: int, cores_only: bool = False) -> Callable:
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in text_blocks(batch.column(1)):
+            for first, texts in text_blocks(batch.column(1), block):
                 raw, ends = raw_bytes(texts)
                 if by_word:
                     s, e, ends = words(raw, ends)
                     symbols = plain = word_hashes(raw, s, e)
                 else:
                     symbols, plain = byte_symbols(raw), raw
-                found = anchors(symbols, ends, width, gram)
-                if cores_only:
-                    yield pa.RecordBatch.from_pydict({"core": found["core"].view(np.int64)})
-                    continue
-                base = np.concatenate([[0], ends[:-1]])[found["doc"]] if len(ends) else found["doc"]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_key": keys[first + found["doc"]],
-                        "place": (found["low"] - base) << 20 | (found["at"] - found["low"]) << 10 | (found["high"] - found["low"]),
-                        "core": found["core"].view(np.int64),
-                        "context": context_hashes(plain, found["low"], found["high"] + width).view(np.int64),
-                    }
-                )
+                for doc, start, skip, own, stops in _parts(symbols, ends, width, part):
+                    found = anchors(own, stops, width, gram)
+                    if cores_only:
+                        yield pa.RecordBatch.from_pydict({"core": found["core"].view(np.int64)})
+                        continue
+                    base = np.concatenate([[0], stops[:-1]])[found["doc"]] - (skip - start) if len(stops) else found["doc"]
+                    contexts = context_hashes(plain[skip : skip + len(own)], found["low"], found["high"] + width)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_key": keys[first + doc + found["doc"]],
+                            "place": (found["low"] - base) << 20 | (found["at"] - found["low"]) << 10 | (found["high"] - found["low"]),
+                            "core": found["core"].view(np.int64),
+                            "context": contexts.view(np.int64),
+                        }
+                    )
 
     return run
 
@@ -67,7 +86,9 @@ def places(docs: DataFrame, width: int, gram: int, by_word: bool) -> DataFrame:
     """Anchors of docs(doc_key, text) whose string recurs.
 
     place holds, in one long, the first window that picks the anchor, from the document's start, and how
-    far after it the anchor and the last such window are (see `low`, `at` and `high`). core names the anchor's string and context, with core, the symbols of all windows that pick it.
+    far after it the anchor and the last such window are (see `low`, `at` and `high`). core names the
+    anchor's string and context, with core, the symbols of all windows that pick it.
+
     How often a core occurs is summed on the map side first, so a core in a third of all rows moves as
     one row for each task; the join that keeps the recurring ones is one that Spark splits where it is
     skewed.
@@ -76,9 +97,9 @@ def places(docs: DataFrame, width: int, gram: int, by_word: bool) -> DataFrame:
         raise ValueError("a place has 10 bits for what follows the first window")
     texts = docs.select("doc_key", "text")
     # finding the places twice takes less than keeping all of them, most of which never recur
-    cores = texts.mapInArrow(_places(width, gram, by_word, cores_only=True), "core long")
+    cores = texts.mapInArrow(_places(width, gram, by_word, PART, BLOCK_BYTES, cores_only=True), "core long")
     again = _apart(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-    return keep(texts.mapInArrow(_places(width, gram, by_word), _SCHEMA).join(again, "core", "left_semi"))
+    return keep(texts.mapInArrow(_places(width, gram, by_word, PART, BLOCK_BYTES), _SCHEMA).join(again, "core", "left_semi"))
 
 
 def counted(found: DataFrame) -> DataFrame:

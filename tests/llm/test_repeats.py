@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from maskline.llm import lcpsort, phrase_dedup, suffix_dedup
+from maskline.llm import lcpsort, phrase_dedup, repeats, suffix_dedup
 
 
 def _texts(seed, words):
@@ -22,6 +22,9 @@ def test_suffixes_against_all_strings(spark, monkeypatch, rows):
     monkeypatch.setattr(lcpsort, "RANGE_ROWS", rows)
     found = suffix_dedup.repeated_windows
     monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda d, w: found(d, w, 10))
+    if rows < 100:  # documents of over 120 bytes in parts
+        monkeypatch.setattr(repeats, "PART", 120)
+        monkeypatch.setattr(repeats, "BLOCK_BYTES", 1)
     texts = _texts(5, False)
     docs = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "doc_id long, text string, packed int")
     got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.dedup_bytes(docs, "doc_id", width=40).collect()}
