@@ -171,7 +171,7 @@ def doc_operations(spark, sf):
 
 
 def metrics_all(spark, sf):
-    return _metrics(spark, sf).where("phi_type = 'ALL'").select("model_id", "pass", "cohort", *_METRIC_COLUMNS)
+    return _metrics(spark, sf).where("phi_type = 'ALL'").select("model_id", "pass", "cohort", *[F.round(c, 9).alias(c) if c.endswith("_macro") else c for c in _METRIC_COLUMNS])
 
 
 _METRIC_COLUMNS = (
@@ -289,7 +289,7 @@ _PARTS = {
     "alls": """SELECT model_id, pass, cohort, count(*) AS n_notes, CAST(sum(doc_chars) AS BIGINT) AS doc_chars_total, CAST(sum(gt) AS BIGINT) AS gt_phi_chars, CAST(sum(pred_chars) AS BIGINT) AS pred_phi_chars, CAST(sum(tp) AS BIGINT) AS char_tp, CAST(sum(fp) AS BIGINT) AS char_fp, CAST(sum(fn) AS BIGINT) AS char_fn, CAST(sum(tn) AS BIGINT) AS char_tn,
       count(*) FILTER (residual = 0) AS zero_residual_notes, median(residual) AS median_residual_per_note, max(residual) AS max_residual_per_note, CAST(sum(segments) AS BIGINT) AS expected_requests,
       sum(usable)::DOUBLE / sum(val_requests) AS usable_rate, sum(valid)::DOUBLE / sum(val_requests) AS json_valid_rate, sum(stop)::DOUBLE / sum(segments) AS finish_stop_rate, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
-      avg(CASE WHEN gt > 0 THEN tp::DOUBLE / gt END) AS char_recall_macro, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END) AS char_f1_macro FROM rows_ GROUP BY ALL""",
+      round(avg(CASE WHEN gt > 0 THEN tp::DOUBLE / gt END), 9) AS char_recall_macro, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END), 9) AS char_f1_macro FROM rows_ GROUP BY ALL""",
     "rates": "SELECT *, char_tp::DOUBLE / nullif(gt_phi_chars, 0) AS char_recall, char_tp::DOUBLE / nullif(char_tp + char_fp, 0) AS char_precision, char_tn::DOUBLE / nullif(char_tn + char_fp, 0) AS char_specificity, char_fp::DOUBLE / nullif(char_tp + char_fp, 0) AS over_redaction_rate FROM alls",
     "trows": f"""SELECT model_id, pass, cohort, code AS phi_type, CAST(sum(t.gt) AS BIGINT) AS gt_phi_chars, CAST(sum(t.spans) AS BIGINT) AS gt_span_count, CAST(sum(t.tp) AS BIGINT) AS char_tp, sum(t.tp)::DOUBLE / nullif(sum(t.gt), 0) AS char_recall,
       sum(t.tp_matched)::DOUBLE / nullif(sum(t.pred_matched), 0) AS char_precision_typematched, sum(t.a)::DOUBLE / nullif(sum(t.spans), 0) AS any_span_recall FROM types t JOIN (SELECT {_K}, cohort FROM rows_) USING ({_K}) GROUP BY ALL HAVING sum(t.gt) > 0""",
