@@ -26,8 +26,8 @@ from .common import keep, table
 RADIUS, LEADING = 4, 2
 WORDS = 2  # longs of 64 bits
 LOWEST = -(1 << 63)
-#: Terms in a chunk and the largest weight: together below 2^16.
-CHUNK, MOST = 2048, 31
+#: Terms in a chunk and the largest weight: together below 2^15, as the topmost votes share the long's sign.
+CHUNK, MOST = 1024, 31
 _FOUR, _TWO = 0x0001000100010001, 0x0000FFFF0000FFFF
 
 
@@ -79,7 +79,7 @@ def _majority(k: int) -> Column:
 def fingerprints(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, print: array of two longs) for rows(keys, text), which the keys tell apart.
 
-    Votes are counted in chunks of CHUNK terms, in which they fit 16 bits.
+    Votes are counted in chunks of CHUNK terms, in which they fit 15 bits.
     """
     words = rows.select(*keys, F.posexplode_outer(terms(F.col(text))).alias("_at", "_term"))
     chunk = F.shiftright(F.coalesce("_at", F.lit(0)), CHUNK.bit_length() - 1)
