@@ -88,6 +88,15 @@ def test_next_documents_and_fingerprints(spark):
     assert prints[""] == [0, 0] and prints["a b"] != prints["a b c d"]
 
 
+def test_votes_of_long_texts_fit(spark):
+    """A repeated term gives one of its bits all votes of every chunk; the fingerprint is that term's hashes."""
+    word = "x" * 20
+    texts = [(n, " ".join([word] * n)) for n in (3, 1023, 1024, 1025, 5000)]
+    rows = fingerprint.fingerprints(spark.createDataFrame(texts, "n long, t string"), "t", "n").collect()
+    first = spark.range(1).selectExpr(f"xxhash64('{word}', '{word}') AS h").head().h
+    assert len(rows) == len(texts) and {r.print[0] for r in rows} == {first}
+
+
 def test_containment_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS", 7)
     random.seed(8)
