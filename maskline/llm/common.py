@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words, everywhere in this subpackage, are maximal runs of bytes other than these six.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -27,10 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the session names none, a local session gets one under its warehouse, which it has to itself; on
+    a cluster that is an error, as a folder of one machine would be seen by no other.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='maskline-')}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -47,9 +52,41 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def row_key(*cols: str) -> Column:
-    """64-bit key of a row's contents, nulls included; equal rows share it."""
-    return F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())])
+#: Bits of a row's second key, as many as a place of `repeats.py` has room for.
+TIE_BITS = 12
+
+
+def row_keys(*cols: str) -> list[Column]:
+    """A row's `doc_key` and `tie`, 64 and 12 bits of its contents, nulls included; equal rows share them."""
+    parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(*parts).alias("doc_key"), F.xxhash64(F.lit(1), *parts).bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie")]
+
+
+def as_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as (row, more...): what a row has besides its text in one column, so that no name of theirs meets a name of ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), *more)
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """docs as (row, text, doc_key, tie); maps have no hash and are no part of the keys."""
+    names = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    return as_rows(docs, F.col("text"), *row_keys(*[f"`{c}`" for c in names]))
+
+
+def unkeyed(done: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """done(row, text, ...) in the columns of docs, of which some may get new values."""
+    return done.select(*[changed.get(c, F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+#: Parts into which `spread_join` deals the rows of a key.
+SPREAD = 16
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """many join one, which has a row for each key, where a key may hold any share of `many`: its rows are dealt by `by`."""
+    dealt = many.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    copies = one.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -72,9 +109,9 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES):
         yield first, texts.slice(first, n - first)
 
 
-def sql_schema(df: DataFrame, *more: str) -> str:
-    """The schema of a DataFrame as text, with further columns."""
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+def schema_with(df: DataFrame, *more: str) -> T.StructType:
+    """The schema of a DataFrame with further columns ("name type")."""
+    return T.StructType([*df.schema.fields, *T.DataType.fromDDL(", ".join(more)).fields])
 
 
 def extended(batch: pa.RecordBatch, drop: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -84,7 +121,7 @@ def extended(batch: pa.RecordBatch, drop: int, **columns: pa.Array) -> pa.Record
 
 
 def pack_texts(docs: DataFrame, *carry: str) -> DataFrame:
-    """docs(carry, doc_key, text) with the text as a zstd frame, `packed`: less than half to shuffle."""
+    """docs(carry, text) with the text, or "" for null, as a zstd frame, `packed`: less than half to shuffle."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1).compress
@@ -92,8 +129,8 @@ def pack_texts(docs: DataFrame, *carry: str) -> DataFrame:
             texts = batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()
             yield extended(batch, 1, packed=pa.array([press(x) for x in texts], pa.binary()))
 
-    rows = docs.select(*carry, "doc_key", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, sql_schema(rows.drop("text"), "packed binary"))
+    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, schema_with(docs.select(*carry), "packed binary"))
 
 
 def unpack(packed: bytes) -> bytes:
