@@ -1,9 +1,14 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of lower-cased character n-grams (hashed) anywhere in the whole text. From a
-bounded sample of labelled documents come each n-gram's document counts among toxic and other texts and
-their log ratio r; a logistic regression is then fitted on features scaled by r. Only n-grams of which
-r is well supported keep a weight, which is what makes scoring cheap.
+Features are the presence of lower-cased character n-grams, hashed into 2^20 buckets, anywhere in the whole
+text. From a bounded sample of labelled documents come each bucket's document counts among toxic and other
+texts and their log ratio r; a logistic regression is then fitted on features scaled by r. `PRIOR` documents
+of the sample's own mix are added to every count, and r is shrunk by z^2 / (z^2 + `SHRINK`), z being r over its
+standard error: what is poorly supported counts for little, but every n-gram of the sample keeps a weight.
+
+The regression is fitted by the sample's parts at once: in each round every part starts from the weights so
+far and fits them to its own documents, and the parts' weights are averaged. Only weights, as many as there
+are buckets, come to the driver.
 
 Cases: a null text is an empty one and scores by the intercept; repeated rows score alike; without a
 labelled document of both kinds every score is 0; extra columns are ignored.
@@ -18,23 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, extended, held_out, sql_schema, table, text_blocks
-from .labelled import Adam, labelled_sample, sigmoid
+from .common import BLOCK_BYTES, extended, held_out, schema_with, table, text_blocks
+from .labelled import Adam, fit_line, labelled_sample, sigmoid
 
 FOLDS, FOLD = 5, 0
 #: Most labelled documents that the classifier is fitted on.
 SAMPLE = 12_000
 ORDERS = (4, 5, 6)
 BITS = 20
-#: A feature's documents at least, and n-grams that keep a weight at most.
-MIN_DOCUMENTS = 6
-FEATURES = 3_000
+PRIOR, SHRINK = 4.0, 16.0
+#: Rounds of averaging, and steps in a round.
+ROUNDS, STEPS = 3, 40
 
 
 @dataclass
 class Model:
-    buckets: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray  # of each bucket
     bias: float
 
 
@@ -74,95 +78,98 @@ def _counts(batches):
     yield pa.RecordBatch.from_pydict({"bucket": at.astype(np.int32), "other": tally[0, at].astype(np.int64), "toxic": tally[1, at].astype(np.int64)})
 
 
-def _present(buckets: np.ndarray):
-    """A function giving (document, feature) pairs, each once, of the chosen buckets in a block of texts."""
-    index = np.full(1 << BITS, -1, np.int32)
-    index[buckets] = np.arange(len(buckets))
-
-    def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-        grams, n = _grams(texts)
-        keys = [np.zeros(0, np.int64)]
-        for d, b in grams:
-            f = index[b]
-            has = f >= 0
-            keys.append(d[has].astype(np.int64) << 32 | f[has])
-        keys = np.unique(np.concatenate(keys))
-        return keys >> 32, keys & 0xFFFFFFFF, n
+def _present(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """(document, bucket), each pair once and in order, and how many documents."""
+    grams, n = _grams(texts)
+    keys = np.sort(np.concatenate([np.zeros(0, np.int64), *(d.astype(np.int64) << BITS | b for d, b in grams)]))
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    keys = keys[first]
+    return keys >> BITS, keys & ((1 << BITS) - 1), n
 
-    return run
 
+def _fit_part(ratio, start, penalty: float = 1e-3):
+    """Steps of a logistic regression on presence scaled by r, over a task's documents: the weights of the buckets seen, and the bias."""
 
-def _features(buckets: np.ndarray):
     def run(batches):
-        present = _present(buckets)
+        docs, buckets, labels, n = [], [], [], 0
         for batch in batches:
+            y = batch.column("y").to_numpy()
             for first, texts in text_blocks(batch.column("text"), BLOCK_BYTES // 2):
-                doc, feature, n = present(texts)
-                cuts = np.searchsorted(doc, np.arange(1, n))
-                yield pa.RecordBatch.from_pydict({"y": batch.column("y").slice(first, n).cast(pa.int32()), "f": pa.array([x.astype(np.int32) for x in np.split(feature, cuts)] if n else [], pa.list_(pa.int32()))})
+                doc, bucket, size = _present(texts)
+                docs.append((doc + n).astype(np.int32))
+                buckets.append(bucket.astype(np.int32))
+                labels.append(y[first : first + size])
+                n += size
+        if not n:
+            return
+        doc, y = np.concatenate(docs), np.concatenate(labels).astype(float)
+        seen, feature = np.unique(np.concatenate(buckets), return_inverse=True)
+        feature = feature.astype(np.int32)
+        r, k = ratio.value[seen], len(seen)
+        w = np.append(start.value[seen], start.value[-1])
+        adam, scale = Adam(k + 1, 0.05), r[feature]
+        for _ in range(STEPS):
+            margin = np.bincount(doc, scale * w[feature], n) + w[k]
+            d = (sigmoid(margin) - y) / n
+            g = np.append(np.bincount(feature, scale * d[doc], k) + penalty * w[:k], d.sum())
+            w = adam.step(w, g)
+        at = np.append(seen, 1 << BITS)
+        yield pa.RecordBatch.from_pydict({"bucket": at.astype(np.int32), "weight": w, "docs": np.full(len(at), float(n))})
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, fold: int = FOLD, limit: int = SAMPLE) -> Model | None:
     """Fit on the labelled documents outside the held-out fold; None where only one label is there."""
+    spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, folds, fold, limit).cache()
     try:
         n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if not n.get(0) or not n.get(1):
             return None
         counts = sample.mapInArrow(_counts, "bucket int, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-        # at most 2^BITS rows
-        found = counts.where(F.col("other") + F.col("toxic") >= MIN_DOCUMENTS).orderBy("bucket").toArrow()
+        found = counts.toArrow()  # at most 2^BITS rows
         bucket, a, b = (found[c].to_numpy() for c in ("bucket", "other", "toxic"))
-        ratio = np.log((b + 0.5) / (n[1] + 1)) - np.log((a + 0.5) / (n[0] + 1))
-        support = np.abs(ratio) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        best = np.sort(np.argsort(-support, kind="stable")[:FEATURES])
-        bucket, ratio = bucket[best], ratio[best]
-        rows = sample.mapInArrow(_features(bucket), "y int, f array<int>").toArrow()
-        y = rows["y"].to_numpy().astype(float)
-        lists = rows["f"].combine_chunks()
-        flat = np.asarray(lists.flatten()).astype(np.int64)
-        sizes = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, int)
+        share = n[1] / (n[0] + n[1])
+        ratio, weights = np.zeros(1 << BITS), np.zeros((1 << BITS) + 1)
+        a, b = a + PRIOR * (1 - share), b + PRIOR * share
+        r = np.log(b / n[1]) - np.log(a / n[0])
+        support = r * r / (1 / a + 1 / b)
+        ratio[bucket] = r * support / (support + SHRINK)
+        weights[-1] = np.log(share / (1 - share))
+        given = spark.sparkContext.broadcast(ratio)
+        for _ in range(ROUNDS):
+            fitted = sample.mapInArrow(_fit_part(given, spark.sparkContext.broadcast(weights)), "bucket int, weight double, docs double")
+            mean = fitted.groupBy("bucket").agg((F.sum(F.col("weight") * F.col("docs")) / F.sum("docs")).alias("weight")).toArrow()
+            weights[mean["bucket"].to_numpy()] = mean["weight"].to_numpy()
+        model = Model((weights[:-1] * ratio).astype(np.float32), float(weights[-1]))
+        told = sample.select("y", "text").mapInArrow(_margins(spark.sparkContext.broadcast(model.weights), model.bias), "y int, score double").toArrow()
     finally:
         sample.unpersist()
-    return Model(bucket, *_fit(y, flat, sizes, ratio))
-
-
-def _fit(y: np.ndarray, flat: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, rounds: int = 250, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence scaled by r."""
-    row = np.repeat(np.arange(len(y)), sizes)
-    w, bias, k = np.zeros(len(ratio) + 1), np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)), len(ratio)
-    w[k] = bias
-    adam, scale = Adam(k + 1, 0.05), ratio[flat]
-    for _ in range(rounds):
-        margin = np.bincount(row, scale * w[flat], len(y)) + w[k]
-        d = (sigmoid(margin) - y) / len(y)
-        g = np.append(np.bincount(flat, scale * d[row], k) + penalty * w[:k], d.sum())
-        w = adam.step(w, g)
-    return (w[:k] * ratio).astype(np.float32), float(w[k])
+    slope, shift = fit_line(told["score"].to_numpy(), told["y"].to_numpy().astype(float), 1500)
+    return Model(model.weights * np.float32(slope), model.bias * slope + shift)
 
 
-def _scores(model: Model):
+def _margins(weights, bias: float, of=lambda x: x):
     def run(batches):
-        present = _present(model.buckets)
         for batch in batches:
             parts = [np.zeros(0)]
             for _, texts in text_blocks(batch.column(batch.num_columns - 1), BLOCK_BYTES // 2):
-                doc, feature, n = present(texts)
-                parts.append(sigmoid(np.bincount(doc, model.weights[feature].astype(float), n)[:n] + model.bias))
+                doc, bucket, n = _present(texts)
+                parts.append(of(np.bincount(doc, weights.value[bucket].astype(float), n)[:n] + bias))
             yield extended(batch, 1, score=pa.array(np.concatenate(parts)))
 
     return run
 
 
 def score(docs: DataFrame, model: Model | None, *carry: str) -> DataFrame:
-    """The carried columns and `score`, the probability that the whole text is toxic."""
+    """docs(carry, text) -> the carried columns and `score`, the probability that the whole text is toxic."""
     if model is None:
         return docs.select(*carry, F.lit(0.0).alias("score"))
-    kept = docs.select(*carry)
-    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("whole text"))
-    return rows.mapInArrow(_scores(model), sql_schema(kept, "score double"))
+    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
+    weights = docs.sparkSession.sparkContext.broadcast(model.weights)
+    return rows.mapInArrow(_margins(weights, model.bias, sigmoid), schema_with(docs.select(*carry), "score double"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
