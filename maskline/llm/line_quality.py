@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import raw_bytes, word_hashes, words
-from .common import BLOCK_BYTES, extended, held_out, sql_schema, table, text_blocks
+from .common import BLOCK_BYTES, extended, held_out, schema_with, table, text_blocks
 from .labelled import Adam, fit_line, labelled_sample, sigmoid
 
 FOLDS, FOLD = 3, 1
@@ -217,8 +217,8 @@ def score(docs: DataFrame, model: Model | float, *carry: str) -> DataFrame:
             yield extended(batch, 1, score=pa.array(np.concatenate(parts)))
 
     kept = docs.select(*carry)
-    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("whole text"))
-    return rows.mapInArrow(run, sql_schema(kept, "score double"))
+    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, schema_with(kept, "score double"))
 
 
 def op6_line_quality(spark, sf_dir: str) -> DataFrame:
