@@ -135,7 +135,7 @@ def buckets(docs: DataFrame, order: Column, n: int) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) with the text that follows in descending order of doc_id, the first's after the last's.
 
-    Rows are dealt by ranges of doc_id. Each range also gets the first row of the range below it (`extra`;
+    Rows are dealt by ranges of doc_id, each of which is a task's. Each range also gets the first row of the range below it (`extra`;
     the lowest gets the very first row), so that no row has to leave its range to find the next.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(LOWEST)).alias("k"))
@@ -148,7 +148,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     extra = rows.join(F.broadcast(firsts), "k").groupBy("above", "k").agg(F.min("text").alias("text"))
     # the lowest range is followed by the very first row, which must sort after all others
     extra = extra.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(LOWEST).alias("k"), F.col("above").alias("range"), F.lit(1).alias("extra"))
-    whole = rows.withColumn("extra", F.lit(0)).unionByName(extra)
+    whole = rows.withColumn("extra", F.lit(0)).unionByName(extra).repartitionById(n, F.col("range").cast("int"))
     w = Window.partitionBy("range").orderBy("extra", F.desc("k"), "text")
     return whole.select("doc_id", "text", "range", "extra", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("next_text"))
 
