@@ -3,8 +3,10 @@
 Payload digests go out as headers only; for each digest of a large enough payload the smallest page id
 is the response and every other record a revisit of it. Payloads then meet their decision by page id, so
 a payload that many pages share is spread out, and only responses are written with theirs. Archives are
-gzipped WARC/1.1 files with fresh headers, written by Spark's text sink (a record's end is the sink's
-line separator) and read back as whole binary files, each of at most `RECORDS` records.
+WARC/1.1 files with fresh headers, every record a gzip member of its own, so that it can be read alone.
+A task fills archives of `ARCHIVE_BYTES` (more only for a single larger record), each of which is a row for
+Spark's text sink and so a file; the sink ends it with a zero byte, which gzip skips as padding. They are
+read back as binary files, a member at a time.
 
 Cases: a null payload is empty; payloads under `SMALLEST` bytes are always responses; rows with the same
 page id and payload are all responses if that id is the smallest; pages without an id are always
@@ -17,18 +19,24 @@ from __future__ import annotations
 import gzip
 import hashlib
 import uuid
+import zlib
+from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_dir, table
 
 SMALLEST = 100
-RECORDS = 2_000
-DATE = "2024-01-01T00:00:00Z"
+ARCHIVE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BREAK = "\r\n"
+_END = "\0"
+#: Bytes that are decompressed at once.
+_CHUNK = 1 << 16
 
 
 def _record_id(page_id: Column, digest: Column) -> Column:
@@ -44,8 +52,8 @@ def decisions(headers: DataFrame) -> DataFrame:
     return found.where("page_id <> first_id")
 
 
-def records(pages: DataFrame, payload: str = "html") -> DataFrame:
-    """pages(page_id, url, payload) -> one WARC record each, as a string of bytes."""
+def records(pages: DataFrame, date: str, payload: str = "html") -> DataFrame:
+    """pages(page_id, url, payload) -> one WARC record each, as a string of bytes; date: when they are written."""
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), body.alias("body"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).alias("size"))
     seen = decisions(rows.select("page_id", "url", "digest", "size"))
@@ -58,25 +66,58 @@ def records(pages: DataFrame, payload: str = "html") -> DataFrame:
         F.lit(f"WARC/1.1{_BREAK}"),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
-        line("WARC-Date", F.lit(DATE)),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         F.when(F.col("page_id").isNotNull(), line("X-Page-Id", F.col("page_id").cast("string"))).otherwise(""),
-        F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("first_id"), F.col("digest"))), line("WARC-Refers-To-Target-URI", F.col("first_url")), line("WARC-Refers-To-Date", F.lit(DATE)))).otherwise(""),
+        F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("first_id"), F.col("digest"))), line("WARC-Refers-To-Target-URI", F.col("first_url")), line("WARC-Refers-To-Date", F.lit(date)))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(_BREAK),
     ]
-    return joined.select(F.concat(*head, block).alias("record"))
-
-
-def write_archives(pages: DataFrame, path: str, payload: str = "html") -> None:
-    """Write the pages' records to gzipped WARC files in a new folder."""
-    records(pages, payload).write.option("lineSep", _BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    return joined.select(F.concat(*head, block, F.lit(_BREAK * 2)).alias("record"))
+
+
+def _archives(limit: int):
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column("record").cast(pa.binary()).to_pylist():
+                member = gzip.compress(record, mtime=0)
+                if held and size + len(member) > limit:
+                    yield pa.RecordBatch.from_pydict({"archive": pa.array([b"".join(held)], pa.binary())})
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield pa.RecordBatch.from_pydict({"archive": pa.array([b"".join(held)], pa.binary())})
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, payload: str = "html", date: str | None = None) -> None:
+    """Write the pages' records to WARC files in a new folder; date is the present by default, the same for all."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    whole = records(pages, date, payload).mapInArrow(_archives(ARCHIVE_BYTES), "archive binary").select(F.col("archive").cast("string"))
+    whole.write.option("lineSep", _END).option("maxRecordsPerFile", 1).text(path)
+
+
+def members(archive: bytes) -> Iterator[bytes]:
+    """The records of an archive, decompressed one by one."""
+    at, view = 0, memoryview(archive)
+    while at < len(view) and view[at]:
+        one, parts = zlib.decompressobj(wbits=31), []
+        while not one.eof:
+            chunk = view[at : at + _CHUNK]
+            if not len(chunk):
+                raise ValueError("an archive is cut short")
+            parts.append(one.decompress(chunk))
+            at += len(chunk) - len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse(raw: bytes):
-    """(headers, block) of each record of an archive."""
+    """(headers, block) of each record in these bytes."""
     at = 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
@@ -97,7 +138,7 @@ def _read(batches):
     for pdf in batches:
         for content in pdf["content"]:
             out = []
-            for head, block in parse(gzip.decompress(bytes(content))):
+            for head, block in (x for m in members(bytes(content)) for x in parse(m)):
                 http, payload = block.split(b"\r\n\r\n", 1)
                 size = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
                 digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -111,7 +152,7 @@ def _read(batches):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of a folder of archives; revisits have the id of the record they refer to, and no payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInPandas(_read, "page_id long, record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers string, payload binary")
 
 
