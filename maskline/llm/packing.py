@@ -4,7 +4,7 @@ Documents are tokenized where they are read. A document over the sequence length
 takes what is left over, so all others are whole sequences and need no packing. The rest are dealt to
 packers as lengths only. A packer keeps a fixed number of open bins; their free spaces are the bits of
 one integer, so the fullest bin that a piece fits into is the lowest set bit at or above its length. When
-a new bin would be one too many, the fullest closes first.
+a new bin would be one too many, the fullest closes first. Pieces come to a packer in a fixed order.
 
 Cases: a null text is an empty one, which is the end token alone; rows may repeat or share doc_id; extra
 columns are ignored; an empty table gives an empty result.
@@ -48,20 +48,25 @@ def _byte_of() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> tiktoken.Encoding:
-    """The vocabulary file's byte-level BPE. Its ids stand in the order of its merges, so they serve as ranks."""
+    """The vocabulary file's byte-level BPE. Its ids stand in the order of its merges, so they serve as ranks.
+
+    A text is cut at the file's added tokens, which have ids of their own, before anything else.
+    """
     import public_tokenizers
 
     with open(vocabulary, encoding="utf-8") as f:
         found = json.load(f)
-    special = {x["content"] for x in found["added_tokens"]}
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in found["added_tokens"]):
+        raise ValueError("added tokens that take white space or whole words only are not supported")
+    added = {x["content"]: x["id"] for x in found["added_tokens"]}
     byte = _byte_of()
-    ranks = {bytes(byte[c] for c in token): i for token, i in found["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(byte[c] for c in token): i for token, i in found["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
     """Ids of a text as 32-bit numbers, then the end token."""
-    return np.append(encoder(vocabulary).encode_to_numpy(text or "", disallowed_special=()), np.uint32(END_ID)).astype("<u4")
+    return np.append(encoder(vocabulary).encode_to_numpy(text or "", allowed_special="all"), np.uint32(END_ID)).astype("<u4")
 
 
 def pieces(n: int, length: int = LENGTH) -> Iterator[tuple[int, int]]:
@@ -147,8 +152,9 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int =
     """docs(doc_id, text) -> a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     found = keep(docs.select("doc_id", "text").mapInPandas(_tokenize(vocabulary or default_vocabulary(), length), _PIECE))
     short = found.where(F.col("length") < length)
-    packers = max(1, short.count() // PACKER_ROWS)
-    dealt = short.repartition(packers, F.xxhash64("doc_id", "piece", "ids_crc32"))
+    packers = max(1, -(-short.count() // PACKER_ROWS))
+    # sorted, so that a packer that runs again packs alike
+    dealt = short.repartition(packers, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions("doc_id", "ids_crc32", "length")
     schema = _PIECE + ", sequence_id long, offset long"
     return dealt.mapInPandas(_pack(length, open_bins), schema).unionByName(found.where(F.col("length") >= length).mapInPandas(_alone, schema))
 

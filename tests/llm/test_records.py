@@ -1,6 +1,9 @@
+import gzip
 import random
 import zlib
+from datetime import datetime, timezone
 
+import duckdb
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -11,11 +14,10 @@ from maskline.llm import chat, packing, warc
 
 def test_packing_is_exact_and_tight(spark):
     random.seed(1)
-    texts = {0: None, 1: "", 2: "<|endoftext|> é😀\n\n  x"} | {i: " ".join(random.choice(["alpha", "be", "ca"]) for _ in range(random.randint(1, 2500))) for i in range(3, 90)}
+    texts = {0: None, 1: "", 2: "<|endoftext|> é😀\n\n  x <|endoftext|><|endoftext|>a \n<|endoftext|>\n\n b <|endoftext|"} | {i: " ".join(random.choice(["alpha", "be", "ca"]) for _ in range(random.randint(1, 2500))) for i in range(3, 90)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = packing.pack_documents(docs).collect()
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
     for k, t in texts.items():
         ids = np.array(known.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece)
@@ -55,6 +57,30 @@ def test_archives_round_trip(spark, tmp_path):
     assert got == sorted([(0, "response", None, 200), (1, "response", None, 200), (2, "revisit", 1, 200), (2, "revisit", 1, 200), (3, "response", None, 0), (5, "response", None, 20), (6, "response", None, 20), (7, "response", None, len(rows[-1][2].encode()))], key=str)
 
 
+def test_archives_are_bounded_and_records_stand_alone(spark, tmp_path, monkeypatch):
+    """The query against its SQL, on pages of which many have equal payloads, in archives of a few records each."""
+    random.seed(4)
+    shared = ["p" * 300, "q é" * 60, "", "short", None]
+    rows = [(i, f"http://h/{i}", random.choice(shared) if i % 2 else f"own {i} " * random.randint(1, 60), i) for i in random.sample(range(3000), 900)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, size int").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    seen = []
+    monkeypatch.setattr(warc, "read_archives", lambda s, p, found=warc.read_archives: seen.append(p) or found(s, p))
+    got = warc.op4_warc_revisit(spark, str(tmp_path))
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(db.sql(f"SELECT {', '.join(names)} FROM ({warc.SQL})").fetchall())
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == want
+    assert sum(r[3] == "revisit" for r in want) > 100
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(seen[0]).select("content").collect()]
+    assert len(files) > 20 and all(len(f) < 8000 for f in files)
+    records = [m for f in files for m in warc.members(f)]
+    assert len(records) == 900 and all(len(list(warc.parse(m))) == 1 for m in records)
+    assert {h["WARC-Date"][:4] for m in records for h, _ in warc.parse(m)} == {str(datetime.now(timezone.utc).year)}
+    assert sum(gzip.decompress(f).count(b"WARC/1.1\r\n") for f in files) == 900
+
+
 def test_chats_round_trip(spark):
     odd = "\\ <\\| <| </s> <\\/s> [INST] \\\\[/INST] <|turn|> <|end|>"
     rows = [(1, 0, "user", [("text", odd, None, None), ("image", None, "a.png", 4), ("audio", None, "b", 3)]), (1, 1, "assistant", [("text", odd, None, None), ("other", None, "d", 2), ("text", "😀", None, None)]), (2, None, None, None), (None, 1, "<|body|>", [("text", None, None, None)])]
