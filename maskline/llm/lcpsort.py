@@ -8,6 +8,11 @@ share as much are bytes compared, from that point on.
 
 Ranges meet at their splitters. For strings i >= splitter > j, LCP(i, j) is the smaller of the LCPs
 with the splitter, so what a range must know of its neighbours are these numbers, not strings.
+
+Splitters are found on a sorted sample, by Spark; of each only what tells it from the string before it
+goes to the driver, one for `RANGE_ROWS` strings, and from there to the tasks as one broadcast.
+
+Strings come as rows (string, core, context, depth, limit); the last four are a string's name.
 """
 
 from __future__ import annotations
@@ -17,15 +22,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Strings that a range holds on average, and strings sampled for each splitter.
-RANGE_ROWS = 40_000
+RANGE_ROWS = 20_000
 SAMPLE_PER_RANGE = 16
 #: Strings that a task sorts into one run.
 RUN_ROWS = 200_000
 
+#: Numbers in a name.
+NAME = 4
+
 _RUN_SCHEMA = "part int, lcps binary, lens binary, bytes binary, names binary, below binary, above binary"
 
 
@@ -97,7 +106,7 @@ def _encode(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
 
 
 def _decode(lcps: bytes, lens: bytes, data: bytes, names: bytes) -> Callable:
-    name = np.frombuffer(names, np.int64).reshape(-1, 3).tolist()
+    name = np.frombuffer(names, np.int64).reshape(-1, NAME).tolist()
     sizes = np.frombuffer(lens, np.int32)
     ends = np.cumsum(sizes).tolist()
     rows = zip(np.frombuffer(lcps, np.int32).tolist(), sizes.tolist(), ends, name)
@@ -141,8 +150,9 @@ def _shared(strings: list[bytes], at: int, step: int, splitter: bytes, group: in
     return np.array(out, np.int32)
 
 
-def _runs(splitters: list[tuple[bytes, tuple]], group: int) -> Callable:
+def _runs(given: Broadcast, group: int) -> Callable:
     def emit(rows: list[tuple[bytes, tuple]]) -> pd.DataFrame:
+        splitters = given.value
         rows.sort()
         strings = [s for s, _ in rows]
         cuts = [0, *(bisect_left(rows, x) for x in splitters), len(rows)]
@@ -154,14 +164,14 @@ def _runs(splitters: list[tuple[bytes, tuple]], group: int) -> Callable:
             if i == j and not len(below) and not len(above):
                 continue
             lcps, lens, data = _encode(strings[i:j])
-            names = np.array([x for _, x in rows[i:j]], np.int64).reshape(-1, 3)
+            names = np.array([x for _, x in rows[i:j]], np.int64).reshape(-1, NAME)
             out.append((part, lcps.tobytes(), lens.tobytes(), data, names.tobytes(), below.tobytes(), above.tobytes()))
         return pd.DataFrame(out, columns=[x.split()[0] for x in _RUN_SCHEMA.split(", ")])
 
     def run(batches):
         rows: list[tuple[bytes, tuple]] = []
         for pdf in batches:
-            rows += zip(map(bytes, pdf["string"]), zip(pdf["core"].tolist(), pdf["context"].tolist(), pdf["depth"].tolist()))
+            rows += zip(map(bytes, pdf["string"]), zip(*(pdf[c].tolist() for c in ("core", "context", "depth", "limit"))))
             if len(rows) >= RUN_ROWS:
                 yield emit(rows)
                 rows = []
@@ -176,10 +186,11 @@ def merged(pdf: pd.DataFrame) -> list[tuple[bytes, tuple, int]]:
     return list(LoserTree([_decode(*x) for x in zip(pdf["lcps"], pdf["lens"], pdf["bytes"], pdf["names"])]))
 
 
-def _best(splitters: list[tuple[bytes, tuple]]) -> Callable:
+def _best(given: Broadcast) -> Callable:
     """For each string, the longest prefix that any other string shares."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        splitters = given.value
         part, rows = int(pdf["part"].iloc[0]), merged(pdf)
         n = len(rows)
         lcps = np.zeros(n + 1, np.int64)
@@ -188,13 +199,13 @@ def _best(splitters: list[tuple[bytes, tuple]]) -> Callable:
             most = max((int(np.frombuffer(x, np.int32).max()) for x in pdf[column] if x), default=0)
             if n and most:
                 lcps[at] = min(most, common_prefix(splitters[edge][0], rows[0 if at == 0 else n - 1][0]))
-        names = np.array([x[1] for x in rows], np.int64).reshape(-1, 3)
-        return pd.DataFrame({"core": names[:, 0], "context": names[:, 1], "depth": names[:, 2].astype(np.int32), "shared": np.maximum(lcps[:-1], lcps[1:]).astype(np.int32)})
+        names = np.array([x[1] for x in rows], np.int64).reshape(-1, NAME)
+        return pd.DataFrame({"core": names[:, 0], "context": names[:, 1], "depth": names[:, 2].astype(np.int32), "limit": names[:, 3].astype(np.int32), "shared": np.maximum(lcps[:-1], lcps[1:]).astype(np.int32)})
 
     return run
 
 
-def _depths(splitters: list[tuple[bytes, tuple]], group: int) -> Callable:
+def _depths(given: Broadcast, group: int) -> Callable:
     """For each string, the different lengths that it shares with other strings of its group."""
 
     def chain(lcps: list[int], start: list[int]) -> list[list[int]]:
@@ -216,6 +227,7 @@ def _depths(splitters: list[tuple[bytes, tuple]], group: int) -> Callable:
         return [v for v in values if v < own], min(own, values[-1]) if values else 0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        splitters = given.value
         part, rows = int(pdf["part"].iloc[0]), merged(pdf)
         n = len(rows)
         if not n:
@@ -229,27 +241,50 @@ def _depths(splitters: list[tuple[bytes, tuple]], group: int) -> Callable:
     return run
 
 
-def _sorted(strings: DataFrame, group: int) -> tuple[DataFrame, list[tuple[bytes, tuple]]]:
+def _short(every: int) -> Callable:
+    """Of each sorted part of a sample every so many strings, cut after what tells it from the one before; only equal ones keep their names."""
+
+    def run(batches):
+        before, at = None, 0
+        for pdf in batches:
+            out = []
+            for string, *name in zip(map(bytes, pdf["string"]), *(pdf[c].tolist() for c in ("core", "context", "depth", "limit"))):
+                at += 1
+                if at % every == 0:
+                    same = string == before
+                    out.append((string if before is None or same else string[: common_prefix(before, string) + 1], name if same else []))
+                before = string
+            yield pd.DataFrame(out, columns=["string", "name"])
+
+    return run
+
+
+def _splitters(strings: DataFrame, total: int, parts: int) -> list[tuple[bytes, tuple]]:
+    if parts < 2:
+        return []
+    every = max(1, total // (parts * SAMPLE_PER_RANGE))
+    sample = strings.where(F.pmod(F.xxhash64("core", "context", "depth"), F.lit(every)) == 0).orderBy("string", "core", "context", "depth")
+    short = sample.mapInPandas(_short(SAMPLE_PER_RANGE), "string binary, name array<long>")
+    return sorted({(bytes(r.string), tuple(r.name)) for r in short.toLocalIterator()})
+
+
+def _sorted(strings: DataFrame, group: int) -> tuple[DataFrame, Broadcast]:
     """Front-coded pieces of sorted runs by range, and the splitters between the ranges."""
     total = strings.count()
-    parts = max(1, -(-total // RANGE_ROWS))
-    splitters: list[tuple[bytes, tuple]] = []
-    if parts > 1:
-        every = max(1, total // (parts * SAMPLE_PER_RANGE))
-        chosen = strings.where(F.pmod(F.xxhash64("core", "context", "depth"), F.lit(every)) == 0)
-        sample = sorted((bytes(r.string), (r.core, r.context, r.depth)) for r in chosen.toLocalIterator())
-        splitters = [sample[len(sample) * i // parts] for i in range(1, parts)] if len(sample) >= parts else sample
-    runs = strings.mapInPandas(_runs(splitters, group), _RUN_SCHEMA)
-    return runs.repartition(max(parts, 1), "part"), splitters
+    splitters = _splitters(strings, total, -(-total // RANGE_ROWS))
+    given = strings.sparkSession.sparkContext.broadcast(splitters)
+    runs = strings.mapInPandas(_runs(given, group), _RUN_SCHEMA)
+    # a range to a task
+    return runs.repartitionById(len(splitters) + 1, F.col("part")), given
 
 
 def longest_shared(strings: DataFrame) -> DataFrame:
-    """strings(string, core, context, depth) -> (core, context, depth, shared): the longest prefix shared with any other row."""
-    runs, splitters = _sorted(strings, 0)
-    return runs.groupBy("part").applyInPandas(_best(splitters), "core long, context long, depth int, shared int")
+    """strings(string, name) -> (name, shared): the longest prefix shared with any other row."""
+    runs, given = _sorted(strings, 0)
+    return runs.groupBy("part").applyInPandas(_best(given), "core long, context long, depth int, limit int, shared int")
 
 
 def shared_lengths(strings: DataFrame, group: int) -> DataFrame:
     """(core, context, depths): the lengths, counted after the first `group` bytes, that a string shares with others that agree in these."""
-    runs, splitters = _sorted(strings, group)
-    return runs.groupBy("part").applyInPandas(_depths(splitters, group), "core long, context long, depths array<int>")
+    runs, given = _sorted(strings, group)
+    return runs.groupBy("part").applyInPandas(_depths(given, group), "core long, context long, depths array<int>")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, byte_symbols, context_hashes, raw_bytes, word_hashes, words
-from .common import BLOCK_BYTES, keep, text_blocks
+from .common import BLOCK_BYTES, TIE_BITS, keep, text_blocks
 
 #: Symbols that are looked at together; more than a block of several documents has.
 PART = 1 << 22
@@ -18,19 +18,29 @@ PART = 1 << 22
 _SCHEMA = "doc_key long, place long, core long, context long"
 
 
-def low(place: str) -> Column:
+#: A place is one long: the row's tie, the first window that picks the anchor (31 bits), and how far after it
+#: the anchor and the last such window are (10 bits each).
+_LOW_BITS = 63 - TIE_BITS - 20
+
+
+def tie(place: str | Column) -> Column:
+    """The second key of the row."""
+    return F.shiftright(place, 20 + _LOW_BITS)
+
+
+def low(place: str | Column) -> Column:
     """First window that picks the anchor."""
-    return F.shiftright(place, 20).cast("int")
+    return F.shiftright(place, 20).bitwiseAND(F.lit((1 << _LOW_BITS) - 1)).cast("int")
 
 
-def at(place: str) -> Column:
+def at(place: str | Column) -> Column:
     """The anchor."""
-    return (F.shiftright(place, 20) + F.shiftright(place, 10).bitwiseAND(F.lit(1023))).cast("int")
+    return (low(place) + F.shiftright(place, 10).bitwiseAND(F.lit(1023))).cast("int")
 
 
-def high(place: str) -> Column:
+def high(place: str | Column) -> Column:
     """Last window that picks the anchor."""
-    return (F.shiftright(place, 20) + F.col(place).bitwiseAND(F.lit(1023))).cast("int")
+    return (low(place) + F.shiftright(place, 0).bitwiseAND(F.lit(1023))).cast("int")
 
 
 def _parts(symbols: np.ndarray, ends: np.ndarray, width: int, size: int):
@@ -50,8 +60,8 @@ def _parts(symbols: np.ndarray, ends: np.ndarray, width: int, size: int):
 def _places(width: int, gram: int, by_word: bool, part: int, block: int, cores_only: bool = False) -> Callable:
     def run(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in text_blocks(batch.column(1), block):
+            keys, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for first, texts in text_blocks(batch.column(2), block):
                 raw, ends = raw_bytes(texts)
                 if by_word:
                     s, e, ends = words(raw, ends)
@@ -65,10 +75,11 @@ def _places(width: int, gram: int, by_word: bool, part: int, block: int, cores_o
                         continue
                     base = np.concatenate([[0], stops[:-1]])[found["doc"]] - (skip - start) if len(stops) else found["doc"]
                     contexts = context_hashes(plain[skip : skip + len(own)], found["low"], found["high"] + width)
+                    row = first + doc + found["doc"]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "doc_key": keys[first + doc + found["doc"]],
-                            "place": (found["low"] - base) << 20 | (found["at"] - found["low"]) << 10 | (found["high"] - found["low"]),
+                            "doc_key": keys[row],
+                            "place": ties[row] << 20 + _LOW_BITS | (found["low"] - base) << 20 | (found["at"] - found["low"]) << 10 | (found["high"] - found["low"]),
                             "core": found["core"].view(np.int64),
                             "context": contexts.view(np.int64),
                         }
@@ -83,10 +94,9 @@ def _apart(by_core: DataFrame) -> DataFrame:
 
 
 def places(docs: DataFrame, width: int, gram: int, by_word: bool) -> DataFrame:
-    """Anchors of docs(doc_key, text) whose string recurs.
+    """(doc_key, place, core, context) of the anchors of docs(doc_key, tie, text) whose string recurs.
 
-    place holds, in one long, the first window that picks the anchor, from the document's start, and how
-    far after it the anchor and the last such window are (see `low`, `at` and `high`). core names the
+    place is read with `tie`, `low`, `at` and `high`, which count from the document's start. core names the
     anchor's string and context, with core, the symbols of all windows that pick it.
 
     How often a core occurs is summed on the map side first, so a core in a third of all rows moves as
@@ -95,7 +105,7 @@ def places(docs: DataFrame, width: int, gram: int, by_word: bool) -> DataFrame:
     """
     if width - gram >= 1 << 10:
         raise ValueError("a place has 10 bits for what follows the first window")
-    texts = docs.select("doc_key", "text")
+    texts = docs.select("doc_key", "tie", "text")
     # finding the places twice takes less than keeping all of them, most of which never recur
     cores = texts.mapInArrow(_places(width, gram, by_word, PART, BLOCK_BYTES, cores_only=True), "core long")
     again = _apart(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
@@ -109,4 +119,4 @@ def counted(found: DataFrame) -> DataFrame:
     """
     by_context = found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_key", "place")).alias("p"))
     by_core = _apart(found.groupBy("core", "context").agg(F.lit(1)).groupBy("core").agg(F.count("*").alias("variants")))
-    return by_context.join(by_core, "core").select("core", "context", "n", "variants", "p.doc_key", low("p.place").alias("low"), at("p.place").alias("at"), high("p.place").alias("high"))
+    return by_context.join(by_core, "core").select("core", "context", "n", "variants", "p.doc_key", tie("p.place").alias("tie"), low("p.place").alias("low"), at("p.place").alias("at"), high("p.place").alias("high"))

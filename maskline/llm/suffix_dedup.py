@@ -27,54 +27,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, keep, pack_texts, row_key, sql_schema, table, unpack
+from .common import as_rows, extended, keep, keyed_rows, pack_texts, schema_with, table, unpack
 from .lcpsort import longest_shared, shared_lengths
-from .repeats import at, counted, places
+from .repeats import at, counted, places, tie
 
 WIDTH = 400
 GRAM = 64
 
 
 def _contexts(width: int):
-    """Text of each context: (core, context, string from its first window to the end of its last, place of the anchor in it)."""
+    """Text of each context: (core, context, string from its first window to the end of its last, place of the anchor in it, its last window)."""
 
     def run(batches):
         for batch in batches:
-            rows = {k: [] for k in ("core", "context", "text", "left", "at", "last")}
+            rows = {k: [] for k in ("core", "context", "text", "at", "last")}
             for packed, chosen in zip(batch.column("packed").to_pylist(), batch.column("chosen").to_pylist()):
                 raw = unpack(packed)
                 for x in chosen:
                     rows["core"].append(x["core"])
                     rows["context"].append(x["context"])
-                    text = raw[x["low"] : x["high"] + width]
-                    rows["text"].append(text)
-                    # the core's hash in front: only contexts of one anchor are compared
-                    rows["left"].append(x["core"].to_bytes(8, "big", signed=True) + text[: x["at"] - x["low"]][::-1])
+                    rows["text"].append(raw[x["low"] : x["high"] + width])
                     rows["at"].append(x["at"] - x["low"])
                     rows["last"].append(x["high"] - x["low"])
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("core", pa.int64()), ("context", pa.int64()), ("text", pa.binary()), ("left", pa.binary()), ("at", pa.int32()), ("last", pa.int32())]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("core", pa.int64()), ("context", pa.int64()), ("text", pa.binary()), ("at", pa.int32()), ("last", pa.int32())]))
 
     return run
 
 
+def _lefts(batches):
+    """What stands before each anchor, reversed; the core's hash in front, so that only contexts of one anchor share more than that."""
+    for batch in batches:
+        core, text, at_ = (batch.column(c).to_pylist() for c in ("core", "text", "at"))
+        strings = [c.to_bytes(8, "big", signed=True) + t[:n][::-1] for c, t, n in zip(core, text, at_)]
+        zero = pa.array(np.zeros(len(strings), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), batch.column("core"), batch.column("context"), zero, zero], names=["string", "core", "context", "depth", "limit"])
+
+
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs(doc_key, text) -> (doc_key, spans): runs [first, last] of starts of `width`-byte strings that start elsewhere too."""
+    """docs(doc_key, tie, text) -> (doc_key, tie, spans): runs [first, last] of starts of `width`-byte strings that start elsewhere too."""
     found = places(docs, width, gram, by_word=False)
     shared = keep(counted(found))
     whole = shared.where("n > 1").select("core", "context", (F.col("low") - F.col("at")).alias("from"), (F.col("high") - F.col("at")).alias("to"))
 
-    chosen = shared.where("variants > 1").groupBy("doc_key").agg(F.collect_list(F.struct("core", "context", "at", "low", "high")).alias("chosen"))
-    texts = keep(pack_texts(docs).join(chosen, "doc_key").select("packed", "chosen").mapInArrow(_contexts(width), "core long, context long, text binary, left binary, at int, last int"))
+    chosen = shared.where("variants > 1").groupBy("doc_key", "tie").agg(F.collect_list(F.struct("core", "context", "at", "low", "high")).alias("chosen"))
+    texts = keep(pack_texts(docs, "doc_key", "tie").join(chosen, ["doc_key", "tie"]).select("packed", "chosen").mapInArrow(_contexts(width), "core long, context long, text binary, at int, last int"))
 
-    lengths = shared_lengths(texts.select(F.col("left").alias("string"), "core", "context", F.lit(0).alias("depth")), 8)
-    begins = texts.drop("left").join(lengths, ["core", "context"]).withColumn("depth", F.explode("depths"))
-    begins = keep(begins.drop("depths").where("at - depth <= last"))
-    suffixes = begins.select(F.expr("substring(text, at - depth + 1)").alias("string"), "core", "context", "depth")
-    ends = longest_shared(suffixes).where(F.col("shared") >= width)
-    part = ends.join(begins.select("core", "context", "depth", "at", "last"), ["core", "context", "depth"]).select("core", "context", (-F.col("depth")).alias("from"), F.least(-F.col("depth") + F.col("shared") - width, F.col("last") - F.col("at")).alias("to"))
+    lengths = shared_lengths(texts.mapInArrow(_lefts, "string binary, core long, context long, depth int, limit int"), 8)
+    begins = keep(texts.join(lengths, ["core", "context"]))
+    depth = begins.select("*", F.explode("depths").alias("depth")).where("at - depth <= last")
+    suffixes = depth.select(F.expr("substring(text, at - depth + 1)").alias("string"), "core", "context", "depth", (F.col("last") - F.col("at")).alias("limit"))
+    part = longest_shared(suffixes).where(F.col("shared") >= width).select("core", "context", (-F.col("depth")).alias("from"), F.least(F.col("shared") - F.col("depth") - width, F.col("limit")).alias("to"))
 
-    windows = found.join(whole.unionByName(part), ["core", "context"]).select("doc_key", "from", "to", at("place").alias("at")).select("doc_key", F.struct((F.col("at") + F.col("from")).alias("first"), (F.col("at") + F.col("to")).alias("last")).alias("s"))
-    return windows.groupBy("doc_key").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    windows = found.join(whole.unionByName(part), ["core", "context"]).select("doc_key", tie("place").alias("tie"), "from", "to", at("place").alias("at"))
+    windows = windows.select("doc_key", "tie", F.struct((F.col("at") + F.col("from")).alias("first"), (F.col("at") + F.col("to")).alias("last")).alias("s"))
+    return windows.groupBy("doc_key", "tie").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
 
 _REMOVED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -101,17 +107,20 @@ def _remove(width: int):
     return run
 
 
-def dedup_bytes(docs: DataFrame, *carry: str, width: int = WIDTH) -> DataFrame:
-    """docs(carry, text) -> (carry, n_bytes, n_removed, removed byte spans, kept bytes), a row for each document."""
-    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc_key", row_key(*carry, "text"))
-    spans = repeated_windows(rows, width)
-    done = pack_texts(rows, *carry).join(spans, "doc_key", "left").select(*carry, "packed", "spans")
-    return done.mapInArrow(_remove(width), sql_schema(done.drop("packed", "spans"), "n_bytes long", "n_removed long", "removed array<struct<start:long,end:long>>", "kept binary"))
+def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """docs(text, ...) -> (row, n_bytes, n_removed, removed, kept), one for each document.
+
+    row: the document's other columns; removed: [start, end) of bytes; kept: the other bytes.
+    """
+    rows = keyed_rows(docs)
+    spans = repeated_windows(rows, width, gram)
+    done = pack_texts(rows, "row", "doc_key", "tie").join(spans, ["doc_key", "tie"], "left").select("row", "packed", "spans")
+    return done.mapInArrow(_remove(width), schema_with(as_rows(docs), "n_bytes long", "n_removed long", "removed array<struct<start:long,end:long>>", "kept binary"))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    done = dedup_bytes(table(spark, sf_dir, "documents"), "doc_id")
-    return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    done = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def brute_force(texts: dict[int, str | None], width: int = WIDTH) -> dict[int, tuple[int, int, int, str]]:
