@@ -2,16 +2,17 @@
 
 A word goes if a window of `width` words over it also starts anywhere else, in any document.
 
-1. Every document's windows pick anchors (`anchors.py`); the contexts of anchors are counted over all
-   documents, and only contexts whose anchor recurs can hold a recurring window.
-2. One copy of each such context goes, by its anchor, to a shard. There recurring passages are
-   confirmed word by word: contexts that occur twice, and windows that two contexts share. They are
-   compiled into the shard's automaton (pyahocorasick, a word being one symbol), and the shard's
-   document pieces are streamed through it to find every occurrence.
-3. The occurrences go back to all copies of the pieces, and from them to documents.
-
-A core that more than `HOT` different contexts share is not left to one shard: its windows are counted
-as rows, summed on the map side, which is exact and takes no room of its own.
+1. Confirm. Every document's windows pick anchors (`anchors.py`); the contexts of anchors are counted over
+   all documents. A context that occurs twice recurs as a whole. Where contexts differ but share their
+   anchor, one copy of each gives its windows as rows, and those of which there are two recur.
+2. Compile. Documents are dealt to blocks of about `BLOCK_BYTES` by their key. Of each context that holds a
+   recurring passage, one place in each block is named, and the block takes the passage's words from it.
+   They go into automata (pyahocorasick, a word being one symbol) of at most `SHARD_WORDS` words each.
+3. Stream. All documents of the block are streamed through its automata, which find every occurrence,
+   wherever in a document it is. The words that they cover go.
+
+What is counted moves as rows of longs, summed on the map side; no key has to fit into one task. A task
+holds the texts of one block and one automaton.
 
 Cases: a null text has no words; documents under `width` words lose none; repeated rows are places of
 their own; rows may share doc_id; extra columns are ignored; an empty table gives an empty result.
@@ -21,163 +22,201 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, keep, pack_texts, row_key, sql_schema, table, unpack
-from .repeats import at, counted, places
+from .anchors import span_hashes, word_hashes, words
+from .common import as_rows, keep, keyed_rows, pack_texts, schema_with, table, unpack
+from .repeats import at, counted, places, tie
 
 WIDTH = 35
 GRAM = 6
-#: Contexts in a shard, on average; contexts of one core that a shard takes.
-SHARD_ROWS = 6_000
-HOT = 20_000
-
-_SPAN = "array<struct<first:int,last:int>>"
+#: Bytes of text that a block of documents has on average, and words that are compiled into one automaton.
+BLOCK_BYTES = 1 << 20
+SHARD_WORDS = 1 << 20
 
 
-def _pieces(width: int):
-    """Words of each chosen context, joined by one space."""
+def _windows(width: int):
+    """Every window of each chosen context: (core, window, context, first), first counted from the anchor."""
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for packed, chosen in zip(pdf["packed"], pdf["chosen"]):
-                words = unpack(packed).split()
-                out += [(x["core"], x["context"], x["n"], x["variants"], x["at"] - x["low"], b" ".join(words[x["low"] : x["high"] + width])) for x in chosen]
-            yield pd.DataFrame(out, columns=["core", "context", "n", "variants", "lead", "words"])
+        for batch in batches:
+            for packed, chosen in zip(batch.column("packed").to_pylist(), batch.column("chosen").to_pylist()):
+                raw = np.frombuffer(unpack(packed), np.uint8)
+                s, e, _ = words(raw, np.array([len(raw)]))
+                low, high, anchor, core, context = (np.array([x[k] for x in chosen], np.int64) for k in ("low", "high", "at", "core", "context"))
+                n = high - low + 1
+                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                window = span_hashes(word_hashes(raw, s, e), start, start + width).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"core": np.repeat(core, n), "window": window, "context": np.repeat(context, n), "first": (start - np.repeat(anchor, n)).astype(np.int16)})
 
     return run
 
 
-def runs(starts: list[int]) -> list[dict]:
-    """[first, last] runs of sorted numbers."""
-    out: list[dict] = []
-    for i in starts:
-        if out and i == out[-1]["last"] + 1:
-            out[-1]["last"] = i
-        else:
-            out.append({"first": i, "last": i})
-    return out
-
-
-def _shard(width: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        symbol: dict[bytes, str] = {}
-
-        def coded(words: bytes) -> str:
-            for w in (found := words.split(b" ")):
-                if w not in symbol:
-                    n = len(symbol) + 1
-                    symbol[w] = chr(n if n < 0xD800 else n + 0x800)
-            return "".join(map(symbol.__getitem__, found))
-
-        texts = [coded(bytes(w)) for w in pdf["words"]]
-        shared = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
-        confirmed = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for window, n in shared.items():
-            if n > 1:
-                confirmed.add_word(window, width)
-        del shared
-        for text, n in zip(texts, pdf["n"]):
-            if n > 1:
-                confirmed.add_word(text, len(text))
-        spans = []
-        if len(confirmed):
-            confirmed.make_automaton()
-        for text, lead in zip(texts, pdf["lead"].tolist()):
-            starts: set[int] = set()
-            for end, size in confirmed.iter(text) if len(confirmed) else ():
-                starts.update(range(end - size + 1, end - width + 2))
-            spans.append([{k: v - lead for k, v in r.items()} for r in runs(sorted(starts))])
-        out = pdf[["core", "context"]].assign(spans=spans)
-        return out[[bool(s) for s in spans]]
-
-    return run
-
+def recurring(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_key, tie, text) -> places of anchors, and (core, context, firsts) of the contexts in which windows recur.
 
-def _windows(width: int):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for core, context, n, lead, words in zip(pdf["core"], pdf["context"], pdf["n"], pdf["lead"], pdf["words"]):
-                found = bytes(words).split(b" ")
-                out += [(core, context, n, i - lead, b" ".join(found[i : i + width])) for i in range(len(found) - width + 1)]
-            yield pd.DataFrame(out, columns=["core", "context", "n", "start", "window"])
-
-    return run
-
-
-def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs(doc_key, text) -> (doc_key, spans): runs of starts of `width`-word windows that start elsewhere too."""
+    firsts: where these windows begin, counted from the anchor.
+    """
     found = places(docs, width, gram, by_word=True)
-    chosen = counted(found).groupBy("doc_key").agg(F.collect_list(F.struct("core", "context", "n", "variants", "at", "low", "high")).alias("chosen"))
-    pieces = pack_texts(docs).join(chosen, "doc_key").select("packed", "chosen")
-    pieces = keep(pieces.mapInPandas(_pieces(width), "core long, context long, n long, variants long, lead int, words binary"))
-
-    shards = max(1, -(-pieces.count() // SHARD_ROWS))
-    named = pieces.where(F.col("variants") <= HOT).withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards)))
-    located = named.groupBy("shard").applyInPandas(_shard(width), f"core long, context long, spans {_SPAN}")
+    contexts = keep(counted(found))
+    whole = contexts.where("n > 1").select("core", "context", F.sequence(F.col("low") - F.col("at"), F.col("high") - F.col("at")).alias("firsts"))
+
+    chosen = contexts.where("variants > 1").groupBy("doc_key", "tie").agg(F.collect_list(F.struct("core", "context", "at", "low", "high")).alias("chosen"))
+    texts = pack_texts(docs, "doc_key", "tie").join(chosen, ["doc_key", "tie"]).select("packed", "chosen")
+    rows = keep(texts.mapInArrow(_windows(width), "core long, window long, context long, first short"))
+    twice = rows.groupBy("core", "window").agg(F.count("*").alias("n")).where("n > 1").select("core", "window")
+    shared = rows.join(twice, ["core", "window"], "left_semi").join(contexts.where("n = 1 and variants > 1").select("core", "context"), ["core", "context"], "left_semi")
+    # a context has fewer windows than `width`
+    part = shared.groupBy("core", "context").agg(F.collect_set(F.col("first").cast("int")).alias("firsts"))
+    return found, whole.unionByName(part)
+
+
+def passages(starts: list[int], width: int) -> list[tuple[int, int]]:
+    """[start, end) of what windows at these starts cover, where they follow each other without a gap."""
+    out: list[tuple[int, int]] = []
+    for i in sorted(starts):
+        if out and i == out[-1][1] - width + 1:
+            out[-1] = out[-1][0], i + width
+        else:
+            out.append((i, i + width))
+    return out
 
-    hot = pieces.where(F.col("variants") > HOT).mapInPandas(_windows(width), "core long, context long, n long, start int, window binary")
-    twice = hot.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    starts = hot.join(twice, "window", "left_semi").groupBy("core", "context").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("first"), F.col("start").alias("last")))).alias("spans"))
 
-    places_of = found.join(located.unionByName(starts), ["core", "context"])
-    windows = places_of.select("doc_key", F.explode("spans").alias("s"), at("place").alias("at"))
-    windows = windows.select("doc_key", F.struct((F.col("at") + F.col("s.first")).alias("first"), (F.col("at") + F.col("s.last")).alias("last")).alias("s"))
-    return windows.groupBy("doc_key").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+class Shard:
+    """An automaton of passages, each at least `width` words; find() gives the windows of a text that are in one."""
+
+    def __init__(self, phrases: list[list[bytes]], width: int):
+        self.width, self.symbol = width, {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for phrase in phrases:
+            for w in phrase:
+                if w not in self.symbol:
+                    n = len(self.symbol) + 1
+                    self.symbol[w] = chr(n if n < 0xD800 else n + 0x800)
+            self.automaton.add_word("".join(map(self.symbol.__getitem__, phrase)), len(phrase))
+        self.automaton.make_automaton()
+
+    def find(self, text: list[bytes]) -> Iterator[tuple[int, int]]:
+        """[first, last] windows of each occurrence."""
+        known = self.symbol.get
+        for end, size in self.automaton.iter("".join([known(w, "\0") for w in text])):
+            yield end - size + 1, end - self.width + 1
+
+
+def _shards(phrases: dict[tuple, None], width: int) -> Iterator[Shard]:
+    part, size = [], 0
+    for phrase in phrases:
+        if part and size + len(phrase) > SHARD_WORDS:
+            yield Shard(part, width)
+            part, size = [], 0
+        part.append(phrase)
+        size += len(phrase)
+    if part:
+        yield Shard(part, width)
+
+
+def occurrences(texts: list[list[bytes]], phrases: dict[tuple, None], width: int) -> list[list[tuple[int, int]]]:
+    """For each text, [start, end) of the words that occurrences of the phrases cover."""
+    found: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for shard in _shards(phrases, width):
+        for own, text in zip(found, texts):
+            if len(text) >= width:
+                own.extend(shard.find(text))
+    out = []
+    for own in found:
+        covered: list[tuple[int, int]] = []
+        for first, last in sorted(own):
+            if covered and first <= covered[-1][1]:
+                covered[-1] = covered[-1][0], max(covered[-1][1], last + width)
+            else:
+                covered.append((first, last + width))
+        out.append(covered)
+    return out
 
 
 _REMOVED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _remove(width: int, tidy: bool):
+def _stream(width: int, tidy: bool):
+    """Rows sorted by block, then document: named places of passages come before the document that they are in."""
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = [(p, p.filter(p.column("packed").is_valid())) for p in parts]
+        texts = [unpack(x) for _, d in own for x in d.column("packed").to_pylist()]
+        split = [t.split() for t in texts]
+        first: dict[tuple[int, int], int] = {}
+        for i, key in enumerate(k for _, d in own for k in zip(d.column("doc_key").to_pylist(), d.column("tie").to_pylist())):
+            first.setdefault(key, i)
+        phrases: dict[tuple, None] = {}
+        for p, _ in own:
+            named = p.filter(p.column("packed").is_null())
+            for key, tie_, anchor, firsts in zip(*(named.column(c).to_pylist() for c in ("doc_key", "tie", "anchor", "firsts"))):
+                source = split[first[key, tie_]]
+                for start, end in passages(firsts, width):
+                    phrases[tuple(source[anchor + start : anchor + end])] = None
+        n_removed, kept = [], []
+        removed = occurrences(split, phrases, width)
+        for raw, text, gone in zip(texts, split, removed):
+            cuts = [0, *(x for span in gone for x in span), len(text)]
+            rest = [w for i in range(0, len(cuts), 2) for w in text[cuts[i] : cuts[i + 1]]] if gone else text
+            n_removed.append(len(text) - len(rest))
+            kept.append(b" ".join(rest) if gone or tidy else raw)
+        rows = pa.concat_arrays([d.column("row") for _, d in own])
+        spans = pa.array([[{"start": a, "end": b} for a, b in gone] for gone in removed], _REMOVED)
+        return pa.RecordBatch.from_arrays([rows, pa.array([len(t) for t in split], pa.int64()), pa.array(n_removed, pa.int64()), spans, pa.array(kept, pa.binary()).cast(pa.string())], names=["row", "n_words", "n_removed", "removed", "kept"])
+
     def run(batches):
+        parts, number = [], None
         for batch in batches:
-            n_words, n_removed, spans_out, texts = [], [], [], []
-            for packed, spans in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                raw = unpack(packed)
-                words, kept, at, removed = raw.split(), [], 0, []
-                for s in spans or ():
-                    end = s["last"] + width
-                    if removed and s["first"] <= removed[-1]["end"]:
-                        removed[-1]["end"] = max(end, removed[-1]["end"])
-                    else:
-                        removed.append({"start": s["first"], "end": end})
-                for r in removed:
-                    kept += words[at : r["start"]]
-                    at = r["end"]
-                kept += words[at:]
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-                spans_out.append(removed)
-                texts.append(b" ".join(kept) if removed or tidy else raw)
-            kept_texts = pa.array(texts, pa.binary()).cast(pa.string())
-            yield extended(batch, 2, n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()), removed=pa.array(spans_out, _REMOVED), kept=kept_texts)
+            if not batch.num_rows:
+                continue
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for i, j in zip(cuts, cuts[1:]):
+                if parts and blocks[i] != number:
+                    yield block(parts)
+                    parts = []
+                number = blocks[i]
+                parts.append(batch.slice(i, j - i))
+        if parts:
+            yield block(parts)
 
     return run
 
 
-def dedup_phrases(docs: DataFrame, *carry: str, width: int = WIDTH, tidy: bool = True) -> DataFrame:
-    """docs(carry, text) -> (carry, n_words, n_removed, removed word spans, kept text), a row for each document.
+def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, tidy: bool = True) -> DataFrame:
+    """docs(text, ...) -> (row, n_words, n_removed, removed, kept), one for each document.
 
-    tidy: words are joined by one space even where none is removed; else such texts stay as they are.
+    row: the document's other columns; removed: [start, end) of words; kept: the other words, joined by one space. Where
+    tidy is off, a text that loses nothing stays as it is.
     """
-    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc_key", row_key(*carry, "text"))
-    spans = repeated_windows(rows, width)
-    done = pack_texts(rows, *carry).join(spans, "doc_key", "left").select(*carry, "packed", "spans")
-    return done.mapInArrow(_remove(width, tidy), sql_schema(done.drop("packed", "spans"), "n_words long", "n_removed long", "removed array<struct<start:long,end:long>>", "kept string"))
+    rows = keyed_rows(docs)
+    found, held = recurring(rows, width, gram)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).head().n or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("doc_key", "tie"), F.lit(blocks)).alias("block")
+
+    # one place of each context in each block, taken before the join: a frequent context joins once for each block
+    named = found.select("core", "context", "doc_key", tie("place").alias("tie"), at("place").alias("anchor")).select("*", block)
+    named = named.groupBy("block", "core", "context").agg(F.min(F.struct("doc_key", "tie", "anchor")).alias("p")).join(held, ["core", "context"])
+    texts = pack_texts(rows, "row", "doc_key", "tie")
+    none = lambda name: F.lit(None).cast(texts.schema[name].dataType).alias(name)
+    named = named.select("block", "p.doc_key", "p.tie", "p.anchor", "firsts", none("row"), none("packed"))
+    texts = texts.select(block, "doc_key", "tie", F.lit(None).cast("int").alias("anchor"), F.lit(None).cast("array<int>").alias("firsts"), "row", "packed")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = named.unionByName(texts).repartition(n, "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(_stream(width, tidy), schema_with(as_rows(docs), "n_words long", "n_removed long", "removed array<struct<start:long,end:long>>", "kept string"))
 
 
 def op9_phrase_dedup(spark, sf_dir: str) -> DataFrame:
-    done = dedup_phrases(table(spark, sf_dir, "documents"), "doc_id")
-    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    done = dedup_phrases(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def brute_force(texts: dict[int, str | None], width: int = WIDTH) -> dict[int, tuple[int, int, str]]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskline.llm import lcpsort, phrase_dedup, repeats, suffix_dedup
 
@@ -17,48 +18,62 @@ def _texts(seed, words):
     return out
 
 
+def _extra(spark, texts):
+    """Texts in a table whose other columns have the names that the operators use themselves."""
+    names = "doc_key tie packed spans kept n_words removed row block place core context first phrases".split()
+    return spark.createDataFrame([(k, v, *range(len(names))) for k, v in texts.items()], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+
+
 @pytest.mark.parametrize("rows", [40_000, 23])
 def test_suffixes_against_all_strings(spark, monkeypatch, rows):
     monkeypatch.setattr(lcpsort, "RANGE_ROWS", rows)
-    found = suffix_dedup.repeated_windows
-    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda d, w: found(d, w, 10))
     if rows < 100:  # documents of over 120 bytes in parts
         monkeypatch.setattr(repeats, "PART", 120)
         monkeypatch.setattr(repeats, "BLOCK_BYTES", 1)
     texts = _texts(5, False)
-    docs = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "doc_id long, text string, packed int")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.dedup_bytes(docs, "doc_id", width=40).collect()}
+    docs = _extra(spark, texts)
+    done = suffix_dedup.dedup_bytes(docs, 40, 10).select("row.*", F.struct("n_bytes", "n_removed", "removed", "kept").alias("out")).collect()
+    got = {r.doc_id: (r.out.n_bytes, r.out.n_removed, len(r.out.removed), hashlib.sha256(bytes(r.out.kept)).hexdigest()) for r in done}
     assert got == suffix_dedup.brute_force(texts, 40)
+    assert {tuple(r[:-1][1:]) for r in done} == {tuple(range(14))}
 
 
-@pytest.mark.parametrize("hot,rows", [(20_000, 6_000), (2, 15)])
-def test_phrases_against_all_windows(spark, monkeypatch, hot, rows):
-    monkeypatch.setattr(phrase_dedup, "HOT", hot)
-    monkeypatch.setattr(phrase_dedup, "SHARD_ROWS", rows)
-    found = phrase_dedup.repeated_windows
-    monkeypatch.setattr(phrase_dedup, "repeated_windows", lambda d, w: found(d, w, 3))
+@pytest.mark.parametrize("block,shard", [(1 << 20, 1 << 20), (3000, 60), (1, 1)])
+def test_phrases_against_all_windows(spark, monkeypatch, block, shard):
+    """Whatever the size of blocks and automata, the same words go; blocks of one document have only its own passages."""
+    monkeypatch.setattr(phrase_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(phrase_dedup, "SHARD_WORDS", shard)
     texts = _texts(6, True)
-    docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, kept string")
-    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in phrase_dedup.dedup_phrases(docs, "doc_id", width=9).collect()}
+    done = phrase_dedup.dedup_phrases(_extra(spark, texts), 9, 3).select("row.*", F.struct("n_words", "n_removed", "kept").alias("out")).collect()
+    got = {r.doc_id: (r.out.n_words, r.out.n_removed, hashlib.sha256(r.out.kept.encode()).hexdigest()) for r in done}
     assert got == phrase_dedup.brute_force(texts, 9)
+    assert {tuple(r[:-1][1:]) for r in done} == {tuple(range(14))}
+
+
+def test_automata_locate_what_was_named_elsewhere(spark):
+    """The passage of one document is found in the others by the automaton alone."""
+    passage, other = [b"p%d" % i for i in range(12)], [b"o%d" % i for i in range(9)]
+    texts = [[b"x", *passage, b"y"], [*passage[2:], *passage], other, [b"z"]]
+    got = phrase_dedup.occurrences(texts, {tuple(passage): None, tuple(passage[1:]): None}, 9)
+    assert got == [[(1, 13)], [(10, 22)], [], []]
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     schema = "doc_id long, text string"
     text = "w " * 500
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], schema)
-    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in phrase_dedup.dedup_phrases(docs, "doc_id").collect())
+    got = sorted((r.row.doc_id or -1, r.n_words, r.n_removed) for r in phrase_dedup.dedup_phrases(docs).collect())
     assert got == [(-1, 500, 500), (1, 500, 500), (1, 500, 500), (2, 0, 0)]
-    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_bytes(docs, "doc_id").collect())
+    got = sorted((r.row.doc_id or -1, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_bytes(docs).collect())
     assert got == [(-1, 1000, 1000), (1, 1000, 1000), (1, 1000, 1000), (2, 0, 0)]
     empty = spark.createDataFrame([], schema)
-    assert phrase_dedup.dedup_phrases(empty, "doc_id").count() == 0
-    assert suffix_dedup.dedup_bytes(empty, "doc_id").count() == 0
+    assert phrase_dedup.dedup_phrases(empty).count() == 0
+    assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
 def test_loser_tree_keeps_order_and_prefixes():
     random.seed(2)
-    rows = sorted((bytes(random.choice(b"ab") for _ in range(random.randint(0, 9))), (i, 0, 0)) for i in range(200))
+    rows = sorted((bytes(random.choice(b"ab") for _ in range(random.randint(0, 9))), (i, 0, 0, 0)) for i in range(200))
     runs = [rows[i::7] for i in range(7)]
 
     def feed(run):
