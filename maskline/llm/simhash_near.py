@@ -7,14 +7,17 @@ three, and so on. So a candidate pair agrees in one segment and in one half of t
 both make the key under which different fingerprints meet. A pair must then pass the whole chain, and
 last the full Hamming check.
 
-Equal fingerprints are one row from the start. Within a key, fingerprints that a path of links already
-joins are not linked again, so a key of m fingerprints gives at most m - 1 links and not all its pairs;
-a key with many fingerprints is first cut again by the bits in which they still differ. Components come
-from min-label propagation with pointer jumping, cut by checkpoint() in the shared folder.
+Equal fingerprints are one row from the start. A key with more than `HOT` fingerprints is cut: two of them
+within the radius agree in one of radius + 1 parts of the bits that the key leaves open, so such parts
+make longer keys, which go to other tasks; this is done `LEVELS` times at most, and what is left in a key
+is cut likewise where it is compared. Within a key, fingerprints that a path of links already joins are not
+linked again, and those that are joined leave as a tree in which none has more than three neighbours, so a
+key of m fingerprints gives at most m - 1 edges, and none is a hub. Components come from min-label
+propagation with pointer jumping, cut by checkpoint() in the shared folder; joins by label are spread.
 
 Cases: null and empty texts, and texts of white space only, have no words and fingerprint zero, which
-links like any other; rows may repeat or share doc_id (null ids are kept and never smallest); extra
-columns are ignored; an empty table gives an empty result.
+links like any other; rows may repeat or share doc_id (null ids are kept and never smallest, unless there
+is no other); extra columns are carried or ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, extended, keep, row_key, sql_schema, table
+from .common import cut, extended, keep, keyed_rows, schema_with, spread_join, table, unkeyed
 
 BITS = 64
 SHINGLE = 4
 RADIUS = 4
 #: Fingerprints of one key whose pairs are compared at once; more are cut again.
 BLOCK = 1024
+#: Fingerprints of one key that stay together, and how often keys are cut at most.
+HOT, LEVELS = 4096, 2
 
 _U = np.uint64
 
@@ -67,8 +72,7 @@ def fingerprints(docs: DataFrame, *carry: str, shingle: int = SHINGLE) -> DataFr
             prints = np.fromiter((fingerprint(t, shingle) for t in texts), _U, len(texts))
             yield extended(batch, 1, print=pa.array(prints.view(np.int64)))
 
-    rows = docs.select(*carry, F.col("text").alias("whole text"))
-    return rows.mapInArrow(run, sql_schema(docs.select(*carry), "print long"))
+    return docs.select(*carry, "text").mapInArrow(run, schema_with(docs.select(*carry), "print long"))
 
 
 def segments(radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -96,9 +100,32 @@ def ring_masks(radius: int = RADIUS, chain: int = 2) -> list[int]:
     return out
 
 
-def ring_keys(value: Column, radius: int = RADIUS, chain: int = 2) -> Column:
-    signed = [m - (1 << 64) if m >> 63 else m for m in ring_masks(radius, chain)]
-    return F.array(*[F.xxhash64(F.lit(t), value.bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
+def cut_mask(mask: int, radius: int = RADIUS) -> list[int]:
+    """The bits of a mask with each of radius + 1 parts of the others: two fingerprints within the radius that agree in the mask agree in one."""
+    rest = [b for b in range(BITS) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in rest[i :: radius + 1]) for i in range(radius + 1)]
+
+
+def _signed(m: int) -> Column:
+    return F.lit(m - (1 << 64) if m >> 63 else m)
+
+
+def _hot_keys_cut(prints: DataFrame, radius: int, chain: int) -> DataFrame:
+    """prints(print) -> (print, key): all keys, of which frequent ones are replaced by longer ones."""
+    masks, step = ring_masks(radius, chain), radius + 1
+    key = lambda t, mask: F.xxhash64(t, F.col("print").bitwiseAND(mask))
+    keyed = prints.select("print", F.posexplode(F.array(*map(_signed, masks))).alias("t", "mask")).select("print", "t", key(F.col("t"), F.col("mask")).alias("key"))
+    for level in range(1, LEVELS + 1):
+        hot = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+        if not hot.head(1):
+            break
+        longer = [cut_mask(m, radius) for m in masks]
+        parts = F.element_at(F.array(*[F.array(*map(_signed, x)) for x in longer]), F.col("t") + 1)
+        cut_ = keyed.join(hot, "key").select("print", "t", F.posexplode(parts).alias("i", "mask"))
+        cut_ = cut_.withColumn("t", F.col("t") * step + F.col("i")).select("print", "t", key(F.col("t") + F.lit(level * 1_000_000), F.col("mask")).alias("key"))
+        keyed = keyed.join(hot, "key", "left_anti").select("print", F.lit(-1).alias("t"), "key").unionByName(cut_)
+        masks = [m for x in longer for m in x]
+    return keyed.select("print", "key")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -139,7 +166,7 @@ class _Sets:
         return True
 
 
-def _near(x: np.ndarray, radius: int) -> np.ndarray:
+def near_differences(x: np.ndarray, radius: int) -> np.ndarray:
     """Indices of the differences that pass the ring's filter and then the full check."""
     few = np.flatnonzero(chained(x, radius)) if len(x) else np.zeros(0, np.int64)
     return few[_popcount(x[few]) <= radius]
@@ -165,7 +192,7 @@ def _link(prints: np.ndarray, rows: np.ndarray, radius: int, sets: _Sets, links:
             p, q = p.ravel(), q.ravel()
             if i == j:
                 p, q = p[p < q], q[p < q]
-            for k in _near(prints[p] ^ prints[q], radius):
+            for k in near_differences(prints[p] ^ prints[q], radius):
                 if sets.join(int(p[k]), int(q[k])):
                     links.append((int(p[k]), int(q[k])))
 
@@ -183,7 +210,7 @@ def spanning_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> list[tu
     left = np.repeat(np.where(sizes > BLOCK, 0, sizes), sizes) - (np.arange(len(keys)) - np.repeat(cuts[:-1], sizes))
     rows, step = np.flatnonzero(left > 1), 1
     while len(rows):
-        for k in _near(prints[rows] ^ prints[rows + step], radius):
+        for k in near_differences(prints[rows] ^ prints[rows + step], radius):
             if sets.join(int(rows[k]), int(rows[k]) + step):
                 links.append((int(rows[k]), int(rows[k]) + step))
         step += 1
@@ -191,56 +218,72 @@ def spanning_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> list[tu
     return links
 
 
+def tree_edges(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Pairs of rows below n -> pairs that join the same rows, in which no row has more than three neighbours."""
+    sets = _Sets(n)
+    for a, b in pairs.tolist():
+        sets.join(a, b)
+    rows = np.unique(pairs)
+    roots = np.array([sets.root(i) for i in rows.tolist()], np.int64)
+    order = np.argsort(roots, kind="stable")
+    rows, roots = rows[order], roots[order]
+    start = np.searchsorted(roots, roots)
+    place = np.arange(len(rows)) - start
+    below = np.flatnonzero(place)
+    return np.column_stack([rows[start[below] + (place[below] - 1) // 2], rows[below]])
+
+
 def _keyed(radius: int):
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
         prints = pdf["print"].to_numpy()
         pairs = np.array(spanning_links(pdf["key"].to_numpy(), prints.view(_U), radius), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": prints[pairs[:, 0]], "b": prints[pairs[:, 1]]})
+        edges = tree_edges(pairs, len(pdf))
+        return pd.DataFrame({"a": prints[edges[:, 0]], "b": prints[edges[:, 1]]})
 
     def run(batches):
         """Rows come sorted by key; a key's rows may go over batches."""
-        rest = None
+        rest: list[pd.DataFrame] = []
         for pdf in batches:
             if not len(pdf):
                 continue
-            if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
             keys = pdf["key"].to_numpy()
             last = int(np.searchsorted(keys, keys[-1], "left"))
-            rest = pdf.iloc[last:]
-            if last:
-                yield found(pdf.iloc[:last])
-        if rest is not None:
-            yield found(rest)
+            if last or rest and rest[0]["key"].iat[0] != keys[0]:
+                yield found(pd.concat([*rest, pdf.iloc[:last]], ignore_index=True))
+                rest = []
+            rest.append(pdf.iloc[last:])
+        if rest:
+            yield found(pd.concat(rest, ignore_index=True))
 
     return run
 
 
 def links(prints: DataFrame, radius: int = RADIUS, chain: int | None = None) -> DataFrame:
-    """Different prints(print) -> links (a, b) within the radius; any two such prints are joined by a path of links.
+    """Different prints(print) -> edges (a, b); prints are joined by a path of edges if they are by pairs within the radius, and only then.
 
     A longer chain makes longer keys, of which there are more: three segments from 2^24 prints on.
     """
     if chain is None:
         chain = 2 if prints.count() < 1 << 24 else 3
-    keyed = prints.select("print", F.explode(ring_keys(F.col("print"), radius, chain)).alias("key"))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_keyed(radius), "a long, b long").distinct()
+    return _hot_keys_cut(prints, radius, chain).repartition(n, "key").sortWithinPartitions("key").mapInPandas(_keyed(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
     """edges(a, b) -> (node, label): the smallest node that can be reached, for every node with an edge.
 
     Every round a node takes the smallest label among its own and its neighbours', and then its label's
-    label; at most about log(longest path) rounds for chains, fewer for stars.
+    label; at most about log(longest path) rounds. Many nodes may have one label, so the join by label is
+    spread; edges should not make hubs.
     """
     both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")).select(F.col("a").alias("v"), "l"))
     while True:
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
-        stepped = labels.join(near, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jumped = stepped.join(stepped.select(F.col("v").alias("l"), F.col("l").alias("ll")), "l", "left")
-        labels = cut(jumped.select("v", "was", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        stepped = keep(labels.join(near, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l")))
+        further = stepped.select(F.col("v").alias("l"), F.col("l").alias("ll")).join(stepped.select("l").distinct(), "l", "left_semi").where("ll <> l")
+        labels = cut(spread_join(stepped, further, "l", "v", "left").select("v", "was", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        stepped.unpersist()
         if not labels.where("l <> was").head(1):
             return labels.select(F.col("v").alias(node), F.col("l").alias(label))
         labels = labels.select("v", "l")
@@ -256,20 +299,26 @@ def near_duplicates(docs: DataFrame, *carry: str, shingle: int = SHINGLE, radius
     joined = components(links(prints, radius), "print", "component")
     members = prints.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print"))
     smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = members.join(smallest, "component").select("print", "component", "component_id")
+    classes = spread_join(members, smallest, "component", "print").select("print", "component", "component_id")
     return rows.join(classes, "print").select("doc_id", *carry, "print", "component", "component_id")
 
 
+def first_of_each(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of found(doc_id, doc_key, tie, component) each component's row with the smallest id (null ids last, then by key), out of rows, in the columns of docs."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "tie")).alias("s")
+    stay = found.groupBy("component").agg(least).select("s.doc_key", "s.tie")
+    return unkeyed(rows.join(stay, ["doc_key", "tie"], "left_semi").dropDuplicates(["doc_key", "tie"]), docs)
+
+
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents without near duplicates: of each group the one with the smallest id (then key) stays."""
-    rows = docs.withColumn("doc_key", row_key("doc_id", "text"))
-    found = near_duplicates(rows, "doc_key", shingle=shingle, radius=radius)
-    stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "doc_key")).alias("s")).select(F.col("s.doc_key").alias("doc_key"))
-    return rows.join(stay, "doc_key", "left_semi").dropDuplicates(["doc_key"]).select(docs.columns)
+    """The documents without near duplicates: of each group the one with the smallest id stays."""
+    rows = keyed_rows(docs)
+    found = near_duplicates(rows.withColumn("doc_id", F.col("row.doc_id")), "doc_key", "tie", shingle=shingle, radius=radius)
+    return first_of_each(found, docs, rows)
 
 
 def op10_simhash_near(spark, sf_dir: str) -> DataFrame:
-    done = near_duplicates(table(spark, sf_dir, "documents"))
+    done = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -98,10 +98,10 @@ def test_votes_of_long_texts_fit(spark):
 
 
 def test_containment_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "SHINGLE_BITS", 1)  # a bitmap with many false hits
     random.seed(8)
     line = lambda n: " ".join(random.choice(WORDS) + str(random.randrange(9)) for _ in range(n))
-    items = [(i, line(random.randint(1, 90))) for i in range(25)] + [(90, None), (91, ""), (92, "tiny item"), (93, "tiny item")]
+    items = [(i, line(random.randint(1, 90))) for i in range(25)] + [(90, None), (91, ""), (92, "tiny item"), (93, "tiny item")] + [(100 + i, line(5 + i % 5)) for i in range(40)]
     docs = [(0, None), (1, ""), (2, "Tiny  ITEM")]
     for i in range(3, 60):
         parts = [line(random.randint(0, 300))]
@@ -109,9 +109,15 @@ def test_containment_against_all_pairs(spark, monkeypatch):
             w = (random.choice(items)[1] or "").split()
             parts.insert(random.randint(0, 1), " \n".join(w[: len(w) - random.randint(0, 3)]).upper())
         docs.append((i, " ".join(parts)))
-    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {tuple(r) for r in decontaminate.contained(d, it, "doc_id").collect()}
+    for i in range(60, 100):  # short items deep inside long documents
+        docs.append((i, line(random.randint(900, 1500)) + " " + items[29 + i - 60][1] + " " + line(700)))
+    d = spark.createDataFrame([(*x, 1, 2, 3) for x in docs], "doc_id long, text string, `whole text` int, item_id int, row int")
+    it = spark.createDataFrame([(*x, 4) for x in items], "item_id long, text string, key int")
+    got = {(r.row.doc_id, r.item.item_id, r.containment) for r in decontaminate.contained(d, it).collect()}
     want = decontaminate.brute_force(pd.DataFrame(docs, columns=["doc_id", "text"]), pd.DataFrame(items, columns=["item_id", "text"]))
-    assert got == want and len(want) > 10
-    assert {r.doc_id for r in decontaminate.without_leaks(d, it).collect()} == {i for i, _ in docs} - {w[0] for w in want}
-    assert decontaminate.contained(d.limit(0), it, "doc_id").count() == 0
+    assert got == want and len(want) > 50
+    clean = decontaminate.without_leaks(d, it)
+    assert clean.columns == d.columns
+    assert {tuple(r) for r in clean.collect()} == {(i, t, 1, 2, 3) for i, t in docs if i not in {w[0] for w in want}}
+    assert decontaminate.contained(d.limit(0), it).count() == 0 and decontaminate.contained(d, it.limit(0)).count() == 0
+    assert decontaminate.without_leaks(d, it.limit(0)).count() == len(docs)
