@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import argparse
-import json
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +34,18 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         extractor = ServerExtractor(a.api_base, a.model_id, *readers.read_protocol(spark, a.protocol_dir), timeout=a.request_timeout)
     done = deidentify(notes, extractor, a.segment_size, a.overlap, _written(spark, a.out_dir))
     responses = done.responses.withColumn("content", F.lit("")) if a.strip_raw_content else done.responses
+    responses = responses.drop("text") if a.strip_raw_content else responses
     for name, df in (("responses", responses), ("validations", done.validations), ("spans", done.spans)):
         sinks.write_table(df, f"{a.out_dir}/{name}")
     found = spark.read.parquet(f"{a.out_dir}/spans")
     for p in PASSES:
         docs = spans.resolved_documents(notes, found.where(F.col("pass") == p).select("model_id", "doc_id", "start", "end", "identifier_type"), ("model_id", "doc_id"), PREDICTIONS_VERSION)
         sinks.write_table(docs, f"{a.out_dir}/resolved/{p}", "model_id")
+    if a.json_tree:
+        sinks.write_tree(a.json_tree, notes, spark.read.parquet(f"{a.out_dir}/responses"), spark.read.parquet(f"{a.out_dir}/validations"), found, a.strip_raw_content)
+        if a.model_config:
+            config = spark.read.text(a.model_config, wholetext=True).select(F.lit(f"{a.model_id}/model_config.json").alias("path"), "value")
+            sinks.write_files(config, a.json_tree)
     if a.model_config:
         rows = [r.value for r in spark.read.text(a.model_config, wholetext=True).collect()]
         if not rows:
@@ -48,17 +53,27 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         sinks.write_table(spark.createDataFrame([(a.model_id, rows[0])], "model_id string, config string"), f"{a.out_dir}/model_configs")
 
 
-def score(spark: SparkSession, a: argparse.Namespace) -> None:
-    docs, gold = readers.read_gold(spark, a.gold_dir)
-    tables = {n: spark.read.parquet(f"{a.pred_dir}/{n}") for n in ("responses", "validations", "spans")}
-    configs = None
+def _there(read):
+    """What read() reads, or None where there is nothing; any other error stays one."""
     try:
-        stored = spark.read.parquet(f"{a.pred_dir}/model_configs")
-        configs = readers.config_columns(stored.select("model_id", F.from_json("config", readers.CONFIG).alias("j")).select("model_id", "j.*"))
-    except Exception as e:  # no configuration is fine, anything else is not
-        if "PATH_NOT_FOUND" not in str(e):
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    universe = both_passes(spark.read.parquet(f"{a.pred_dir}/resolved/{PASSES[0]}"))
+        return None
+
+
+def score(spark: SparkSession, a: argparse.Namespace) -> None:
+    docs, gold = readers.read_gold(spark, a.gold_dir)
+    if a.json_tree:
+        tables = {"responses": readers.read_responses(spark, a.pred_dir), "validations": readers.read_validations(spark, a.pred_dir), "spans": readers.read_predictions(spark, a.pred_dir)}
+        universe = both_passes(readers.list_documents(spark, a.pred_dir))
+        configs = _there(lambda: readers.read_configs(spark, a.pred_dir))
+    else:
+        tables = {n: spark.read.parquet(f"{a.pred_dir}/{n}") for n in ("responses", "validations", "spans")}
+        universe = both_passes(spark.read.parquet(f"{a.pred_dir}/resolved/{PASSES[0]}"))
+        stored = _there(lambda: spark.read.parquet(f"{a.pred_dir}/model_configs"))
+        configs = stored and readers.config_columns(stored.select("model_id", F.from_json("config", readers.CONFIG).alias("j")).select("model_id", "j.*"))
     out = score_run(universe, docs, gold, tables["spans"], tables["responses"], tables["validations"], configs)
     for name, df in (("metrics_long", out.metrics), ("per_doc_long", out.per_document), ("model_manifest", out.manifest)):
         sinks.write_csv(df, f"{a.out_dir}/{name}")
@@ -86,7 +101,7 @@ def report(spark: SparkSession, a: argparse.Namespace) -> None:
         sinks.write_csv(table, a.csv)
     if a.svg:
         with open(a.svg, "w", encoding="utf-8") as f:
-            f.write(sinks.bar_chart(table, a.kind))
+            f.write(sinks.scatter_chart(table, a.kind, *table.columns[1:3]) if a.kind in ("figure2", "figure3") else sinks.bar_chart(table, a.kind))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -95,6 +110,7 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("run", help="notes to spans")
     for name, default in (("model-id", "offline-stub"), ("notes-dir", None), ("out-dir", None), ("protocol-dir", None), ("api-base", "http://127.0.0.1:8080"), ("name-file", None), ("model-config", None)):
         r.add_argument(f"--{name}", default=default, required=name in ("notes-dir", "out-dir"))
+    r.add_argument("--json-tree", help="folder for the run as a tree of JSON files as well")
     r.add_argument("--offline-stub", action="store_true")
     r.add_argument("--strip-raw-content", action="store_true")
     r.add_argument("--segment-size", type=int, default=WINDOW)
@@ -104,6 +120,7 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("score", help="spans to result tables")
     for name in ("pred-dir", "gold-dir", "out-dir"):
         s.add_argument(f"--{name}", required=True)
+    s.add_argument("--json-tree", action="store_true", help="pred-dir holds the tree of JSON files of runs, not tables")
     s.set_defaults(do=score)
     t = sub.add_parser("report", help="tables and figures")
     t.add_argument("kind", choices=["results", "corpus", "checkpoints", "bootstrap", *(f"figure{i}" for i in range(2, 7))])

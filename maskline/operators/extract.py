@@ -22,6 +22,7 @@ from ..functions.text import json_string, words
 PLACEHOLDER = "{{CLINICAL_TEXT}}"
 RESPONSE = "finish_reason string, content string, prompt_tokens long, completion_tokens long, transport_error string, latency_seconds double"
 
+# The schema that answers must follow.
 SCHEMA = {
     "type": "object",
     "additionalProperties": False,
@@ -87,6 +88,7 @@ class PatternExtractor:
 
 def payload(model: str, system: str, template: str, text: str) -> dict:
     """Request body for one window."""
+    # Names and shape of the request.
     said = [{"role": "system", "content": system}, {"role": "user", "content": template.replace(PLACEHOLDER, text)}]
     wanted = {"type": "json_schema", "json_schema": {"name": "phi_identifiers", "strict": True, "schema": SCHEMA}}
     return {"model": model, "messages": said, **DECODING, "stream": False, "response_format": wanted}
@@ -111,7 +113,7 @@ class ServerExtractor:
             with urllib.request.build_opener(urllib.request.ProxyHandler({})).open(request, timeout=self.timeout) as reply:
                 out = json.load(reply)
         except OSError as e:
-            return {"finish_reason": "error", "content": "", "transport_error": str(e), "latency_seconds": time.monotonic() - began}
+            return {"finish_reason": "error", "content": "", "prompt_tokens": 0, "completion_tokens": 0, "transport_error": type(e).__name__, "latency_seconds": time.monotonic() - began}
         choice, usage = (out.get("choices") or [{}])[0], out.get("usage") or {}
         return {
             "finish_reason": choice.get("finish_reason"),

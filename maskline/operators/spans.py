@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MARKERS, NEUTRAL
-from ..functions.text import occurrences
+from ..functions.text import steps
 
 
 def ground(pairs: DataFrame, notes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """pairs(keys, exact_text, identifier_type) at every occurrence in notes(keys, text): typed spans, each once."""
-    joined = pairs.join(notes.select(*keys, "text"), list(keys))
-    found = joined.withColumn("start", F.explode(occurrences(F.col("text"), F.col("exact_text"))))
+    """pairs(keys, exact_text, identifier_type) at every occurrence in notes(keys, text): typed spans, each once.
+
+    Places are running sums of the steps between occurrences, without the text.
+    """
+    pair = [*keys, "exact_text", "identifier_type"]
+    joined = pairs.select(*pair).distinct().join(notes.select(*keys, "text"), list(keys))
+    found = joined.select(*pair, F.posexplode(steps(F.col("text"), F.col("exact_text"))).alias("_i", "_step"))
+    before = Window.partitionBy(*pair).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("start", F.sum("_step").over(before).cast("int"))
     return found.select(*keys, "start", (F.col("start") + F.length("exact_text")).alias("end"), "identifier_type").distinct()
 
 

@@ -54,7 +54,9 @@ def parse_content(content: Column) -> Column:
 
 
 def parsed(responses: DataFrame) -> DataFrame:
-    """responses(..., finish_reason, content) with `parsed`; only finished, non-empty content is looked at."""
+    """responses(..., finish_reason, content) with `parsed`, unless it is there; only finished, non-empty content is looked at."""
+    if "parsed" in responses.columns:
+        return responses
     open_ = (F.col("finish_reason") == "stop") & (F.coalesce(F.length("content"), F.lit(0)) > 0)
     return responses.withColumn("finish_reason", F.coalesce("finish_reason", F.lit("error"))).withColumn("parsed", parse_content(F.when(open_, F.col("content"))))
 

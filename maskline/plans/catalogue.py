@@ -7,15 +7,20 @@ in each pass. Every table is read whole.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import CODES, PASSES
+from ..functions.constants import CODES, METRICS, PASSES, RESAMPLES
 from ..functions.text import words
 from ..operators import aggregate, score, spans, validate
-from ..operators.extract import pattern_pairs
+from ..operators.extract import PatternExtractor, gazetteer_pairs, pattern_pairs
+from ..operators.gold import gold_records
 from ..operators.segment import segments
+from ..sources import readers, sinks
 from . import reports
+from .deidentify import Run, deidentify, kept_on_disk
 
 EMAIL, PHONE, IP, WEB = "07_EMAIL_ADDRESS", "05_TELEPHONE_NUMBER", "16_IP_ADDRESS", "15_WEB_URL"
 FOUND = (
@@ -28,7 +33,10 @@ GOLD = (EMAIL, PHONE, IP)
 MODELS = {"m_contact": ((EMAIL, PHONE), (IP,)), "m_email": ((EMAIL,), (PHONE,)), "m_full": (GOLD, ()), "m_wide": ((EMAIL, WEB), (PHONE, IP))}
 KNOWS = [(m, p, c) for m, (a, b) in MODELS.items() for p, codes in ((PASSES[0], a), (PASSES[1], (*a, *b))) for c in codes]
 KEYS = ("model_id", "pass", "doc_id")
-RESAMPLES = 40
+#: Names that the gazetteer query looks for: common words of the documents' languages.
+NAMES = ("water", "stone", "the", "and", "der", "la")
+#: Configurations of two of the models: developer, family, repository, parameters, flags, quantization.
+CONFIGS = (("m_email", "Dev A", "Fam A", "a/email", "1.5", "", "false", "false", "false", "Q8_0"), ("m_wide", "Dev B", "Fam B", "", "30.5", "3.5", "true", "true", "true", "Q5"))
 
 
 def _notes(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,17 +49,19 @@ def _literals(spark, sf) -> DataFrame:
 
 
 def _occurrences(spark, sf) -> DataFrame:
-    return spans.ground(_literals(spark, sf), _notes(spark, sf), ["doc_id"])
+    """Kept: every table of a scored run is made of these."""
+    return kept_on_disk(spans.ground(_literals(spark, sf), _notes(spark, sf), ["doc_id"]), "occurrences")
 
 
-def _predicted(spark, sf) -> DataFrame:
+def _predicted(spark, sf, found: DataFrame | None = None) -> DataFrame:
     known = spark.createDataFrame(KNOWS, "model_id string, pass string, identifier_type string")
-    return _occurrences(spark, sf).join(F.broadcast(known), "identifier_type").select(*KEYS, "start", "end", "identifier_type")
+    found = _occurrences(spark, sf) if found is None else found
+    return found.join(F.broadcast(known), "identifier_type").select(*KEYS, "start", "end", "identifier_type")
 
 
-def _gold(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _gold(spark, sf, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     docs = _notes(spark, sf).select("doc_id", F.length("text").alias("n_chars"))
-    gold = _occurrences(spark, sf).where(F.col("identifier_type").isin(*GOLD)).withColumnRenamed("identifier_type", "code")
+    gold = (_occurrences(spark, sf) if found is None else found).where(F.col("identifier_type").isin(*GOLD)).withColumnRenamed("identifier_type", "code")
     # a span's number only has to tell it from others of its note
     return docs, gold.withColumn("span_no", F.xxhash64("start", "end", "code"))
 
@@ -63,8 +73,9 @@ def _universe(spark, sf) -> DataFrame:
 
 
 def _scored(spark, sf):
-    docs, gold = _gold(spark, sf)
-    return _universe(spark, sf), docs, gold, _predicted(spark, sf)
+    found = _occurrences(spark, sf)
+    docs, gold = _gold(spark, sf, found)
+    return _universe(spark, sf), docs, gold, _predicted(spark, sf, found)
 
 
 def _operations(spark, sf) -> DataFrame:
@@ -79,7 +90,12 @@ def _operations(spark, sf) -> DataFrame:
 
 def _metrics(spark, sf) -> DataFrame:
     args = _scored(spark, sf)
-    return aggregate.metrics_long(score.document_scores(*args), score.type_scores(*args), _operations(spark, sf))
+    names = "model_id developer family hf_gguf_repo params_total_B params_active_B moe is_medical reasoning quant_target".split()
+    given = spark.createDataFrame(CONFIGS, ", ".join(f"{n} string" for n in names))
+    kinds = {"params_total_B": "double", "params_active_B": "double", "moe": "boolean", "is_medical": "boolean", "reasoning": "boolean"}
+    configs = readers.config_columns(given.select(*[F.nullif(n, F.lit("")).cast(kinds[n]).alias(n) if n in kinds else n for n in names]))
+    documents, types, operations = (kept_on_disk(x, "") for x in (score.document_scores(*args), score.type_scores(*args), _operations(spark, sf)))
+    return aggregate.metrics_long(documents, types, operations, configs)
 
 
 def _per_document(spark, sf) -> DataFrame:
@@ -171,17 +187,21 @@ def doc_operations(spark, sf):
 
 
 def metrics_all(spark, sf):
-    return _metrics(spark, sf).where("phi_type = 'ALL'").select("model_id", "pass", "cohort", *[F.round(c, 9).alias(c) if c.endswith("_macro") else c for c in _METRIC_COLUMNS])
+    """All 69 columns of the rows over all categories."""
+    return _metrics(spark, sf).where("phi_type = 'ALL'").select(*[F.round(c, 9).alias(c) if c.endswith("_macro") else c for c in METRICS])
 
 
-_METRIC_COLUMNS = (
-    "n_docs n_notes doc_chars_total gt_phi_chars pred_phi_chars char_tp char_fp char_fn char_tn char_recall char_precision char_f1 char_specificity over_redaction_rate "
-    "zero_residual_notes median_residual_per_note max_residual_per_note expected_requests usable_rate json_valid_rate finish_stop_rate prompt_tokens completion_tokens char_recall_macro char_f1_macro"
+#: What the rows of a category have.
+_TYPE_COLUMNS = (
+    "model_id n_docs pass surface cohort phi_type n_notes gt_phi_chars gt_span_count char_tp char_fn char_recall residual_phi_chars residual_phi_char_rate char_recall_typematched char_precision_typematched char_f1_typematched "
+    "any_span_tp any_span_recall full_span_tp full_span_recall strict_span_tp strict_span_recall relaxed_span_tp relaxed_span_recall"
 ).split()
 
 
 def metrics_types(spark, sf):
-    return _metrics(spark, sf).where("phi_type <> 'ALL'").select("model_id", "pass", "cohort", "phi_type", "gt_phi_chars", "gt_span_count", "char_tp", "char_recall", "char_precision_typematched", "any_span_recall")
+    """The rows of each category: the columns that they have, and how many of the others are not null."""
+    others = sum(F.col(c).isNotNull().cast("int") for c in METRICS if c not in _TYPE_COLUMNS and c not in ("hf_link", "hf_gguf_repo", "developer", "family", "params_total_B", "params_active_B", "moe", "is_medical", "is_reasoning", "quant", "doc_provenance"))
+    return _metrics(spark, sf).where("phi_type <> 'ALL'").select(*_TYPE_COLUMNS, others.alias("others"))
 
 
 def gold_types_present(spark, sf):
@@ -214,12 +234,96 @@ def checkpoints(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    rows = _per_document(spark, sf).where("model_id = 'm_contact'")
-    return reports.bootstrap(rows, RESAMPLES).select("model_id", "pass_", "notes", *[F.round(c, 9).alias(c) for c in ("recall", "low", "high")])
+    return reports.bootstrap(_per_document(spark, sf)).select("model_id", "pass_", "notes", *[F.round(c, 9).alias(c) for c in ("recall", "low", "high")])
 
 
 def bootstrap_ci_exact(spark, sf):
-    return reports.bootstrap_exact(_per_document(spark, sf), RESAMPLES)
+    return reports.bootstrap_exact(_per_document(spark, sf))
+
+
+def per_document(spark, sf):
+    return _per_document(spark, sf)
+
+
+def figure2(spark, sf):
+    return reports.figure2(_metrics(spark, sf))
+
+
+def figure3(spark, sf):
+    return reports.figure3(_metrics(spark, sf))
+
+
+def figure4(spark, sf):
+    return reports.figure4(_metrics(spark, sf))
+
+
+def gazetteer(spark, sf):
+    """Windows that contain a name."""
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    return gazetteer_pairs(segments(_notes(spark, sf)).select("doc_id", "segment_id", "text"), F.broadcast(names)).select("doc_id", "segment_id", "exact_text")
+
+
+def clipped_confusion(spark, sf):
+    """Predictions that run over the end of their note are cut for characters, and count as they are for bounds."""
+    universe, docs, gold, predicted = _scored(spark, sf)
+    over = docs.where("n_chars >= 3").join(universe, "doc_id").select(*KEYS, (F.col("n_chars") - 3).cast("int").alias("start"), (F.col("n_chars") + 5).cast("int").alias("end"), F.lit(WEB).alias("identifier_type"))
+    predicted = predicted.unionByName(over)
+    chars = score.char_counts(universe, docs, gold, predicted).select(*KEYS, "pred_chars", "tp", "fp", "fn", "tn")
+    return chars.join(score.predicted_spans(gold, predicted), list(KEYS), "left").na.fill(0)
+
+
+def _run(spark, sf) -> Run:
+    """The whole job with all patterns in both passes."""
+    return deidentify(_notes(spark, sf).withColumn("model_id", F.lit("m_all")), PatternExtractor((), FOUND))
+
+
+def two_pass_spans(spark, sf):
+    return _run(spark, sf).spans.select("pass", "doc_id", "start", "end", "identifier_type")
+
+
+def two_pass_responses(spark, sf):
+    """What each window of both passes answered, and how it was validated."""
+    run = _run(spark, sf)
+    key = ["pass", "doc_id", "segment_id"]
+    asked = run.responses.select(*key, "prompt_tokens", "completion_tokens")
+    seen = run.validations.select(*key, "finish_reason", "envelope_usable", "strict_schema_valid", "raw_items", "accepted", "rejected", "duplicates", "ungrounded", "invalid_type")
+    return asked.join(seen, key)
+
+
+def _tree(spark, sf) -> str:
+    """A run written as a tree of files."""
+    folder, run = f"{sinks.shared_folder(spark)}/tree-{uuid.uuid4().hex}", _run(spark, sf)
+    sinks.write_tree(folder, run.notes, run.responses, run.validations, run.spans, strip_content=True)
+    return folder
+
+
+def tree_predictions(spark, sf):
+    """Spans of a run, read back from its files."""
+    return readers.read_predictions(spark, _tree(spark, sf)).select("pass", F.col("doc_id").cast("long").alias("doc_id"), "start", "end", "identifier_type")
+
+
+def tree_operations(spark, sf):
+    """Operations of a run, read back from its files, for every note that they list."""
+    folder = _tree(spark, sf)
+    done = score.document_operations(readers.read_responses(spark, folder), readers.read_validations(spark, folder))
+    listed = readers.list_documents(spark, folder).join(F.broadcast(readers.discover_models(spark, folder)), "model_id")
+    return listed.join(done, ["model_id", "doc_id"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def gold_documents(spark, sf):
+    """Gold records of all notes, written as files and read back."""
+    folder = f"{sinks.shared_folder(spark)}/gold-{uuid.uuid4().hex}"
+    found = _literals(spark, sf).where(F.col("identifier_type").isin(*GOLD))
+    sinks.write_gold(gold_records(_notes(spark, sf), found, "documents"), folder)
+    docs, gold = readers.read_gold(spark, folder)
+    return docs.join(gold, "doc_id", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "n_chars", F.md5("text").alias("digest"), "span_no", "start", "end", "code")
+
+
+def results_table(spark, sf):
+    """The long table written as CSV, read back and ranked."""
+    path = f"{sinks.shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    sinks.write_csv(_metrics(spark, sf), path)
+    return reports.ranked(readers.read_results(spark, path), columns=("n_notes", "char_recall", "over_redaction_rate", "is_medical"))
 
 
 # --- the same in SQL ---
@@ -239,6 +343,7 @@ def _regions(source: str, keys: str) -> str:
 
 
 _K = "model_id, pass, doc_id"
+_WORDS = "CAST(coalesce(len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')), 0) AS BIGINT)"
 _PREFIX = "substr({}, 1, 2)"
 _PARTS = {
     "notes": "SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents",
@@ -285,17 +390,47 @@ _PARTS = {
     "ops": f"""SELECT {_K}, count(*) AS segments, count(*) FILTER (doc_id % 10 <> 3) AS stop, CAST(sum(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS prompt_tokens, CAST(2 * count(*) AS BIGINT) AS completion_tokens,
       count(*) AS val_requests, count(*) FILTER (doc_id % 10 <> 4) AS usable, count(*) FILTER (doc_id % 10 NOT IN (4, 5)) AS valid, TRUE AS have_validation, doc_id % 10 NOT IN (3, 4) AS complete
       FROM seg JOIN uni USING (doc_id) GROUP BY ALL""",
-    "rows_": f"SELECT c.*, o.* EXCLUDE (model_id, pass, doc_id), co.cohort FROM conf c JOIN ops o USING ({_K}), (VALUES ('all_expected'), ('operational_complete')) AS co(cohort) WHERE co.cohort = 'all_expected' OR o.complete",
+    "dhit": f'SELECT {_K}, CAST(count(*) AS BIGINT) AS spans, CAST(sum("any") AS BIGINT) AS a, CAST(sum("full") AS BIGINT) AS f, CAST(sum(strict) AS BIGINT) AS st, CAST(sum(relaxed) AS BIGINT) AS re FROM shits GROUP BY ALL',
+    "pcnt": f"""SELECT {_K}, count(*) AS pred_span_count, count(*) FILTER (EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND abs(g.s - p.s) <= 2 AND abs(g.e - p.e) <= 2)) AS relaxed_pred FROM (SELECT DISTINCT {_K}, s, e FROM pred) p GROUP BY ALL""",
+    "pdocs": f"""SELECT c.*, o.* EXCLUDE (model_id, pass, doc_id), coalesce(h.spans, 0) AS spans, coalesce(h.a, 0) AS a, coalesce(h.f, 0) AS f, coalesce(h.st, 0) AS st, coalesce(h.re, 0) AS re, coalesce(p.pred_span_count, 0) AS pred_span_count, coalesce(p.relaxed_pred, 0) AS relaxed_pred
+      FROM conf c JOIN ops o USING ({_K}) LEFT JOIN dhit h USING ({_K}) LEFT JOIN pcnt p USING ({_K})""",
+    "rows_": "SELECT d.*, co.cohort FROM pdocs d, (VALUES ('all_expected'), ('operational_complete')) AS co(cohort) WHERE co.cohort = 'all_expected' OR d.complete",
+    "conf_": f"SELECT model_id, developer, family, repo, CAST(nullif(total, '') AS DOUBLE) AS total, CAST(nullif(active, '') AS DOUBLE) AS active, CAST(moe AS BOOLEAN) AS moe, CAST(medical AS BOOLEAN) AS medical, CAST(reasoning AS BOOLEAN) AS reasoning, quant FROM (VALUES {_values(CONFIGS)}) AS v(model_id, developer, family, repo, total, active, moe, medical, reasoning, quant)",
     "alls": """SELECT model_id, pass, cohort, count(*) AS n_notes, CAST(sum(doc_chars) AS BIGINT) AS doc_chars_total, CAST(sum(gt) AS BIGINT) AS gt_phi_chars, CAST(sum(pred_chars) AS BIGINT) AS pred_phi_chars, CAST(sum(tp) AS BIGINT) AS char_tp, CAST(sum(fp) AS BIGINT) AS char_fp, CAST(sum(fn) AS BIGINT) AS char_fn, CAST(sum(tn) AS BIGINT) AS char_tn,
+      CAST(sum(spans) AS BIGINT) AS gt_span_count, CAST(sum(pred_span_count) AS BIGINT) AS pred_span_count, CAST(sum(relaxed_pred) AS BIGINT) AS relaxed_pred, CAST(sum(a) AS BIGINT) AS any_span_tp, CAST(sum(f) AS BIGINT) AS full_span_tp, CAST(sum(st) AS BIGINT) AS strict_span_tp, CAST(sum(re) AS BIGINT) AS relaxed_span_tp,
+      count(*) FILTER (residual > 0) AS notes_with_leak, sum(residual)::DOUBLE / count(*) AS mean_residual_per_note, CAST(sum(usable) AS BIGINT) AS usable_requests, CAST(sum(valid) AS BIGINT) AS json_valid_requests,
+      round(avg(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) END), 9) AS char_precision_macro, round(avg(CASE WHEN spans > 0 THEN st::DOUBLE / spans END), 9) AS strict_span_recall_macro, round(avg(CASE WHEN spans > 0 THEN re::DOUBLE / spans END), 9) AS relaxed_span_recall_macro,
       count(*) FILTER (residual = 0) AS zero_residual_notes, median(residual) AS median_residual_per_note, max(residual) AS max_residual_per_note, CAST(sum(segments) AS BIGINT) AS expected_requests,
       sum(usable)::DOUBLE / sum(val_requests) AS usable_rate, sum(valid)::DOUBLE / sum(val_requests) AS json_valid_rate, sum(stop)::DOUBLE / sum(segments) AS finish_stop_rate, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
       round(avg(CASE WHEN gt > 0 THEN tp::DOUBLE / gt END), 9) AS char_recall_macro, round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END), 9) AS char_f1_macro FROM rows_ GROUP BY ALL""",
-    "rates": "SELECT *, char_tp::DOUBLE / nullif(gt_phi_chars, 0) AS char_recall, char_tp::DOUBLE / nullif(char_tp + char_fp, 0) AS char_precision, char_tn::DOUBLE / nullif(char_tn + char_fp, 0) AS char_specificity, char_fp::DOUBLE / nullif(char_tp + char_fp, 0) AS over_redaction_rate FROM alls",
+    "rates": "SELECT *, char_tp::DOUBLE / nullif(gt_phi_chars, 0) AS char_recall, char_tp::DOUBLE / nullif(char_tp + char_fp, 0) AS char_precision, char_tn::DOUBLE / nullif(char_tn + char_fp, 0) AS char_specificity, char_fp::DOUBLE / nullif(char_tp + char_fp, 0) AS over_redaction_rate, char_fn AS residual_phi_chars, char_fn::DOUBLE / nullif(gt_phi_chars, 0) AS residual_phi_char_rate, "
+    "any_span_tp::DOUBLE / nullif(gt_span_count, 0) AS any_span_recall, full_span_tp::DOUBLE / nullif(gt_span_count, 0) AS full_span_recall, strict_span_tp::DOUBLE / nullif(gt_span_count, 0) AS strict_span_recall, relaxed_span_tp::DOUBLE / nullif(gt_span_count, 0) AS relaxed_span_recall, "
+    "strict_span_tp::DOUBLE / nullif(pred_span_count, 0) AS strict_span_precision, relaxed_pred::DOUBLE / nullif(pred_span_count, 0) AS relaxed_span_precision, zero_residual_notes::DOUBLE / n_notes AS zero_residual_note_rate, notes_with_leak::DOUBLE / n_notes AS notes_with_leak_rate FROM alls",
     "trows": f"""SELECT model_id, pass, cohort, code AS phi_type, CAST(sum(t.gt) AS BIGINT) AS gt_phi_chars, CAST(sum(t.spans) AS BIGINT) AS gt_span_count, CAST(sum(t.tp) AS BIGINT) AS char_tp, sum(t.tp)::DOUBLE / nullif(sum(t.gt), 0) AS char_recall,
-      sum(t.tp_matched)::DOUBLE / nullif(sum(t.pred_matched), 0) AS char_precision_typematched, sum(t.a)::DOUBLE / nullif(sum(t.spans), 0) AS any_span_recall FROM types t JOIN (SELECT {_K}, cohort FROM rows_) USING ({_K}) GROUP BY ALL HAVING sum(t.gt) > 0""",
-    "pdoc": "SELECT model_id, pass AS pass_, doc_id, gt, tp, row_number() OVER (PARTITION BY model_id, pass ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY model_id, pass) AS n FROM conf WHERE model_id = 'm_contact'",
-    "boot": f"""SELECT d.model_id, d.pass_, b, sum(p.tp)::DOUBLE / nullif(sum(p.gt), 0) AS r FROM (SELECT DISTINCT model_id, pass_, n FROM pdoc) d, unnest(range(0, {RESAMPLES})) AS u(b), unnest(range(0, n)) AS v(i)
-      JOIN pdoc p ON p.model_id = d.model_id AND p.pass_ = d.pass_ AND p.k = (('0x' || substr(md5('20260801-' || b || '-' || i), 1, 8))::BIGINT % d.n) + 1 GROUP BY ALL""",
+      CAST(sum(t.gt) - sum(t.tp) AS BIGINT) AS char_fn, CAST(sum(t.tp_matched) AS BIGINT) AS tpm, CAST(sum(t.pred_matched) AS BIGINT) AS pcm, CAST(sum(t.a) AS BIGINT) AS any_span_tp, CAST(sum(t.f) AS BIGINT) AS full_span_tp, CAST(sum(t.st) AS BIGINT) AS strict_span_tp, CAST(sum(t.re) AS BIGINT) AS relaxed_span_tp FROM types t JOIN (SELECT {_K}, cohort FROM rows_) USING ({_K}) GROUP BY ALL HAVING sum(t.gt) > 0""",
+    "pdoc": "SELECT model_id, pass AS pass_, doc_id, gt, tp, row_number() OVER (PARTITION BY model_id, pass ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY model_id, pass) AS n FROM conf",
+    "draws": f"""SELECT n, b, (('0x' || substr(md5('20260801-' || b || '-' || i), 1, 8))::BIGINT % n) + 1 AS k FROM (SELECT DISTINCT n FROM pdoc), unnest(range(0, {RESAMPLES})) AS u(b), unnest(range(0, n)) AS v(i)""",
+    "boot": "SELECT p.model_id, p.pass_, d.b, sum(p.tp)::DOUBLE / nullif(sum(p.gt), 0) AS r FROM draws d JOIN pdoc p ON p.n = d.n AND p.k = d.k WHERE p.gt > 0 GROUP BY ALL",
+    "lits1": f"SELECT DISTINCT doc_id, i, code, lit FROM (SELECT doc_id, i, code, unnest(regexp_extract_all(t, re)) AS lit FROM seg, pat) WHERE lit <> ''",
+    "areg": _regions("occ", "doc_id"),
+    "akept": """SELECT doc_id, CAST(0 AS INT) AS piece_no, 0 AS src_start, coalesce((SELECT min(s) FROM areg f WHERE f.doc_id = n.doc_id), n) AS src_end, 0 AS shift FROM notes n
+      UNION ALL SELECT f.doc_id, CAST(region_no AS INT), f.e, coalesce(lead(f.s) OVER w, n.n), sum(5 - (f.e - f.s)) OVER (PARTITION BY f.doc_id ORDER BY f.s ROWS UNBOUNDED PRECEDING)
+      FROM areg f JOIN notes n USING (doc_id) WINDOW w AS (PARTITION BY f.doc_id ORDER BY f.s)""",
+    "apieces": "SELECT doc_id, piece_no, CAST(src_start + shift AS INT) AS rep_start, CAST(src_end + shift AS INT) AS rep_end, CAST(src_start AS INT) AS src_start, src_end FROM akept",
+    "ared": "SELECT doc_id, text, length(text) AS n FROM (SELECT doc_id, string_agg(substr(text, src_start + 1, src_end - src_start), '[PHI]' ORDER BY piece_no) AS text FROM apieces JOIN notes USING (doc_id) GROUP BY doc_id)",
+    "aseg": "SELECT doc_id, i, substr(text, i * 3100 + 1, 3500) AS t FROM ared, unnest(range(0, CAST(ceil(greatest(n - 3500, 0) / 3100.0) AS BIGINT) + 1)) AS u(i)",
+    "lits2": "SELECT DISTINCT doc_id, i, code, lit FROM (SELECT doc_id, i, code, unnest(regexp_extract_all(t, re)) AS lit FROM aseg, pat) WHERE lit <> ''",
+    "occ2": """SELECT DISTINCT o.doc_id, code, CAST(src_start + a - rep_start AS INT) AS s, CAST(src_start + b - rep_start AS INT) AS e FROM (
+      SELECT l.doc_id, code, p - 1 AS a, p - 1 + length(lit) AS b FROM (SELECT DISTINCT doc_id, code, lit FROM lits2) l JOIN ared USING (doc_id), unnest(range(1, n + 1)) AS u(p) WHERE substr(text, p, length(lit)) = lit) o
+      JOIN apieces q ON q.doc_id = o.doc_id AND rep_start <= a AND b <= rep_end""",
+    "tpspans": "SELECT 'pass1' AS pass, doc_id, s, e, code FROM occ UNION ALL SELECT DISTINCT 'cumulative_pass2', doc_id, s, e, code FROM (SELECT doc_id, s, e, code FROM occ UNION ALL SELECT doc_id, s, e, code FROM occ2)",
+    "tpresp": f"""SELECT pass, w.doc_id, 'S' || lpad(CAST(w.i + 1 AS VARCHAR), 4, '0') AS segment_id, {_WORDS.format('t')} AS prompt_tokens,
+      CAST(CASE WHEN count(lit) = 0 THEN 2 ELSE 1 + sum(3 + {_WORDS.format('lit')}) END AS BIGINT) AS completion_tokens, count(lit) AS raw_items
+      FROM (SELECT 'pass1' AS pass, doc_id, i, t FROM seg UNION ALL SELECT 'cumulative_pass2', doc_id, i, t FROM aseg) w
+      LEFT JOIN (SELECT 'pass1' AS pass, * FROM lits1 UNION ALL SELECT 'cumulative_pass2', * FROM lits2) l USING (pass, doc_id, i) GROUP BY pass, w.doc_id, w.i, t""",
+    "over": f"SELECT {_K}, n - 3 AS s, n + 5 AS e, n FROM uni JOIN notes USING (doc_id) WHERE n >= 3",
+    "opred": f"SELECT {_K}, s, e, least(e, n) AS c FROM pred JOIN notes USING (doc_id) UNION ALL SELECT {_K}, s, e, n FROM over",
+    "oreg": _regions(f"(SELECT {_K}, s, c AS e FROM opred)", _K),
 }
 
 
@@ -316,6 +451,8 @@ def _sql(final: str) -> str:
 
 
 _SE = 's AS "start", e AS "end"'
+_F1 = "CASE WHEN {0} + {1} > 0 THEN 2 * {0} * {1} / ({0} + {1}) END"
+_LAST = "pass = 'cumulative_pass2' AND cohort = 'all_expected'"
 _MARK = "CASE WHEN len(types) = 1 THEN '[' || substr(types[1], 4) || ']' ELSE '[MULTIPLE_PHI:' || array_to_string(types, '|') || ']' END"
 _FINAL = {
     "segment_notes": f"SELECT doc_id, 'S' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS segment_id, {_SE}, sha256(t) AS digest FROM seg",
@@ -339,8 +476,30 @@ _FINAL = {
     "span_hits": f'SELECT {_K}, {_SE}, code, "any", "full", strict, relaxed FROM shits',
     "predicted_span_counts": f"""SELECT {_K}, count(*) AS pred_span_count, count(*) FILTER (EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND abs(g.s - p.s) <= 2 AND abs(g.e - p.e) <= 2)) AS relaxed_pred FROM (SELECT DISTINCT {_K}, s, e FROM pred) p GROUP BY ALL""",
     "doc_operations": f"SELECT {_K}, segments, stop, prompt_tokens, completion_tokens, val_requests, usable, valid, have_validation, complete FROM ops",
-    "metrics_all": "SELECT model_id, pass, cohort, (SELECT count(DISTINCT doc_id) FROM notes) AS n_docs, * EXCLUDE (model_id, pass, cohort), CASE WHEN char_precision + char_recall > 0 THEN 2 * char_precision * char_recall / (char_precision + char_recall) END AS char_f1 FROM rates",
-    "metrics_types": "SELECT * FROM trows",
+    "metrics_all": f"""SELECT r.* EXCLUDE (relaxed_pred), (SELECT count(DISTINCT doc_id) FROM notes) AS n_docs, 'ALL' AS phi_type, 'final' AS surface, '' AS doc_provenance, {_F1.format('char_precision', 'char_recall')} AS char_f1, {_F1.format('strict_span_precision', 'strict_span_recall')} AS strict_span_f1,
+      {_F1.format('relaxed_span_precision', 'relaxed_span_recall')} AS relaxed_span_f1, char_recall AS char_recall_typematched, char_precision AS char_precision_typematched, {_F1.format('char_precision', 'char_recall')} AS char_f1_typematched,
+      CASE WHEN coalesce(repo, '') <> '' THEN 'https://huggingface.co/' || repo ELSE '' END AS hf_link, coalesce(repo, '') AS hf_gguf_repo, coalesce(developer, '') AS developer, coalesce(family, '') AS family, total AS "params_total_B", active AS "params_active_B", moe, medical AS is_medical, reasoning AS is_reasoning, coalesce(quant, '') AS quant
+      FROM rates r LEFT JOIN conf_ c USING (model_id)""",
+    "metrics_types": f"""SELECT model_id, (SELECT count(DISTINCT doc_id) FROM notes) AS n_docs, pass, 'final' AS surface, cohort, phi_type, n_notes, t.gt_phi_chars, t.gt_span_count, t.char_tp, t.char_fn, t.char_recall, t.char_fn AS residual_phi_chars, t.char_fn::DOUBLE / t.gt_phi_chars AS residual_phi_char_rate,
+      tpm::DOUBLE / t.gt_phi_chars AS char_recall_typematched, tpm::DOUBLE / nullif(pcm, 0) AS char_precision_typematched, {_F1.format('(tpm::DOUBLE / nullif(pcm, 0))', '(tpm::DOUBLE / t.gt_phi_chars)')} AS char_f1_typematched,
+      {', '.join(f't.{k}_span_tp, t.{k}_span_tp::DOUBLE / nullif(t.gt_span_count, 0) AS {k}_span_recall' for k in ('any', 'full', 'strict', 'relaxed'))}, CAST(0 AS INT) AS others FROM trows t JOIN rates USING (model_id, pass, cohort)""",
+    "per_document": """SELECT model_id, count(*) OVER (PARTITION BY model_id, pass) AS n_docs, doc_id AS doc, pass AS pass_, doc_chars, gt AS gt_phi_chars, pred_chars AS pred_phi_chars, tp AS char_tp, fp AS char_fp, fn AS char_fn, residual AS residual_phi_chars, residual = 0 AS zero_residual,
+      spans AS gt_spans, a AS any_span_hits, segments AS n_segments, usable AS usable_segments, stop AS finish_stop, complete AS operational_complete FROM pdocs""",
+    "figure2": f"SELECT model_id, char_recall, zero_residual_note_rate FROM rates WHERE {_LAST}",
+    "figure3": f"SELECT model_id, over_redaction_rate, char_recall FROM rates WHERE {_LAST}",
+    "figure4": f"SELECT model_id, any_span_recall, full_span_recall, relaxed_span_recall, strict_span_recall FROM rates WHERE {_LAST}",
+    "gazetteer": f"SELECT doc_id, 'S' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS segment_id, name AS exact_text FROM seg, (VALUES {_values((n,) for n in NAMES)}) AS v(name) WHERE contains(t, name)",
+    "clipped_confusion": f"""SELECT u.model_id, u.pass, u.doc_id, CAST(coalesce(pc, 0) AS BIGINT) AS pred_chars, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(coalesce(pc, 0) - coalesce(tp, 0) AS BIGINT) AS fp, CAST(coalesce(gt, 0) - coalesce(tp, 0) AS BIGINT) AS fn,
+      CAST(n - (coalesce(gt, 0) + coalesce(pc, 0) - coalesce(tp, 0)) AS BIGINT) AS tn, coalesce(pred_span_count, 0) AS pred_span_count, coalesce(relaxed_pred, 0) AS relaxed_pred FROM uni u JOIN notes USING (doc_id) LEFT JOIN gt USING (doc_id)
+      LEFT JOIN (SELECT {_K}, sum(e - s) AS pc FROM oreg GROUP BY ALL) p USING ({_K})
+      LEFT JOIN (SELECT {_K}, sum(least(g.e, r.e) - greatest(g.s, r.s)) AS tp FROM gcov g JOIN oreg r USING (doc_id) WHERE g.s < r.e AND r.s < g.e GROUP BY ALL) t USING ({_K})
+      LEFT JOIN (SELECT {_K}, count(*) AS pred_span_count, count(*) FILTER (EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND abs(g.s - p.s) <= 2 AND abs(g.e - p.e) <= 2)) AS relaxed_pred FROM (SELECT DISTINCT {_K}, s, e FROM opred) p GROUP BY ALL) c USING ({_K})""",
+    "two_pass_spans": f"SELECT pass, doc_id, {_SE}, code AS identifier_type FROM tpspans",
+    "tree_predictions": f"SELECT pass, doc_id, {_SE}, code AS identifier_type FROM tpspans",
+    "two_pass_responses": "SELECT pass, doc_id, segment_id, prompt_tokens, completion_tokens, 'stop' AS finish_reason, TRUE AS envelope_usable, TRUE AS strict_schema_valid, raw_items, raw_items AS accepted, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS ungrounded, CAST(0 AS BIGINT) AS invalid_type FROM tpresp",
+    "tree_operations": "SELECT 'm_all' AS model_id, doc_id, pass, count(*) AS segments, count(*) AS stop, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, count(*) AS val_requests, count(*) AS usable, count(*) AS valid, TRUE AS have_validation, TRUE AS complete FROM tpresp GROUP BY doc_id, pass",
+    "gold_documents": f"SELECT n.doc_id, CAST(n.n AS INT) AS n_chars, md5(n.text) AS digest, CAST(row_number() OVER (PARTITION BY n.doc_id ORDER BY s, e, code) - 1 AS INT) * CASE WHEN s IS NULL THEN NULL ELSE 1 END AS span_no, {_SE}, code FROM notes n LEFT JOIN gold g ON g.doc_id = n.doc_id",
+    "results_table": f"SELECT CAST(row_number() OVER (ORDER BY char_recall DESC NULLS LAST, model_id) AS INT) AS rank, model_id, CAST(n_notes AS DOUBLE) AS n_notes, char_recall, over_redaction_rate, CASE WHEN medical THEN 'True' WHEN NOT medical THEN 'False' END AS is_medical FROM rates LEFT JOIN conf_ USING (model_id) WHERE {_LAST}",
     "gold_types_present": "SELECT model_id, string_agg(DISTINCT code, ';' ORDER BY code) AS gold_types_present FROM each GROUP BY 1",
     "corpus_totals": """SELECT count(*) AS notes, CAST(sum(n) AS BIGINT) AS chars, (SELECT count(*) FROM gold) AS spans, (SELECT CAST(sum(e - s) AS BIGINT) FROM gcov) AS phi_chars, (SELECT count(DISTINCT code) FROM gold) AS categories,
       quantile_cont(n, 0.5) AS median_chars, quantile_cont(n, 0.25) AS q1_chars, quantile_cont(n, 0.75) AS q3_chars, 100.0::DOUBLE * (SELECT sum(e - s) FROM gcov) / sum(n) AS density_pct FROM notes""",
@@ -369,5 +528,6 @@ QUERIES = {
     for f in (
         segment_notes, segment_stats, extract_patterns, ground_occurrences, union_regions, overlap_components, neutral_redaction, typed_redaction, pass2_pieces, map_back, cumulative_union, validate_verdicts,
         doc_confusion, type_confusion, span_hits, predicted_span_counts, doc_operations, metrics_all, metrics_types, gold_types_present, corpus_totals, corpus_categories, results_ranked, figure5, figure6, checkpoints, bootstrap_ci, bootstrap_ci_exact,
+        per_document, figure2, figure3, figure4, gazetteer, clipped_confusion, two_pass_spans, two_pass_responses, tree_predictions, tree_operations, gold_documents, results_table,
     )
 }

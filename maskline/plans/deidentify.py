@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import OVERLAP, PASSES, WINDOW
 from ..operators import aggregate, score, spans, validate
 from ..operators.segment import segments
+from ..sources.sinks import shared_folder
 
 KEYS = ("model_id", "doc_id")
 
@@ -29,15 +29,20 @@ class Run:
 
 def _pass(number: int, texts: DataFrame, extractor, size: int, overlap: int, store):
     cut = segments(texts, size, overlap)
-    # asked once: a served model need not answer the same way twice
-    responses = store(extractor.respond(cut), f"responses_{number}")
+    # asked and parsed once: a served model need not answer the same way twice
+    responses = store(validate.parsed(extractor.respond(cut).withColumn("given_reason", F.col("finish_reason"))), f"responses_{number}")
     key = (*KEYS, "segment_id")
     found = validate.pairs(validate.verdicts(responses, *key), *KEYS)
-    return responses, validate.validations(responses, *key), found
+    given = responses.drop("parsed").withColumn("finish_reason", F.col("given_reason")).drop("given_reason")
+    return given, validate.validations(responses, *key), found
 
 
 def kept_on_disk(df: DataFrame, name: str) -> DataFrame:
-    return df.persist(StorageLevel.DISK_ONLY)
+    """A checkpoint in the shared folder: never made twice, and what is built on it has a short plan."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def deidentify(notes: DataFrame, extractor, size: int = WINDOW, overlap: int = OVERLAP, store=kept_on_disk) -> Run:

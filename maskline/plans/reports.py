@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,43 +83,68 @@ def checkpoints(spark: SparkSession) -> DataFrame:
 
 
 def bootstrap_exact(per_document: DataFrame, resamples: int = RESAMPLES, seed: int = BOOTSTRAP_SEED, alpha: float = ALPHA) -> DataFrame:
-    """Percentile intervals of pooled recall with the study's own random stream, notes in doc order.
+    """Percentile intervals of pooled recall with the random stream of Python's `random.choices`, notes in doc order.
 
-    per_document(model_id, pass_, doc, gt_phi_chars, char_tp). A model's notes of one pass go to one task.
+    per_document(model_id, pass_, doc, gt_phi_chars, char_tp). The stream has one order, so a model's notes of one
+    pass (three numbers each) are one task's; for more notes than that holds use `bootstrap`.
     """
 
-    def at(values: list[float], q: float) -> float:
+    def at(values: np.ndarray, q: float) -> float:
         k = (len(values) - 1) * q
         low = int(k)
-        return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (k - low)
+        return float(values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (k - low))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc", kind="stable")
-        gt, tp = pdf["gt_phi_chars"].tolist(), pdf["char_tp"].tolist()
-        draw, n, found = random.Random(seed), len(gt), []
+        gt, tp = pdf["gt_phi_chars"].to_numpy(), pdf["char_tp"].to_numpy()
+        n, found = len(gt), []
+        _, state, _ = random.Random(seed).getstate()
+        draw = np.random.RandomState()
+        draw.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
         for _ in range(resamples):
-            chosen = [draw.randrange(n) for _ in range(n)]
-            whole = sum(gt[i] for i in chosen)
+            chosen = (draw.random_sample(n) * n).astype(np.int64)
+            whole = gt[chosen].sum()
             if whole:
-                found.append(sum(tp[i] for i in chosen) / whole)
-        found.sort()
-        point = sum(tp) / sum(gt) if sum(gt) else None
-        low, high = (at(found, alpha / 2), at(found, 1 - alpha / 2)) if found else (None, None)
+                found.append(tp[chosen].sum() / whole)
+        found = np.sort(np.array(found))
+        point = tp.sum() / gt.sum() if gt.sum() else None
+        low, high = (at(found, alpha / 2), at(found, 1 - alpha / 2)) if len(found) else (None, None)
         return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "pass_": [pdf["pass_"].iloc[0]], "notes": [n], "recall": [point], "low": [low], "high": [high]})
 
     return per_document.groupBy("model_id", "pass_").applyInPandas(run, "model_id string, pass_ string, notes long, recall double, low double, high double")
 
 
-def bootstrap(per_document: DataFrame, resamples: int = 200, seed: int = BOOTSTRAP_SEED, alpha: float = ALPHA) -> DataFrame:
+def numbered(rows: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """rows with `k`, from 1 within each group in order, without a group going to one task.
+
+    Rows are dealt by ranges of (group, order); a range's first number is what the ranges before it hold, from a
+    table of one row for each range and group that it holds rows of.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *group, order).sortWithinPartitions(*group, order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = dealt.groupBy("_range", *group).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", *group, F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range", *group).orderBy(order))
+    return dealt.withColumn("_own", own).join(offsets, ["_range", *group]).withColumn("k", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
+def bootstrap(per_document: DataFrame, resamples: int = RESAMPLES, seed: int = BOOTSTRAP_SEED, alpha: float = ALPHA) -> DataFrame:
     """Percentile intervals of pooled recall, drawn by hashes: SQL all the way.
 
-    Draw i of resample b takes note md5(seed-b-i) mod n, so every engine draws the same.
+    Draw i of resample b takes note md5(seed-b-i) mod n, so every engine draws the same, and groups of as many
+    notes share their draws. Notes without gold characters add nothing to either sum, so draws
+    meet only the others.
     """
-    numbered = per_document.withColumn("k", F.row_number().over(Window.partitionBy("model_id", "pass_").orderBy("doc")))
-    n = numbered.groupBy("model_id", "pass_").agg(F.count("*").alias("n"), F.sum("char_tp").alias("tp"), F.sum("gt_phi_chars").alias("gt"))
-    draws = n.select("model_id", "pass_", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    group = ("model_id", "pass_")
+    each = numbered(per_document.select(*group, "doc", "gt_phi_chars", "char_tp"), group, "doc").persist(StorageLevel.DISK_ONLY)
+    sums = each.groupBy(*group).agg(F.count("*").alias("n"), F.sum("char_tp").alias("tp"), F.sum("gt_phi_chars").alias("gt"))
+    spread = int(per_document.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = sums.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition(spread, "n", "b")
+    draws = starts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     key = F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))
-    draws = draws.withColumn("k", (F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.col("n")) + 1).cast("int"))
-    drawn = draws.join(numbered.select("model_id", "pass_", "k", "char_tp", "gt_phi_chars"), ["model_id", "pass_", "k"]).groupBy("model_id", "pass_", "b").agg(F.try_divide(F.sum("char_tp").cast("double"), F.sum("gt_phi_chars").cast("double")).alias("r"))
-    bounds = drawn.groupBy("model_id", "pass_").agg(F.percentile("r", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
-    return n.join(bounds, ["model_id", "pass_"], "left").select("model_id", "pass_", F.col("n").alias("notes"), F.try_divide(F.col("tp").cast("double"), F.col("gt").cast("double")).alias("recall"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    draws = draws.withColumn("k", F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.col("n")) + 1)
+    counted = each.where("gt_phi_chars > 0").join(sums.select(*group, "n"), list(group))
+    drawn = draws.select("n", "b", "k").join(counted, ["n", "k"]).groupBy(*group, "b").agg(F.try_divide(F.sum("char_tp").cast("double"), F.sum("gt_phi_chars").cast("double")).alias("r"))
+    bounds = drawn.groupBy(*group).agg(F.percentile("r", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    return sums.join(bounds, list(group), "left").select(*group, F.col("n").alias("notes"), F.try_divide(F.col("tp").cast("double"), F.col("gt").cast("double")).alias("recall"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

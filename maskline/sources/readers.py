@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import CHECKPOINTS, METRICS
+from ..functions.constants import CHECKPOINTS, METRICS, PASSES
 from ..operators.extract import PLACEHOLDER
 
 GOLD = """sourcedb string, sourceid string, text string,
@@ -83,19 +86,41 @@ def discover_models(spark: SparkSession, out: str) -> DataFrame:
 
 def read_responses(spark: SparkSession, out: str) -> DataFrame:
     """Raw responses: first choice's finish reason and token counts; malformed files are left out."""
-    name = _part(r"([^/]*)$")
-    j = _json(spark, f"{out}/*/raw_responses/*/*.raw.json", ENVELOPE)
-    rows = j.where("j is not null and (j.choices is not null or j.usage is not null or j.model is not null or j.object is not null)")
-    number = F.regexp_extract(name, r"^P(\d+)-", 1)
     tokens = lambda c: F.coalesce(F.col(f"j.usage.{c}"), F.lit(0)).alias(c)
-    return rows.select(_part(r"([^/]*)/raw_responses/").alias("model_id"), F.when(number == "1", "pass1").when(number == "2", "cumulative_pass2").alias("pass"), _part(r"/raw_responses/([^/]*)/").alias("doc_id"), F.try_element_at("j.choices", F.lit(1))["finish_reason"].alias("finish_reason"), tokens("prompt_tokens"), tokens("completion_tokens")).where("pass is not null")
+
+    def of(below: str, number: int) -> DataFrame:
+        j = _json(spark, f"{out}/*{below}/raw_responses/*/*.raw.json", ENVELOPE)
+        rows = j.where("j is not null and (j.choices is not null or j.usage is not null or j.model is not null or j.object is not null)")
+        rows = rows.where(F.startswith(_part(r"([^/]*)$"), F.lit(f"P{number}-")))
+        return rows.select(_part(rf"([^/]*){below}/raw_responses/").alias("model_id"), F.lit(PASSES[number - 1]).alias("pass"), _part(r"/raw_responses/([^/]*)/").alias("doc_id"), F.try_element_at("j.choices", F.lit(1))["finish_reason"].alias("finish_reason"), tokens("prompt_tokens"), tokens("completion_tokens"))
+
+    return _both(of)
 
 
 def read_validations(spark: SparkSession, out: str) -> DataFrame:
-    """Validation records; the pass is what the scope id begins with."""
-    j = _json(spark, f"{out}/*/validation/*/*.validation.json", VALIDATION).where("j.scope_id is not null")
-    scope = F.col("j.scope_id")
-    return j.select(_part(r"([^/]*)/validation/").alias("model_id"), F.when(scope.startswith("P1"), "pass1").when(scope.startswith("P2"), "cumulative_pass2").alias("pass"), _part(r"/validation/([^/]*)/").alias("doc_id"), F.col("j.envelope_usable").alias("envelope_usable"), F.col("j.strict_schema_valid").alias("strict_schema_valid")).where("pass is not null")
+    """Validation records whose scope id begins with the pass."""
+
+    def of(below: str, number: int) -> DataFrame:
+        j = _json(spark, f"{out}/*{below}/validation/*/*.validation.json", VALIDATION).where(F.startswith("j.scope_id", F.lit(f"P{number}")))
+        return j.select(_part(rf"([^/]*){below}/validation/").alias("model_id"), F.lit(PASSES[number - 1]).alias("pass"), _part(r"/validation/([^/]*)/").alias("doc_id"), F.col("j.envelope_usable").alias("envelope_usable"), F.col("j.strict_schema_valid").alias("strict_schema_valid"))
+
+    return _both(of)
+
+
+def _both(of: Callable[[str, int], DataFrame]) -> DataFrame:
+    """Files of Pass 1, in a model's folder, and of Pass 2, in its pass_2; a pass may have none."""
+    out = None
+    for below, number in (("", 1), ("/pass_2", 2)):
+        try:
+            found = of(below, number)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise FileNotFoundError("no files of either pass")
+    return out
 
 
 def config_columns(j: DataFrame) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import platform
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import COHORTS, METRICS, PASSES, TOLERANCE
+from ..functions.constants import COHORTS, METRICS, PASSES, PREDICTIONS_VERSION, TOLERANCE
+from ..operators.spans import resolved_documents
+from ..operators.validate import without_content
 
 
 def write_table(df: DataFrame, path: str, *by: str) -> None:
@@ -25,9 +29,37 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*[_cell(df, c) for c in df.columns]).coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def write_files(df: DataFrame, folder: str, suffix: str = ".json") -> None:
-    """df(path, value): each value as a file of its own, folder/path/part-*; paths become directories."""
-    df.select(F.col("path"), "value").repartition("path").write.mode("overwrite").partitionBy("path").option("lineSep", "\n").text(folder)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a local session may use its warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+def _pretty(text: str) -> str:
+    return json.dumps(json.loads(text), indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+
+
+def write_files(df: DataFrame, folder: str) -> int:
+    """df(path, value): each JSON value, pretty and with sorted keys, as the file folder/path; returns how many.
+
+    folder is a path or URI that all executors see; a repeated task writes the same files again.
+    """
+
+    def run(batches):
+        system, root = FileSystem.from_uri(folder)
+        for pdf in batches:
+            for path, value in zip(pdf["path"], pdf["value"]):
+                at = f"{root.rstrip('/')}/{path}"
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(at) as f:
+                    f.write(_pretty(value).encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return df.select("path", "value").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
 
 
 def resolved_json(docs: DataFrame) -> DataFrame:
@@ -36,13 +68,49 @@ def resolved_json(docs: DataFrame) -> DataFrame:
     return docs.select("model_id", "doc_id", F.to_json(F.struct(*[F.col(c) for c in fields], F.col("doc_id").cast("string").alias("document_id"))).alias("value"))
 
 
+def envelope(responses: DataFrame) -> Column:
+    """A response as its chat-completion envelope; what is null is left out."""
+    # Names in the envelope.
+    message = F.struct(F.lit("assistant").alias("role"), "content")
+    choice = F.struct(F.lit(0).alias("index"), "finish_reason", message.alias("message"))
+    usage = F.struct("prompt_tokens", "completion_tokens", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
+    return F.struct(F.array(choice).alias("choices"), usage.alias("usage"), F.col("model_id").alias("model"), F.lit("chat.completion").alias("object"), "transport_error", "latency_seconds")
+
+
+def write_tree(folder: str, notes: DataFrame, responses: DataFrame, validations: DataFrame, found: DataFrame, strip_content: bool = False) -> int:
+    """A run's tables as the tree of files that the readers read: Pass 1 in the model's folder, Pass 2 in its pass_2."""
+    at = F.concat("model_id", F.when(F.col("pass") == PASSES[1], "/pass_2").otherwise(""))
+    scope = F.concat(F.when(F.col("pass") == PASSES[1], "P2-").otherwise("P1-"), F.col("segment_id"))
+    whole = envelope(responses)
+    raw = responses.select(F.concat(at, F.lit("/raw_responses/"), "doc_id", F.lit("/"), scope, F.lit(".raw.json")).alias("path"), F.to_json(without_content(whole) if strip_content else whole).alias("value"))
+    record = F.struct(F.col("doc_id").cast("string").alias("document_id"), scope.alias("scope_id"), "envelope_usable", "strict_schema_valid", "finish_reason", "contains_literal_text")
+    seen = validations.select(F.concat(at, F.lit("/validation/"), "doc_id", F.lit("/"), scope, F.lit(".validation.json")).alias("path"), F.to_json(record).alias("value"))
+    files = raw.unionByName(seen)
+    for p in PASSES:
+        docs = resolved_documents(notes, found.where(F.col("pass") == p).select("model_id", "doc_id", "start", "end", "identifier_type"), ("model_id", "doc_id"), PREDICTIONS_VERSION)
+        docs = resolved_json(docs).withColumn("pass", F.lit(p))
+        files = files.unionByName(docs.select(F.concat(at, F.lit("/resolved/"), "doc_id", F.lit("/resolved_predictions.json")).alias("path"), "value"))
+    return write_files(files, folder)
+
+
+def write_gold(records: DataFrame, folder: str) -> int:
+    """Gold records as <doc_id>.json files."""
+    fields = [c for c in records.columns if c != "doc_id"]
+    return write_files(records.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct(*fields)).alias("value")), folder)
+
+
 def run_manifest(metrics: DataFrame, per_document: DataFrame, gold_source: str, version: str = "0.1") -> str:
     """The run's manifest as JSON."""
     models = [r.model_id for r in metrics.select("model_id").distinct().orderBy("model_id").collect()]
+    # Keys of the manifest, and the definitions that it states.
     return json.dumps({
         "code_version": version, "python_version": platform.python_version(), "platform": platform.platform(), "gold_source": gold_source,
-        "offset_unit": "Unicode codepoint; half-open [start,end)", "models": models, "n_models": len(models), "cohorts": list(COHORTS), "passes": list(PASSES), "surfaces": ["final"],
-        "entity_relaxed_tolerance": TOLERANCE, "averaging": "micro by default; *_macro is the mean of per-note rates",
+        "offset_unit": "Unicode codepoint; half-open [start,end)", "reference_text": "text of the gold records", "models": models, "n_models": len(models),
+        "cohorts": [f"{COHORTS[0]} (all notes; without output a note is missed in full)", f"{COHORTS[1]} (notes of which all windows finished and, if validated, were usable)"],
+        "passes": [PASSES[0], f"{PASSES[1]} (Pass 1 united with Pass 2)"], "surfaces": ["final (redaction from the resolved predictions)"],
+        "recall_definition": "gold characters under any redaction / gold characters, whatever the category",
+        "span_recall": ["any_span (a character or more is covered)", "full_span (all are)", "strict (equal bounds)", f"relaxed (both bounds within {TOLERANCE} codepoints)"],
+        "entity_relaxed_tolerance": TOLERANCE, "averaging": "micro by default (counts are summed, then divided); *_macro is the mean of per-note rates",
         "n_cols_metrics_long": len(METRICS), "n_rows_metrics_long": metrics.count(), "n_rows_per_doc": per_document.count(),
     }, indent=2) + "\n"
 
@@ -79,3 +147,16 @@ def bar_chart(df: DataFrame, title: str, label: str = "model_id") -> str:
         x += 20
     title = title.replace("&", "&amp;").replace("<", "&lt;")
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{x + 20}" height="280"><text x="10" y="20" font-size="14">{title}</text>{"".join(out)}</svg>'
+
+
+def scatter_chart(df: DataFrame, title: str, x: str, y: str, label: str = "model_id") -> str:
+    """A small report table's rows as labelled points, in SVG; rows without both numbers are left out."""
+    rows = [(str(r[label]), float(r[x]), float(r[y])) for r in df.collect() if r[x] is not None and r[y] is not None]
+    most_x, most_y = (max([1e-9, *(r[i] for r in rows)]) for i in (1, 2))
+    clean = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+    dots = []
+    for name, a, b in rows:
+        px, py = 60 + 500 * a / most_x, 340 - 290 * b / most_y
+        dots.append(f'<circle cx="{px:.1f}" cy="{py:.1f}" r="4" fill="#4269d0"/><text x="{px + 6:.1f}" y="{py - 4:.1f}" font-size="9">{clean(name)}</text>')
+    axes = f'<path d="M60 40V340H580" fill="none" stroke="black"/><text x="300" y="370" font-size="11">{clean(x)} (to {most_x:.3g})</text><text x="10" y="34" font-size="11">{clean(y)} (to {most_y:.3g})</text>'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="640" height="380"><text x="10" y="16" font-size="14">{clean(title)}</text>{axes}{"".join(dots)}</svg>'

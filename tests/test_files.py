@@ -23,8 +23,15 @@ def _tree(top):
 def test_run_score_and_report(spark, tmp_path, capsys):
     _tree(tmp_path)
     t = str(tmp_path)
-    cli.main(["run", "--notes-dir", f"{t}/notes", "--out-dir", f"{t}/out", "--offline-stub", "--name-file", f"{t}/names.txt"])
+    cli.main(["run", "--notes-dir", f"{t}/notes", "--out-dir", f"{t}/out", "--offline-stub", "--name-file", f"{t}/names.txt", "--json-tree", f"{t}/tree"])
     cli.main(["score", "--pred-dir", f"{t}/out", "--gold-dir", f"{t}/gold", "--out-dir", f"{t}/res"])
+    cli.main(["score", "--pred-dir", f"{t}/tree", "--json-tree", "--gold-dir", f"{t}/gold", "--out-dir", f"{t}/again"])
+    named = (tmp_path / "tree/offline-stub/pass_2/raw_responses/N1/P2-S0001.raw.json").read_text()
+    assert named.startswith('{\n  "choices"') and json.loads(named)["object"] == "chat.completion"
+    record = json.loads((tmp_path / "tree/offline-stub/resolved/N1/resolved_predictions.json").read_text())
+    assert record["document_id"] == "N1" and record["contains_literal_text"] is False and record["predictions"]
+    first, second = (sorted(map(str, readers.read_results(spark, f"{t}/{x}/metrics_long").drop("developer", "family", "hf_link").collect())) for x in ("res", "again"))
+    assert first == second
     m = readers.read_results(spark, f"{t}/res/metrics_long")
     assert m.count() == 32 and len(m.columns) == 69
     gold = list(gold_rows())
@@ -49,7 +56,10 @@ def test_file_tree_of_a_run(spark, tmp_path):
         (base / p / "resolved_predictions.json").write_text("{broken" if spans is None else json.dumps({"predictions": spans}))
     (base / "raw_responses/d").mkdir(parents=True)
     (base / "raw_responses/d/P1-S0001.raw.json").write_text(json.dumps({"choices": [{"finish_reason": "stop"}], "usage": {"prompt_tokens": 5}}))
-    (base / "raw_responses/d/P2-S0001.raw.json").write_text("nonsense")
+    (base / "pass_2/raw_responses/d").mkdir(parents=True)
+    (base / "pass_2/raw_responses/d/P2-S0001.raw.json").write_text("nonsense")
+    (base / "pass_2/raw_responses/d/P2-S0002.raw.json").write_text(json.dumps({"choices": [{"finish_reason": "length"}], "usage": {"completion_tokens": 3}}))
+    (base / "pass_2/raw_responses/d/P1-S0001.raw.json").write_text(json.dumps({"choices": [{"finish_reason": "stop"}]}))
     (base / "validation/d").mkdir(parents=True)
     (base / "validation/d/P1-S0001.validation.json").write_text(json.dumps({"scope_id": "P1-S0001", "envelope_usable": True, "strict_schema_valid": False}))
     (base / "model_config.json").write_text(json.dumps({"developer": "D", "hf_gguf_repo": "a/b", "moe": False, "reasoning": True, "quant_target": "Q"}))
@@ -57,7 +67,7 @@ def test_file_tree_of_a_run(spark, tmp_path):
     assert [(r["pass"], r.start) for r in readers.read_predictions(spark, out).collect()] == [("pass1", 0)]
     assert [r.model_id for r in readers.discover_models(spark, out).collect()] == ["m"]
     r = readers.read_responses(spark, out).collect()
-    assert [(x["pass"], x.finish_reason, x.prompt_tokens, x.completion_tokens) for x in r] == [("pass1", "stop", 5, 0)]
+    assert sorted((x["pass"], x.finish_reason, x.prompt_tokens, x.completion_tokens) for x in r) == [("cumulative_pass2", "length", 0, 3), ("pass1", "stop", 5, 0)]
     v = readers.read_validations(spark, out).head()
     assert (v["pass"], v.envelope_usable, v.strict_schema_valid) == ("pass1", True, False)
     c = readers.read_configs(spark, out).head()
@@ -78,7 +88,7 @@ def test_bad_inputs(spark, tmp_path):
 def test_transport_errors_are_responses(spark):
     asked = ServerExtractor("http://127.0.0.1:9", "m", "s", "{{CLINICAL_TEXT}}", 1)
     r = asked.respond(spark.createDataFrame([("d", "t")], "doc_id string, text string")).head()
-    assert r.finish_reason == "error" and r.transport_error and r.content == ""
+    assert (r.finish_reason, r.transport_error, r.content, r.prompt_tokens) == ("error", "URLError", "", 0)
 
 
 def test_printers(spark):

@@ -1,16 +1,18 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from maskline.functions.text import occurrences
 from maskline.operators import spans, validate
 from maskline.operators.extract import PatternExtractor, payload
+from maskline.operators.gold import gold_records
 from maskline.operators.segment import check_segments, segments
 from maskline.plans import reports
 from maskline.plans.deidentify import both_passes, deidentify, score_run
+from maskline.sources import readers, sinks
 
-from .fixture import NAMES, NOTES, frames, gold_rows, starts
+from .fixture import GOLD, NAMES, NOTES, frames, gold_rows, starts
 
 K = ["doc_id"]
 
@@ -51,9 +53,31 @@ def test_reports(spark, scored):
     total = reports.corpus_totals(docs, gold).head()
     assert (total.notes, total.spans, total.categories) == (3, gold.count(), 7)
     assert reports.checkpoints(spark).count() == 17
-    a = reports.bootstrap_exact(out.per_document, 50).where("pass_ = 'pass1'").head()
-    b = reports.bootstrap(out.per_document, 50).where("pass_ = 'pass1'").head()
-    assert a.recall == b.recall and 0 <= a.low <= a.high <= 1 and 0 <= b.low <= b.high <= 1
+
+
+def _percentile(values, q):
+    values = sorted(values)
+    k = (len(values) - 1) * q
+    low = int(k)
+    return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (k - low)
+
+
+def test_bootstrap_against_plain_loops(spark):
+    random.seed(3)
+    rows = [(m, p, d, random.choice([0, 5, 9]), 0) for m in "ab" for p in "xy" for d in range(23 if m == "a" else 17)]
+    rows = [(m, p, d, g, random.randint(0, g)) for m, p, d, g, _ in rows]
+    df = spark.createDataFrame(rows, "model_id string, pass_ string, doc long, gt_phi_chars long, char_tp long")
+    exact = {(r.model_id, r.pass_): r for r in reports.bootstrap_exact(df, 60, 7).collect()}
+    hashed = {(r.model_id, r.pass_): r for r in reports.bootstrap(df, 60, 7).collect()}
+    for key in exact:
+        notes = [(g, t) for m, p, _, g, t in rows if (m, p) == key]
+        n, draw = len(notes), random.Random(7)
+        by_stream = [draw.choices(notes, k=n) for _ in range(60)]
+        by_hash = [[notes[int(hashlib.md5(f"7-{b}-{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)] for b in range(60)]
+        for got, samples in ((exact[key], by_stream), (hashed[key], by_hash)):
+            recalls = [sum(t for _, t in s) / sum(g for g, _ in s) for s in samples]
+            assert got.notes == n and got.recall == sum(t for _, t in notes) / sum(g for g, _ in notes)
+            assert got.low == pytest.approx(_percentile(recalls, 0.025)) and got.high == pytest.approx(_percentile(recalls, 0.975))
 
 
 def test_redacted_length(scored):
@@ -79,10 +103,24 @@ def test_segments(spark):
 
 def test_occurrences(spark):
     random.seed(1)
-    rows = [("".join(random.choice("ab.\\E[😀\n") for _ in range(30)), "".join(random.choice("ab.\\E[😀\n") for _ in range(random.randint(0, 3)))) for _ in range(300)]
-    df = spark.createDataFrame(rows, "t string, l string")
-    for r in df.select("t", "l", occurrences(F.col("t"), F.col("l")).alias("o")).collect():
-        assert r.o == starts(r.t, r.l)
+    rows = [(i, "".join(random.choice("ab.\\E[😀\n") for _ in range(30)), "".join(random.choice("ab.\\E[😀\n") for _ in range(random.randint(0, 3)))) for i in range(300)]
+    notes = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, x, "c") for i, _, x in rows] * 2, "doc_id long, exact_text string, identifier_type string")
+    got = {(r.doc_id, r.start, r.end) for r in spans.ground(pairs, notes, K).collect()}
+    assert got == {(i, s, s + len(x)) for i, t, x in rows for s in starts(t, x)}
+
+
+def test_gold_records(spark, tmp_path):
+    notes, _, gold = frames(spark)
+    given = spark.createDataFrame([(d, *p) for d, pairs in GOLD.items() for p in pairs], "doc_id string, exact_text string, identifier_type string")
+    records = gold_records(notes, given, "invented")
+    first = records.where("doc_id = 'N1'").head()
+    assert (first.sourcedb, first.sourceid, first.denotations[0].id, first.attributes[0].subj, first.attributes[0].pred) == ("invented", "N1", "T1", "T1", "identifier_type")
+    sinks.write_gold(records, f"{tmp_path}/gold")
+    _, back = readers.read_gold(spark, f"{tmp_path}/gold")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, gold.collect()))
+    with pytest.raises(Exception, match="literal not found"):
+        gold_records(notes, given.selectExpr("doc_id", "'nowhere' AS exact_text", "identifier_type"), "x").collect()
 
 
 def test_regions_touching_and_types(spark):
