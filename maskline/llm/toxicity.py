@@ -88,6 +88,15 @@ def _present(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return keys >> BITS, keys & ((1 << BITS) - 1), n
 
 
+def log_ratios(other: np.ndarray, toxic: np.ndarray, n_other: int, n_toxic: int) -> np.ndarray:
+    """Shrunk log-count ratios of features in so many of n_other and of n_toxic documents."""
+    share = n_toxic / (n_other + n_toxic)
+    a, b = other + PRIOR * (1 - share), toxic + PRIOR * share
+    r = np.log(b / n_toxic) - np.log(a / n_other)
+    support = r * r / (1 / a + 1 / b)
+    return r * support / (support + SHRINK)
+
+
 def _fit_part(ratio, start, penalty: float = 1e-3):
     """Steps of a logistic regression on presence scaled by r, over a task's documents: the weights of the buckets seen, and the bias."""
 
@@ -131,13 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         counts = sample.mapInArrow(_counts, "bucket int, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
         found = counts.toArrow()  # at most 2^BITS rows
         bucket, a, b = (found[c].to_numpy() for c in ("bucket", "other", "toxic"))
-        share = n[1] / (n[0] + n[1])
         ratio, weights = np.zeros(1 << BITS), np.zeros((1 << BITS) + 1)
-        a, b = a + PRIOR * (1 - share), b + PRIOR * share
-        r = np.log(b / n[1]) - np.log(a / n[0])
-        support = r * r / (1 / a + 1 / b)
-        ratio[bucket] = r * support / (support + SHRINK)
-        weights[-1] = np.log(share / (1 - share))
+        ratio[bucket] = log_ratios(a, b, n[0], n[1])
+        weights[-1] = np.log(n[1] / n[0])
         given = spark.sparkContext.broadcast(ratio)
         for _ in range(ROUNDS):
             fitted = sample.mapInArrow(_fit_part(given, spark.sparkContext.broadcast(weights)), "bucket int, weight double, docs double")

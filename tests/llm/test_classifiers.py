@@ -1,7 +1,9 @@
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from maskline.llm import line_quality, toxicity
 
@@ -24,6 +26,40 @@ def test_toxicity_learns_words(spark):
     assert toxicity.score(d.drop("score").limit(0), model, "doc_id").count() == 0
 
 
+def _buckets(text):
+    """Buckets of all n-grams of a text, by plain loops."""
+    out, chars = set(), [ord(c) for c in text.lower()]
+    for i in range(len(chars)):
+        state = 0
+        for k in range(1, min(6, len(chars) - i) + 1):
+            state = (state + chars[i + k - 1] + k) * 0x9E3779B1 & 0xFFFFFFFF
+            state ^= state >> 15
+            if k >= 4:
+                out.add((state * 0x85EBCA6B & 0xFFFFFFFF) >> 12)
+    return out
+
+
+def test_toxicity_counts_ratios_and_scores_against_plain_loops(spark):
+    random.seed(5)
+    texts = ["", "Abc", "ÀÉ😀 long"] + ["".join(random.choice("aBcé d\n") for _ in range(random.randint(0, 60))) for _ in range(40)]
+    y = [i % 3 == 0 for i in range(len(texts))]
+    found = [_buckets(t) for t in texts]
+    counts = {(r.bucket): (r.other, r.toxic) for r in spark.createDataFrame([(int(v), t) for v, t in zip(y, texts)], "y int, text string").mapInArrow(toxicity._counts, "bucket int, other long, toxic long").groupBy("bucket").sum("other", "toxic").toDF("bucket", "other", "toxic").collect()}
+    assert counts == {b: (sum(b in f and not v for f, v in zip(found, y)), sum(b in f and v for f, v in zip(found, y))) for f in found for b in f}
+    for a, b in ((0, 9), (9, 0), (1, 0), (3, 1)):
+        p, q = a + 4 * 30 / 40, b + 4 * 10 / 40
+        r = math.log((q / 10) / (p / 30))
+        z = r / math.sqrt(1 / p + 1 / q)
+        assert toxicity.log_ratios(np.array([a]), np.array([b]), 30, 10)[0] == pytest.approx(r * z * z / (z * z + 16))
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -0.5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model, "doc_id").collect()}
+    for i, f in enumerate(found):
+        margin = sum(float(model.weights[b]) for b in f) - 0.5
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-6)
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(2)
     doc = np.array([0, 0, 0, 1, 2, 2])

@@ -48,6 +48,28 @@ def test_best_fit_takes_the_fullest_and_closes_it():
     assert bins.add(9)[0] == 3
 
 
+def test_best_fit_against_a_plain_scan():
+    random.seed(2)
+    for size, most in ((10, 2), (50, 5), (1024, 40)):
+        bins, opened, made = packing.BestFit(size, most), [], 0  # opened: [free, bin], the newest last
+        for _ in range(600):
+            n = random.randint(1, size - 1)
+            fits = [x for x in opened if x[0] >= n]
+            if fits:
+                best = min(x[0] for x in fits)
+                chosen = [x for x in fits if x[0] == best][-1]
+                opened.remove(chosen)
+                free, own = chosen
+            else:
+                free, own, made = size, made, made + 1
+            assert bins.add(n) == (own, size - free)
+            if free - n:
+                opened.append([free - n, own])
+                if len(opened) > most:  # the fullest closes; of equal ones the newest
+                    least = min(x[0] for x in opened)
+                    opened.remove([x for x in opened if x[0] == least][-1])
+
+
 def test_archives_round_trip(spark, tmp_path):
     big = "a" * 200
     rows = [(1, "u", big), (2, "v", big), (3, None, None), (None, "x\r\ny", big), (5, "z", "a" * 20), (6, "z", "a" * 20), (2, "v", big), (7, "q", "\r\n\r\nWARC/1.1 é" * 30)]

@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 
 from maskline.llm import decontaminate, fingerprint, simhash_near
 
@@ -88,6 +90,58 @@ def test_next_documents_and_fingerprints(spark):
     assert prints[""] == [0, 0] and prints["a b"] != prints["a b c d"]
 
 
+def test_fingerprint_bits_against_plain_votes(spark):
+    random.seed(9)
+    texts = ["", " \t\n", "one", "one two", "é😀 ü \x0b x"] + [" ".join(random.choice([*WORDS, "a" * 40, "é" * 20]) for _ in range(random.choice([3, 30, 1500]))) for _ in range(25)]
+    rows = fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "n long, t string"), "t", "n").collect()
+    for r in rows:
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", texts[r.n]) if w]
+        votes, whole = [0] * 128, 0
+        for a, b in zip(words, [*words[1:], None]):
+            h0 = xxhash.xxh64_intdigest(a.encode(), 42)
+            if b is not None:
+                h0 = xxhash.xxh64_intdigest(b.encode(), h0)
+            h1 = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), xxhash.xxh64_intdigest(h0.to_bytes(8, "little"), 42))
+            weight = min(31, len(a) + len(b or ""))
+            whole += weight
+            for k in range(128):
+                votes[k] += weight * ((h0 if k < 64 else h1) >> k % 64 & 1)
+        want = [sum(1 << i for i in range(64) if votes[64 * k + i] * 2 > whole) for k in (0, 1)]
+        assert [x % (1 << 64) for x in r.print] == want
+
+
+def test_hot_keys_are_cut_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(simhash_near, "HOT", 10)
+    random.seed(10)
+    centers = [random.getrandbits(64) for _ in range(3)]
+    prints = sorted({c ^ sum({1 << random.randrange(64) for _ in range(random.randint(0, 5))}) for c in centers for _ in range(60)})
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(p),) for p in prints], "print long")
+    edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash_near.links(df).collect()]
+    sets, plain = simhash_near._Sets(len(prints)), simhash_near._Sets(len(prints))
+    number = {p: i for i, p in enumerate(prints)}
+    for a, b in edges:
+        sets.join(number[a], number[b])
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                plain.join(i, j)
+    assert [sets.root(i) for i in range(len(prints))] == [plain.root(i) for i in range(len(prints))]
+
+
+def test_trees_have_no_hubs():
+    random.seed(11)
+    pairs = np.array([(0, i) for i in range(1, 200)] + [(300 + i, 301 + i) for i in range(50)])
+    edges = simhash_near.tree_edges(pairs, 400)
+    assert len(edges) == 199 + 50 and np.bincount(edges.ravel()).max() <= 3
+    a, b = simhash_near._Sets(400), simhash_near._Sets(400)
+    for x, y in pairs.tolist():
+        a.join(x, y)
+    for x, y in edges.tolist():
+        b.join(x, y)
+    assert [a.root(i) for i in range(400)] == [b.root(i) for i in range(400)]
+
+
 def test_votes_of_long_texts_fit(spark):
     """A repeated term gives one of its bits all votes of every chunk; the fingerprint is that term's hashes."""
     word = "x" * 20
