@@ -34,14 +34,19 @@ def clipped(predicted: DataFrame, gold_docs: DataFrame) -> DataFrame:
     return joined.withColumn("end", F.least("end", "n_chars").cast("int")).where("end > start").drop("n_chars")
 
 
+def predicted_cover(gold_docs: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Disjoint regions of each note's predictions within its text."""
+    return regions(clipped(predicted, gold_docs), KEYS).drop("region_no")
+
+
 def gold_cover(gold: DataFrame) -> DataFrame:
     return regions(gold.where("end > start"), ["doc_id"]).drop("region_no")
 
 
-def char_counts(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+def char_counts(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, cover: DataFrame | None = None) -> DataFrame:
     """Per note: gt, pred_chars, tp, fp, fn, tn, residual and the note's length."""
     own = gold_cover(gold)
-    cover = regions(clipped(predicted, gold_docs), KEYS).drop("region_no")
+    cover = predicted_cover(gold_docs, predicted) if cover is None else cover
     gt = own.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("gt"))
     pc = cover.groupBy(*KEYS).agg(F.sum(F.col("end") - F.col("start")).alias("pred_chars"))
     tp = _overlap(_as_left(own), cover, ["doc_id"]).groupBy(*KEYS).agg(F.sum("shared").alias("tp"))
@@ -49,17 +54,13 @@ def char_counts(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, pred
     return base.select(*KEYS, F.col("n_chars").cast("long").alias("doc_chars"), "gt", "pred_chars", "tp", (F.col("pred_chars") - F.col("tp")).alias("fp"), (F.col("gt") - F.col("tp")).alias("fn"), (F.col("n_chars") - (F.col("gt") + F.col("pred_chars") - F.col("tp"))).alias("tn"), (F.col("gt") - F.col("tp")).alias("residual"))
 
 
-def _near(a: DataFrame, b: DataFrame, tolerance: int) -> Column:
-    return (F.abs(a["start"] - b["start"]) <= tolerance) & (F.abs(a["end"] - b["end"]) <= tolerance)
-
-
-def span_hits(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+def span_hits(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, tolerance: int = TOLERANCE, cover: DataFrame | None = None) -> DataFrame:
     """Per note and gold span: any, full, strict and relaxed hits, as 0 or 1.
 
     Relaxed candidates meet on every start within the tolerance, which keeps the join an equality.
     """
     each = universe.join(gold, "doc_id")
-    cover = regions(clipped(predicted, gold_docs), KEYS).drop("region_no")
+    cover = predicted_cover(gold_docs, predicted) if cover is None else cover
     span = [*KEYS, "span_no"]
     covered = _overlap(_as_left(each), cover, list(KEYS)).groupBy(*span).agg(F.sum("shared").alias("covered"))
     bounds = predicted.select(*KEYS, "start", "end").distinct()
@@ -82,14 +83,14 @@ def predicted_spans(gold: DataFrame, predicted: DataFrame, tolerance: int = TOLE
     return bounds.join(near, [*KEYS, "start", "end"], "left").groupBy(*KEYS).agg(F.count("*").alias("pred_span_count"), F.sum(F.coalesce("near", F.lit(0))).alias("relaxed_pred"))
 
 
-def document_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+def document_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, cover: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """One wide row for each note of the universe."""
-    hits = span_hits(universe, gold_docs, gold, predicted).groupBy(*KEYS).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in ("any", "full", "strict", "relaxed")])
-    out = char_counts(universe, gold_docs, gold, predicted).join(hits, list(KEYS), "left").join(predicted_spans(gold, predicted), list(KEYS), "left")
+    hits = (span_hits(universe, gold_docs, gold, predicted, cover=cover) if hits is None else hits).groupBy(*KEYS).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in ("any", "full", "strict", "relaxed")])
+    out = char_counts(universe, gold_docs, gold, predicted, cover).join(hits, list(KEYS), "left").join(predicted_spans(gold, predicted), list(KEYS), "left")
     return out.na.fill(0)
 
 
-def type_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+def type_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, cover: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Per note and gold category that occurs in it: gt, tp (any type), tp_matched, pred_matched, fn and span hits.
 
     A category's predictions are those with the same leading digits, counted only in notes that have
@@ -97,14 +98,15 @@ def type_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, pred
     """
     own = regions(gold.where("end > start"), ["doc_id", "code"]).drop("region_no")
     cut = clipped(predicted, gold_docs).withColumn("prefix", prefix(F.col("identifier_type")))
-    cover, by_prefix = regions(cut, KEYS).drop("region_no"), regions(cut, [*KEYS, "prefix"]).drop("region_no")
+    cover = regions(cut, KEYS).drop("region_no") if cover is None else cover
+    by_prefix = regions(cut, [*KEYS, "prefix"]).drop("region_no")
     key = [*KEYS, "code"]
     base = universe.join(gold.select("doc_id", "code").distinct(), "doc_id").withColumn("prefix", prefix(F.col("code")))
     gt = own.groupBy("doc_id", "code").agg(F.sum(F.col("end") - F.col("start")).alias("gt"))
     tp = _overlap(_as_left(own), cover, ["doc_id"]).groupBy(*key).agg(F.sum("shared").alias("tp"))
     tpm = _overlap(_as_left(own.withColumn("prefix", prefix(F.col("code")))), by_prefix, ["doc_id", "prefix"]).groupBy(*key).agg(F.sum("shared").alias("tp_matched"))
     pcm = by_prefix.groupBy(*KEYS, "prefix").agg(F.sum(F.col("end") - F.col("start")).alias("pred_matched"))
-    hits = span_hits(universe, gold_docs, gold, predicted).groupBy(*key).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in ("any", "full", "strict", "relaxed")])
+    hits = (span_hits(universe, gold_docs, gold, predicted, cover=cover) if hits is None else hits).groupBy(*key).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in ("any", "full", "strict", "relaxed")])
     out = base.join(gt, ["doc_id", "code"], "left").join(tp, key, "left").join(tpm, key, "left").join(pcm, [*KEYS, "prefix"], "left").join(hits, key, "left").drop("prefix").na.fill(0)
     return out.withColumn("fn", F.col("gt") - F.col("tp")).select(*key, "gt", "tp", "tp_matched", "pred_matched", "fn", "spans", "any", "full", "strict", "relaxed")
 

@@ -7,6 +7,7 @@ in each pass. Every table is read whole.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..operators.gold import gold_records
 from ..operators.segment import segments
 from ..sources import readers, sinks
 from . import reports
-from .deidentify import Run, deidentify, kept_on_disk
+from .deidentify import Run, both_scores, deidentify, kept_on_disk
 
 EMAIL, PHONE, IP, WEB = "07_EMAIL_ADDRESS", "05_TELEPHONE_NUMBER", "16_IP_ADDRESS", "15_WEB_URL"
 FOUND = (
@@ -35,6 +36,24 @@ KNOWS = [(m, p, c) for m, (a, b) in MODELS.items() for p, codes in ((PASSES[0],
 KEYS = ("model_id", "pass", "doc_id")
 #: Names that the gazetteer query looks for: common words of the documents' languages.
 NAMES = ("water", "stone", "the", "and", "der", "la")
+_ITEM = '{"exact_text": "the", "identifier_type": "01_NAME"}'
+#: Responses: finish reason, content, and what is expected: usable, strict, items, accepted, rejected, duplicates, ungrounded, of no type.
+RESPONSES = (
+    ("stop", f'{{"identifiers": [{_ITEM}]}}', True, True, 1, 1, 0, 0, 0, 0),
+    ("stop", f'{{"identifiers": [{_ITEM}, {_ITEM}]}}', True, False, 2, 1, 0, 1, 0, 0),
+    ("stop", '{"identifiers": [{"exact_text": "zz", "identifier_type": "01_NAME"}]}', True, True, 1, 0, 1, 0, 1, 0),
+    ("stop", '{"identifiers": [{"exact_text": "the", "identifier_type": "X"}, 3]}', True, False, 2, 0, 2, 0, 0, 1),
+    ("stop", '{"identifiers": [], "identifiers": []}', False, False, 0, 0, 0, 0, 0, 0),
+    ("stop", '{"identifiers": [{"exact_text": "the", "exact_text": "the", "identifier_type": "01_NAME"}]}', False, False, 0, 0, 0, 0, 0, 0),
+    ("stop", '{"identifiers": [NaN]}', False, False, 0, 0, 0, 0, 0, 0),
+    ("stop", '{"identifiers": []} x', False, False, 0, 0, 0, 0, 0, 0),
+    ("stop", '{"identifiers": {}}', False, False, 0, 0, 0, 0, 0, 0),
+    ("stop", '{"identifiers": [], "more": 1}', True, False, 0, 0, 0, 0, 0, 0),
+    ("length", f'{{"identifiers": [{_ITEM}]}}', False, False, 0, 0, 0, 0, 0, 0),
+    ("stop", "", False, False, 0, 0, 0, 0, 0, 0),
+    (None, f'{{"identifiers": [{_ITEM}]}}', False, False, 0, 0, 0, 0, 0, 0),
+    ("stop", '{"identifiers": [{"exact_text": "the", "identifier_type": "01_NAME", "note": 1}, {"exact_text": "", "identifier_type": "01_NAME"}]}', True, False, 2, 0, 2, 0, 0, 0),
+)
 #: Configurations of two of the models: developer, family, repository, parameters, flags, quantization.
 CONFIGS = (("m_email", "Dev A", "Fam A", "a/email", "1.5", "", "false", "false", "false", "Q8_0"), ("m_wide", "Dev B", "Fam B", "", "30.5", "3.5", "true", "true", "true", "Q5"))
 
@@ -94,7 +113,7 @@ def _metrics(spark, sf) -> DataFrame:
     given = spark.createDataFrame(CONFIGS, ", ".join(f"{n} string" for n in names))
     kinds = {"params_total_B": "double", "params_active_B": "double", "moe": "boolean", "is_medical": "boolean", "reasoning": "boolean"}
     configs = readers.config_columns(given.select(*[F.nullif(n, F.lit("")).cast(kinds[n]).alias(n) if n in kinds else n for n in names]))
-    documents, types, operations = (kept_on_disk(x, "") for x in (score.document_scores(*args), score.type_scores(*args), _operations(spark, sf)))
+    documents, types, operations = (kept_on_disk(x, "") for x in (*both_scores(*args), _operations(spark, sf)))
     return aggregate.metrics_long(documents, types, operations, configs)
 
 
@@ -259,7 +278,10 @@ def figure4(spark, sf):
 
 def gazetteer(spark, sf):
     """Windows that contain a name."""
-    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    folder = f"{sinks.shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    lines = "\n".join(["", *(f"  {n} " for n in NAMES), " ", ""])
+    sinks.write_files(spark.createDataFrame([("names.txt", lines)], "path string, value string"), folder, pretty=False)
+    names = readers.read_gazetteer(spark, f"{folder}/names.txt")
     return gazetteer_pairs(segments(_notes(spark, sf)).select("doc_id", "segment_id", "text"), F.broadcast(names)).select("doc_id", "segment_id", "exact_text")
 
 
@@ -272,6 +294,32 @@ def clipped_confusion(spark, sf):
     return chars.join(score.predicted_spans(gold, predicted), list(KEYS), "left").na.fill(0)
 
 
+def note_files(spark, sf):
+    """Notes as text files with CRLF line ends, read back."""
+    folder = f"{sinks.shared_folder(spark)}/notes-{uuid.uuid4().hex}"
+    notes = _notes(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("value"))
+    sinks.write_files(notes, folder, pretty=False)
+    return readers.read_notes(spark, folder).select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def config_files(spark, sf):
+    """Model configurations as files, read back; one is broken and so blank."""
+    folder = f"{sinks.shared_folder(spark)}/configs-{uuid.uuid4().hex}"
+    num, flag = (lambda x: float(x) if x else None), (lambda x: x == "true")
+    files = [(f"{m}/model_config.json", json.dumps({"developer": d, "family": f, "hf_gguf_repo": r, "params_total_B": num(t), "params_active_B": num(a), "moe": flag(moe), "is_medical": flag(med), "reasoning": flag(rea), "quant_target": q})) for m, d, f, r, t, a, moe, med, rea, q in CONFIGS]
+    sinks.write_files(spark.createDataFrame([*files, ("m_full/model_config.json", "{broken")], "path string, value string"), folder, pretty=False)
+    return readers.read_configs(spark, folder)
+
+
+def response_flags(spark, sf):
+    """How often responses of each kind are usable and strict; a note's kind is the rest of its id by their number."""
+    kinds = F.array(*[F.lit(c) for _, c, *_ in RESPONSES])
+    reasons = F.array(*[F.lit(r) for r, *_ in RESPONSES])
+    kind = (F.pmod("doc_id", F.lit(len(RESPONSES))) + 1).cast("int")
+    rows = _notes(spark, sf).select("doc_id", kind.alias("kind"), F.lit("the").alias("text"), F.element_at(reasons, kind).alias("finish_reason"), F.element_at(kinds, kind).alias("content"))
+    return validate.validations(rows, "doc_id", "kind").groupBy("kind", "finish_reason", "envelope_usable", "strict_schema_valid", "raw_items", "accepted", "rejected", "duplicates", "ungrounded", "invalid_type").agg(F.count("*").alias("n"))
+
+
 def _run(spark, sf) -> Run:
     """The whole job with all patterns in both passes."""
     return deidentify(_notes(spark, sf).withColumn("model_id", F.lit("m_all")), PatternExtractor((), FOUND))
@@ -499,6 +547,11 @@ _FINAL = {
     "two_pass_responses": "SELECT pass, doc_id, segment_id, prompt_tokens, completion_tokens, 'stop' AS finish_reason, TRUE AS envelope_usable, TRUE AS strict_schema_valid, raw_items, raw_items AS accepted, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS ungrounded, CAST(0 AS BIGINT) AS invalid_type FROM tpresp",
     "tree_operations": "SELECT 'm_all' AS model_id, doc_id, pass, count(*) AS segments, count(*) AS stop, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, count(*) AS val_requests, count(*) AS usable, count(*) AS valid, TRUE AS have_validation, TRUE AS complete FROM tpresp GROUP BY doc_id, pass",
     "gold_documents": f"SELECT n.doc_id, CAST(n.n AS INT) AS n_chars, md5(n.text) AS digest, CAST(row_number() OVER (PARTITION BY n.doc_id ORDER BY s, e, code) - 1 AS INT) * CASE WHEN s IS NULL THEN NULL ELSE 1 END AS span_no, {_SE}, code FROM notes n LEFT JOIN gold g ON g.doc_id = n.doc_id",
+    "note_files": r"SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(replace(text, chr(10), chr(13) || chr(10)), '\r\n?', chr(10), 'g') AS t FROM notes WHERE text <> '')",
+    "config_files": """SELECT model_id, CASE WHEN repo <> '' THEN 'https://huggingface.co/' || repo ELSE '' END AS hf_link, repo AS hf_gguf_repo, developer, family, total AS "params_total_B", active AS "params_active_B", moe, medical AS is_medical, reasoning AS is_reasoning, quant FROM conf_
+      UNION ALL SELECT 'm_full', '', '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""",
+    "response_flags": f"""SELECT CAST(kind AS INT) AS kind, finish_reason, envelope_usable, strict_schema_valid, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('raw_items', 'accepted', 'rejected', 'duplicates', 'ungrounded', 'invalid_type'))}, count(*) AS n
+      FROM notes JOIN (VALUES {', '.join(f"({i}, '{r[0] or 'error'}', {', '.join(str(x) for x in r[2:])})" for i, r in enumerate(RESPONSES, 1))}) AS v(kind, finish_reason, envelope_usable, strict_schema_valid, raw_items, accepted, rejected, duplicates, ungrounded, invalid_type) ON kind = doc_id % {len(RESPONSES)} + 1 GROUP BY ALL""",
     "results_table": f"SELECT CAST(row_number() OVER (ORDER BY char_recall DESC NULLS LAST, model_id) AS INT) AS rank, model_id, CAST(n_notes AS DOUBLE) AS n_notes, char_recall, over_redaction_rate, CASE WHEN medical THEN 'True' WHEN NOT medical THEN 'False' END AS is_medical FROM rates LEFT JOIN conf_ USING (model_id) WHERE {_LAST}",
     "gold_types_present": "SELECT model_id, string_agg(DISTINCT code, ';' ORDER BY code) AS gold_types_present FROM each GROUP BY 1",
     "corpus_totals": """SELECT count(*) AS notes, CAST(sum(n) AS BIGINT) AS chars, (SELECT count(*) FROM gold) AS spans, (SELECT CAST(sum(e - s) AS BIGINT) FROM gcov) AS phi_chars, (SELECT count(DISTINCT code) FROM gold) AS categories,
@@ -528,6 +581,6 @@ QUERIES = {
     for f in (
         segment_notes, segment_stats, extract_patterns, ground_occurrences, union_regions, overlap_components, neutral_redaction, typed_redaction, pass2_pieces, map_back, cumulative_union, validate_verdicts,
         doc_confusion, type_confusion, span_hits, predicted_span_counts, doc_operations, metrics_all, metrics_types, gold_types_present, corpus_totals, corpus_categories, results_ranked, figure5, figure6, checkpoints, bootstrap_ci, bootstrap_ci_exact,
-        per_document, figure2, figure3, figure4, gazetteer, clipped_confusion, two_pass_spans, two_pass_responses, tree_predictions, tree_operations, gold_documents, results_table,
+        per_document, figure2, figure3, figure4, gazetteer, clipped_confusion, two_pass_spans, two_pass_responses, tree_predictions, tree_operations, gold_documents, results_table, note_files, config_files, response_flags,
     )
 }

@@ -84,8 +84,8 @@ def score_run(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predic
     """All tables of the scorer; a scored note without gold is an error."""
     checked = universe.join(gold_docs.select("doc_id", F.lit(True).alias("_has")), "doc_id", "left")
     universe = checked.where(F.when(F.col("_has").isNull(), F.raise_error(F.concat(F.lit("no gold for note "), F.col("doc_id").cast("string"))).cast("boolean")).otherwise(True)).drop("_has")
-    documents = store(score.document_scores(universe, gold_docs, gold, predicted), "documents")
-    types = store(score.type_scores(universe, gold_docs, gold, predicted), "types")
+    universe, predicted, gold = store(universe, "universe"), store(predicted, "predicted"), store(gold, "gold")
+    documents, types = (store(x, n) for x, n in zip(both_scores(universe, gold_docs, gold, predicted, store), ("documents", "types")))
     operations = store(score.document_operations(responses, validations), "operations")
     metrics = store(aggregate.metrics_long(documents, types, operations, configs), "metrics")
     dims = metrics.select("model_id", "n_docs", "doc_provenance", "hf_link", "hf_gguf_repo", "developer", "family", "params_total_B", "params_active_B", "moe", "is_medical", "is_reasoning", "quant").distinct()
@@ -93,6 +93,14 @@ def score_run(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predic
     return Scores(documents, types, operations, metrics, aggregate.per_document(documents, operations), manifest)
 
 
+def both_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, store=kept_on_disk) -> tuple[DataFrame, DataFrame]:
+    """Scores by note and by note and category, which share the predictions' cover and the spans' hits."""
+    cover = store(score.predicted_cover(gold_docs, predicted), "cover")
+    hits = store(score.span_hits(universe, gold_docs, gold, predicted, cover=cover), "hits")
+    shared = universe, gold_docs, gold, predicted, cover, hits
+    return score.document_scores(*shared), score.type_scores(*shared)
+
+
 def both_passes(first_pass: DataFrame) -> DataFrame:
     """The universe: each note with Pass-1 output (model_id, doc_id), under both passes."""
     return first_pass.select("model_id", "doc_id").distinct().withColumn("pass", F.explode(F.array(*map(F.lit, PASSES))))

@@ -36,7 +36,10 @@ def _json(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """<doc_id>.txt files, not in subfolders, with universal newlines; a bad id is an error, no file too."""
+    """<doc_id>.txt files, not in subfolders, with universal newlines; a bad id is an error, no file too.
+
+    Spark lists no empty files, so an empty note has no row.
+    """
     raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     if not raw.head(1):
         raise FileNotFoundError(f"no notes in {folder}")

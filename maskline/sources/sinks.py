@@ -43,8 +43,8 @@ def _pretty(text: str) -> str:
     return json.dumps(json.loads(text), indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 
 
-def write_files(df: DataFrame, folder: str) -> int:
-    """df(path, value): each JSON value, pretty and with sorted keys, as the file folder/path; returns how many.
+def write_files(df: DataFrame, folder: str, pretty: bool = True) -> int:
+    """df(path, value): each value, JSON if pretty and then with sorted keys, as the file folder/path; returns how many.
 
     folder is a path or URI that all executors see; a repeated task writes the same files again.
     """
@@ -56,7 +56,7 @@ def write_files(df: DataFrame, folder: str) -> int:
                 at = f"{root.rstrip('/')}/{path}"
                 system.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(at) as f:
-                    f.write(_pretty(value).encode())
+                    f.write((_pretty(value) if pretty else value).encode())
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return df.select("path", "value").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
