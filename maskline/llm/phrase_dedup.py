@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import span_hashes, word_hashes, words
-from .common import as_rows, keep, keyed_rows, pack_texts, schema_with, table, unpack
+from .common import as_rows, cut, keep, keyed_rows, pack_texts, schema_with, table, unpack
 from .repeats import at, counted, places, tie
 
 WIDTH = 35
@@ -74,7 +74,10 @@ def recurring(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[Da
     shared = rows.join(twice, ["core", "window"], "left_semi").join(contexts.where("n = 1 and variants > 1").select("core", "context"), ["core", "context"], "left_semi")
     # a context has fewer windows than `width`
     part = shared.groupBy("core", "context").agg(F.collect_set(F.col("first").cast("int")).alias("firsts"))
-    return found, whole.unionByName(part)
+    held = cut(whole.unionByName(part))
+    rows.unpersist()
+    contexts.unpersist()
+    return found, held
 
 
 def passages(starts: list[int], width: int) -> list[tuple[int, int]]:
