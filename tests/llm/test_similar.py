@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from maskline.llm import similar
 from maskline.llm.decontaminate import text_shingles
@@ -37,6 +39,25 @@ def test_stage_against_all_pairs(spark, tmp_path):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_rows_of_a_key_are_paired_over_batches():
+    random.seed(14)
+    keys = sorted(random.choices(range(40), k=300))
+    rows = [(k, i, 5) for i, k in enumerate(keys)]
+    for sizes in ((300,), (1,) * 300, (7, 100, 3, 190), (299, 1)):
+        at, batches = 0, []
+        for size in sizes:
+            batches.append(pa.RecordBatch.from_pydict({c: [r[j] for r in rows[at : at + size]] for j, c in enumerate(("key", "row", "n"))}))
+            at += size
+        got = [r for b in similar._neighbours(batches) for r in b.to_pylist()]
+        assert len({r["row"] for r in got}) == len(got)
+        edge = {keys[0], keys[-1]}
+        assert {r["row"] for r in got} == {i for i, k in enumerate(keys) if keys.count(k) > 1 or k in edge}
+        for r in got:
+            place = r["row"] - keys.index(r["key"])
+            assert r["before"] == (None if place == 0 else keys.index(r["key"]) + (place - 1) // 2)
+            assert r["n_before"] == (None if place == 0 else 5)
+
+
 def test_candidates_at_the_threshold(spark):
     """Of pairs of similarity 0.8 to 0.82 all share a key."""
     random.seed(13)
