@@ -28,7 +28,7 @@ from .labelled import Adam, fit_line, labelled_sample, sigmoid
 
 FOLDS, FOLD = 5, 0
 #: Most labelled documents that the classifier is fitted on.
-SAMPLE = 12_000
+SAMPLE = 4_000
 ORDERS = (4, 5, 6)
 BITS = 20
 PRIOR, SHRINK = 4.0, 16.0
