@@ -109,6 +109,13 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES):
         yield first, texts.slice(first, n - first)
 
 
+def slices(batches, rows: int = 512):
+    """The same batches in smaller pieces: what a task makes of a piece is gone before the next."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def schema_with(df: DataFrame, *more: str) -> T.StructType:
     """The schema of a DataFrame with further columns ("name type")."""
     return T.StructType([*df.schema.fields, *T.DataType.fromDDL(", ".join(more)).fields])
@@ -125,7 +132,7 @@ def pack_texts(docs: DataFrame, *carry: str) -> DataFrame:
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()
             yield extended(batch, 1, packed=pa.array([press(x) for x in texts], pa.binary()))
 

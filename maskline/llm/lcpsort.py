@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 RANGE_ROWS = 20_000
 SAMPLE_PER_RANGE = 16
 #: Strings that a task sorts into one run.
-RUN_ROWS = 200_000
+RUN_ROWS = 40_000
 
 #: Numbers in a name.
 NAME = 4

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_rows, extended, keep, keyed_rows, pack_texts, schema_with, table, unpack
+from .common import as_rows, extended, keep, keyed_rows, pack_texts, schema_with, slices, table, unpack
 from .lcpsort import longest_shared, shared_lengths
 from .repeats import at, counted, places, tie
 
@@ -38,33 +38,26 @@ GRAM = 64
 
 
 def _contexts(width: int):
-    """Text of each context: (core, context, string from its first window to the end of its last, place of the anchor in it, its last window)."""
+    """Text of each context: (core, context, string from its first window to the end of its last, what stands before the anchor reversed, place of the anchor, last window)."""
 
     def run(batches):
-        for batch in batches:
-            rows = {k: [] for k in ("core", "context", "text", "at", "last")}
+        for batch in slices(batches, 64):
+            rows = {k: [] for k in ("core", "context", "text", "left", "at", "last")}
             for packed, chosen in zip(batch.column("packed").to_pylist(), batch.column("chosen").to_pylist()):
                 raw = unpack(packed)
                 for x in chosen:
                     rows["core"].append(x["core"])
                     rows["context"].append(x["context"])
                     rows["text"].append(raw[x["low"] : x["high"] + width])
+                    # the core's hash in front: only contexts of one anchor share more than that
+                    rows["left"].append(x["core"].to_bytes(8, "big", signed=True) + raw[x["low"] : x["at"]][::-1])
                     rows["at"].append(x["at"] - x["low"])
                     rows["last"].append(x["high"] - x["low"])
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("core", pa.int64()), ("context", pa.int64()), ("text", pa.binary()), ("at", pa.int32()), ("last", pa.int32())]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("core", pa.int64()), ("context", pa.int64()), ("text", pa.binary()), ("left", pa.binary()), ("at", pa.int32()), ("last", pa.int32())]))
 
     return run
 
 
-def _lefts(batches):
-    """What stands before each anchor, reversed; the core's hash in front, so that only contexts of one anchor share more than that."""
-    for batch in batches:
-        core, text, at_ = (batch.column(c).to_pylist() for c in ("core", "text", "at"))
-        strings = [c.to_bytes(8, "big", signed=True) + t[:n][::-1] for c, t, n in zip(core, text, at_)]
-        zero = pa.array(np.zeros(len(strings), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), batch.column("core"), batch.column("context"), zero, zero], names=["string", "core", "context", "depth", "limit"])
-
-
 def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """docs(doc_key, tie, text) -> (doc_key, tie, spans): runs [first, last] of starts of `width`-byte strings that start elsewhere too."""
     found = places(docs, width, gram, by_word=False)
@@ -72,10 +65,10 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     whole = shared.where("n > 1").select("core", "context", (F.col("low") - F.col("at")).alias("from"), (F.col("high") - F.col("at")).alias("to"))
 
     chosen = shared.where("variants > 1").groupBy("doc_key", "tie").agg(F.collect_list(F.struct("core", "context", "at", "low", "high")).alias("chosen"))
-    texts = keep(pack_texts(docs, "doc_key", "tie").join(chosen, ["doc_key", "tie"]).select("packed", "chosen").mapInArrow(_contexts(width), "core long, context long, text binary, at int, last int"))
+    texts = keep(pack_texts(docs, "doc_key", "tie").join(chosen, ["doc_key", "tie"]).select("packed", "chosen").mapInArrow(_contexts(width), "core long, context long, text binary, left binary, at int, last int"))
 
-    lengths = shared_lengths(texts.mapInArrow(_lefts, "string binary, core long, context long, depth int, limit int"), 8)
-    begins = keep(texts.join(lengths, ["core", "context"]))
+    lengths = shared_lengths(texts.select(F.col("left").alias("string"), "core", "context", F.lit(0).alias("depth"), F.lit(0).alias("limit")), 8)
+    begins = keep(texts.drop("left").join(lengths, ["core", "context"]))
     depth = begins.select("*", F.explode("depths").alias("depth")).where("at - depth <= last")
     suffixes = depth.select(F.expr("substring(text, at - depth + 1)").alias("string"), "core", "context", "depth", (F.col("last") - F.col("at")).alias("limit"))
     part = longest_shared(suffixes).where(F.col("shared") >= width).select("core", "context", (-F.col("depth")).alias("from"), F.least(F.col("shared") - F.col("depth") - width, F.col("limit")).alias("to"))
@@ -90,7 +83,7 @@ _REMOVED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _remove(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, removed, rest = [], [], []
             for packed, spans in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 raw, runs = unpack(packed), []
