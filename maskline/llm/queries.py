@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, warc
+from . import chat, filter_audit, warc
 from .chat import op8_chat_format
 from .decontaminate import op3_decontaminate
+from .filter_audit import op13_filter_audit
 from .fingerprint import op2_fingerprint
 from .line_quality import op6_line_quality
 from .packing import op5_best_fit_packing
@@ -27,6 +28,7 @@ QUERIES = {
         op8_chat_format,
         op9_phrase_dedup,
         op10_simhash_near,
+        op13_filter_audit,
     )
 }
-SQL: dict[str, str] = {"op4_warc_revisit": warc.SQL, "op8_chat_format": chat.SQL}
+SQL: dict[str, str] = {"op4_warc_revisit": warc.SQL, "op8_chat_format": chat.SQL, "op13_filter_audit": filter_audit.SQL}
