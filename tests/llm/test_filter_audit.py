@@ -21,7 +21,7 @@ def _fails(rows):
 
 
 def _brute(rows, labels):
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, x in labels if x == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, x in labels if x == 1} - {None}
     docs = [(i, s or "", f) for (i, _, s), f in zip(rows, _fails(rows))]
     out = set()
     for part in {s for _, s, _ in docs}:
