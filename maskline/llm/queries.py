@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import chat, filter_audit, warc
+from .bpe import op12_bpe_codec
 from .chat import op8_chat_format
 from .decontaminate import op3_decontaminate
 from .filter_audit import op13_filter_audit
@@ -28,6 +29,7 @@ QUERIES = {
         op8_chat_format,
         op9_phrase_dedup,
         op10_simhash_near,
+        op12_bpe_codec,
         op13_filter_audit,
     )
 }
