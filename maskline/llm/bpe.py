@@ -109,9 +109,9 @@ class Vocabulary:
         self.own = np.zeros(self.size, bool)
         self.own[self.byte_ids] = True
         if self.trained:
+            self.own[inner] = self.compatible(self.left[inner], self.right[inner], joined=True)
             for token in inner[np.argsort(self.made[inner])].tolist():
-                self.own[token] = self.own[self.left[token]] and self.own[self.right[token]]
-            self.own[inner] &= self.compatible(self.left[inner], self.right[inner], joined=True)
+                self.own[token] &= self.own[self.left[token]] and self.own[self.right[token]]
 
     def _read_trie(self) -> None:
         edges: dict[int, int] = {}
