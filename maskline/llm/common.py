@@ -52,14 +52,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-#: Bits of a row's second key, as many as a place of `repeats.py` has room for.
+#: Bits of a row's second key where it has to share a long with a place, as in `repeats.py`.
 TIE_BITS = 12
 
 
-def row_keys(*cols: str) -> list[Column]:
-    """A row's `doc_key` and `tie`, 64 and 12 bits of its contents, nulls included; equal rows share them."""
+def row_keys(*cols: str, bits: int = 64) -> list[Column]:
+    """A row's `doc_key` and `tie`, 64 bits of its contents each (of the tie fewer where asked for), nulls included; equal rows share them."""
     parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
-    return [F.xxhash64(*parts).alias("doc_key"), F.xxhash64(F.lit(1), *parts).bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie")]
+    tie = F.xxhash64(F.lit(1), *parts)
+    return [F.xxhash64(*parts).alias("doc_key"), (tie if bits == 64 else tie.bitwiseAND(F.lit((1 << bits) - 1))).alias("tie")]
 
 
 def as_rows(docs: DataFrame, *more: Column) -> DataFrame:
@@ -67,10 +68,10 @@ def as_rows(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), *more)
 
 
-def keyed_rows(docs: DataFrame) -> DataFrame:
+def keyed_rows(docs: DataFrame, bits: int = 64) -> DataFrame:
     """docs as (row, text, doc_key, tie); maps have no hash and are no part of the keys."""
     names = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    return as_rows(docs, F.col("text"), *row_keys(*[f"`{c}`" for c in names]))
+    return as_rows(docs, F.col("text"), *row_keys(*[f"`{c}`" for c in names], bits=bits))
 
 
 def unkeyed(done: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
@@ -82,11 +83,11 @@ def unkeyed(done: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
 SPREAD = 16
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
     """many join one, which has a row for each key, where a key may hold any share of `many`: its rows are dealt by `by`."""
     dealt = many.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
     copies = one.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
-    return dealt.join(copies, [key, "_part"], how).drop("_part")
+    return dealt.join(copies, [*([key] if isinstance(key, str) else key), "_part"], how).drop("_part")
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import span_hashes, word_hashes, words
-from .common import as_rows, cut, keep, keyed_rows, pack_texts, schema_with, table, unpack
+from .common import TIE_BITS, as_rows, cut, keep, keyed_rows, pack_texts, schema_with, table, unpack
 from .repeats import at, counted, places, tie
 
 WIDTH = 35
@@ -199,7 +199,7 @@ def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, tidy: b
     row: the document's other columns; removed: [start, end) of words; kept: the other words, joined by one space. Where
     tidy is off, a text that loses nothing stays as it is.
     """
-    rows = keyed_rows(docs)
+    rows = keyed_rows(docs, TIE_BITS)
     found, held = recurring(rows, width, gram)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).head().n or 0
     blocks = max(1, -(-size // BLOCK_BYTES))

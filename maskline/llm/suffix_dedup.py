@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_rows, extended, keep, keyed_rows, pack_texts, schema_with, slices, table, unpack
+from .common import TIE_BITS, as_rows, extended, keep, keyed_rows, pack_texts, schema_with, slices, table, unpack
 from .lcpsort import longest_shared, shared_lengths
 from .repeats import at, counted, places, tie
 
@@ -107,7 +107,7 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
 
     row: the document's other columns; removed: [start, end) of bytes; kept: the other bytes.
     """
-    rows = keyed_rows(docs)
+    rows = keyed_rows(docs, TIE_BITS)
     spans = repeated_windows(rows, width, gram)
     done = pack_texts(rows, "row", "doc_key", "tie").join(spans, ["doc_key", "tie"], "left").select("row", "packed", "spans")
     return done.mapInArrow(_remove(width), schema_with(as_rows(docs), "n_bytes long", "n_removed long", "removed array<struct<start:long,end:long>>", "kept binary"))

@@ -1,6 +1,8 @@
 import random
 
 import pyarrow as pa
+import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from maskline.llm import similar
@@ -71,3 +73,26 @@ def test_candidates_at_the_threshold(spark):
             rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
     keys = {r.k: set(r["keys"]) for r in similar.sketches(spark.createDataFrame(rows, "k long, text string"), "k").collect()}
     assert all(keys[i] & keys[i + 1] for i in range(0, len(rows), 2))
+
+
+def test_prefixes_lose_no_pair_and_make_few(spark):
+    """All pairs of similarity 0.8 or more meet; texts of a template at 0.6 to 0.8 do not all meet."""
+    random.seed(15)
+    texts = _texts()
+    template = [random.choice(WORDS) for _ in range(150)]
+    family = range(1000, 1080)
+    for i in family:
+        words = list(template)
+        words[(i * 7) % 100 : (i * 7) % 100 + 22] = [f"own{i}x{k}" for k in range(22)]
+        texts[i] = " ".join(words)
+    shares = [_jaccard(texts[i], texts[j]) for i in family for j in family if i < j]
+    assert sum(0.6 < s < 0.8 for s in shares) > 500
+    pressed = zstandard.ZstdCompressor()
+    full = {k: t for k, t in texts.items() if (t or "").split()}
+    rows = spark.createDataFrame([(k, k, pressed.compress(t.encode())) for k, t in full.items()], "row long, label long, packed binary").repartition(3)
+    got = {tuple(r) for r in similar.prefix_pairs(rows).collect()}
+    want = {(i, j) for i in full for j in full if i < j and _jaccard(full[i], full[j]) >= 0.8}
+    assert want <= got
+    assert sum(i in family and j in family for i, j in got) < len(shares) / 10
+    same = rows.withColumn("label", F.lit(1).cast("long"))
+    assert similar.prefix_pairs(same).count() == 0
