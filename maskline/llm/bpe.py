@@ -30,6 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,9 @@ class Vocabulary:
             self.bytes[i] = token
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64, self.size)
+        self.places = np.cumsum(self.sizes) - self.sizes
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self._read_merges(found["model"]["merges"], byte)
         self._read_trie()
@@ -351,10 +355,17 @@ class Encoder:
         return np.concatenate(out), sizes
 
 
-def decode(ids: Iterable[int], path: str) -> str:
-    """The text of ids; those that the file doesn't have count for nothing."""
-    known = vocabulary(path).bytes
-    return b"".join([known[i] for i in ids if 0 <= i < len(known)]).decode("utf-8", "replace")
+def decode(ids: np.ndarray, sizes: np.ndarray, path: str) -> list[str]:
+    """The texts of ids that stand one after the other, so many of each; ids that the file doesn't have count for nothing."""
+    known = vocabulary(path)
+    ids = np.asarray(ids, np.int64)
+    there = (ids >= 0) & (ids < known.size)
+    ids = np.where(there, ids, 0)
+    n = np.where(there, known.sizes[ids], 0)
+    ends = np.append(0, np.cumsum(n))
+    raw = known.flat[np.repeat(known.places[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+    cuts = ends[np.append(0, np.cumsum(sizes))].tolist()
+    return [raw[i:j].decode("utf-8", "replace") for i, j in zip(cuts, cuts[1:])]
 
 
 def encode_documents(docs: DataFrame, *carry: str, path: str | None = None) -> DataFrame:
@@ -378,7 +389,9 @@ def decode_documents(encoded: DataFrame, *carry: str, path: str | None = None) -
 
     def run(batches):
         for batch in slices(batches):
-            yield extended(batch, 1, text=pa.array([decode(x or (), path) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string()))
+            ids = batch.column(batch.num_columns - 1)
+            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            yield extended(batch, 1, text=pa.array(decode(pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False), sizes, path), pa.string()))
 
     return encoded.select(*carry, "ids").mapInArrow(run, schema_with(encoded.select(*carry), "text string"))
 
