@@ -90,6 +90,31 @@ def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], by: str,
     return dealt.join(copies, [*([key] if isinstance(key, str) else key), "_part"], how).drop("_part")
 
 
+#: At most so many keys have more than this part of the rows.
+HOT_KEYS = 1000
+
+
+def hot_join(many: DataFrame, one: DataFrame, keys: str | list[str], by: str, how: str = "inner") -> DataFrame:
+    """many join one, "inner" or "left", where a key may hold any share of `many`, which must be kept or cheap to read again.
+
+    A key with more than a thousandth of the rows has them dealt by `by` to as many parts, each with a copy of what
+    `one` has for the key; there are at most HOT_KEYS such keys, so their list can be broadcast. Rows whose key is null
+    match nothing and are dealt alike.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    counts = keep(many.groupBy(*keys).agg(F.count("*").alias("_n")))
+    share = max(1000, -(-(counts.agg(F.sum("_n").alias("n")).first().n or 0) // HOT_KEYS))
+    hot = F.broadcast(counts.where(F.col("_n") > share).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts")).dropna())
+    none = F.lit(False)
+    for k in keys:
+        none = none | F.col(k).isNull()
+    number = F.xxhash64(by, F.spark_partition_id())
+    dealt = many.withColumn("_at", number).join(hot, keys, "left")
+    dealt = dealt.withColumn("_part", F.when(none, F.pmod("_at", F.lit(HOT_KEYS))).otherwise(F.pmod("_at", F.coalesce("_parts", F.lit(1)))).cast("int")).drop("_at", "_parts")
+    copies = one.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id, as text, leaves this remainder; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))

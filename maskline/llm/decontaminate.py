@@ -11,7 +11,8 @@ with a chance below 1e-9.
 A minimum that can meet is the hash of a shingle that some item has. So a bitmap of the items' shingles goes
 to all tasks, and only windows with a shingle in it are hashed; a document without any gives no row. The
 bitmap has at most `BITMAP_BITS` bits, however large the benchmark is: if it gets full, more windows are
-hashed, and the result is the same. Minima of windows meet those of items in a join on rows of longs; pairs that
+hashed, and the result is the same. Minima of windows meet those of items in a join on rows of longs, in which frequent
+minima are dealt to many parts; pairs that
 meet are verified on the shingles themselves: the share of the item's distinct shingles that the whole
 document has. Documents are read once, whatever the number of items.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import raw_bytes, span_hashes, word_hashes, words
-from .common import as_rows, keep, keyed_rows, row_keys, schema_with, table, text_blocks, unkeyed
+from .common import as_rows, hot_join, keep, keyed_rows, row_keys, schema_with, table, text_blocks, unkeyed
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -130,10 +131,11 @@ def _bitmap(own: DataFrame) -> tuple[Broadcast, int, list[int]]:
             at = np.unique(np.concatenate([np.zeros(0, _U), *_places(h, bits)])).astype(np.uint32)
             yield pa.RecordBatch.from_pydict({"at": pa.array([at.tobytes()], pa.binary())})
 
-    bitmap = np.zeros(1 << bits, np.uint8)
+    bitmap = np.zeros(1 << bits - 3, np.uint8)
     for r in own.select("shingles").mapInArrow(run, "at binary").toLocalIterator():
-        bitmap[np.frombuffer(r["at"], np.uint32)] = 1
-    return own.sparkSession.sparkContext.broadcast(np.packbits(bitmap, bitorder="little")), bits, [1 << (c - 1) for c in sorted(count.c)]
+        at = np.frombuffer(r["at"], np.uint32)
+        np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return own.sparkSession.sparkContext.broadcast(bitmap), bits, [1 << (c - 1) for c in sorted(count.c)]
 
 
 def window_minima(doc: np.ndarray, h: np.ndarray, hit: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +200,7 @@ def _matched(rows: DataFrame, items: DataFrame, least: float) -> DataFrame:
 
     left = held.select("doc_key", "tie", F.explode("meets").alias("meet")).distinct()
     right = own.select("key", F.col("tie").alias("key_tie"), F.explode("meets").alias("meet"))
-    pairs = left.join(right, "meet").select("doc_key", "tie", "key", "key_tie").distinct()
+    pairs = hot_join(keep(left), right, "meet", "doc_key").select("doc_key", "tie", "key", "key_tie").distinct()
     named = given.select(F.col("row").alias("item"), "key", F.col("tie").alias("key_tie"))
     share = F.size(F.array_intersect("hits", "shingles")) / F.size("shingles")
     both = pairs.join(held.drop("meets"), ["doc_key", "tie"]).join(own.select("key", F.col("tie").alias("key_tie"), "shingles"), ["key", "key_tie"])

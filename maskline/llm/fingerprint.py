@@ -21,7 +21,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import hot_join, keep, table
 
 RADIUS, LEADING = 4, 2
 WORDS = 2  # longs of 64 bits
@@ -168,7 +168,7 @@ def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
     members = done.groupBy("print").agg(F.count("*").alias("rows"))
     asked = done.where("doc_id % 100 = 0").select("print")
     near = within_radius(asked, members).join(members, "print").groupBy(F.col("query").alias("print")).agg(F.sum("rows").alias("near"))
-    done = done.join(near, "print", "left")
+    done = hot_join(done, near, "print", "edited_sha256", "left")
 
     hexed = lambda c: F.lower(F.concat(*[F.lpad(F.hex(F.col(c)[k]), 16, "0") for k in range(WORDS)]))
     alike = lambda c: 1 - distance(F.col("print"), F.col(c)) / F.lit(64.0 * WORDS)

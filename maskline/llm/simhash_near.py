@@ -13,7 +13,8 @@ make longer keys, which go to other tasks; this is done `LEVELS` times at most,
 is cut likewise where it is compared. Within a key, fingerprints that a path of links already joins are not
 linked again, and those that are joined leave as a tree in which none has more than three neighbours, so a
 key of m fingerprints gives at most m - 1 edges, and none is a hub. Components come from min-label
-propagation with pointer jumping, cut by checkpoint() in the shared folder; joins by label are spread.
+propagation with pointer jumping, cut by checkpoint() in the shared folder; joins by label are spread, as is the
+join of rows with their fingerprint's class.
 
 Cases: null and empty texts, and texts of white space only, have no words and fingerprint zero, which
 links like any other; rows may repeat or share doc_id (null ids are kept and never smallest, unless there
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, extended, keep, keyed_rows, schema_with, spread_join, table, unkeyed
+from .common import cut, extended, hot_join, keep, keyed_rows, schema_with, spread_join, table, unkeyed
 
 BITS = 64
 SHINGLE = 4
@@ -300,7 +301,7 @@ def near_duplicates(docs: DataFrame, *carry: str, shingle: int = SHINGLE, radius
     members = prints.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print"))
     smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
     classes = spread_join(members, smallest, "component", "print").select("print", "component", "component_id")
-    return rows.join(classes, "print").select("doc_id", *carry, "print", "component", "component_id")
+    return hot_join(rows, classes, "print", "doc_id").select("doc_id", *carry, "print", "component", "component_id")
 
 
 def first_of_each(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """WARC archives in which equal payloads are stored once.
 
 Payload digests go out as headers only; for each digest of a large enough payload the smallest page id
-is the response and every other record a revisit of it. Payloads then meet their decision by page id, so
-a payload that many pages share is spread out, and only responses are written with theirs. Archives are
+is the response and every other record a revisit of it; pages of a digest that many share are dealt to many parts.
+Payloads then meet their decision by page id, so they are spread out, and only responses are written with theirs. Archives are
 WARC/1.1 files with fresh headers, every record a gzip member of its own, so that it can be read alone.
 A task fills archives of `ARCHIVE_BYTES` (more only for a single larger record), each of which is a row for
 Spark's text sink and so a file; the sink ends it with a zero byte, which gzip skips as padding. They are
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, table
+from .common import hot_join, keep, scratch_dir, table
 
 SMALLEST = 100
 ARCHIVE_BYTES = 16 << 20
@@ -48,7 +48,7 @@ def decisions(headers: DataFrame) -> DataFrame:
     """headers(page_id, url, digest, size) -> distinct (page_id, digest, first_id, first_url): the response to revisit, or nulls."""
     named = headers.where((F.col("size") >= SMALLEST) & F.col("page_id").isNotNull())
     firsts = named.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("f")).select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"))
-    found = named.select("page_id", "digest").distinct().join(firsts, "digest")
+    found = hot_join(keep(named.select("page_id", "digest").distinct()), firsts, "digest", "page_id")
     return found.where("page_id <> first_id")
 
 
@@ -158,9 +158,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def resolved(read: DataFrame) -> DataFrame:
     """Records without payloads, revisits with the page id of the response they refer to."""
-    heads = read.drop("payload")
+    heads = keep(read.drop("payload"))
     originals = heads.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers")).agg(F.min("page_id").alias("refers_to"))
-    return heads.join(originals, "refers", "left").drop("refers")
+    revisits = hot_join(heads.where("record_type = 'revisit'"), originals, "refers", "record_id", "left").drop("refers")
+    return heads.where("record_type <> 'revisit'").drop("refers").withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
 
 
 def op4_warc_revisit(spark, sf_dir: str) -> DataFrame:
