@@ -28,8 +28,7 @@ def _written(spark: SparkSession, out: str):
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     notes = readers.read_notes(spark, a.notes_dir).withColumn("model_id", F.lit(a.model_id))
     if a.offline_stub:
-        names = [r.name for r in readers.read_gazetteer(spark, a.name_file).collect()] if a.name_file else []
-        extractor = PatternExtractor(names)
+        extractor = PatternExtractor(readers.read_gazetteer(spark, a.name_file) if a.name_file else ())
     else:
         extractor = ServerExtractor(a.api_base, a.model_id, *readers.read_protocol(spark, a.protocol_dir), timeout=a.request_timeout)
     done = deidentify(notes, extractor, a.segment_size, a.overlap, _written(spark, a.out_dir))

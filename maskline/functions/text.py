@@ -6,19 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def steps(text: Column, literal: Column) -> Column:
-    """How far each occurrence of a literal is from the one before, the first from the text's start; overlapping ones count, an empty literal has none.
-
-    The text is split before every occurrence; the steps are the lengths of the pieces but the last.
-    """
-    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    pieces = F.split(text, quoted, -1)
-    sizes = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), F.length)
-    none = F.array().cast("array<int>")
-    first = F.when(F.startswith(text, literal), F.array(F.lit(0))).otherwise(none)
-    return F.when(F.length(literal) > 0, F.concat(first, sizes)).otherwise(none)
-
-
 def words(text: Column) -> Column:
     """How many words, split at Unicode white space."""
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))

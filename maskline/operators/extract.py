@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.constants import CODES, DECODING, PATTERNS
 from ..functions.text import json_string, words
+from .locate import name_hits, with_names
 
 PLACEHOLDER = "{{CLINICAL_TEXT}}"
 RESPONSE = "finish_reason string, content string, prompt_tokens long, completion_tokens long, transport_error string, latency_seconds double"
@@ -42,38 +43,40 @@ SCHEMA = {
 }
 
 
-def pattern_pairs(text: Column, patterns: Sequence[tuple[str, str]] = PATTERNS, names: Sequence[str] = ()) -> Column:
-    """Distinct (exact_text, identifier_type) in order of finding: names, longest first, then each pattern's matches."""
+def pattern_pairs(text: Column, patterns: Sequence[tuple[str, str]] = PATTERNS, names: Column | None = None) -> Column:
+    """Distinct (exact_text, identifier_type) in order of finding: the names that were found, then each pattern's matches."""
 
     def pairs(literals: Column, code: str) -> Column:
         return F.transform(literals, lambda x: F.struct(x.alias("exact_text"), F.lit(code).alias("identifier_type")))
 
     found = [F.array().cast("array<struct<exact_text:string,identifier_type:string>>")]
-    if names:
-        given = F.array(*[F.lit(n) for n in sorted(names, key=len, reverse=True)])
-        found.append(pairs(F.filter(given, lambda n: (n != "") & F.contains(text, n)), CODES[0]))
+    if names is not None:
+        found.append(pairs(names, CODES[0]))
     for code, pattern in patterns:
         found.append(pairs(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: x != ""), code))
     return F.array_distinct(F.concat(*found))
 
 
 def gazetteer_pairs(segments: DataFrame, names: DataFrame) -> DataFrame:
-    """segments(..., text) that contain a name of names(name): the pair for each.
-
-    Names of the file are few; a join without equality is broadcast only under Spark's own size bound.
-    """
-    return segments.join(names, F.contains("text", F.col("name"))).select(*[c for c in segments.columns if c != "text"], F.col("name").alias("exact_text"), F.lit(CODES[0]).alias("identifier_type"))
+    """segments(..., text) that contain a name of names(name), of which there may be any number: the pair for each."""
+    return name_hits(segments, names).withColumn("identifier_type", F.lit(CODES[0]))
 
 
 class PatternExtractor:
-    """Offline extractor of names and patterns; Columns only."""
+    """Offline extractor of names and patterns.
+
+    names: a list, or names(name) of any number; they are looked for by automata, patterns by the JVM.
+    """
 
-    def __init__(self, names: Sequence[str] = (), patterns: Sequence[tuple[str, str]] = PATTERNS):
-        self.names, self.patterns = tuple(names), tuple(patterns)
+    def __init__(self, names: Sequence[str] | DataFrame = (), patterns: Sequence[tuple[str, str]] = PATTERNS):
+        self.names = names if isinstance(names, DataFrame) else sorted(names, key=len, reverse=True)
+        self.patterns = tuple(patterns)
 
     def respond(self, segments: DataFrame) -> DataFrame:
         items = F.transform("_pairs", lambda p: F.concat(F.lit('{"exact_text": '), json_string(p["exact_text"]), F.lit(', "identifier_type": "'), p["identifier_type"], F.lit('"}')))
-        out = segments.withColumn("_pairs", pattern_pairs(F.col("text"), self.patterns, self.names))
+        named = isinstance(self.names, DataFrame) or bool(self.names)
+        given = with_names(segments, self.names, "_names") if named else segments
+        out = given.withColumn("_pairs", pattern_pairs(F.col("text"), self.patterns, F.col("_names") if named else None))
         out = out.withColumn("content", F.concat(F.lit('{"identifiers": ['), F.array_join(items, ", "), F.lit("]}"))).drop("_pairs")
         return out.select(
             *segments.columns,

@@ -11,20 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MARKERS, NEUTRAL
-from ..functions.text import steps
+from .locate import occurrences
 
 
 def ground(pairs: DataFrame, notes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """pairs(keys, exact_text, identifier_type) at every occurrence in notes(keys, text): typed spans, each once.
+    """pairs(keys, exact_text, identifier_type) at every occurrence in notes(keys, text), which keys tell apart: typed spans, each once.
 
-    Places are running sums of the steps between occurrences, without the text.
+    A note's literals come together, and its text moves once to meet them; one automaton finds them all. What a note's
+    windows have answered is no longer than the note with its windows' overlaps, so it is a row's worth.
     """
-    pair = [*keys, "exact_text", "identifier_type"]
-    joined = pairs.select(*pair).distinct().join(notes.select(*keys, "text"), list(keys))
-    found = joined.select(*pair, F.posexplode(steps(F.col("text"), F.col("exact_text"))).alias("_i", "_step"))
-    before = Window.partitionBy(*pair).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("start", F.sum("_step").over(before).cast("int"))
-    return found.select(*keys, "start", (F.col("start") + F.length("exact_text")).alias("end"), "identifier_type").distinct()
+    given = pairs.where(F.length("exact_text") > 0).groupBy(*keys, F.col("exact_text").alias("literal")).agg(F.sort_array(F.collect_set("identifier_type")).alias("labels"))
+    own = given.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("literal", "labels"))).alias("literals"))
+    found = occurrences(own.join(notes.select(*keys, "text"), list(keys)), keys)
+    return found.withColumnRenamed("label", "identifier_type")
 
 
 def merge(*spans: DataFrame) -> DataFrame:

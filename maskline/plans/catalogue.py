@@ -282,7 +282,7 @@ def gazetteer(spark, sf):
     lines = "\n".join(["", *(f"  {n} " for n in NAMES), " ", ""])
     sinks.write_files(spark.createDataFrame([("names.txt", lines)], "path string, value string"), folder, pretty=False)
     names = readers.read_gazetteer(spark, f"{folder}/names.txt")
-    return gazetteer_pairs(segments(_notes(spark, sf)).select("doc_id", "segment_id", "text"), F.broadcast(names)).select("doc_id", "segment_id", "exact_text")
+    return gazetteer_pairs(segments(_notes(spark, sf)).select("doc_id", "segment_id", "text"), names).select("doc_id", "segment_id", "exact_text")
 
 
 def clipped_confusion(spark, sf):
