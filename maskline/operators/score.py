@@ -2,112 +2,162 @@
 
 Inputs: universe(model_id, pass, doc_id), the notes each model has to answer for; gold_docs(doc_id,
 n_chars); gold(doc_id, span_no, start, end, code); predicted(model_id, pass, doc_id, start, end,
-identifier_type). Everything is left-joined to the universe, so a missing prediction is a full miss.
-Texts stay out of these joins.
+identifier_type). Every row of the universe with a gold note has a result, so a missing prediction is a full miss.
+Texts stay out of all this.
+
+A sweep: what belongs to a note meets in one shuffle by doc_id. Every span is two events, +1 where it starts and -1
+where it ends; in the order of their places, running sums tell how many gold and predicted spans are open between
+an event and the next, so covers, overlaps and what each span has of a cover are sums over one pass, whatever the
+number of spans on both sides. Bounds that are near meet in cells of a few codepoints on each side, of which a
+span is in four at most and which hold at most as many different bounds as they have places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import TOLERANCE
 from ..functions.text import prefix
-from .spans import regions
 
 KEYS = ("model_id", "pass", "doc_id")
 
 
-def _overlap(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of overlapping intervals a(_s, _e) and b(start, end) with their shared length."""
-    met = a.join(b, on).where((F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e")))
-    return met.withColumn("shared", F.least("_e", "end") - F.greatest("_s", "start"))
+def _together(universe: DataFrame | None, gold_docs: DataFrame | None, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """What belongs to a note, in one table that doc_id deals: rows of a kind, with the note's length, runs and categories where they are asked for."""
+    run = F.struct(F.col("model_id").cast("string").alias("model_id"), F.col("pass").cast("string").alias("pass"))
+    spans = [F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")]
+    code = F.col("code").cast("string").alias("code")
+    number = F.col("span_no").cast("long").alias("span_no")
+    parts = [
+        gold.select("doc_id", F.lit("gold").alias("kind"), *spans, code, number),
+        predicted.select("doc_id", F.lit("predicted").alias("kind"), *spans, F.col("identifier_type").alias("code"), run.alias("run")),
+    ]
+    if universe is not None:
+        parts.append(universe.distinct().select("doc_id", F.lit("asked").alias("kind"), run.alias("run")))
+        parts.append(gold_docs.select("doc_id", F.lit("note").alias("kind"), F.col("n_chars").cast("long").alias("n_chars")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    if universe is None:
+        return out
+    note = Window.partitionBy("doc_id")
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    return out.withColumns({"n_chars": F.max("n_chars").over(note), "runs": F.collect_set(of("asked", "run")).over(note), "codes": F.collect_set(of("gold", "code")).over(note)}).where("n_chars is not null")
+
+
+def _event(at: Column | str, run: Column, **counts) -> Column:
+    """An event of a run; what it opens (1) or closes (-1)."""
+    at = F.col(at) if isinstance(at, str) else at
+    return F.struct(run["model_id"].alias("model_id"), run["pass"].alias("pass"), at.alias("at"), *[(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in counts.items()])
+
+
+def _swept(rows: DataFrame, of: Column, keys: list[str], *opened: str) -> DataFrame:
+    """Events of `of`, an array of them for each row, swept by keys: `size`, how far it is to the next event, and the sums of `opened` so far."""
+    events = rows.select("doc_id", "n_chars", F.explode(of).alias("e")).select("doc_id", "n_chars", "e.*")
+    order = Window.partitionBy(*keys).orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.coalesce(F.lead("at").over(order) - F.col("at"), F.lit(0))
+    return events.withColumns({"size": size, **{c: F.sum(c).over(so_far) for c in opened}})
+
+
+def _while(*opened: str) -> Column:
+    """Codepoints over which all of these are open."""
+    on = F.lit(True)
+    for c in opened:
+        on = on & (F.col(c) > 0)
+    return F.sum(F.when(on, F.col("size")).otherwise(0))
+
+
+def char_counts(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per note: gt, pred_chars, tp, fp, fn, tn, residual and the note's length. Predictions are cut at the text's end."""
+    rows = _together(universe, gold_docs, gold.where("end > start"), predicted)
+    run, none = F.col("run"), F.lit(0).cast("long")
+    end = F.least("end", "n_chars")
+    asked = F.array(_event(none, run, g=0, p=0, asked=1))
+    own = F.flatten(F.transform("runs", lambda r: F.array(_event("start", r, g=1, p=0, asked=0), _event("end", r, g=-1, p=0, asked=0))))
+    said = F.array(_event("start", run, g=0, p=1, asked=0), _event(end, run, g=0, p=-1, asked=0))
+    of = F.when(F.col("kind") == "asked", asked).when(F.col("kind") == "gold", own).when((F.col("kind") == "predicted") & (end > F.col("start")), said)
+    sums = _swept(rows, of, list(KEYS), "g", "p").groupBy(*KEYS).agg(F.max("n_chars").alias("doc_chars"), F.max("asked").alias("asked"), _while("g").alias("gt"), _while("p").alias("pred_chars"), _while("g", "p").alias("tp"))
+    gt, pc, tp = F.col("gt"), F.col("pred_chars"), F.col("tp")
+    return sums.where("asked = 1").select(*KEYS, "doc_chars", gt, pc, tp, (pc - tp).alias("fp"), (gt - tp).alias("fn"), (F.col("doc_chars") - (gt + pc - tp)).alias("tn"), (gt - tp).alias("residual"))
+
+
+def _cells(start: str, end: str, tolerance: int, near: bool) -> Column:
+    """Cells of 2 * tolerance + 1 places on each side that hold these bounds, or, where near, some bounds within the tolerance."""
+    width = 2 * tolerance + 1
+    cell = lambda c, d: F.floor((F.col(c) + d) / width)
+    sides = [F.array_distinct(F.array(*[cell(c, d) for d in ((-tolerance, tolerance) if near else (0,))])) for c in (start, end)]
+    return F.flatten(F.transform(sides[0], lambda x: F.transform(sides[1], lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def _close(bounds: str, tolerance: int) -> Column:
+    """Whether some of these bounds are within the tolerance of the row's own."""
+    return F.exists(bounds, lambda b: (F.abs(b["start"] - F.col("start")) <= tolerance) & (F.abs(b["end"] - F.col("end")) <= tolerance))
+
+
+def span_hits(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """Per note and gold span: any, full, strict and relaxed hits, as 0 or 1."""
+    rows = _together(universe, gold_docs, gold, predicted)
+    run, end, nothing = F.col("run"), F.least("end", "n_chars"), F.lit(None).cast("long")
+    is_gold, is_said = F.col("kind") == "gold", F.col("kind") == "predicted"
+
+    # covered: what the cover has up to a span's end, less what it has up to its start
+    own = F.flatten(F.transform("runs", lambda r: F.array(_event("start", r, p=0, span_no=F.col("span_no"), edge=-1), _event("end", r, p=0, span_no=F.col("span_no"), edge=1))))
+    said = F.array(_event("start", run, p=1, span_no=nothing, edge=0), _event(end, run, p=-1, span_no=nothing, edge=0))
+    swept = _swept(rows, F.when(is_gold, own).when(is_said & (end > F.col("start")), said), list(KEYS), "p")
+    before = Window.partitionBy(*KEYS).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    swept = swept.withColumn("upto", F.coalesce(F.sum(F.when(F.col("p") > 0, F.col("size")).otherwise(0)).over(before), F.lit(0)))
+    covered = swept.where("span_no is not null").groupBy(*KEYS, "span_no").agg(F.sum(F.col("upto") * F.col("edge")).alias("covered"))
+
+    # bounds: those of the predictions that share a cell with a gold span
+    placed = rows.where(is_gold | is_said).select("doc_id", "kind", "start", "end", "span_no", "code", F.explode(F.when(is_gold, F.col("runs")).otherwise(F.array("run"))).alias("run"))
+    placed = placed.withColumn("cell", F.explode(F.when(is_gold, _cells("start", "end", tolerance, True)).otherwise(_cells("start", "end", tolerance, False))))
+    placed = placed.select("run.*", "doc_id", "kind", "start", "end", "span_no", "code", "cell")
+    met = F.collect_set(F.when(is_said, F.struct("start", "end"))).over(Window.partitionBy(*KEYS, "cell"))
+    near = placed.withColumn("met", met).where(is_gold).groupBy(*KEYS, "span_no", "code", "start", "end").agg(F.max(_close("met", 0).cast("int")).alias("strict"), F.max(_close("met", tolerance).cast("int")).alias("relaxed"))
 
-
-def _as_left(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed({"start": "_s", "end": "_e"})
-
-
-def clipped(predicted: DataFrame, gold_docs: DataFrame) -> DataFrame:
-    """Predictions cut at the text's end, for character counts only."""
-    joined = predicted.join(gold_docs.select("doc_id", "n_chars"), "doc_id")
-    return joined.withColumn("end", F.least("end", "n_chars").cast("int")).where("end > start").drop("n_chars")
-
-
-def predicted_cover(gold_docs: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Disjoint regions of each note's predictions within its text."""
-    return regions(clipped(predicted, gold_docs), KEYS).drop("region_no")
-
-
-def gold_cover(gold: DataFrame) -> DataFrame:
-    return regions(gold.where("end > start"), ["doc_id"]).drop("region_no")
-
-
-def char_counts(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, cover: DataFrame | None = None) -> DataFrame:
-    """Per note: gt, pred_chars, tp, fp, fn, tn, residual and the note's length."""
-    own = gold_cover(gold)
-    cover = predicted_cover(gold_docs, predicted) if cover is None else cover
-    gt = own.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("gt"))
-    pc = cover.groupBy(*KEYS).agg(F.sum(F.col("end") - F.col("start")).alias("pred_chars"))
-    tp = _overlap(_as_left(own), cover, ["doc_id"]).groupBy(*KEYS).agg(F.sum("shared").alias("tp"))
-    base = universe.join(gold_docs, "doc_id").join(gt, "doc_id", "left").join(pc, list(KEYS), "left").join(tp, list(KEYS), "left").na.fill(0, ["gt", "pred_chars", "tp"])
-    return base.select(*KEYS, F.col("n_chars").cast("long").alias("doc_chars"), "gt", "pred_chars", "tp", (F.col("pred_chars") - F.col("tp")).alias("fp"), (F.col("gt") - F.col("tp")).alias("fn"), (F.col("n_chars") - (F.col("gt") + F.col("pred_chars") - F.col("tp"))).alias("tn"), (F.col("gt") - F.col("tp")).alias("residual"))
-
-
-def span_hits(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, tolerance: int = TOLERANCE, cover: DataFrame | None = None) -> DataFrame:
-    """Per note and gold span: any, full, strict and relaxed hits, as 0 or 1.
-
-    Relaxed candidates meet on every start within the tolerance, which keeps the join an equality.
-    """
-    each = universe.join(gold, "doc_id")
-    cover = predicted_cover(gold_docs, predicted) if cover is None else cover
-    span = [*KEYS, "span_no"]
-    covered = _overlap(_as_left(each), cover, list(KEYS)).groupBy(*span).agg(F.sum("shared").alias("covered"))
-    bounds = predicted.select(*KEYS, "start", "end").distinct()
-    strict = each.join(bounds, [*KEYS, "start", "end"], "left_semi").select(*span, F.lit(1).alias("strict"))
-    wide = bounds.select(*KEYS, F.explode(F.sequence(F.col("start") - tolerance, F.col("start") + tolerance)).alias("start"), F.col("end").alias("_end"))
-    relaxed = each.join(wide, [*KEYS, "start"]).where(F.abs(F.col("end") - F.col("_end")) <= tolerance).select(*span).distinct().withColumn("relaxed", F.lit(1))
-    out = each
-    for part in (covered, strict, relaxed):
-        out = out.join(part, span, "left")
     c = F.coalesce("covered", F.lit(0))
-    one = lambda x: x.cast("int")
-    return out.select(*span, "code", "start", "end", one(c > 0).alias("any"), one(c == F.greatest(F.col("end") - F.col("start"), F.lit(0))).alias("full"), F.coalesce("strict", F.lit(0)).alias("strict"), F.coalesce("relaxed", F.lit(0)).alias("relaxed"))
+    kind = dict(gold.dtypes)
+    out = near.join(covered, [*KEYS, "span_no"], "left")
+    bounds = [F.col(x).cast(kind[x]).alias(x) for x in ("start", "end")]
+    return out.select(*KEYS, F.col("span_no").cast(kind["span_no"]).alias("span_no"), "code", *bounds, (c > 0).cast("int").alias("any"), (c == F.greatest(F.col("end") - F.col("start"), F.lit(0))).cast("int").alias("full"), "strict", "relaxed")
 
 
 def predicted_spans(gold: DataFrame, predicted: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Per note: different predicted bounds, and how many of them are near some gold span."""
-    bounds = predicted.select(*KEYS, "start", "end").distinct()
-    wide = gold.select("doc_id", F.explode(F.sequence(F.col("start") - tolerance, F.col("start") + tolerance)).alias("start"), F.col("end").alias("_end")).distinct()
-    near = bounds.join(wide, ["doc_id", "start"]).where(F.abs(F.col("end") - F.col("_end")) <= tolerance).select(*KEYS, "start", "end").distinct().withColumn("near", F.lit(1))
-    return bounds.join(near, [*KEYS, "start", "end"], "left").groupBy(*KEYS).agg(F.count("*").alias("pred_span_count"), F.sum(F.coalesce("near", F.lit(0))).alias("relaxed_pred"))
+    rows = _together(None, None, gold, predicted.dropDuplicates([*KEYS, "start", "end"]))
+    is_gold = F.col("kind") == "gold"
+    placed = rows.withColumn("cell", F.explode(F.when(is_gold, _cells("start", "end", tolerance, False)).otherwise(_cells("start", "end", tolerance, True))))
+    met = F.collect_set(F.when(is_gold, F.struct("start", "end"))).over(Window.partitionBy("doc_id", "cell"))
+    each = placed.withColumn("met", met).where(~is_gold).groupBy("doc_id", "run", "start", "end").agg(F.max(_close("met", tolerance).cast("long")).alias("near"))
+    return each.groupBy("doc_id", "run").agg(F.count("*").alias("pred_span_count"), F.sum("near").alias("relaxed_pred")).select("run.*", "doc_id", "pred_span_count", "relaxed_pred")
 
 
-def document_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, cover: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+def document_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """One wide row for each note of the universe."""
-    hits = (span_hits(universe, gold_docs, gold, predicted, cover=cover) if hits is None else hits).groupBy(*KEYS).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in ("any", "full", "strict", "relaxed")])
-    out = char_counts(universe, gold_docs, gold, predicted, cover).join(hits, list(KEYS), "left").join(predicted_spans(gold, predicted), list(KEYS), "left")
+    hits = (span_hits(universe, gold_docs, gold, predicted) if hits is None else hits).groupBy(*KEYS).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in ("any", "full", "strict", "relaxed")])
+    out = char_counts(universe, gold_docs, gold, predicted).join(hits, list(KEYS), "left").join(predicted_spans(gold, predicted), list(KEYS), "left")
     return out.na.fill(0)
 
 
-def type_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, cover: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+def type_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Per note and gold category that occurs in it: gt, tp (any type), tp_matched, pred_matched, fn and span hits.
 
     A category's predictions are those with the same leading digits, counted only in notes that have
-    the category.
+    the category: each category of a note is swept with all its predictions.
     """
-    own = regions(gold.where("end > start"), ["doc_id", "code"]).drop("region_no")
-    cut = clipped(predicted, gold_docs).withColumn("prefix", prefix(F.col("identifier_type")))
-    cover = regions(cut, KEYS).drop("region_no") if cover is None else cover
-    by_prefix = regions(cut, [*KEYS, "prefix"]).drop("region_no")
-    key = [*KEYS, "code"]
-    base = universe.join(gold.select("doc_id", "code").distinct(), "doc_id").withColumn("prefix", prefix(F.col("code")))
-    gt = own.groupBy("doc_id", "code").agg(F.sum(F.col("end") - F.col("start")).alias("gt"))
-    tp = _overlap(_as_left(own), cover, ["doc_id"]).groupBy(*key).agg(F.sum("shared").alias("tp"))
-    tpm = _overlap(_as_left(own.withColumn("prefix", prefix(F.col("code")))), by_prefix, ["doc_id", "prefix"]).groupBy(*key).agg(F.sum("shared").alias("tp_matched"))
-    pcm = by_prefix.groupBy(*KEYS, "prefix").agg(F.sum(F.col("end") - F.col("start")).alias("pred_matched"))
-    hits = (span_hits(universe, gold_docs, gold, predicted, cover=cover) if hits is None else hits).groupBy(*key).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in ("any", "full", "strict", "relaxed")])
-    out = base.join(gt, ["doc_id", "code"], "left").join(tp, key, "left").join(tpm, key, "left").join(pcm, [*KEYS, "prefix"], "left").join(hits, key, "left").drop("prefix").na.fill(0)
+    rows = _together(universe, gold_docs, gold, predicted)
+    run, end, key = F.col("run"), F.least("end", "n_chars"), [*KEYS, "code"]
+    own = F.flatten(F.transform("runs", lambda r: F.array(*[_event(c, r, code=F.col("code"), g=d, p=0, m=0) for c, d in (("start", 1), ("end", -1))])))
+    opened = F.col("end") > F.col("start")
+    alike = lambda c: (prefix(c) == prefix(F.col("code"))).cast("int")
+    said = F.flatten(F.transform("codes", lambda c: F.array(*[_event(at, run, code=c, g=0, p=d, m=alike(c) * d) for at, d in ((F.col("start"), 1), (end, -1))])))
+    of = F.when((F.col("kind") == "gold") & opened, own).when((F.col("kind") == "predicted") & (end > F.col("start")), said)
+    sums = _swept(rows, of, key, "g", "p", "m").groupBy(*key).agg(_while("g").alias("gt"), _while("g", "p").alias("tp"), _while("g", "m").alias("tp_matched"), _while("m").alias("pred_matched"))
+    # a category of a note is one that has hits, if only of empty spans
+    hits = (span_hits(universe, gold_docs, gold, predicted) if hits is None else hits).groupBy(*key).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in ("any", "full", "strict", "relaxed")])
+    out = hits.join(sums, key, "left").na.fill(0, ["gt", "tp", "tp_matched", "pred_matched"])
     return out.withColumn("fn", F.col("gt") - F.col("tp")).select(*key, "gt", "tp", "tp_matched", "pred_matched", "fn", "spans", "any", "full", "strict", "relaxed")
 
 

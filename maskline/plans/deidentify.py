@@ -94,11 +94,9 @@ def score_run(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predic
 
 
 def both_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, store=kept_on_disk) -> tuple[DataFrame, DataFrame]:
-    """Scores by note and by note and category, which share the predictions' cover and the spans' hits."""
-    cover = store(score.predicted_cover(gold_docs, predicted), "cover")
-    hits = store(score.span_hits(universe, gold_docs, gold, predicted, cover=cover), "hits")
-    shared = universe, gold_docs, gold, predicted, cover, hits
-    return score.document_scores(*shared), score.type_scores(*shared)
+    """Scores by note and by note and category, which share the spans' hits."""
+    hits = store(score.span_hits(universe, gold_docs, gold, predicted), "hits")
+    return score.document_scores(universe, gold_docs, gold, predicted, hits), score.type_scores(universe, gold_docs, gold, predicted, hits)
 
 
 def both_passes(first_pass: DataFrame) -> DataFrame:
