@@ -456,9 +456,11 @@ _PARTS = {
     "strict_span_tp::DOUBLE / nullif(pred_span_count, 0) AS strict_span_precision, relaxed_pred::DOUBLE / nullif(pred_span_count, 0) AS relaxed_span_precision, zero_residual_notes::DOUBLE / n_notes AS zero_residual_note_rate, notes_with_leak::DOUBLE / n_notes AS notes_with_leak_rate FROM alls",
     "trows": f"""SELECT model_id, pass, cohort, code AS phi_type, CAST(sum(t.gt) AS BIGINT) AS gt_phi_chars, CAST(sum(t.spans) AS BIGINT) AS gt_span_count, CAST(sum(t.tp) AS BIGINT) AS char_tp, sum(t.tp)::DOUBLE / nullif(sum(t.gt), 0) AS char_recall,
       CAST(sum(t.gt) - sum(t.tp) AS BIGINT) AS char_fn, CAST(sum(t.tp_matched) AS BIGINT) AS tpm, CAST(sum(t.pred_matched) AS BIGINT) AS pcm, CAST(sum(t.a) AS BIGINT) AS any_span_tp, CAST(sum(t.f) AS BIGINT) AS full_span_tp, CAST(sum(t.st) AS BIGINT) AS strict_span_tp, CAST(sum(t.re) AS BIGINT) AS relaxed_span_tp FROM types t JOIN (SELECT {_K}, cohort FROM rows_) USING ({_K}) GROUP BY ALL HAVING sum(t.gt) > 0""",
-    "pdoc": "SELECT model_id, pass AS pass_, doc_id, gt, tp, row_number() OVER (PARTITION BY model_id, pass ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY model_id, pass) AS n FROM conf",
-    "draws": f"""SELECT n, b, (('0x' || substr(md5('20260801-' || b || '-' || i), 1, 8))::BIGINT % n) + 1 AS k FROM (SELECT DISTINCT n FROM pdoc), unnest(range(0, {RESAMPLES})) AS u(b), unnest(range(0, n)) AS v(i)""",
-    "boot": "SELECT p.model_id, p.pass_, d.b, sum(p.tp)::DOUBLE / nullif(sum(p.gt), 0) AS r FROM draws d JOIN pdoc p ON p.n = d.n AND p.k = d.k WHERE p.gt > 0 GROUP BY ALL",
+    "pdoc": "SELECT model_id, pass AS pass_, doc_id, gt, tp FROM conf",
+    "coefs": f"""SELECT b, {', '.join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT % {reports.PRIME} AS c{i}" for i in range(4))} FROM (SELECT b, md5('20260801-' || b) AS h FROM unnest(range(0, {RESAMPLES})) AS u(b))""",
+    "heads": f"SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {reports.PRIME} AS x FROM (SELECT DISTINCT doc_id FROM conf WHERE gt > 0)",
+    "draws": f"""SELECT doc_id, b, {' + '.join(f'CAST(u >= {t} AS INT)' for t in reports.POISSON)} AS w FROM (SELECT doc_id, b, (((c0 * x + c1) % {reports.PRIME} * x + c2) % {reports.PRIME} * x + c3) % {reports.PRIME} AS u FROM heads, coefs)""",
+    "boot": "SELECT model_id, pass_, b, sum(w * tp)::DOUBLE / nullif(sum(w * gt), 0) AS r FROM draws JOIN pdoc USING (doc_id) WHERE gt > 0 GROUP BY ALL",
     "lits1": f"SELECT DISTINCT doc_id, i, code, lit FROM (SELECT doc_id, i, code, unnest(regexp_extract_all(t, re)) AS lit FROM seg, pat) WHERE lit <> ''",
     "areg": _regions("occ", "doc_id"),
     "akept": """SELECT doc_id, CAST(0 AS INT) AS piece_no, 0 AS src_start, coalesce((SELECT min(s) FROM areg f WHERE f.doc_id = n.doc_id), n) AS src_end, 0 AS shift FROM notes n
@@ -561,7 +563,7 @@ _FINAL = {
     "figure5": "SELECT model_id, max(CASE WHEN pass = 'pass1' THEN char_recall END) AS char_recall_pass1, max(CASE WHEN pass = 'cumulative_pass2' THEN char_recall END) AS char_recall_cumulative_pass2, round(max(CASE WHEN pass = 'cumulative_pass2' THEN char_recall END) - max(CASE WHEN pass = 'pass1' THEN char_recall END), 6) AS added_by_pass2 FROM rates WHERE cohort = 'all_expected' GROUP BY 1",
     "figure6": f"""SELECT r.model_id, max(CASE WHEN phi_type = '{EMAIL}' THEN t.char_recall END) AS email, max(CASE WHEN phi_type = '{PHONE}' THEN t.char_recall END) AS telephone, max(CASE WHEN phi_type = '{IP}' THEN t.char_recall END) AS address, max(r.char_recall) AS overall
       FROM rates r LEFT JOIN trows t ON t.model_id = r.model_id AND t.pass = r.pass AND t.cohort = r.cohort WHERE r.pass = 'cumulative_pass2' AND r.cohort = 'all_expected' GROUP BY 1""",
-    "bootstrap_ci": """SELECT p.model_id, p.pass_, p.n AS notes, round(p.r, 9) AS recall, round(q.l, 9) AS low, round(q.h, 9) AS high FROM (SELECT model_id, pass_, max(n) AS n, sum(tp)::DOUBLE / nullif(sum(gt), 0) AS r FROM pdoc GROUP BY ALL) p
+    "bootstrap_ci": """SELECT p.model_id, p.pass_, n AS notes, round(p.r, 9) AS recall, round(q.l, 9) AS low, round(q.h, 9) AS high FROM (SELECT model_id, pass_, count(*) AS n, sum(tp)::DOUBLE / nullif(sum(gt), 0) AS r FROM pdoc GROUP BY ALL) p
       JOIN (SELECT model_id, pass_, quantile_cont(r, 0.025) AS l, quantile_cont(r, 0.975) AS h FROM boot GROUP BY ALL) q ON q.model_id = p.model_id AND q.pass_ = p.pass_""",
 }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,37 +115,68 @@ def bootstrap_exact(per_document: DataFrame, resamples: int = RESAMPLES, seed: i
     return per_document.groupBy("model_id", "pass_").applyInPandas(run, "model_id string, pass_ string, notes long, recall double, low double, high double")
 
 
-def numbered(rows: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    """rows with `k`, from 1 within each group in order, without a group going to one task.
+#: The prime below 2^31 up to which weights are drawn.
+PRIME = (1 << 31) - 1
+#: Numbers under which a draw has weight 0, 1, 2, ...: the Poisson distribution of mean 1, scaled to PRIME.
+POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10))
+#: Notes whose weights are drawn at once.
+NOTES_AT_ONCE = 128
 
-    Rows are dealt by ranges of (group, order); a range's first number is what the ranges before it hold, from a
-    table of one row for each range and group that it holds rows of.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *group, order).sortWithinPartitions(*group, order).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    sizes = dealt.groupBy("_range", *group).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_range", *group, F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range", *group).orderBy(order))
-    return dealt.withColumn("_own", own).join(offsets, ["_range", *group]).withColumn("k", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+def draw_numbers(seed: int, resamples: int) -> np.ndarray:
+    """Four coefficients below PRIME for each resample."""
+    found = [hashlib.md5(f"{seed}-{b}".encode()).hexdigest() for b in range(resamples)]
+    return np.array([[int(h[8 * i : 8 * i + 8], 16) % PRIME for i in range(4)] for h in found], np.int64).reshape(-1, 4)
+
+
+def note_numbers(docs: Sequence[str]) -> np.ndarray:
+    """A number below PRIME for each note."""
+    return np.array([int(hashlib.md5(d.encode()).hexdigest()[:8], 16) % PRIME for d in docs], np.int64)
+
+
+def weights(notes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """How often each resample takes each note: Poisson(1), four notes' weights being independent."""
+    x, out = notes[:, None], numbers[None, :, 0]
+    for i in range(1, 4):
+        out = (out * x + numbers[None, :, i]) % PRIME
+    return np.searchsorted(np.array(POISSON), out, "right")
+
+
+def _resampled(resamples: int, seed: int):
+    """A task's sums for each group and resample: (model_id, pass_, b, gt, tp)."""
+
+    def run(batches):
+        numbers, sums = draw_numbers(seed, resamples), {}
+        for pdf in batches:
+            for at in range(0, len(pdf), NOTES_AT_ONCE):
+                part = pdf.iloc[at : at + NOTES_AT_ONCE]
+                docs, which = np.unique(part["doc"].to_numpy(str), return_inverse=True)
+                drawn = weights(note_numbers(docs.tolist()), numbers).astype(np.float64)
+                for key, own in part.groupby(["model_id", "pass_"], sort=False).indices.items():
+                    both = part[["gt_phi_chars", "char_tp"]].to_numpy(np.float64)[own]
+                    # whole numbers, and few enough to stay exact
+                    made = (drawn[which[own]].T @ both).astype(np.int64)
+                    sums[key] = sums[key] + made if key in sums else made
+        for (model, pass_), made in sums.items():
+            yield pd.DataFrame({"model_id": model, "pass_": pass_, "b": np.arange(resamples), "gt": made[:, 0], "tp": made[:, 1]})
+
+    return run
 
 
 def bootstrap(per_document: DataFrame, resamples: int = RESAMPLES, seed: int = BOOTSTRAP_SEED, alpha: float = ALPHA) -> DataFrame:
-    """Percentile intervals of pooled recall, drawn by hashes: SQL all the way.
+    """Percentile intervals of pooled recall by Poisson weights: every resample takes each note 0, 1, 2, ... times.
 
-    Draw i of resample b takes note md5(seed-b-i) mod n, so every engine draws the same, and groups of as many
-    notes share their draws. Notes without gold characters add nothing to either sum, so draws
-    meet only the others.
+    per_document(model_id, pass_, doc, gt_phi_chars, char_tp). A note's weights follow from its name and the resample's number
+    alone, so each task sums its own notes for all resamples and only these sums move: as many for any number of
+    notes. Weights are values of a random cubic polynomial modulo a prime at the note's number, through the
+    distribution's inverse; so they can be drawn in SQL as well, and any four notes' are independent. Notes
+    without gold characters weigh on neither sum and are left out.
     """
-    group = ("model_id", "pass_")
-    each = numbered(per_document.select(*group, "doc", "gt_phi_chars", "char_tp"), group, "doc").persist(StorageLevel.DISK_ONLY)
+    group = ["model_id", "pass_"]
+    each = per_document.select(*group, F.col("doc").cast("string").alias("doc"), F.col("gt_phi_chars").cast("long").alias("gt_phi_chars"), F.col("char_tp").cast("long").alias("char_tp"))
     sums = each.groupBy(*group).agg(F.count("*").alias("n"), F.sum("char_tp").alias("tp"), F.sum("gt_phi_chars").alias("gt"))
-    spread = int(per_document.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    starts = sums.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition(spread, "n", "b")
-    draws = starts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    key = F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))
-    draws = draws.withColumn("k", F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.col("n")) + 1)
-    counted = each.where("gt_phi_chars > 0").join(sums.select(*group, "n"), list(group))
-    drawn = draws.select("n", "b", "k").join(counted, ["n", "k"]).groupBy(*group, "b").agg(F.try_divide(F.sum("char_tp").cast("double"), F.sum("gt_phi_chars").cast("double")).alias("r"))
-    bounds = drawn.groupBy(*group).agg(F.percentile("r", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
-    return sums.join(bounds, list(group), "left").select(*group, F.col("n").alias("notes"), F.try_divide(F.col("tp").cast("double"), F.col("gt").cast("double")).alias("recall"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    drawn = each.where("gt_phi_chars > 0").mapInPandas(_resampled(resamples, seed), "model_id string, pass_ string, b int, gt long, tp long")
+    recalls = drawn.groupBy(*group, "b").agg(F.try_divide(F.sum("tp").cast("double"), F.sum("gt").cast("double")).alias("r"))
+    # one number for each resample
+    bounds = recalls.groupBy(*group).agg(F.percentile("r", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    return sums.join(bounds, group, "left").select(*group, F.col("n").alias("notes"), F.try_divide(F.col("tp").cast("double"), F.col("gt").cast("double")).alias("recall"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import pytest
@@ -62,22 +61,17 @@ def _percentile(values, q):
     return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (k - low)
 
 
-def test_bootstrap_against_plain_loops(spark):
+def test_bootstrap_exact_against_plain_loops(spark):
     random.seed(3)
     rows = [(m, p, d, random.choice([0, 5, 9]), 0) for m in "ab" for p in "xy" for d in range(23 if m == "a" else 17)]
     rows = [(m, p, d, g, random.randint(0, g)) for m, p, d, g, _ in rows]
     df = spark.createDataFrame(rows, "model_id string, pass_ string, doc long, gt_phi_chars long, char_tp long")
-    exact = {(r.model_id, r.pass_): r for r in reports.bootstrap_exact(df, 60, 7).collect()}
-    hashed = {(r.model_id, r.pass_): r for r in reports.bootstrap(df, 60, 7).collect()}
-    for key in exact:
-        notes = [(g, t) for m, p, _, g, t in rows if (m, p) == key]
-        n, draw = len(notes), random.Random(7)
-        by_stream = [draw.choices(notes, k=n) for _ in range(60)]
-        by_hash = [[notes[int(hashlib.md5(f"7-{b}-{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)] for b in range(60)]
-        for got, samples in ((exact[key], by_stream), (hashed[key], by_hash)):
-            recalls = [sum(t for _, t in s) / sum(g for g, _ in s) for s in samples]
-            assert got.notes == n and got.recall == sum(t for _, t in notes) / sum(g for g, _ in notes)
-            assert got.low == pytest.approx(_percentile(recalls, 0.025)) and got.high == pytest.approx(_percentile(recalls, 0.975))
+    for got in reports.bootstrap_exact(df, 60, 7).collect():
+        notes = [(g, t) for m, p, _, g, t in rows if (m, p) == (got.model_id, got.pass_)]
+        draw = random.Random(7)
+        recalls = [sum(t for _, t in s) / sum(g for g, _ in s) for s in (draw.choices(notes, k=len(notes)) for _ in range(60))]
+        assert got.notes == len(notes) and got.recall == sum(t for _, t in notes) / sum(g for g, _ in notes)
+        assert got.low == pytest.approx(_percentile(recalls, 0.025)) and got.high == pytest.approx(_percentile(recalls, 0.975))
 
 
 def test_redacted_length(scored):
