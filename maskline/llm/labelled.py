@@ -19,7 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     marks = marks.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     chosen = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return rows.select(F.coalesce("text", F.lit("")).alias("text"), "y").repartition(8)
+    return rows.select(F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

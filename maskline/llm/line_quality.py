@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
                 rows = np.column_stack([size, shape]).astype(np.float32)
                 yield pa.RecordBatch.from_pydict({"y": batch.column("y").slice(first, len(texts)).cast(pa.int32()), "f": pa.array([r.ravel() for r in np.split(rows, cuts)], pa.list_(pa.float32()))})
 
-    rows = labelled_sample(docs, labels, label, folds, fold, limit).mapInArrow(shapes, "y int, f array<float>").toArrow()
+    rows = labelled_sample(docs, labels, label, folds, fold, limit).repartition(8).mapInArrow(shapes, "y int, f array<float>").toArrow()
     quality = rows["y"].to_numpy()
     if len(quality) == 0 or quality.min() == quality.max():
         return float(quality.mean()) if len(quality) else 1.0

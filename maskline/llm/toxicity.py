@@ -6,9 +6,10 @@ texts and their log ratio r; a logistic regression is then fitted on features sc
 of the sample's own mix are added to every count, and r is shrunk by z^2 / (z^2 + `SHRINK`), z being r over its
 standard error: what is poorly supported counts for little, but every n-gram of the sample keeps a weight.
 
-The regression is fitted by the sample's parts at once: in each round every part starts from the weights so
-far and fits them to its own documents, and the parts' weights are averaged. Only weights, as many as there
-are buckets, come to the driver.
+The sample's n-grams are extracted once and stored as a list of buckets for each document. The regression is
+fitted by the sample's `PARTS` at once: in each round every part starts from the weights so far and fits them to
+its own documents, a mini-batch after the other, and the parts' weights are averaged. A part holds its lists, 4 bytes
+a bucket, and the arrays of one mini-batch. Only weights, as many as there are buckets, come to the driver.
 
 Cases: a null text is an empty one and scores by the intercept; repeated rows score alike; without a
 labelled document of both kinds every score is 0; extra columns are ignored.
@@ -23,17 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, extended, held_out, schema_with, table, text_blocks
+from .common import BLOCK_BYTES, extended, held_out, keep, schema_with, table, text_blocks
 from .labelled import Adam, fit_line, labelled_sample, sigmoid
 
 FOLDS, FOLD = 5, 0
 #: Most labelled documents that the classifier is fitted on.
-SAMPLE = 4_000
+SAMPLE = 8_000
 ORDERS = (4, 5, 6)
 BITS = 20
 PRIOR, SHRINK = 4.0, 16.0
-#: Rounds of averaging, and steps in a round.
-ROUNDS, STEPS = 3, 40
+#: Parts of the sample, documents of a mini-batch, rounds of averaging, and how often a round goes over a part's documents.
+PARTS, BATCH, ROUNDS, EPOCHS = 8, 64, 4, 5
 
 
 @dataclass
@@ -63,21 +64,6 @@ def _grams(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
     return out, len(found)
 
 
-def _counts(batches):
-    """Documents with each bucket, by label, over a task's documents."""
-    tally = np.zeros((2, 1 << BITS), np.int32)
-    for batch in batches:
-        labels = batch.column("y").to_numpy()
-        for first, texts in text_blocks(batch.column("text"), BLOCK_BYTES // 2):
-            grams, n = _grams(texts)
-            y = labels[first : first + n]
-            keys = np.unique(np.concatenate([d.astype(np.int64) << BITS | b for d, b in grams] or [np.zeros(0, np.int64)]))
-            for v in (0, 1):
-                tally[v] += np.bincount(keys[y[keys >> BITS] == v] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
-    at = np.flatnonzero(tally.sum(axis=0))
-    yield pa.RecordBatch.from_pydict({"bucket": at.astype(np.int32), "other": tally[0, at].astype(np.int64), "toxic": tally[1, at].astype(np.int64)})
-
-
 def _present(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """(document, bucket), each pair once and in order, and how many documents."""
     grams, n = _grams(texts)
@@ -88,6 +74,30 @@ def _present(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return keys >> BITS, keys & ((1 << BITS) - 1), n
 
 
+def _lists(batches):
+    """(y, text) -> (y, buckets), each document's different buckets as 32-bit numbers."""
+    for batch in batches:
+        labels = batch.column("y").to_numpy()
+        for first, texts in text_blocks(batch.column("text"), BLOCK_BYTES // 2):
+            doc, bucket, n = _present(texts)
+            own = np.split(bucket.astype("<i4"), np.searchsorted(doc, np.arange(1, n)))
+            yield pa.RecordBatch.from_pydict({"y": pa.array(labels[first : first + n], pa.int32()), "buckets": pa.array([x.tobytes() for x in own], pa.binary())})
+
+
+def _stored(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i4") for x in batch.column("buckets").to_pylist()]
+
+
+def _counts(batches):
+    """Documents with each bucket, by label, over a task's documents."""
+    tally = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        for y, own in zip(batch.column("y").to_pylist(), _stored(batch)):
+            tally[y, own] += 1
+    at = np.flatnonzero(tally.any(axis=0))
+    yield pa.RecordBatch.from_pydict({"bucket": at.astype(np.int32), "other": tally[0, at], "toxic": tally[1, at]})
+
+
 def log_ratios(other: np.ndarray, toxic: np.ndarray, n_other: int, n_toxic: int) -> np.ndarray:
     """Shrunk log-count ratios of features in so many of n_other and of n_toxic documents."""
     share = n_toxic / (n_other + n_toxic)
@@ -98,33 +108,35 @@ def log_ratios(other: np.ndarray, toxic: np.ndarray, n_other: int, n_toxic: int)
 
 
 def _fit_part(ratio, start, penalty: float = 1e-3):
-    """Steps of a logistic regression on presence scaled by r, over a task's documents: the weights of the buckets seen, and the bias."""
+    """Mini-batches of a logistic regression on presence scaled by r, over a task's documents: the weights of the buckets seen, and the bias."""
 
     def run(batches):
-        docs, buckets, labels, n = [], [], [], 0
+        lists, labels = [], []
         for batch in batches:
-            y = batch.column("y").to_numpy()
-            for first, texts in text_blocks(batch.column("text"), BLOCK_BYTES // 2):
-                doc, bucket, size = _present(texts)
-                docs.append((doc + n).astype(np.int32))
-                buckets.append(bucket.astype(np.int32))
-                labels.append(y[first : first + size])
-                n += size
-        if not n:
+            lists += _stored(batch)
+            labels += batch.column("y").to_pylist()
+        if not lists:
             return
-        doc, y = np.concatenate(docs), np.concatenate(labels).astype(float)
-        seen, feature = np.unique(np.concatenate(buckets), return_inverse=True)
-        feature = feature.astype(np.int32)
-        r, k = ratio.value[seen], len(seen)
-        w = np.append(start.value[seen], start.value[-1])
-        adam, scale = Adam(k + 1, 0.05), r[feature]
-        for _ in range(STEPS):
-            margin = np.bincount(doc, scale * w[feature], n) + w[k]
-            d = (sigmoid(margin) - y) / n
-            g = np.append(np.bincount(feature, scale * d[doc], k) + penalty * w[:k], d.sum())
-            w = adam.step(w, g)
-        at = np.append(seen, 1 << BITS)
-        yield pa.RecordBatch.from_pydict({"bucket": at.astype(np.int32), "weight": w, "docs": np.full(len(at), float(n))})
+        r, w, adam = ratio.value, start.value.copy(), Adam((1 << BITS) + 1, 0.05)
+        order = np.random.default_rng(5).permutation(len(lists))
+        # all of nearly one size, so that a small last one doesn't count for more than it holds
+        cuts = np.array_split(order, -(-len(order) // BATCH))
+        for _ in range(EPOCHS):
+            for own in cuts:
+                feature = np.concatenate([lists[i] for i in own])
+                doc = np.repeat(np.arange(len(own)), [len(lists[i]) for i in own])
+                scale = r[feature]
+                margin = np.bincount(doc, scale * w[feature], len(own)) + w[-1]
+                d = (sigmoid(margin) - np.array([labels[i] for i in own])) / len(own)
+                g = penalty * w
+                g[:-1] += np.bincount(feature, scale * d[doc], 1 << BITS)
+                g[-1] = d.sum()
+                w = adam.step(w, g)
+        seen = np.zeros(1 << BITS, bool)
+        for x in lists:
+            seen[x] = True
+        at = np.append(np.flatnonzero(seen), 1 << BITS)
+        yield pa.RecordBatch.from_pydict({"bucket": at.astype(np.int32), "weight": w[at], "docs": np.full(len(at), float(len(lists)))})
 
     return run
 
@@ -132,30 +144,45 @@ def _fit_part(ratio, start, penalty: float = 1e-3):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, fold: int = FOLD, limit: int = SAMPLE) -> Model | None:
     """Fit on the labelled documents outside the held-out fold; None where only one label is there."""
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, label, folds, fold, limit).cache()
+    sample = labelled_sample(docs, labels, label, folds, fold, limit).withColumn("at", F.xxhash64("text"))
+    # in a fixed order, so that a part that runs again fits alike
+    sample = sample.repartition(PARTS, "at").sortWithinPartitions("at", "y")
+    stored = keep(sample.select("y", "text").mapInArrow(_lists, "y int, buckets binary"))
     try:
-        n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        n = {r.y: r.n for r in stored.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if not n.get(0) or not n.get(1):
             return None
-        counts = sample.mapInArrow(_counts, "bucket int, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+        counts = stored.mapInArrow(_counts, "bucket int, other int, toxic int").groupBy("bucket").agg(*[F.sum(c).cast("int").alias(c) for c in ("other", "toxic")])
+        ratio, weights = np.zeros(1 << BITS), np.zeros((1 << BITS) + 1)
         found = counts.toArrow()  # at most 2^BITS rows
         bucket, a, b = (found[c].to_numpy() for c in ("bucket", "other", "toxic"))
-        ratio, weights = np.zeros(1 << BITS), np.zeros((1 << BITS) + 1)
         ratio[bucket] = log_ratios(a, b, n[0], n[1])
+        del found, bucket, a, b
         weights[-1] = np.log(n[1] / n[0])
         given = spark.sparkContext.broadcast(ratio)
         for _ in range(ROUNDS):
-            fitted = sample.mapInArrow(_fit_part(given, spark.sparkContext.broadcast(weights)), "bucket int, weight double, docs double")
+            fitted = stored.mapInArrow(_fit_part(given, spark.sparkContext.broadcast(weights)), "bucket int, weight double, docs double")
             mean = fitted.groupBy("bucket").agg((F.sum(F.col("weight") * F.col("docs")) / F.sum("docs")).alias("weight")).toArrow()
+            weights = weights.copy()
             weights[mean["bucket"].to_numpy()] = mean["weight"].to_numpy()
+            del mean
         model = Model((weights[:-1] * ratio).astype(np.float32), float(weights[-1]))
-        told = sample.select("y", "text").mapInArrow(_margins(spark.sparkContext.broadcast(model.weights), model.bias), "y int, score double").toArrow()
+        told = stored.mapInArrow(_stored_margins(spark.sparkContext.broadcast(model.weights), model.bias), "y int, score double").toArrow()
     finally:
-        sample.unpersist()
+        stored.unpersist()
+        pa.default_memory_pool().release_unused()
     slope, shift = fit_line(told["score"].to_numpy(), told["y"].to_numpy().astype(float), 1500)
     return Model(model.weights * np.float32(slope), model.bias * slope + shift)
 
 
+def _stored_margins(weights, bias: float):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "score": pa.array([float(weights.value[x].sum(dtype=float)) + bias for x in _stored(batch)], pa.float64())})
+
+    return run
+
+
 def _margins(weights, bias: float, of=lambda x: x):
     def run(batches):
         for batch in batches:

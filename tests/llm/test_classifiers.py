@@ -44,7 +44,7 @@ def test_toxicity_counts_ratios_and_scores_against_plain_loops(spark):
     texts = ["", "Abc", "ÀÉ😀 long"] + ["".join(random.choice("aBcé d\n") for _ in range(random.randint(0, 60))) for _ in range(40)]
     y = [i % 3 == 0 for i in range(len(texts))]
     found = [_buckets(t) for t in texts]
-    counts = {(r.bucket): (r.other, r.toxic) for r in spark.createDataFrame([(int(v), t) for v, t in zip(y, texts)], "y int, text string").mapInArrow(toxicity._counts, "bucket int, other long, toxic long").groupBy("bucket").sum("other", "toxic").toDF("bucket", "other", "toxic").collect()}
+    counts = {(r.bucket): (r.other, r.toxic) for r in spark.createDataFrame([(int(v), t) for v, t in zip(y, texts)], "y int, text string").mapInArrow(toxicity._lists, "y int, buckets binary").mapInArrow(toxicity._counts, "bucket int, other int, toxic int").groupBy("bucket").sum("other", "toxic").toDF("bucket", "other", "toxic").collect()}
     assert counts == {b: (sum(b in f and not v for f, v in zip(found, y)), sum(b in f and v for f, v in zip(found, y))) for f in found for b in f}
     for a, b in ((0, 9), (9, 0), (1, 0), (3, 1)):
         p, q = a + 4 * 30 / 40, b + 4 * 10 / 40
@@ -99,3 +99,31 @@ def test_quality_learns_lines(spark):
     assert line_quality.train(d, y.where("quality = 1")) == 1.0
     doc, size, shape = line_quality.line_shapes(pa.array(["a\n\nb", "", "x"]))
     assert doc.tolist() == [0, 0, 0, 1, 2] and size.tolist() == [1, 0, 1, 0, 1] and shape.shape == (5, line_quality.SHAPE)
+
+
+def test_mini_batches_fit_what_plain_loops_fit():
+    """A part's weights against the same steps with sets; every document's buckets are stored once."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abc d"), 30)) for _ in range(150)]
+    y = (rng.random(150) < 0.3).astype(int)
+    (stored,) = toxicity._lists([pa.RecordBatch.from_pydict({"y": y, "text": texts})])
+    lists = toxicity._stored(stored)
+    assert [set(x.tolist()) for x in lists] == [_buckets(t) for t in texts]
+    given = type("Given", (), {})
+    ratio, start = given(), given()
+    ratio.value, start.value = rng.normal(size=1 << toxicity.BITS), np.zeros((1 << toxicity.BITS) + 1)
+    (got,) = toxicity._fit_part(ratio, start)([stored.slice(0, 40), stored.slice(40)])
+    w, adam, order = np.zeros((1 << toxicity.BITS) + 1), toxicity.Adam((1 << toxicity.BITS) + 1, 0.05), np.random.default_rng(5).permutation(150)
+    for _ in range(toxicity.EPOCHS):
+        for own in np.array_split(order, 3):
+            g = 1e-3 * w
+            g[-1] = 0
+            for i in own:
+                d = (1 / (1 + math.exp(-(sum(ratio.value[b] * w[b] for b in lists[i]) + w[-1]))) - y[i]) / len(own)
+                for b in lists[i]:
+                    g[b] += d * ratio.value[b]
+                g[-1] += d
+            w = adam.step(w, g)
+    at = got["bucket"].to_numpy()
+    assert set(at[:-1].tolist()) == set(np.concatenate(lists).tolist()) and at[-1] == 1 << toxicity.BITS
+    assert got["weight"].to_numpy() == pytest.approx(w[at], abs=1e-6)
