@@ -86,4 +86,4 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(SQL) <= set(QUERIES)
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(SQL) <= set(QUERIES)
