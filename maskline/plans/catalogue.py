@@ -338,13 +338,21 @@ def two_pass_responses(spark, sf):
     return asked.join(seen, key)
 
 
-def _tree(spark, sf) -> str:
+def _tree(spark, sf, strip: bool = True) -> str:
     """A run written as a tree of files."""
     folder, run = f"{sinks.shared_folder(spark)}/tree-{uuid.uuid4().hex}", _run(spark, sf)
-    sinks.write_tree(folder, run.notes, run.responses, run.validations, run.spans, strip_content=True)
+    sinks.write_tree(folder, run.notes, run.responses, run.validations, run.spans, strip_content=strip)
     return folder
 
 
+def tree_contents(spark, sf):
+    """What the answers of a run's tree say, and how much is left of it where contents are to be stripped."""
+    key = ["pass", "doc_id", "segment_id"]
+    whole = readers.read_contents(spark, _tree(spark, sf, False)).select(*key, F.md5("content").alias("digest"))
+    bare = readers.read_contents(spark, _tree(spark, sf)).select(*key, F.length("content").alias("left_chars"), "has_reasoning")
+    return whole.join(bare, key).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def tree_predictions(spark, sf):
     """Spans of a run, read back from its files."""
     return readers.read_predictions(spark, _tree(spark, sf)).select("pass", F.col("doc_id").cast("long").alias("doc_id"), "start", "end", "identifier_type")
@@ -478,6 +486,10 @@ _PARTS = {
       CAST(CASE WHEN count(lit) = 0 THEN 2 ELSE 1 + sum(3 + {_WORDS.format('lit')}) END AS BIGINT) AS completion_tokens, count(lit) AS raw_items
       FROM (SELECT 'pass1' AS pass, doc_id, i, t FROM seg UNION ALL SELECT 'cumulative_pass2', doc_id, i, t FROM aseg) w
       LEFT JOIN (SELECT 'pass1' AS pass, * FROM lits1 UNION ALL SELECT 'cumulative_pass2', * FROM lits2) l USING (pass, doc_id, i) GROUP BY pass, w.doc_id, w.i, t""",
+    "answers": """SELECT pass, doc_id, 'S' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS segment_id, md5('{"identifiers": [' || coalesce(string_agg('{"exact_text": "' || lit || '", "identifier_type": "' || code || '"}', ', ' ORDER BY k, at), '') || ']}') AS digest FROM (
+      SELECT pass, doc_id, i, k, code, lit, min(at) AS at FROM (SELECT pass, doc_id, i, k, code, unnest(found) AS lit, unnest(range(1, len(found) + 1)) AS at FROM (
+        SELECT pass, doc_id, i, k, code, CASE WHEN len(f) = 0 THEN [NULL] ELSE f END AS found FROM (SELECT pass, doc_id, i, k, code, regexp_extract_all(t, re) AS f FROM (SELECT 'pass1' AS pass, doc_id, i, t FROM seg UNION ALL SELECT 'cumulative_pass2', doc_id, i, t FROM aseg), pats))) GROUP BY ALL) GROUP BY pass, doc_id, i""",
+    "pats": "SELECT row_number() OVER () AS k, code, re FROM pat",
     "over": f"SELECT {_K}, n - 3 AS s, n + 5 AS e, n FROM uni JOIN notes USING (doc_id) WHERE n >= 3",
     "opred": f"SELECT {_K}, s, e, least(e, n) AS c FROM pred JOIN notes USING (doc_id) UNION ALL SELECT {_K}, s, e, n FROM over",
     "oreg": _regions(f"(SELECT {_K}, s, c AS e FROM opred)", _K),
@@ -546,10 +558,11 @@ _FINAL = {
       LEFT JOIN (SELECT {_K}, count(*) AS pred_span_count, count(*) FILTER (EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND abs(g.s - p.s) <= 2 AND abs(g.e - p.e) <= 2)) AS relaxed_pred FROM (SELECT DISTINCT {_K}, s, e FROM opred) p GROUP BY ALL) c USING ({_K})""",
     "two_pass_spans": f"SELECT pass, doc_id, {_SE}, code AS identifier_type FROM tpspans",
     "tree_predictions": f"SELECT pass, doc_id, {_SE}, code AS identifier_type FROM tpspans",
+    "tree_contents": "SELECT pass, doc_id, segment_id, digest, CAST(0 AS INT) AS left_chars, FALSE AS has_reasoning FROM answers",
     "two_pass_responses": "SELECT pass, doc_id, segment_id, prompt_tokens, completion_tokens, 'stop' AS finish_reason, TRUE AS envelope_usable, TRUE AS strict_schema_valid, raw_items, raw_items AS accepted, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS ungrounded, CAST(0 AS BIGINT) AS invalid_type FROM tpresp",
     "tree_operations": "SELECT 'm_all' AS model_id, doc_id, pass, count(*) AS segments, count(*) AS stop, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, count(*) AS val_requests, count(*) AS usable, count(*) AS valid, TRUE AS have_validation, TRUE AS complete FROM tpresp GROUP BY doc_id, pass",
     "gold_documents": f"SELECT n.doc_id, CAST(n.n AS INT) AS n_chars, md5(n.text) AS digest, CAST(row_number() OVER (PARTITION BY n.doc_id ORDER BY s, e, code) - 1 AS INT) * CASE WHEN s IS NULL THEN NULL ELSE 1 END AS span_no, {_SE}, code FROM notes n LEFT JOIN gold g ON g.doc_id = n.doc_id",
-    "note_files": r"SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(replace(text, chr(10), chr(13) || chr(10)), '\r\n?', chr(10), 'g') AS t FROM notes WHERE text <> '')",
+    "note_files": r"SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(replace(text, chr(10), chr(13) || chr(10)), '\r\n?', chr(10), 'g') AS t FROM notes)",
     "config_files": """SELECT model_id, CASE WHEN repo <> '' THEN 'https://huggingface.co/' || repo ELSE '' END AS hf_link, repo AS hf_gguf_repo, developer, family, total AS "params_total_B", active AS "params_active_B", moe, medical AS is_medical, reasoning AS is_reasoning, quant FROM conf_
       UNION ALL SELECT 'm_full', '', '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""",
     "response_flags": f"""SELECT CAST(kind AS INT) AS kind, finish_reason, envelope_usable, strict_schema_valid, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('raw_items', 'accepted', 'rejected', 'duplicates', 'ungrounded', 'invalid_type'))}, count(*) AS n
@@ -583,6 +596,6 @@ QUERIES = {
     for f in (
         segment_notes, segment_stats, extract_patterns, ground_occurrences, union_regions, overlap_components, neutral_redaction, typed_redaction, pass2_pieces, map_back, cumulative_union, validate_verdicts,
         doc_confusion, type_confusion, span_hits, predicted_span_counts, doc_operations, metrics_all, metrics_types, gold_types_present, corpus_totals, corpus_categories, results_ranked, figure5, figure6, checkpoints, bootstrap_ci, bootstrap_ci_exact,
-        per_document, figure2, figure3, figure4, gazetteer, clipped_confusion, two_pass_spans, two_pass_responses, tree_predictions, tree_operations, gold_documents, results_table, note_files, config_files, response_flags,
+        tree_contents, per_document, figure2, figure3, figure4, gazetteer, clipped_confusion, two_pass_spans, two_pass_responses, tree_predictions, tree_operations, gold_documents, results_table, note_files, config_files, response_flags,
     )
 }

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import CHECKPOINTS, METRICS, PASSES
 from ..operators.extract import PLACEHOLDER
+from . import tree
 
 GOLD = """sourcedb string, sourceid string, text string,
 denotations array<struct<id:string,obj:string,span:struct<begin:int,end:int>,spans:array<struct<begin:int,end:int>>>>,
@@ -21,31 +19,27 @@ PREDICTIONS = "schema_version string, document_id string, source_sha256 string,
 CONFIG = "developer string, family string, hf_gguf_repo string, is_medical boolean, moe boolean, params_active_B double, params_total_B double, quant_target string, reasoning boolean, size_gb double"
 
 
-def _path() -> Column:
-    return F.col("_metadata.file_path")
-
-
 def _part(pattern: str) -> Column:
-    return F.regexp_extract(F.url_decode(F.replace(_path(), F.lit("+"), F.lit("%2B"))), pattern, 1)
+    return F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), pattern, 1)
 
 
 def _json(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    """Whole JSON files; what can't be parsed is null (`_broken`)."""
+    """Whole JSON files; what can't be parsed is null."""
     raw = spark.read.options(**options).text(path, wholetext=True)
     return raw.select("*", "_metadata", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"))
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """<doc_id>.txt files, not in subfolders, with universal newlines; a bad id is an error, no file too.
-
-    Spark lists no empty files, so an empty note has no row.
-    """
-    raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    if not raw.head(1):
+    """<doc_id>.txt files, not in subfolders, with universal newlines; an empty file is an empty note. A bad id is an error, no file too."""
+    found = tree.notes(spark, folder)
+    if not found.head(1):
         raise FileNotFoundError(f"no notes in {folder}")
-    doc = _part(r"([^/]*)\.txt$")
-    checked = F.when(doc.rlike("^[A-Za-z0-9_-]+$"), doc).otherwise(F.raise_error(F.concat(F.lit("bad document id: "), doc)).cast("string"))
-    return raw.select(checked.alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    return found
+
+
+def _tree_json(spark: SparkSession, out: str, kind: str, schema: str) -> DataFrame:
+    """The files of a kind in a run's tree, parsed; what can't be parsed is null. Filters on model_id, pass and doc_id reach the listing."""
+    return tree.run_files(spark, out).where(F.col("kind") == kind).withColumn("j", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
 
 
 def read_gold(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -73,9 +67,7 @@ def read_predictions(spark: SparkSession, out: str) -> DataFrame:
 
 
 def prediction_files(spark: SparkSession, out: str) -> DataFrame:
-    first = _json(spark, f"{out}/*/resolved/*/resolved_predictions.json", PREDICTIONS).select(_part(r"([^/]*)/resolved/").alias("model_id"), F.lit("pass1").alias("pass"), _part(r"/resolved/([^/]*)/").alias("doc_id"), "j")
-    second = _json(spark, f"{out}/*/pass_2/resolved/*/resolved_predictions.json", PREDICTIONS).select(_part(r"([^/]*)/pass_2/").alias("model_id"), F.lit("cumulative_pass2").alias("pass"), _part(r"/resolved/([^/]*)/").alias("doc_id"), "j")
-    return first.unionByName(second)
+    return _tree_json(spark, out, "resolved", PREDICTIONS).where("name = 'resolved_predictions.json'").select("model_id", "pass", "doc_id", "j")
 
 
 def list_documents(spark: SparkSession, out: str) -> DataFrame:
@@ -87,43 +79,30 @@ def discover_models(spark: SparkSession, out: str) -> DataFrame:
     return list_documents(spark, out).select("model_id").distinct().orderBy("model_id")
 
 
+def _scope(prefix: str) -> Column:
+    """P1 or P2, by the pass, then `prefix`."""
+    return F.concat(F.lit("P"), F.when(F.col("pass") == PASSES[0], "1").otherwise("2"), F.lit(prefix))
+
+
 def read_responses(spark: SparkSession, out: str) -> DataFrame:
     """Raw responses: first choice's finish reason and token counts; malformed files are left out."""
     tokens = lambda c: F.coalesce(F.col(f"j.usage.{c}"), F.lit(0)).alias(c)
+    rows = _tree_json(spark, out, "raw_responses", ENVELOPE).where(F.endswith("name", F.lit(".raw.json")) & F.startswith("name", _scope("-")))
+    rows = rows.where("j is not null and (j.choices is not null or j.usage is not null or j.model is not null or j.object is not null)")
+    return rows.select("model_id", "pass", "doc_id", F.try_element_at("j.choices", F.lit(1))["finish_reason"].alias("finish_reason"), tokens("prompt_tokens"), tokens("completion_tokens"))
 
-    def of(below: str, number: int) -> DataFrame:
-        j = _json(spark, f"{out}/*{below}/raw_responses/*/*.raw.json", ENVELOPE)
-        rows = j.where("j is not null and (j.choices is not null or j.usage is not null or j.model is not null or j.object is not null)")
-        rows = rows.where(F.startswith(_part(r"([^/]*)$"), F.lit(f"P{number}-")))
-        return rows.select(_part(rf"([^/]*){below}/raw_responses/").alias("model_id"), F.lit(PASSES[number - 1]).alias("pass"), _part(r"/raw_responses/([^/]*)/").alias("doc_id"), F.try_element_at("j.choices", F.lit(1))["finish_reason"].alias("finish_reason"), tokens("prompt_tokens"), tokens("completion_tokens"))
 
-    return _both(of)
+def read_contents(spark: SparkSession, out: str) -> DataFrame:
+    """What raw responses hold besides counts: (model_id, pass, doc_id, segment_id, content, has_reasoning)."""
+    rows = _tree_json(spark, out, "raw_responses", ENVELOPE).where(F.endswith("name", F.lit(".raw.json")) & F.startswith("name", _scope("-")))
+    message = F.try_element_at("j.choices", F.lit(1))["message"]
+    return rows.select("model_id", "pass", "doc_id", F.regexp_extract("name", r"^P[12]-(.*)\.raw\.json$", 1).alias("segment_id"), message["content"].alias("content"), F.contains("value", F.lit('"reasoning_content"')).alias("has_reasoning"))
 
 
 def read_validations(spark: SparkSession, out: str) -> DataFrame:
     """Validation records whose scope id begins with the pass."""
-
-    def of(below: str, number: int) -> DataFrame:
-        j = _json(spark, f"{out}/*{below}/validation/*/*.validation.json", VALIDATION).where(F.startswith("j.scope_id", F.lit(f"P{number}")))
-        return j.select(_part(rf"([^/]*){below}/validation/").alias("model_id"), F.lit(PASSES[number - 1]).alias("pass"), _part(r"/validation/([^/]*)/").alias("doc_id"), F.col("j.envelope_usable").alias("envelope_usable"), F.col("j.strict_schema_valid").alias("strict_schema_valid"))
-
-    return _both(of)
-
-
-def _both(of: Callable[[str, int], DataFrame]) -> DataFrame:
-    """Files of Pass 1, in a model's folder, and of Pass 2, in its pass_2; a pass may have none."""
-    out = None
-    for below, number in (("", 1), ("/pass_2", 2)):
-        try:
-            found = of(below, number)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        raise FileNotFoundError("no files of either pass")
-    return out
+    rows = _tree_json(spark, out, "validation", VALIDATION).where(F.endswith("name", F.lit(".validation.json")) & F.startswith("j.scope_id", _scope("")))
+    return rows.select("model_id", "pass", "doc_id", F.col("j.envelope_usable").alias("envelope_usable"), F.col("j.strict_schema_valid").alias("strict_schema_valid"))
 
 
 def config_columns(j: DataFrame) -> DataFrame:
@@ -134,8 +113,7 @@ def config_columns(j: DataFrame) -> DataFrame:
 
 def read_configs(spark: SparkSession, out: str) -> DataFrame:
     """model_config.json of each model's folder; broken ones are blank."""
-    j = _json(spark, f"{out}/*/model_config.json", CONFIG)
-    return config_columns(j.select(_part(r"([^/]*)/model_config\.json$").alias("model_id"), "j.*"))
+    return config_columns(_tree_json(spark, out, "config", CONFIG).select("model_id", "j.*"))
 
 
 def roster(spark: SparkSession) -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 import json
 import platform
 
-import pandas as pd
-from pyarrow.fs import FileSystem
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import COHORTS, METRICS, PASSES, PREDICTIONS_VERSION, TOLERANCE
 from ..operators.spans import resolved_documents
 from ..operators.validate import without_content
+from . import tree
 
 
 def write_table(df: DataFrame, path: str, *by: str) -> None:
@@ -39,27 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
-def _pretty(text: str) -> str:
-    return json.dumps(json.loads(text), indent=2, sort_keys=True, ensure_ascii=False) + "\n"
-
-
 def write_files(df: DataFrame, folder: str, pretty: bool = True) -> int:
     """df(path, value): each value, JSON if pretty and then with sorted keys, as the file folder/path; returns how many.
 
-    folder is a path or URI that all executors see; a repeated task writes the same files again.
+    folder is a path or URI that all executors see; a job that fails leaves no file there.
     """
-
-    def run(batches):
-        system, root = FileSystem.from_uri(folder)
-        for pdf in batches:
-            for path, value in zip(pdf["path"], pdf["value"]):
-                at = f"{root.rstrip('/')}/{path}"
-                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(at) as f:
-                    f.write((_pretty(value) if pretty else value).encode())
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    return df.select("path", "value").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    seen = Observation()
+    tree.write_files(df.observe(seen, F.count("*").alias("n")), folder, pretty)
+    return seen.get["n"]
 
 
 def resolved_json(docs: DataFrame) -> DataFrame:

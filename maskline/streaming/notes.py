@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import OVERLAP, WINDOW
 from ..plans.deidentify import deidentify
+from ..sources import tree
 
 
 def note_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """<doc_id>.txt files of a folder as a stream of (doc_id, text)."""
-    raw = spark.readStream.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return raw.select(F.regexp_extract("_metadata.file_name", r"(.*)\.txt$", 1).alias("doc_id"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    """<doc_id>.txt files of a folder, empty ones too, as a stream of (doc_id, text)."""
+    return tree.note_stream(spark, folder)
 
 
 def stream_spans(notes: DataFrame, extractor, model_id: str, out: str, checkpoint: str, size: int = WINDOW, overlap: int = OVERLAP):
