@@ -486,9 +486,9 @@ _PARTS = {
       CAST(CASE WHEN count(lit) = 0 THEN 2 ELSE 1 + sum(3 + {_WORDS.format('lit')}) END AS BIGINT) AS completion_tokens, count(lit) AS raw_items
       FROM (SELECT 'pass1' AS pass, doc_id, i, t FROM seg UNION ALL SELECT 'cumulative_pass2', doc_id, i, t FROM aseg) w
       LEFT JOIN (SELECT 'pass1' AS pass, * FROM lits1 UNION ALL SELECT 'cumulative_pass2', * FROM lits2) l USING (pass, doc_id, i) GROUP BY pass, w.doc_id, w.i, t""",
-    "answers": """SELECT pass, doc_id, 'S' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS segment_id, md5('{"identifiers": [' || coalesce(string_agg('{"exact_text": "' || lit || '", "identifier_type": "' || code || '"}', ', ' ORDER BY k, at), '') || ']}') AS digest FROM (
-      SELECT pass, doc_id, i, k, code, lit, min(at) AS at FROM (SELECT pass, doc_id, i, k, code, unnest(found) AS lit, unnest(range(1, len(found) + 1)) AS at FROM (
-        SELECT pass, doc_id, i, k, code, CASE WHEN len(f) = 0 THEN [NULL] ELSE f END AS found FROM (SELECT pass, doc_id, i, k, code, regexp_extract_all(t, re) AS f FROM (SELECT 'pass1' AS pass, doc_id, i, t FROM seg UNION ALL SELECT 'cumulative_pass2', doc_id, i, t FROM aseg), pats))) GROUP BY ALL) GROUP BY pass, doc_id, i""",
+    "answers": """SELECT pass, doc_id, 'S' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS segment_id, md5('{"identifiers": [' || coalesce(string_agg('{"exact_text": "' || lit || '", "identifier_type": "' || code || '"}', ', ' ORDER BY k, o), '') || ']}') AS digest FROM (
+      SELECT pass, doc_id, i, k, code, lit, min(o) AS o FROM (SELECT pass, doc_id, i, k, code, unnest(found) AS lit, unnest(range(1, len(found) + 1)) AS o FROM (
+        SELECT pass, doc_id, i, k, code, CASE WHEN len(f) = 0 THEN [NULL] ELSE f END AS found FROM (SELECT pass, doc_id, i, k, code, regexp_extract_all(t, re) AS f FROM (SELECT 'pass1' AS pass, doc_id, i, t FROM seg UNION ALL SELECT 'cumulative_pass2', doc_id, i, t FROM aseg) CROSS JOIN pats))) GROUP BY ALL) GROUP BY pass, doc_id, i""",
     "pats": "SELECT row_number() OVER () AS k, code, re FROM pat",
     "over": f"SELECT {_K}, n - 3 AS s, n + 5 AS e, n FROM uni JOIN notes USING (doc_id) WHERE n >= 3",
     "opred": f"SELECT {_K}, s, e, least(e, n) AS c FROM pred JOIN notes USING (doc_id) UNION ALL SELECT {_K}, s, e, n FROM over",
