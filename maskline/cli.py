@@ -30,7 +30,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.offline_stub:
         extractor = PatternExtractor(readers.read_gazetteer(spark, a.name_file) if a.name_file else ())
     else:
-        extractor = ServerExtractor(a.api_base, a.model_id, *readers.read_protocol(spark, a.protocol_dir), timeout=a.request_timeout)
+        extractor = ServerExtractor(a.api_base, a.model_id, *readers.read_protocol(spark, a.protocol_dir), timeout=a.request_timeout, ledger=a.ledger, at_once=a.open_requests, again=a.ask_again)
     done = deidentify(notes, extractor, a.segment_size, a.overlap, _written(spark, a.out_dir))
     responses = done.responses.withColumn("content", F.lit("")) if a.strip_raw_content else done.responses
     responses = responses.drop("text") if a.strip_raw_content else responses
@@ -115,6 +115,9 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--segment-size", type=int, default=WINDOW)
     r.add_argument("--overlap", type=int, default=OVERLAP)
     r.add_argument("--request-timeout", type=float, default=600)
+    r.add_argument("--ledger", help="folder of answers; a run that is started again asks only for what is not in it")
+    r.add_argument("--open-requests", type=int, default=4, help="requests that a task has open at once")
+    r.add_argument("--ask-again", action="store_true", help="ask again where the ledger only has errors of transport")
     r.set_defaults(do=run)
     s = sub.add_parser("score", help="spans to result tables")
     for name in ("pred-dir", "gold-dir", "out-dir"):
