@@ -41,6 +41,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of our own below the shared one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with checkpoint() in the shared folder."""
     scratch_dir(df.sparkSession)
@@ -56,11 +62,11 @@ def keep(df: DataFrame) -> DataFrame:
 TIE_BITS = 12
 
 
-def row_keys(*cols: str, bits: int = 64) -> list[Column]:
+def row_keys(*cols: str, bits: int = 64, seed: int = 0) -> list[Column]:
     """A row's `doc_key` and `tie`, 64 bits of its contents each (of the tie fewer where asked for), nulls included; equal rows share them."""
     parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
-    tie = F.xxhash64(F.lit(1), *parts)
-    return [F.xxhash64(*parts).alias("doc_key"), (tie if bits == 64 else tie.bitwiseAND(F.lit((1 << bits) - 1))).alias("tie")]
+    key, tie = F.xxhash64(F.lit(2 * seed), *parts), F.xxhash64(F.lit(2 * seed + 1), *parts)
+    return [key.alias("doc_key"), (tie if bits == 64 else tie.bitwiseAND(F.lit((1 << bits) - 1))).alias("tie")]
 
 
 def as_rows(docs: DataFrame, *more: Column) -> DataFrame:
@@ -69,9 +75,23 @@ def as_rows(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def keyed_rows(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """docs as (row, text, doc_key, tie); maps have no hash and are no part of the keys."""
-    names = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    return as_rows(docs, F.col("text"), *row_keys(*[f"`{c}`" for c in names], bits=bits))
+    """docs as (row, text, doc_key, tie); maps have no hash and are no part of the keys.
+
+    Names of 128 bits are taken as they are. Shorter ones are looked at first: where two rows that differ in another 64
+    bits share one, all rows get other names.
+    """
+    names = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    seed = 0
+    while bits < 64 and names and _shared(docs, names, bits, seed):
+        seed += 1
+    return as_rows(docs, F.col("text"), *row_keys(*names, bits=bits, seed=seed))
+
+
+def _shared(docs: DataFrame, names: list[str], bits: int, seed: int) -> bool:
+    """Whether different rows share a name."""
+    other = F.xxhash64(F.lit("other"), *[x for c in names for x in (F.col(c), F.col(c).isNull())]).alias("other")
+    ends = docs.select(*row_keys(*names, bits=bits, seed=seed), other).groupBy("doc_key", "tie").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+    return bool(ends.where("a <> b").head(1))
 
 
 def unkeyed(done: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:

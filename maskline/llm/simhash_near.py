@@ -41,6 +41,8 @@ RADIUS = 4
 BLOCK = 1024
 #: Fingerprints of one key that stay together, and how often keys are cut at most.
 HOT, LEVELS = 4096, 2
+#: Edges of a component search that are worth a task of their own.
+TASK_EDGES = 1 << 16
 
 _U = np.uint64
 
@@ -275,17 +277,20 @@ def components(edges: DataFrame, node: str = "node", label: str = "label") -> Da
 
     Every round a node takes the smallest label among its own and its neighbours', and then its label's
     label; at most about log(longest path) rounds. Many nodes may have one label, so the join by label is
-    spread; edges should not make hubs.
+    spread; edges should not make hubs. Few edges are handled by few tasks, as every round shuffles anew.
     """
     both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")).select(F.col("a").alias("v"), "l"))
+    tasks = min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), both.count() // TASK_EDGES + 1)
+    few = lambda df: df.coalesce(tasks)
+    labels = cut(few(few(both).groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")).select(F.col("a").alias("v"), "l")))
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
-        stepped = keep(labels.join(near, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l")))
-        further = stepped.select(F.col("v").alias("l"), F.col("l").alias("ll")).join(stepped.select("l").distinct(), "l", "left_semi").where("ll <> l")
-        labels = cut(spread_join(stepped, further, "l", "v", "left").select("v", "was", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        near = few(few(both).join(labels.withColumnRenamed("v", "b"), "b")).groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
+        stepped = keep(few(labels.join(few(near), "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))))
+        further = stepped.select(F.col("v").alias("l"), F.col("l").alias("ll")).join(few(stepped.select("l").distinct()), "l", "left_semi").where("ll <> l")
+        labels = cut(few(spread_join(stepped, few(further), "l", "v", "left").select("v", "was", F.least("l", F.coalesce("ll", "l")).alias("l"))))
         stepped.unpersist()
         if not labels.where("l <> was").head(1):
+            both.unpersist()
             return labels.select(F.col("v").alias(node), F.col("l").alias(label))
         labels = labels.select("v", "l")
 
