@@ -2,55 +2,53 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CODES
 
-_PARSED = "struct<usable:boolean,extra_keys:boolean,items:array<struct<is_object:boolean,keys_ok:boolean,literal:string,type:string>>>"
+#: Literal and category of an item, and no others.
+_ITEM_KEYS = ("exact_text", "identifier_type")
 
 
-def strict_json(text: str):
-    """Parse JSON; duplicate keys at any depth, NaN and infinities are errors."""
+def whole_json(text: Column) -> Column:
+    """Strict JSON as a VARIANT; null where it isn't.
 
-    def unique(pairs):
-        out = dict(pairs)
-        if len(out) != len(pairs):
-            raise ValueError("duplicate key")
-        return out
+    The parser refuses repeated keys at any depth, NaN and infinities, but not what follows a value. So the text is
+    parsed as the only element of an array and as the only field of an object: whatever follows would have to close both.
+    Nesting over 1,000 deep and numbers of over 1,000 digits are refused.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    return F.when(alone & field.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
-    def refuse(name):
-        raise ValueError(f"nonstandard number {name}")
 
-    return json.loads(text, object_pairs_hook=unique, parse_constant=refuse)
+def _string(x: Column) -> Column:
+    """The value of a VARIANT that is a string, else null."""
+    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
 
 
-def _parse(text: str | None) -> dict:
-    try:
-        top = strict_json(text)
-    except (ValueError, TypeError, RecursionError):
-        return {"usable": False, "extra_keys": False, "items": []}
-    if not isinstance(top, dict) or not isinstance(top.get("identifiers"), list):
-        return {"usable": False, "extra_keys": False, "items": []}
-    items = []
-    for x in top["identifiers"]:
-        own = isinstance(x, dict)
-        keys = own and set(x) == {"exact_text", "identifier_type"}
-        text_, kind = (x["exact_text"], x["identifier_type"]) if keys else (None, None)
-        items.append({"is_object": own, "keys_ok": keys, "literal": text_ if isinstance(text_, str) else None, "type": kind if isinstance(kind, str) else None})
-    return {"usable": True, "extra_keys": set(top) != {"identifiers"}, "items": items}
+def _item(x: Column) -> Column:
+    own = F.try_variant_get(x, "$", "map<string,variant>")
+    keys_ok = (F.size(own) == 2) & F.map_contains_key(own, F.lit(_ITEM_KEYS[0])) & F.map_contains_key(own, F.lit(_ITEM_KEYS[1]))
+    of = lambda k: F.when(keys_ok, _string(own[k]))
+    return F.struct(own.isNotNull().alias("is_object"), F.coalesce(own.isNotNull() & keys_ok, F.lit(False)).alias("keys_ok"), of(_ITEM_KEYS[0]).alias("literal"), of(_ITEM_KEYS[1]).alias("type"))
 
 
 def parse_content(content: Column) -> Column:
-    """The strict parser as a vectorized function; JSON functions of Spark accept what must be refused here."""
-
-    def run(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_parse(x) for x in contents], columns=["usable", "extra_keys", "items"])
-
-    return F.pandas_udf(run, _PARSED)(content)
+    """What an answer says: whether it is usable (an object with a list of identifiers), has other keys, and its items."""
+
+    def told(top: Column) -> Column:
+        items = F.try_variant_get(top, "$.identifiers", "array<variant>")
+        own = F.try_variant_get(top, "$", "map<string,variant>")
+        usable = F.coalesce(own.isNotNull() & items.isNotNull(), F.lit(False))
+        listed = F.when(usable, F.transform(items, _item))
+        none = F.array().cast("array<struct<is_object:boolean,keys_ok:boolean,literal:string,type:string>>")
+        return F.struct(usable.alias("usable"), (usable & (F.size(own) != 1)).alias("extra_keys"), F.coalesce(listed, none).alias("items"))
+
+    # the text is parsed once, as the one element of an array
+    return F.transform(F.array(whole_json(content)), told)[0]
 
 
 def parsed(responses: DataFrame) -> DataFrame:
