@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import COHORTS, METRICS
 from ..functions.text import f1, rate
+from .quantiles import quantiles
 
 GROUP = ("model_id", "pass", "cohort")
 OPERATIONS = ("segments", "stop", "usable", "valid", "val_requests", "prompt_tokens", "completion_tokens")
@@ -27,8 +28,9 @@ def cohorts(rows: DataFrame) -> DataFrame:
 def micro(rows: DataFrame) -> DataFrame:
     """Sums, residual statistics and macro means for each model, pass and cohort; rows as from cohorts()."""
     p, r = rate(F.col("tp"), F.col("tp") + F.col("fp")), rate(F.col("tp"), F.col("gt"))
+    middle = quantiles(rows, GROUP, "residual", (0.5,), ("median_residual_per_note",))
     of_validated = lambda c: F.sum(F.when(F.col("have_validation"), F.col(c)).otherwise(0))
-    return rows.groupBy(*GROUP).agg(
+    sums = rows.groupBy(*GROUP).agg(
         F.count("*").alias("n_notes"),
         *[F.sum(c).alias(c) for c in ("doc_chars", "gt", "pred_chars", "tp", "fp", "fn", "tn", "spans", "any", "full", "strict", "relaxed", "pred_span_count", "relaxed_pred", "segments", "stop", "prompt_tokens", "completion_tokens")],
         of_validated("segments").alias("val_requests"),
@@ -37,7 +39,6 @@ def micro(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("residual") == 0).alias("zero_residual_notes"),
         F.count_if(F.col("residual") > 0).alias("notes_with_leak"),
         F.avg("residual").alias("mean_residual_per_note"),
-        F.median("residual").alias("median_residual_per_note"),
         F.max("residual").alias("max_residual_per_note"),
         F.avg(r).alias("char_recall_macro"),
         F.avg(p).alias("char_precision_macro"),
@@ -45,6 +46,7 @@ def micro(rows: DataFrame) -> DataFrame:
         F.avg(rate(F.col("strict"), F.col("spans"))).alias("strict_span_recall_macro"),
         F.avg(rate(F.col("relaxed"), F.col("spans"))).alias("relaxed_span_recall_macro"),
     )
+    return sums.join(middle, list(GROUP), "left")
 
 
 def all_rows(sums: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import ALPHA, BOOTSTRAP_SEED, CHECKPOINTS, COHORTS, PASSES, RESAMPLES
+from ..operators.quantiles import quantiles
 from ..operators.spans import regions
 
 # Columns of the results table, and categories of the last figure with their labels.
@@ -59,11 +60,11 @@ def corpus_totals(gold_docs: DataFrame, gold: DataFrame) -> DataFrame:
     """Panel A: notes, lengths and their quartiles, spans, characters, density and categories."""
     cover = regions(gold, ["doc_id"]).agg(F.sum(F.col("end") - F.col("start")).alias("phi_chars"))
     spans_ = gold.agg(F.count("*").alias("spans"), F.count_distinct("code").alias("categories"))
-    q = F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    notes = gold_docs.agg(F.count("*").alias("notes"), F.sum("n_chars").cast("long").alias("chars"), q.alias("q"))
+    notes = gold_docs.agg(F.count("*").alias("notes"), F.sum("n_chars").cast("long").alias("chars"))
+    quarters = quantiles(gold_docs, (), "n_chars", (0.5, 0.25, 0.75), ("median_chars", "q1_chars", "q3_chars"))
     # each side is one row
-    one = notes.crossJoin(spans_).crossJoin(cover)
-    return one.select("notes", "chars", "spans", "phi_chars", "categories", F.col("q")[1].alias("median_chars"), F.col("q")[0].alias("q1_chars"), F.col("q")[2].alias("q3_chars"), (100.0 * F.col("phi_chars") / F.col("chars")).alias("density_pct"))
+    one = notes.crossJoin(spans_).crossJoin(cover).crossJoin(quarters)
+    return one.select("notes", "chars", "spans", "phi_chars", "categories", "median_chars", "q1_chars", "q3_chars", (100.0 * F.col("phi_chars") / F.col("chars")).alias("density_pct"))
 
 
 def corpus_categories(gold: DataFrame) -> DataFrame:
