@@ -8,19 +8,20 @@ in each pass. Every table is read whole.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import CODES, METRICS, PASSES, RESAMPLES
+from ..functions.constants import CODES, METRICS, NEUTRAL, PASSES, PATTERNS, RESAMPLES
 from ..functions.text import words
-from ..operators import aggregate, score, spans, validate
+from ..operators import aggregate, checks, score, spans, validate
 from ..operators.extract import PatternExtractor, gazetteer_pairs, pattern_pairs
 from ..operators.gold import gold_records
 from ..operators.segment import segments
 from ..sources import readers, sinks
-from . import reports
+from . import changes, reports
 from .deidentify import Run, both_scores, deidentify, kept_on_disk
 
 EMAIL, PHONE, IP, WEB = "07_EMAIL_ADDRESS", "05_TELEPHONE_NUMBER", "16_IP_ADDRESS", "15_WEB_URL"
@@ -353,6 +354,89 @@ def tree_contents(spark, sf):
     return whole.join(bare, key).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _order_notes(spark, sf) -> DataFrame:
+    """A note on every order, with what each of the offline patterns looks for, and what comes close to it."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    k, c, day = F.col("o_orderkey"), F.col("o_custkey").cast("string"), lambda f: F.date_format("o_orderdate", f)
+    text = F.concat(
+        F.lit("Order of "), day("yyyy-MM-dd"), F.lit(", due "), day("MM/dd/yyyy"), F.lit(", sent on "), day("MMMM d, yyyy"), F.lit(" (lot x"), day("yyyy-MM-dd"), F.lit(", "), day("yyyy-M-d"), F.lit(", "), day("MM/dd/yy"),
+        F.lit("). MRN: AB-"), c, F.lit(", not MRN:"), c, F.lit(" or MRN: AB. A "), (60 + k % 80).cast("string"), F.lit("-year-old asks for ("), (200 + k % 700).cast("string"), F.lit(") "), (100 + k % 800).cast("string"), F.lit("-"), F.lpad((k % 10000).cast("string"), 4, "0"),
+        F.lit(", "), (200 + k % 700).cast("string"), F.lit("-555-0100, or user."), c, F.lit("+"), k.cast("string"), F.lit("@mail"), (k % 7).cast("string"), F.lit(".example.org, not user@host."),
+    )
+    return o.select(k.alias("doc_id"), text.alias("text"))
+
+
+def offline_patterns(spark, sf):
+    """What the offline extractor's own patterns find in notes on orders."""
+    found = segments(_order_notes(spark, sf)).select("doc_id", F.explode(pattern_pairs(F.col("text"))).alias("p"))
+    return found.select("doc_id", "p.exact_text", "p.identifier_type").distinct()
+
+
+class _CutShort(PatternExtractor):
+    """Answers windows of every third note that have been redacted only in part: such a note's second pass does not count."""
+
+    def respond(self, windows: DataFrame) -> DataFrame:
+        cut = (F.col("doc_id") % 3 == 0) & F.contains("text", F.lit(NEUTRAL))
+        return super().respond(windows).withColumn("finish_reason", F.when(cut, "length").otherwise(F.col("finish_reason")))
+
+
+def gated_spans(spark, sf):
+    """Spans of a run in which the gate after the second pass refuses notes: addresses and numbers are only known to that pass."""
+    notes = _notes(spark, sf).withColumn("model_id", F.lit("m_gate"))
+
+    class Learns(_CutShort):
+        """Knows e-mail addresses first, all patterns once something is redacted."""
+
+        def respond(self, windows: DataFrame) -> DataFrame:
+            known = super().respond(windows)
+            only = PatternExtractor((), FOUND[:1]).respond(windows).select("model_id", "doc_id", "segment_id", F.col("content").alias("_only"))
+            joined = known.join(only, ["model_id", "doc_id", "segment_id"])
+            return joined.withColumn("content", F.when(F.contains("text", F.lit(NEUTRAL)), F.col("content")).otherwise(F.col("_only"))).drop("_only")
+
+    run = deidentify(notes, Learns((), FOUND))
+    return run.spans.select("pass", "doc_id", "start", "end", "identifier_type")
+
+
+def segment_checks(spark, sf):
+    """What a job that reads all windows has observed of them on the way."""
+    cut, seen = checks.observed_segments(segments(_notes(spark, sf), measured=True))
+    cut.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([Row(**{k: int(v) for k, v in seen.get.items()})])
+
+
+def error_table(spark, sf):
+    """Rows that break an invariant, by code, of tables with such rows among good ones; the good ones go on."""
+    d, notes = F.col("doc_id") % 20, _notes(spark, sf)
+    odd = notes.select(F.when(d == 1, F.concat(F.col("doc_id").cast("string"), F.lit("!"))).otherwise(F.col("doc_id").cast("string")).alias("doc_id"), F.when(d != 2, F.col("text")).alias("text"))
+    odd = odd.unionByName(notes.where(d == 3).select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    at = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    marks = notes.select("doc_id", F.inline(F.when(d == 4, F.array(at(1, 1))).when(d == 5, F.array(at(0, 2), at(1, 3))).when(d == 6, F.array(at(0, 1 << 30))).otherwise(F.array(at(0, 1), at(1, 2)))))
+    literals = notes.select("doc_id", F.when(d == 7, "").when(d == 8, F.concat("text", F.lit("x"))).otherwise(F.substring("text", 1, 5)).alias("exact_text"))
+    good, bad = checks.parted(checks.note_codes(odd), kept_on_disk, "doc_id")
+    tables = [bad]
+    for coded in (checks.region_codes(notes.where(F.length("text") > 2), marks, ["doc_id"]), checks.gold_codes(notes.select("doc_id"), notes.where(d != 9)), checks.literal_codes(literals, notes)):
+        tables.append(checks.parted(coded, kept_on_disk, "doc_id")[1].withColumn("doc_id", F.col("doc_id").cast("string")))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.unionByName(good.select(F.lit("none").alias("error_code"), "doc_id")).groupBy("error_code").agg(F.count("*").alias("n"))
+
+
+def changed_run(spark, sf):
+    """Sums of a run that is stored for other texts and then brought up to date: notes whose id ends in 7 had lost their digits, those ending in 8 were not there."""
+    folder, d = f"{sinks.shared_folder(spark)}/versions-{uuid.uuid4().hex}", F.col("doc_id") % 10
+    docs, gold = _gold(spark, sf)
+    notes = _notes(spark, sf).withColumn("model_id", F.lit("m_all"))
+    before = notes.where(d != 8).withColumn("text", F.when(d == 7, F.regexp_replace("text", "[0-9]", "")).otherwise(F.col("text")))
+    extractor = PatternExtractor((), FOUND)
+    changes.update(before, docs, gold, extractor, folder)
+    changes.update(notes, docs, gold, extractor, folder)
+    stored = changes.Store(spark, folder)
+    ran = changes.changes(notes, stored.read(0, "digests")).fresh.agg(F.count("*").alias("ran"))
+    # one row
+    return stored.read(1, "sums").crossJoin(F.broadcast(ran))
+
+
 def tree_predictions(spark, sf):
     """Spans of a run, read back from its files."""
     return readers.read_predictions(spark, _tree(spark, sf)).select("pass", F.col("doc_id").cast("long").alias("doc_id"), "start", "end", "identifier_type")
@@ -496,9 +580,35 @@ _PARTS = {
 }
 
 
-def _needs(sql: str, seen: list[str]) -> None:
-    import re
+_DAY = lambda f: f"strftime(o_orderdate, '{f}')"
+_PARTS["onotes"] = f"""SELECT o_orderkey AS doc_id, 'Order of ' || {_DAY('%Y-%m-%d')} || ', due ' || {_DAY('%m/%d/%Y')} || ', sent on ' || {_DAY('%B %-d, %Y')} || ' (lot x' || {_DAY('%Y-%m-%d')} || ', ' || {_DAY('%Y-%-m-%-d')} || ', ' || {_DAY('%m/%d/%y')} ||
+  '). MRN: AB-' || o_custkey || ', not MRN:' || o_custkey || ' or MRN: AB. A ' || (60 + o_orderkey % 80) || '-year-old asks for (' || (200 + o_orderkey % 700) || ') ' || (100 + o_orderkey % 800) || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') ||
+  ', ' || (200 + o_orderkey % 700) || '-555-0100, or user.' || o_custkey || '+' || o_orderkey || '@mail' || (o_orderkey % 7) || '.example.org, not user@host.' AS text FROM orders"""
+#: The offline patterns as RE2 has them: without looking back, so that a group is taken.
+_RE2 = [(c, re.sub(r"^\(\?U\)", "", p), 0) for c, p in PATTERNS]
+_RE2 = [(c, p.replace(r"(?<=MRN:\s)[A-Z0-9-]{4,}", r"MRN:\s([A-Z0-9-]{4,})"), int("(?<=" in p)) for c, p, _ in _RE2]
+_PARTS["g1"] = f"SELECT doc_id, s, e FROM occ WHERE code = '{EMAIL}'"
+_PARTS["g1reg"] = _regions("g1", "doc_id")
+_PARTS["g1kept"] = """SELECT doc_id, CAST(0 AS INT) AS piece_no, 0 AS src_start, coalesce((SELECT min(s) FROM g1reg f WHERE f.doc_id = n.doc_id), n) AS src_end, 0 AS shift FROM notes n
+  UNION ALL SELECT f.doc_id, CAST(region_no AS INT), f.e, coalesce(lead(f.s) OVER w, n.n), sum(5 - (f.e - f.s)) OVER (PARTITION BY f.doc_id ORDER BY f.s ROWS UNBOUNDED PRECEDING)
+  FROM g1reg f JOIN notes n USING (doc_id) WINDOW w AS (PARTITION BY f.doc_id ORDER BY f.s)"""
+_PARTS["g1pieces"] = "SELECT doc_id, piece_no, CAST(src_start + shift AS INT) AS rep_start, CAST(src_end + shift AS INT) AS rep_end, CAST(src_start AS INT) AS src_start, src_end FROM g1kept"
+_PARTS["g1red"] = "SELECT doc_id, text, length(text) AS n FROM (SELECT doc_id, string_agg(substr(text, src_start + 1, src_end - src_start), '[PHI]' ORDER BY piece_no) AS text FROM g1pieces JOIN notes USING (doc_id) GROUP BY doc_id)"
+_PARTS["g1seg"] = "SELECT doc_id, substr(text, i * 3100 + 1, 3500) AS t FROM g1red, unnest(range(0, CAST(ceil(greatest(n - 3500, 0) / 3100.0) AS BIGINT) + 1)) AS u(i)"
+_PARTS["g1ok"] = "SELECT doc_id FROM g1seg GROUP BY doc_id HAVING NOT bool_or(doc_id % 3 = 0 AND contains(t, '[PHI]'))"
+_PARTS["g1lits"] = f"SELECT DISTINCT doc_id, code, lit FROM (SELECT doc_id, code, unnest(regexp_extract_all(t, re)) AS lit FROM g1seg CROSS JOIN pat WHERE contains(t, '[PHI]') OR code = '{EMAIL}') WHERE lit <> ''"
+_PARTS["g1occ"] = """SELECT DISTINCT o.doc_id, code, CAST(src_start + a - rep_start AS INT) AS s, CAST(src_start + b - rep_start AS INT) AS e FROM (
+  SELECT l.doc_id, code, p - 1 AS a, p - 1 + length(lit) AS b FROM g1lits l JOIN g1red USING (doc_id), unnest(range(1, n + 1)) AS u(p) WHERE substr(text, p, length(lit)) = lit) o
+  JOIN g1pieces q ON q.doc_id = o.doc_id AND rep_start <= a AND b <= rep_end JOIN g1ok k ON k.doc_id = o.doc_id"""
+#: The same scores for the run of all patterns, whose tables have an x in front.
+_SCORED = ("uni", "pred", "reg", "pc", "tp", "chars", "conf", "each", "hits", "shits", "dhit", "pcnt")
+_PARTS |= {f"x{n}": re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(_SCORED)})\b", r"\1 x\2", _PARTS[n]) for n in _SCORED}
+_PARTS["xuni"] = f"SELECT 'm_all' AS model_id, pass, doc_id FROM notes, (VALUES ('{PASSES[0]}'), ('{PASSES[1]}')) AS v(pass)"
+_PARTS["xpred"] = "SELECT 'm_all' AS model_id, pass, doc_id, s, e, code FROM tpspans"
+_PARTS["xops"] = "SELECT pass, doc_id, count(*) AS segments, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens FROM tpresp GROUP BY ALL"
 
+
+def _needs(sql: str, seen: list[str]) -> None:
     names = set(re.findall(r"\b(?:FROM|JOIN|,)\s+(\w+)", sql))
     for name in _PARTS:
         if name in names and name not in seen:
@@ -556,6 +666,18 @@ _FINAL = {
       LEFT JOIN (SELECT {_K}, sum(e - s) AS pc FROM oreg GROUP BY ALL) p USING ({_K})
       LEFT JOIN (SELECT {_K}, sum(least(g.e, r.e) - greatest(g.s, r.s)) AS tp FROM gcov g JOIN oreg r USING (doc_id) WHERE g.s < r.e AND r.s < g.e GROUP BY ALL) t USING ({_K})
       LEFT JOIN (SELECT {_K}, count(*) AS pred_span_count, count(*) FILTER (EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND abs(g.s - p.s) <= 2 AND abs(g.e - p.e) <= 2)) AS relaxed_pred FROM (SELECT DISTINCT {_K}, s, e FROM opred) p GROUP BY ALL) c USING ({_K})""",
+    "offline_patterns": "SELECT DISTINCT doc_id, exact_text, identifier_type FROM (" + " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}', {g})) AS exact_text, '{c}' AS identifier_type FROM onotes" for c, p, g in _RE2) + ")",
+    "gated_spans": f"""SELECT 'pass1' AS pass, doc_id, {_SE}, '{EMAIL}' AS identifier_type FROM g1 UNION ALL
+      SELECT DISTINCT 'cumulative_pass2', doc_id, s, e, code FROM (SELECT doc_id, s, e, '{EMAIL}' AS code FROM g1 UNION ALL SELECT doc_id, s, e, code FROM g1occ)""",
+    "segment_checks": f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS segmentation_coverage_invalid, CAST(0 AS BIGINT) AS segmentation_stride_invalid, CAST(0 AS BIGINT) AS segmentation_slice_invalid, (SELECT count(*) FROM notes) AS notes, (SELECT CAST(sum(n) AS BIGINT) FROM notes) AS chars, count(*) AS expected FROM seg",
+    "error_table": """SELECT error_code, count(*) AS n FROM (
+      SELECT CASE WHEN d = 1 THEN 'document_id_invalid' WHEN d = 3 THEN 'document_id_repeated' WHEN d = 2 THEN 'text_missing' ELSE 'none' END AS error_code FROM (SELECT doc_id % 20 AS d FROM notes), unnest(range(0, CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS u(k)
+      UNION ALL SELECT 'render_region_invalid' FROM notes WHERE n > 2 AND doc_id % 20 IN (4, 5, 6)
+      UNION ALL SELECT 'gold_missing' FROM notes WHERE doc_id % 20 = 9
+      UNION ALL SELECT 'literal_not_found' FROM notes WHERE doc_id % 20 IN (7, 8) OR n = 0) GROUP BY 1""",
+    "changed_run": f"""SELECT c.model_id, pass, cohort, count(*) AS n_notes, {', '.join(f'CAST(sum({x}) AS BIGINT) AS {y}' for x, y in (('doc_chars', 'doc_chars'), *((f'c.{k}', k) for k in ('gt', 'pred_chars', 'tp', 'fp', 'fn', 'tn')), *((f'coalesce(h.{k}, 0)', f'"{n}"') for k, n in (('spans', 'spans'), ('a', 'any'), ('f', 'full'), ('st', 'strict'), ('re', 'relaxed'))), ('coalesce(p.pred_span_count, 0)', 'pred_span_count'), ('coalesce(p.relaxed_pred, 0)', 'relaxed_pred'), ('o.segments', 'segments'), ('o.segments', 'stop'), ('o.segments', 'usable'), ('o.segments', 'valid'), ('o.prompt_tokens', 'prompt_tokens'), ('o.completion_tokens', 'completion_tokens')))},
+      (SELECT count(*) FROM notes WHERE doc_id % 10 = 8 OR (doc_id % 10 = 7 AND regexp_matches(text, '[0-9]'))) AS ran
+      FROM xconf c JOIN xops o USING (pass, doc_id) LEFT JOIN xdhit h USING ({_K}) LEFT JOIN xpcnt p USING ({_K}), (VALUES ('all_expected'), ('operational_complete')) AS co(cohort) GROUP BY ALL""",
     "two_pass_spans": f"SELECT pass, doc_id, {_SE}, code AS identifier_type FROM tpspans",
     "tree_predictions": f"SELECT pass, doc_id, {_SE}, code AS identifier_type FROM tpspans",
     "tree_contents": "SELECT pass, doc_id, segment_id, digest, CAST(0 AS INT) AS left_chars, FALSE AS has_reasoning FROM answers",
@@ -596,6 +718,6 @@ QUERIES = {
     for f in (
         segment_notes, segment_stats, extract_patterns, ground_occurrences, union_regions, overlap_components, neutral_redaction, typed_redaction, pass2_pieces, map_back, cumulative_union, validate_verdicts,
         doc_confusion, type_confusion, span_hits, predicted_span_counts, doc_operations, metrics_all, metrics_types, gold_types_present, corpus_totals, corpus_categories, results_ranked, figure5, figure6, checkpoints, bootstrap_ci, bootstrap_ci_exact,
-        tree_contents, per_document, figure2, figure3, figure4, gazetteer, clipped_confusion, two_pass_spans, two_pass_responses, tree_predictions, tree_operations, gold_documents, results_table, note_files, config_files, response_flags,
+        tree_contents, changed_run, offline_patterns, gated_spans, segment_checks, error_table, per_document, figure2, figure3, figure4, gazetteer, clipped_confusion, two_pass_spans, two_pass_responses, tree_predictions, tree_operations, gold_documents, results_table, note_files, config_files, response_flags,
     )
 }
