@@ -22,7 +22,7 @@ from ..operators.gold import gold_records
 from ..operators.segment import segments
 from ..sources import readers, sinks
 from . import changes, reports
-from .deidentify import Run, both_scores, deidentify, kept_on_disk
+from .deidentify import Run, both_passes, both_scores, deidentify, kept_on_disk, score_run
 
 EMAIL, PHONE, IP, WEB = "07_EMAIL_ADDRESS", "05_TELEPHONE_NUMBER", "16_IP_ADDRESS", "15_WEB_URL"
 FOUND = (
@@ -397,6 +397,26 @@ def gated_spans(spark, sf):
     return run.spans.select("pass", "doc_id", "start", "end", "identifier_type")
 
 
+def _scored_run(spark, sf):
+    """All tables of the scorer for the whole job's run."""
+    run, (docs, gold) = _run(spark, sf), _gold(spark, sf)
+    return score_run(both_passes(run.notes), docs, gold, run.spans, run.responses, run.validations)
+
+
+def score_tables(spark, sf):
+    """Rows over all categories of a run that is scored as a whole."""
+    rows = _scored_run(spark, sf).metrics.where("phi_type = 'ALL'")
+    return rows.select("model_id", "pass", "cohort", "n_notes", "gt_phi_chars", "pred_phi_chars", "char_tp", "char_fn", "char_recall", "gt_span_count", "strict_span_tp", "relaxed_span_tp", "median_residual_per_note", "max_residual_per_note", "expected_requests", "usable_rate", "prompt_tokens", "completion_tokens")
+
+
+def model_manifest(spark, sf):
+    """What the scorer lists of each model, and what the run's manifest says of its tables."""
+    out = _scored_run(spark, sf)
+    said = json.loads(sinks.run_manifest(out.metrics, out.per_document, "documents"))
+    counts = [F.lit(said[k]).cast("long").alias(k) for k in ("n_models", "n_cols_metrics_long", "n_rows_metrics_long", "n_rows_per_doc")]
+    return out.manifest.select("model_id", "model_dir", "n_docs", "gold_types_present", F.lit(";".join(said["models"])).alias("models"), *counts)
+
+
 def segment_checks(spark, sf):
     """What a job that reads all windows has observed of them on the way."""
     cut, seen = checks.observed_segments(segments(_notes(spark, sf), measured=True))
@@ -669,6 +689,12 @@ _FINAL = {
     "offline_patterns": "SELECT DISTINCT doc_id, exact_text, identifier_type FROM (" + " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}', {g})) AS exact_text, '{c}' AS identifier_type FROM onotes" for c, p, g in _RE2) + ")",
     "gated_spans": f"""SELECT 'pass1' AS pass, doc_id, {_SE}, '{EMAIL}' AS identifier_type FROM g1 UNION ALL
       SELECT DISTINCT 'cumulative_pass2', doc_id, s, e, code FROM (SELECT doc_id, s, e, '{EMAIL}' AS code FROM g1 UNION ALL SELECT doc_id, s, e, code FROM g1occ)""",
+    "score_tables": f"""SELECT c.model_id, pass, cohort, count(*) AS n_notes, CAST(sum(c.gt) AS BIGINT) AS gt_phi_chars, CAST(sum(c.pred_chars) AS BIGINT) AS pred_phi_chars, CAST(sum(c.tp) AS BIGINT) AS char_tp, CAST(sum(c.fn) AS BIGINT) AS char_fn, sum(c.tp)::DOUBLE / nullif(sum(c.gt), 0) AS char_recall,
+      CAST(sum(coalesce(h.spans, 0)) AS BIGINT) AS gt_span_count, CAST(sum(coalesce(h.st, 0)) AS BIGINT) AS strict_span_tp, CAST(sum(coalesce(h.re, 0)) AS BIGINT) AS relaxed_span_tp, median(c.residual) AS median_residual_per_note, max(c.residual) AS max_residual_per_note,
+      CAST(sum(o.segments) AS BIGINT) AS expected_requests, 1.0::DOUBLE AS usable_rate, CAST(sum(o.prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(o.completion_tokens) AS BIGINT) AS completion_tokens
+      FROM xconf c JOIN xops o USING (pass, doc_id) LEFT JOIN xdhit h USING ({_K}), (VALUES ('all_expected'), ('operational_complete')) AS co(cohort) GROUP BY ALL""",
+    "model_manifest": """SELECT 'm_all' AS model_id, 'm_all' AS model_dir, (SELECT count(*) FROM notes) AS n_docs, (SELECT string_agg(DISTINCT code, ';' ORDER BY code) FROM gold) AS gold_types_present, 'm_all' AS models, CAST(1 AS BIGINT) AS n_models, CAST(69 AS BIGINT) AS n_cols_metrics_long,
+      (SELECT 4 * (1 + count(DISTINCT code)) FROM gold WHERE e > s) AS n_rows_metrics_long, (SELECT 2 * count(*) FROM notes) AS n_rows_per_doc""",
     "segment_checks": f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS segmentation_coverage_invalid, CAST(0 AS BIGINT) AS segmentation_stride_invalid, CAST(0 AS BIGINT) AS segmentation_slice_invalid, (SELECT count(*) FROM notes) AS notes, (SELECT CAST(sum(n) AS BIGINT) FROM notes) AS chars, count(*) AS expected FROM seg",
     "error_table": """SELECT error_code, count(*) AS n FROM (
       SELECT CASE WHEN d = 1 THEN 'document_id_invalid' WHEN d = 3 THEN 'document_id_repeated' WHEN d = 2 THEN 'text_missing' ELSE 'none' END AS error_code FROM (SELECT doc_id % 20 AS d FROM notes), unnest(range(0, CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS u(k)
@@ -718,6 +744,6 @@ QUERIES = {
     for f in (
         segment_notes, segment_stats, extract_patterns, ground_occurrences, union_regions, overlap_components, neutral_redaction, typed_redaction, pass2_pieces, map_back, cumulative_union, validate_verdicts,
         doc_confusion, type_confusion, span_hits, predicted_span_counts, doc_operations, metrics_all, metrics_types, gold_types_present, corpus_totals, corpus_categories, results_ranked, figure5, figure6, checkpoints, bootstrap_ci, bootstrap_ci_exact,
-        tree_contents, changed_run, offline_patterns, gated_spans, segment_checks, error_table, per_document, figure2, figure3, figure4, gazetteer, clipped_confusion, two_pass_spans, two_pass_responses, tree_predictions, tree_operations, gold_documents, results_table, note_files, config_files, response_flags,
+        tree_contents, changed_run, score_tables, model_manifest, offline_patterns, gated_spans, segment_checks, error_table, per_document, figure2, figure3, figure4, gazetteer, clipped_confusion, two_pass_spans, two_pass_responses, tree_predictions, tree_operations, gold_documents, results_table, note_files, config_files, response_flags,
     )
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import platform
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -118,31 +119,70 @@ def markdown(df: DataFrame) -> str:
     return "\n".join("| " + " | ".join(x) + " |" for x in [df.columns, ["---"] * len(df.columns), *rows])
 
 
+_COLORS = ("#4269d0", "#efb118", "#3ca951", "#ff725c", "#a463f2")
+
+
+def _clean(text) -> str:
+    return str(text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def ticks(most: float) -> list[float]:
+    """Round numbers from 0 to `most` or a little over it, four to ten of them."""
+    most = most if most > 0 else 1.0
+    power = 10.0 ** math.floor(math.log10(most))
+    step = next(s * power for s in (0.1, 0.2, 0.25, 0.5, 1.0, 2.0) if most / (s * power) <= 9)
+    return [round(i * step, 10) for i in range(math.ceil(most / step - 1e-9) + 1)]
+
+
+class _Plot:
+    """A plane with labelled scales; numbers in, SVG out."""
+
+    def __init__(self, title: str, most_x: float | None, most_y: float, width: int, x: str = "", y: str = ""):
+        self.left, self.top, self.width, self.height = 60, 40, width, 300
+        self.x, self.y = ticks(most_x) if most_x is not None else [], ticks(most_y)
+        self.out = [f'<text x="10" y="20" font-size="14">{_clean(title)}</text>']
+        for v in self.y:
+            at = self.at(0, v)[1]
+            self.out.append(f'<line x1="{self.left}" y1="{at:.1f}" x2="{self.left + width}" y2="{at:.1f}" stroke="#ddd"/><text x="{self.left - 6}" y="{at + 3:.1f}" font-size="9" text-anchor="end">{v:g}</text>')
+        bottom = self.top + self.height
+        for v in self.x:
+            at = self.at(v, 0)[0]
+            self.out.append(f'<line x1="{at:.1f}" y1="{bottom}" x2="{at:.1f}" y2="{bottom + 4}" stroke="black"/><text x="{at:.1f}" y="{bottom + 15}" font-size="9" text-anchor="middle">{v:g}</text>')
+        self.out.append(f'<path d="M{self.left} {self.top}V{bottom}H{self.left + width}" fill="none" stroke="black"/>')
+        self.out.append(f'<text x="{self.left + width / 2:.0f}" y="{bottom + 32}" font-size="11" text-anchor="middle">{_clean(x)}</text><text x="14" y="{self.top + self.height / 2:.0f}" font-size="11" text-anchor="middle" transform="rotate(-90 14 {self.top + self.height / 2:.0f})">{_clean(y)}</text>')
+
+    def at(self, x: float, y: float) -> tuple[float, float]:
+        return self.left + (self.width * x / self.x[-1] if self.x else x), self.top + self.height * (1 - y / self.y[-1])
+
+    def svg(self) -> str:
+        return f'<svg xmlns="http://www.w3.org/2000/svg" width="{self.left + self.width + 140}" height="{self.top + self.height + 80}">{"".join(self.out)}</svg>'
+
+
 def bar_chart(df: DataFrame, title: str, label: str = "model_id") -> str:
-    """A small report table's numbers as grouped bars, in SVG."""
+    """A small report table's numbers as grouped bars over a scale, with a legend, in SVG; a missing number has no bar."""
     rows, series = df.collect(), [c for c in df.columns if c != label]
-    colors = ("#4269d0", "#efb118", "#3ca951", "#ff725c", "#a463f2")
-    out, x = [], 40
-    for r in rows:
+    group = 14 * len(series) + 20
+    most = max([1e-9, *(float(r[c]) for r in rows for c in series if r[c] is not None)])
+    plot = _Plot(title, None, most, max(1, len(rows)) * group + 20)
+    for i, r in enumerate(rows):
         for k, c in enumerate(series):
-            v = max(0.0, min(1.0, float(r[c] or 0)))
-            out.append(f'<rect x="{x}" y="{240 - 200 * v:.1f}" width="12" height="{200 * v:.1f}" fill="{colors[k % len(colors)]}"/>')
-            x += 14
-        name = str(r[label]).replace("&", "&amp;").replace("<", "&lt;")
-        out.append(f'<text x="{x - 14 * len(series)}" y="256" font-size="9">{name}</text>')
-        x += 20
-    title = title.replace("&", "&amp;").replace("<", "&lt;")
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{x + 20}" height="280"><text x="10" y="20" font-size="14">{title}</text>{"".join(out)}</svg>'
+            if r[c] is not None:
+                x, y = plot.at(20 + i * group + 14 * k, max(0.0, float(r[c])))
+                plot.out.append(f'<rect x="{x:.1f}" y="{y:.1f}" width="12" height="{plot.top + plot.height - y:.1f}" fill="{_COLORS[k % len(_COLORS)]}"><title>{_clean(r[label])}, {_clean(c)}: {float(r[c]):g}</title></rect>')
+        x = plot.at(20 + i * group + 7 * len(series), 0)[0]
+        plot.out.append(f'<text x="{x:.1f}" y="{plot.top + plot.height + 14}" font-size="9" text-anchor="middle">{_clean(r[label])}</text>')
+    for k, c in enumerate(series):
+        x, y = plot.left + plot.width + 10, plot.top + 16 * k
+        plot.out.append(f'<rect x="{x}" y="{y}" width="10" height="10" fill="{_COLORS[k % len(_COLORS)]}"/><text x="{x + 14}" y="{y + 9}" font-size="9">{_clean(c)}</text>')
+    return plot.svg()
 
 
 def scatter_chart(df: DataFrame, title: str, x: str, y: str, label: str = "model_id") -> str:
-    """A small report table's rows as labelled points, in SVG; rows without both numbers are left out."""
-    rows = [(str(r[label]), float(r[x]), float(r[y])) for r in df.collect() if r[x] is not None and r[y] is not None]
+    """A small report table's rows as labelled points over two scales, in SVG; rows without both numbers are left out."""
+    rows = [(r[label], float(r[x]), float(r[y])) for r in df.collect() if r[x] is not None and r[y] is not None]
     most_x, most_y = (max([1e-9, *(r[i] for r in rows)]) for i in (1, 2))
-    clean = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
-    dots = []
+    plot = _Plot(title, most_x, most_y, 500, x, y)
     for name, a, b in rows:
-        px, py = 60 + 500 * a / most_x, 340 - 290 * b / most_y
-        dots.append(f'<circle cx="{px:.1f}" cy="{py:.1f}" r="4" fill="#4269d0"/><text x="{px + 6:.1f}" y="{py - 4:.1f}" font-size="9">{clean(name)}</text>')
-    axes = f'<path d="M60 40V340H580" fill="none" stroke="black"/><text x="300" y="370" font-size="11">{clean(x)} (to {most_x:.3g})</text><text x="10" y="34" font-size="11">{clean(y)} (to {most_y:.3g})</text>'
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="640" height="380"><text x="10" y="16" font-size="14">{clean(title)}</text>{axes}{"".join(dots)}</svg>'
+        px, py = plot.at(a, b)
+        plot.out.append(f'<circle cx="{px:.1f}" cy="{py:.1f}" r="4" fill="{_COLORS[0]}"/><text x="{px + 6:.1f}" y="{py - 4:.1f}" font-size="9">{_clean(name)}</text>')
+    return plot.svg()
