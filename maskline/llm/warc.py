@@ -4,9 +4,9 @@ Payload digests go out as headers only; for each digest of a large enough payloa
 is the response and every other record a revisit of it; pages of a digest that many share are dealt to many parts.
 Payloads then meet their decision by page id, so they are spread out, and only responses are written with theirs. Archives are
 WARC/1.1 files with fresh headers, every record a gzip member of its own, so that it can be read alone.
-A task fills archives of `ARCHIVE_BYTES` (more only for a single larger record), each of which is a row for
-Spark's text sink and so a file; the sink ends it with a zero byte, which gzip skips as padding. They are
-read back as binary files, a member at a time.
+A task fills archives of `ARCHIVE_BYTES` (more only for a single larger record), `*.warc.gz` of such members and nothing
+else, in a folder of its attempt; the job's commit moves those of the attempts that count into place, its abort removes
+all. They are read back as binary files, a member at a time.
 
 Cases: a null payload is empty; payloads under `SMALLEST` bytes are always responses; rows with the same
 page id and payload are all responses if that id is the smallest; pages without an id are always
@@ -21,20 +21,23 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..sources.tree import moved, opened
 from .common import hot_join, keep, scratch_dir, table
 
 SMALLEST = 100
 ARCHIVE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BREAK = "\r\n"
-_END = "\0"
 #: Bytes that are decompressed at once.
 _CHUNK = 1 << 16
 
@@ -78,34 +81,81 @@ def records(pages: DataFrame, date: str, payload: str = "html") -> DataFrame:
     return joined.select(F.concat(*head, block, F.lit(_BREAK * 2)).alias("record"))
 
 
-def _archives(limit: int):
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for record in batch.column("record").cast(pa.binary()).to_pylist():
-                member = gzip.compress(record, mtime=0)
-                if held and size + len(member) > limit:
-                    yield pa.RecordBatch.from_pydict({"archive": pa.array([b"".join(held)], pa.binary())})
-                    held, size = [], 0
-                held.append(member)
-                size += len(member)
-        if held:
-            yield pa.RecordBatch.from_pydict({"archive": pa.array([b"".join(held)], pa.binary())})
-
-    return run
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+    archives: int
+
+
+class ArchiveWriter(DataSourceArrowWriter):
+    """Writes rows (record) as archives; path is a URI of a folder that driver and executors see."""
+
+    def __init__(self, path: str, limit: int):
+        self.path, self.limit, self.staged = path, limit, f"_staged-{uuid.uuid4().hex}"
+
+    def write(self, iterator):
+        system, root = opened(self.path)
+        own, made, file, size = f"{root}/{self.staged}/{uuid.uuid4().hex}", 0, None, 0
+        try:
+            for batch in iterator:
+                for record in batch.column(0).cast(pa.binary()).to_pylist():
+                    member = gzip.compress(record, mtime=0)
+                    if file is not None and size + len(member) > self.limit:
+                        file.close()
+                        file = None
+                    if file is None:
+                        system.create_dir(own, recursive=True)
+                        file, size = system.open_output_stream(f"{own}/pages-{uuid.uuid4().hex}.warc.gz", compression=None), 0
+                        made += 1
+                    file.write(member)
+                    size += len(member)
+        finally:
+            if file is not None:
+                file.close()
+        return _Written(own, made)
+
+    def _clear(self) -> None:
+        system, root = opened(self.path)
+        if system.get_file_info(f"{root}/{self.staged}").type == FileType.Directory:
+            system.delete_dir(f"{root}/{self.staged}")
+
+    def commit(self, messages):
+        system, root = opened(self.path)
+        system.create_dir(root, recursive=True)
+        for m in messages:
+            if m is not None and m.archives:
+                moved(system, m.folder, root)
+        self._clear()
+
+    def abort(self, messages):
+        self._clear()
+
+
+class ArchiveSink(DataSource):
+    @classmethod
+    def name(cls):
+        return "warc_archives"
+
+    def schema(self):
+        return "record string"
+
+    def writer(self, schema, overwrite):
+        if overwrite:
+            raise ValueError("archives are added to a folder; it is not overwritten")
+        return ArchiveWriter(self.options["path"], int(self.options["archiveBytes"]))
 
 
 def write_archives(pages: DataFrame, path: str, payload: str = "html", date: str | None = None) -> None:
-    """Write the pages' records to WARC files in a new folder; date is the present by default, the same for all."""
+    """Write the pages' records to WARC files in a folder, all or none; date is the present by default, the same for all."""
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    whole = records(pages, date, payload).mapInArrow(_archives(ARCHIVE_BYTES), "archive binary").select(F.col("archive").cast("string"))
-    whole.write.option("lineSep", _END).option("maxRecordsPerFile", 1).text(path)
+    pages.sparkSession.dataSource.register(ArchiveSink)
+    records(pages, date, payload).write.format("warc_archives").option("archiveBytes", ARCHIVE_BYTES).mode("append").save(path)
 
 
 def members(archive: bytes) -> Iterator[bytes]:
     """The records of an archive, decompressed one by one."""
     at, view = 0, memoryview(archive)
-    while at < len(view) and view[at]:
+    while at < len(view):
         one, parts = zlib.decompressobj(wbits=31), []
         while not one.eof:
             chunk = view[at : at + _CHUNK]
@@ -152,7 +202,7 @@ def _read(batches):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of a folder of archives; revisits have the id of the record they refer to, and no payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
     return files.mapInPandas(_read, "page_id long, record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers string, payload binary")
 
 

@@ -1,4 +1,5 @@
 import gzip
+import os
 import random
 import zlib
 from datetime import datetime, timezone
@@ -6,6 +7,7 @@ from datetime import datetime, timezone
 import duckdb
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -95,7 +97,9 @@ def test_archives_are_bounded_and_records_stand_alone(spark, tmp_path, monkeypat
     want = sorted(db.sql(f"SELECT {', '.join(names)} FROM ({warc.SQL})").fetchall())
     assert sorted(tuple(r[n] for n in names) for r in got.collect()) == want
     assert sum(r[3] == "revisit" for r in want) > 100
-    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(seen[0]).select("content").collect()]
+    found = spark.read.format("binaryFile").load(seen[0]).select("path", "content").collect()
+    files = [bytes(r.content) for r in found]
+    assert all(r.path.endswith(".warc.gz") for r in found)
     assert len(files) > 20 and all(len(f) < 8000 for f in files)
     records = [m for f in files for m in warc.members(f)]
     assert len(records) == 900 and all(len(list(warc.parse(m))) == 1 for m in records)
@@ -114,3 +118,17 @@ def test_chats_round_trip(spark):
     plain = [got[1].formatted[s.start : s.end] for s in got[1].loss]
     assert len(plain) == 2 and plain[1] == "😀" and "<|turn|>" not in plain[0]
     assert got[2].turns == [("", "")] and got[None].turns == [("<|body|>", "")] and got[2].loss == []
+
+
+def test_a_failed_job_leaves_no_archive(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * 50) for i in range(20)], "page_id long, url string, html string").repartition(4)
+    bad = pages.withColumn("html", F.when(F.col("page_id") == 13, F.raise_error("stopped").cast("string")).otherwise(F.col("html")))
+    with pytest.raises(Exception, match="stopped"):
+        warc.write_archives(bad, f"{tmp_path}/w")
+    assert not [x for _, _, names in os.walk(tmp_path) for x in names]
+    warc.write_archives(pages, f"{tmp_path}/w")
+    names = os.listdir(f"{tmp_path}/w")
+    assert names and all(n.endswith(".warc.gz") for n in names)
+    assert gzip.decompress(b"".join(open(f"{tmp_path}/w/{n}", "rb").read() for n in names)).count(b"WARC/1.1\r\n") == 20
+    warc.write_archives(pages.limit(0), f"{tmp_path}/none")
+    assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
