@@ -279,7 +279,8 @@ def components(edges: DataFrame, node: str = "node", label: str = "label") -> Da
     label; at most about log(longest path) rounds. Many nodes may have one label, so the join by label is
     spread; edges should not make hubs. Few edges are handled by few tasks, as every round shuffles anew.
     """
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # each edge both ways, made once
+    both = keep(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
     tasks = min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), both.count() // TASK_EDGES + 1)
     few = lambda df: df.coalesce(tasks)
     labels = cut(few(few(both).groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")).select(F.col("a").alias("v"), "l")))
