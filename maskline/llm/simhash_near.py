@@ -43,6 +43,8 @@ BLOCK = 1024
 HOT, LEVELS = 4096, 2
 #: Edges of a component search that are worth a task of their own.
 TASK_EDGES = 1 << 16
+#: Edges that a task contracts at once.
+CONTRACTED = 1 << 18
 
 _U = np.uint64
 
@@ -272,17 +274,38 @@ def links(prints: DataFrame, radius: int = RADIUS, chain: int | None = None) ->
     return _hot_keys_cut(prints, radius, chain).repartition(n, "key").sortWithinPartitions("key").mapInPandas(_keyed(radius), "a long, b long").distinct()
 
 
+def _contracted(batches):
+    """Edges (a, b) -> edges that join the same nodes, for every `CONTRACTED` of them a tree by node number in which none has more than three neighbours."""
+
+    def trees(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = np.column_stack([np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (0, 1)])
+        nodes, which = np.unique(ends, return_inverse=True)
+        found = nodes[tree_edges(which.reshape(-1, 2), len(nodes))] if len(nodes) else ends
+        return pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
+
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        parts.append(batch)
+        if sum(p.num_rows for p in parts) >= CONTRACTED:
+            yield trees(parts)
+            parts = []
+    if parts:
+        yield trees(parts)
+
+
 def components(edges: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
-    """edges(a, b) -> (node, label): the smallest node that can be reached, for every node with an edge.
+    """edges(a, b), longs -> (node, label): the smallest node that can be reached, for every node with an edge.
 
-    Every round a node takes the smallest label among its own and its neighbours', and then its label's
-    label; at most about log(longest path) rounds. Many nodes may have one label, so the join by label is
-    spread; edges should not make hubs. Few edges are handled by few tasks, as every round shuffles anew.
+    Tasks first replace their edges by trees, so that paths are short where they can. Then every round a node takes the
+    smallest label among its own and its neighbours', and then its label's label; at most about log(longest path) rounds. Many
+    nodes may have one label, so the join by label is spread. Few edges are handled by few tasks, as every round shuffles anew.
     """
-    # each edge both ways, made once
-    both = keep(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
-    tasks = min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), both.count() // TASK_EDGES + 1)
+    own = keep(edges.select("a", "b").mapInArrow(_contracted, "a long, b long"))
+    tasks = min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() // TASK_EDGES + 1)
     few = lambda df: df.coalesce(tasks)
+    # each edge both ways
+    ways = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = keep(few(own).mapInArrow(_contracted, "a long, b long").select(ways).distinct())
     labels = cut(few(few(both).groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")).select(F.col("a").alias("v"), "l")))
     while True:
         near = few(few(both).join(labels.withColumnRenamed("v", "b"), "b")).groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
@@ -292,6 +315,7 @@ def components(edges: DataFrame, node: str = "node", label: str = "label") -> Da
         stepped.unpersist()
         if not labels.where("l <> was").head(1):
             both.unpersist()
+            own.unpersist()
             return labels.select(F.col("v").alias(node), F.col("l").alias(label))
         labels = labels.select("v", "l")
 

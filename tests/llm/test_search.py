@@ -175,3 +175,31 @@ def test_containment_against_all_pairs(spark, monkeypatch):
     assert {tuple(r) for r in clean.collect()} == {(i, t, 1, 2, 3) for i, t in docs if i not in {w[0] for w in want}}
     assert decontaminate.contained(d.limit(0), it).count() == 0 and decontaminate.contained(d, it.limit(0)).count() == 0
     assert decontaminate.without_leaks(d, it.limit(0)).count() == len(docs)
+
+
+def test_components_of_paths_stars_and_repeats(spark, monkeypatch):
+    """Against plain search, where edges are contracted a few at a time and dealt to several tasks."""
+    monkeypatch.setattr(simhash_near, "TASK_EDGES", 300)
+    random.seed(8)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000 + i, 5000 + random.randrange(400)) for i in range(300)] + [(7, 7), (-5, 2**62), (2**62, -(2**62))]
+    edges += random.choices(edges, k=100)
+    random.shuffle(edges)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, left = {}, set(near)
+    while left:
+        found, new = set(), {min(left)}
+        while new:
+            found |= new
+            new = {y for x in new for y in near[x]} - found
+        want |= dict.fromkeys(found, min(found))
+        left -= found
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for size in (1 << 18, 50):
+        monkeypatch.setattr(simhash_near, "CONTRACTED", size)
+        got = {r.node: r.label for r in simhash_near.components(df).collect()}
+        # a node that only meets itself needs no label
+        assert {k: got.get(k, k) for k in want} == want and set(got) <= set(want)
+    assert simhash_near.components(df.limit(0)).count() == 0
