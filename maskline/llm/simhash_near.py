@@ -40,7 +40,7 @@ RADIUS = 4
 #: Fingerprints of one key whose pairs are compared at once; more are cut again.
 BLOCK = 1024
 #: Fingerprints of one key that stay together, and how often keys are cut at most.
-HOT, LEVELS = 4096, 2
+HOT, LEVELS = 4096, 3
 #: Edges of a component search that are worth a task of their own.
 TASK_EDGES = 1 << 16
 #: Edges that a task contracts at once.
@@ -263,13 +263,11 @@ def _keyed(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS, chain: int | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, chain: int = 2) -> DataFrame:
     """Different prints(print) -> edges (a, b); prints are joined by a path of edges if they are by pairs within the radius, and only then.
 
-    A longer chain makes longer keys, of which there are more: three segments from 2^24 prints on.
+    A longer chain makes longer keys, of which there are more. However many prints there are, frequent keys are cut.
     """
-    if chain is None:
-        chain = 2 if prints.count() < 1 << 24 else 3
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _hot_keys_cut(prints, radius, chain).repartition(n, "key").sortWithinPartitions("key").mapInPandas(_keyed(radius), "a long, b long").distinct()
 
