@@ -43,8 +43,10 @@ def _tree_json(spark: SparkSession, out: str, kind: str, schema: str) -> DataFra
 
 
 def read_gold(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Gold files as (doc_id, n_chars, text) and (doc_id, span_no, start, end, code)."""
-    j = _json(spark, folder, GOLD, pathGlobFilter="*.json").select(_part(r"([^/]*)\.json$").alias("doc_id"), "j.*")
+    """Gold files, packed ones too, as (doc_id, n_chars, text) and (doc_id, span_no, start, end, code)."""
+    j = _json(spark, folder, GOLD, pathGlobFilter="*.json").select(_part(r"([^/]*)\.json$").alias("doc_id"), "j")
+    packed = tree.packed_files(spark, folder).select(F.regexp_extract("name", r"^(.*)\.json$", 1).alias("doc_id"), F.from_json("value", GOLD, {"mode": "PERMISSIVE"}).alias("j"))
+    j = j.unionByName(packed).select("doc_id", "j.*")
     docs = j.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.coalesce("text", F.lit("")).alias("text"))
     return docs, gold_spans(j)
 

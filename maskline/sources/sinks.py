@@ -39,13 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
-def write_files(df: DataFrame, folder: str, pretty: bool = True) -> int:
+def write_files(df: DataFrame, folder: str, pretty: bool = True, packed: int = 0) -> int:
     """df(path, value): each value, JSON if pretty and then with sorted keys, as the file folder/path; returns how many.
 
-    folder is a path or URI that all executors see; a job that fails leaves no file there.
+    folder is a path or URI that all executors see; a job that fails leaves no file there. packed: how many last parts of a path
+    name a file in an archive; 0 for files by themselves.
     """
     seen = Observation()
-    tree.write_files(df.observe(seen, F.count("*").alias("n")), folder, pretty)
+    tree.write_files(df.observe(seen, F.count("*").alias("n")), folder, pretty, packed)
     return seen.get["n"]
 
 
@@ -64,8 +65,11 @@ def envelope(responses: DataFrame) -> Column:
     return F.struct(F.array(choice).alias("choices"), usage.alias("usage"), F.col("model_id").alias("model"), F.lit("chat.completion").alias("object"), "transport_error", "latency_seconds")
 
 
-def write_tree(folder: str, notes: DataFrame, responses: DataFrame, validations: DataFrame, found: DataFrame, strip_content: bool = False) -> int:
-    """A run's tables as the tree of files that the readers read: Pass 1 in the model's folder, Pass 2 in its pass_2."""
+def write_tree(folder: str, notes: DataFrame, responses: DataFrame, validations: DataFrame, found: DataFrame, strip_content: bool = False, packed: bool = False) -> int:
+    """A run's tables as the tree of files that the readers read: Pass 1 in the model's folder, Pass 2 in its pass_2.
+
+    packed: note folders are packed into archives, for runs of many notes.
+    """
     at = F.concat("model_id", F.when(F.col("pass") == PASSES[1], "/pass_2").otherwise(""))
     scope = F.concat(F.when(F.col("pass") == PASSES[1], "P2-").otherwise("P1-"), F.col("segment_id"))
     whole = envelope(responses)
@@ -77,13 +81,13 @@ def write_tree(folder: str, notes: DataFrame, responses: DataFrame, validations:
         docs = resolved_documents(notes, found.where(F.col("pass") == p).select("model_id", "doc_id", "start", "end", "identifier_type"), ("model_id", "doc_id"), PREDICTIONS_VERSION)
         docs = resolved_json(docs).withColumn("pass", F.lit(p))
         files = files.unionByName(docs.select(F.concat(at, F.lit("/resolved/"), "doc_id", F.lit("/resolved_predictions.json")).alias("path"), "value"))
-    return write_files(files, folder)
+    return write_files(files, folder, packed=2 if packed else 0)
 
 
-def write_gold(records: DataFrame, folder: str) -> int:
-    """Gold records as <doc_id>.json files."""
+def write_gold(records: DataFrame, folder: str, packed: bool = False) -> int:
+    """Gold records as <doc_id>.json files; packed into archives for many of them."""
     fields = [c for c in records.columns if c != "doc_id"]
-    return write_files(records.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct(*fields)).alias("value")), folder)
+    return write_files(records.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct(*fields)).alias("value")), folder, packed=1 if packed else 0)
 
 
 def run_manifest(metrics: DataFrame, per_document: DataFrame, gold_source: str, version: str = "0.1") -> str:
