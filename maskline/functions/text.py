@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def words(text: Column) -> Column:
     """How many words, split at Unicode white space."""
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
 def prefix(code: Column) -> Column:

@@ -84,12 +84,17 @@ def type_rows(by_type: DataFrame, rows: DataFrame, sums: DataFrame) -> DataFrame
     )
 
 
-def metrics_long(scores: DataFrame, by_type: DataFrame, operations: DataFrame, configs: DataFrame | None = None) -> DataFrame:
-    """The long table: model x pass x cohort x (ALL and each category), in its fixed column order."""
+def metrics_long(scores: DataFrame, by_type: DataFrame, operations: DataFrame, configs: DataFrame | None = None, store=None) -> DataFrame:
+    """The long table: model x pass x cohort x (ALL and each category), in its fixed column order.
+
+    store(df, name) keeps the notes' rows, which are read several times.
+    """
     rows = cohorts(with_operations(scores, operations))
+    if store is not None:
+        rows = store(rows, "rows")
     sums = micro(rows)
     out = all_rows(sums).unionByName(type_rows(by_type, rows, sums), allowMissingColumns=True)
-    n_docs = scores.groupBy("model_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+    n_docs = rows.where(F.col("cohort") == COHORTS[0]).groupBy("model_id").agg(F.count_distinct("doc_id").alias("n_docs"))
     out = out.join(n_docs, "model_id").withColumn("surface", F.lit("final")).withColumn("doc_provenance", F.lit(""))
     if configs is not None:
         out = out.join(configs, "model_id", "left")

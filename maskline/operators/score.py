@@ -8,7 +8,8 @@ Texts stay out of all this.
 A sweep: what belongs to a note meets in one shuffle by doc_id. Every span is two events, +1 where it starts and -1
 where it ends; in the order of their places, running sums tell how many gold and predicted spans are open between
 an event and the next, so covers, overlaps and what each span has of a cover are sums over one pass, whatever the
-number of spans on both sides. Bounds that are near meet in cells of a few codepoints on each side, of which a
+number of spans on both sides. Notes without spans are not swept: their sums are 0, and they meet the others' sums
+in one more shuffle by doc_id. Bounds that are near meet in cells of a few codepoints on each side, of which a
 span is in four at most and which hold at most as many different bounds as they have places.
 """
 
@@ -19,12 +20,18 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import TOLERANCE
 from ..functions.text import prefix
+from .narrow import narrowed
 
 KEYS = ("model_id", "pass", "doc_id")
 
 
-def _together(universe: DataFrame | None, gold_docs: DataFrame | None, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """What belongs to a note, in one table that doc_id deals: rows of a kind, with the note's length, runs and categories where they are asked for."""
+def _together(universe: DataFrame | None, gold_docs: DataFrame | None, gold: DataFrame, predicted: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """What belongs to a note, in one table that doc_id deals: rows of a kind, with the note's length, runs and categories where they are asked for.
+
+    touched(doc_id): the notes that count.
+    """
+    if touched is not None:
+        universe, gold_docs, predicted = (narrowed(x, touched, ["doc_id"]) for x in (universe, gold_docs, predicted))
     run = F.struct(F.col("model_id").cast("string").alias("model_id"), F.col("pass").cast("string").alias("pass"))
     spans = [F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")]
     code = F.col("code").cast("string").alias("code")
@@ -83,6 +90,30 @@ def char_counts(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, pred
     return sums.where("asked = 1").select(*KEYS, "doc_chars", gt, pc, tp, (pc - tp).alias("fp"), (gt - tp).alias("fn"), (F.col("doc_chars") - (gt + pc - tp)).alias("tn"), (gt - tp).alias("residual"))
 
 
+#: Codepoints of a note: of gold, predicted, and both.
+COVERS = ("gt", "pred_chars", "tp")
+
+
+def _covers(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(KEYS, COVERS) of notes with spans."""
+    touched = gold.select("doc_id").unionByName(predicted.select("doc_id"))
+    own, docs = (narrowed(x, touched, ["doc_id"]) for x in (universe, gold_docs))
+    return char_counts(own, docs, gold, predicted).select(*KEYS, *COVERS)
+
+
+def _filled(universe: DataFrame, gold_docs: DataFrame, told: DataFrame, counts: tuple[str, ...]) -> DataFrame:
+    """(KEYS, doc_chars, counts) for each note that has a length and is asked for; what told(KEYS, counts) has not is 0.
+
+    A note's counts come as one row, an entry for each of its runs, so that all tables are dealt by doc_id and none moves twice.
+    """
+    run = lambda: F.struct(F.col("model_id").cast("string").alias("model_id"), F.col("pass").cast("string").alias("pass"))
+    own = told.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(run(), F.struct(*counts)))).alias("_told"))
+    docs = gold_docs.groupBy("doc_id").agg(F.max(F.col("n_chars").cast("long")).alias("doc_chars")).where("doc_chars is not null")
+    asked = universe.select(run().alias("run"), "doc_id").join(docs, "doc_id").groupBy("run", "doc_id").agg(F.max("doc_chars").alias("doc_chars"))
+    met = asked.join(own, "doc_id", "left").withColumn("_told", F.col("_told")[F.col("run")])
+    return met.select("run.*", "doc_id", "doc_chars", *[F.coalesce(F.col("_told")[c], F.lit(0).cast("long")).alias(c) for c in counts])
+
+
 def _cells(start: str, end: str, tolerance: int, near: bool) -> Column:
     """Cells of 2 * tolerance + 1 places on each side that hold these bounds, or, where near, some bounds within the tolerance."""
     width = 2 * tolerance + 1
@@ -98,7 +129,7 @@ def _close(bounds: str, tolerance: int) -> Column:
 
 def span_hits(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Per note and gold span: any, full, strict and relaxed hits, as 0 or 1."""
-    rows = _together(universe, gold_docs, gold, predicted)
+    rows = _together(universe, gold_docs, gold, predicted, gold)
     run, end, nothing = F.col("run"), F.least("end", "n_chars"), F.lit(None).cast("long")
     is_gold, is_said = F.col("kind") == "gold", F.col("kind") == "predicted"
 
@@ -136,9 +167,14 @@ def predicted_spans(gold: DataFrame, predicted: DataFrame, tolerance: int = TOLE
 
 def document_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """One wide row for each note of the universe."""
-    hits = (span_hits(universe, gold_docs, gold, predicted) if hits is None else hits).groupBy(*KEYS).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in ("any", "full", "strict", "relaxed")])
-    out = char_counts(universe, gold_docs, gold, predicted).join(hits, list(KEYS), "left").join(predicted_spans(gold, predicted), list(KEYS), "left")
-    return out.na.fill(0)
+    kinds = ("any", "full", "strict", "relaxed")
+    hits = (span_hits(universe, gold_docs, gold, predicted) if hits is None else hits).groupBy(*KEYS).agg(F.count("*").alias("spans"), *[F.sum(c).alias(c) for c in kinds])
+    counts = (*COVERS, "spans", *kinds, "pred_span_count", "relaxed_pred")
+    told = _covers(universe, gold_docs, gold, predicted).unionByName(hits, allowMissingColumns=True).unionByName(predicted_spans(gold, predicted), allowMissingColumns=True)
+    told = told.groupBy(*KEYS).agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in counts])
+    gt, pc, tp = F.col("gt"), F.col("pred_chars"), F.col("tp")
+    made = _filled(universe, gold_docs, told, counts).withColumns({"fp": pc - tp, "fn": gt - tp, "tn": F.col("doc_chars") - (gt + pc - tp), "residual": gt - tp})
+    return made.select(*KEYS, "doc_chars", *COVERS, "fp", "fn", "tn", "residual", *counts[len(COVERS) :])
 
 
 def type_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predicted: DataFrame, hits: DataFrame | None = None) -> DataFrame:
@@ -147,7 +183,7 @@ def type_scores(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, pred
     A category's predictions are those with the same leading digits, counted only in notes that have
     the category: each category of a note is swept with all its predictions.
     """
-    rows = _together(universe, gold_docs, gold, predicted)
+    rows = _together(universe, gold_docs, gold, predicted, gold)
     run, end, key = F.col("run"), F.least("end", "n_chars"), [*KEYS, "code"]
     own = F.flatten(F.transform("runs", lambda r: F.array(*[_event(c, r, code=F.col("code"), g=d, p=0, m=0) for c, d in (("start", 1), ("end", -1))])))
     opened = F.col("end") > F.col("start")

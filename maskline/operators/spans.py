@@ -7,22 +7,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MARKERS, NEUTRAL
 from .locate import occurrences
+from .narrow import narrowed, parted
 
 
 def ground(pairs: DataFrame, notes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """pairs(keys, exact_text, identifier_type) at every occurrence in notes(keys, text), which keys tell apart: typed spans, each once.
 
-    A note's literals come together, and its text moves once to meet them; one automaton finds them all. What a note's
+    A note's literals come together, and its text moves once to meet them, if it has any; one automaton finds them all. What a note's
     windows have answered is no longer than the note with its windows' overlaps, so it is a row's worth.
     """
     given = pairs.where(F.length("exact_text") > 0).groupBy(*keys, F.col("exact_text").alias("literal")).agg(F.sort_array(F.collect_set("identifier_type")).alias("labels"))
-    own = given.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("literal", "labels"))).alias("literals"))
-    found = occurrences(own.join(notes.select(*keys, "text"), list(keys)), keys)
+    own = given.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("literal", "labels"))).alias("literals")).persist(StorageLevel.DISK_ONLY)
+    found = occurrences(own.join(narrowed(notes.select(*keys, "text"), own, keys), list(keys)), keys)
     return found.withColumnRenamed("label", "identifier_type")
 
 
@@ -63,7 +65,7 @@ def typed_marker(types: Column) -> Column:
 def render(notes: DataFrame, marked: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """notes(keys, text) with marked(keys, start, end, marker) put in their place, as column `name`.
 
-    Empty, overlapping or overrunning regions are an error.
+    Empty, overlapping or overrunning regions are an error. Notes without regions stay where they are.
     """
     ordered = marked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "marker"))).alias("_r"))
     r, text = F.col("_r"), F.col("text")
@@ -72,7 +74,9 @@ def render(notes: DataFrame, marked: DataFrame, keys: Sequence[str], name: str)
     pieces = F.transform(r, lambda x, i: F.concat(F.substring(text, end_before(i) + 1, x["start"] - end_before(i)), x["marker"]))
     done = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(r, -1)["end"] + 1, F.length(text)))
     out = F.when(F.coalesce(F.size(r), F.lit(0)) <= 0, text).when(bad, F.raise_error("render_region_invalid").cast("string")).otherwise(done)
-    return notes.join(ordered, list(keys), "left").withColumn(name, out).drop("_r")
+    some, others = parted(notes, marked, keys)
+    done = some.join(ordered, list(keys), "left").withColumn(name, out).drop("_r")
+    return done.unionByName(others.withColumn(name, text))
 
 
 def neutral(notes: DataFrame, found: DataFrame, keys: Sequence[str], name: str = "neutral_text") -> DataFrame:

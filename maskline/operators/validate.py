@@ -67,13 +67,15 @@ def verdicts(responses: DataFrame, *keys: str) -> DataFrame:
     """
     rows = parsed(responses).select(*keys, "text", F.posexplode("parsed.items").alias("pos", "x"))
     literal, kind = F.col("x.literal"), F.col("x.type")
+    # the text is looked at where it is: what moves has none
+    rows = rows.select(*keys, "pos", "x", F.contains("text", literal).alias("grounded"))
     nth = F.row_number().over(Window.partitionBy(*keys, literal, kind).orderBy("pos"))
     verdict = (
         F.when(~F.col("x.is_object"), "not_object")
         .when(~F.col("x.keys_ok"), "bad_keys")
         .when(F.coalesce(F.length(literal), F.lit(0)) == 0, "bad_literal")
         .when(~F.coalesce(kind.isin(*CODES), F.lit(False)), "invalid_type")
-        .when(~F.contains("text", literal), "ungrounded")
+        .when(~F.col("grounded"), "ungrounded")
         .when(nth > 1, "duplicate")
         .otherwise("ok")
     )

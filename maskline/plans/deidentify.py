@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,11 +39,11 @@ def _pass(number: int, texts: DataFrame, extractor, size: int, overlap: int, sto
 
 
 def kept_on_disk(df: DataFrame, name: str) -> DataFrame:
-    """A checkpoint in the shared folder: never made twice, and what is built on it has a short plan."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """A table in the shared folder: never made twice, and what is built on it has a short plan and reads the columns that it needs only."""
+    spark = df.sparkSession
+    folder = f"{spark.sparkContext.getCheckpointDir() or shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def deidentify(notes: DataFrame, extractor, size: int = WINDOW, overlap: int = OVERLAP, store=kept_on_disk) -> Run:
@@ -87,7 +88,7 @@ def score_run(universe: DataFrame, gold_docs: DataFrame, gold: DataFrame, predic
     universe, predicted, gold = store(universe, "universe"), store(predicted, "predicted"), store(gold, "gold")
     documents, types = (store(x, n) for x, n in zip(both_scores(universe, gold_docs, gold, predicted, store), ("documents", "types")))
     operations = store(score.document_operations(responses, validations), "operations")
-    metrics = store(aggregate.metrics_long(documents, types, operations, configs), "metrics")
+    metrics = store(aggregate.metrics_long(documents, types, operations, configs, store), "metrics")
     dims = metrics.select("model_id", "n_docs", "doc_provenance", "hf_link", "hf_gguf_repo", "developer", "family", "params_total_B", "params_active_B", "moe", "is_medical", "is_reasoning", "quant").distinct()
     manifest = dims.join(aggregate.gold_types(universe, gold), "model_id", "left").withColumn("gold_types_present", F.coalesce("gold_types_present", F.lit(""))).withColumn("model_dir", F.col("model_id"))
     return Scores(documents, types, operations, metrics, aggregate.per_document(documents, operations), manifest)
