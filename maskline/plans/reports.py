@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,36 +86,84 @@ def checkpoints(spark: SparkSession) -> DataFrame:
     return given.select("ord", "model_id", "model", "developer", F.concat("total", active).alias("params"), F.when(F.col("moe") == "true", "MoE").otherwise("dense").alias("arch"), F.when(F.col("medical") == "true", "yes").otherwise("").alias("medical"), "quant", F.col("size_gb").cast("double").alias("size_gb"), "repo")
 
 
+#: Notes that are drawn at once, few enough for a processor's cache; sums over them fit into half a long.
+DRAWN_AT_ONCE = 1 << 16
+
+
+def _percentile(values: np.ndarray, q: float) -> float:
+    k = (len(values) - 1) * q
+    low = int(k)
+    return float(values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (k - low))
+
+
+def choices_recalls(gt: np.ndarray, tp: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Sorted pooled recalls of resamples as `random.choices` draws them; those without gold have none."""
+    n, found = len(gt), []
+    small = n and max(int(gt.max()), int(tp.max())) * min(n, DRAWN_AT_ONCE) < 1 << 31
+    if small:  # one look at a note instead of two, at the number of its pair: a short table stays in the cache
+        pairs, number = np.unique((gt.astype(np.int64) << 32) | tp, return_inverse=True)
+        number = number.astype(np.uint16 if len(pairs) <= 1 << 16 else np.uint32)
+    _, state, _ = random.Random(seed).getstate()
+    draw = np.random.RandomState()
+    draw.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    for _ in range(resamples):
+        whole = hit = 0
+        for at in range(0, n, DRAWN_AT_ONCE):
+            chosen = draw.random_sample(min(DRAWN_AT_ONCE, n - at))
+            chosen *= n
+            chosen = chosen.astype(np.int64)
+            if small:
+                total = int(pairs.take(number.take(chosen, mode="clip"), mode="clip").sum())
+                whole, hit = whole + (total >> 32), hit + (total & 0xFFFFFFFF)
+            else:
+                whole, hit = whole + int(gt[chosen].sum()), hit + int(tp[chosen].sum())
+        if whole:
+            found.append(hit / whole)
+    return np.sort(np.array(found))
+
+
+def _choices(resamples: int, seed: int, alpha: float):
+    """Rows sorted by (model_id, pass_, doc) -> a row for each group; of a note its two numbers are held only."""
+
+    def done(key: tuple, parts: list) -> pa.RecordBatch:
+        gt, tp = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        parts.clear()
+        found = choices_recalls(gt, tp, resamples, seed)
+        low, high = (_percentile(found, alpha / 2), _percentile(found, 1 - alpha / 2)) if len(found) else (None, None)
+        row = {"model_id": key[0], "pass_": key[1], "notes": len(gt), "recall": int(tp.sum()) / int(gt.sum()) if gt.sum() else None, "low": low, "high": high}
+        return pa.RecordBatch.from_pylist([row], pa.schema([("model_id", pa.string()), ("pass_", pa.string()), ("notes", pa.int64()), ("recall", pa.float64()), ("low", pa.float64()), ("high", pa.float64())]))
+
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            names = list(zip(batch.column("model_id").to_pylist(), batch.column("pass_").to_pylist()))
+            counts = [batch.column(c).to_numpy().copy() for c in ("gt_phi_chars", "char_tp")]
+            begins = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for a, b in zip(begins, [*begins[1:], len(names)]):
+                if parts and names[a] != key:
+                    yield done(key, parts)
+                key = names[a]
+                parts.append([c[a:b] for c in counts])
+        if parts:
+            yield done(key, parts)
+
+    return run
+
+
 def bootstrap_exact(per_document: DataFrame, resamples: int = RESAMPLES, seed: int = BOOTSTRAP_SEED, alpha: float = ALPHA) -> DataFrame:
     """Percentile intervals of pooled recall with the random stream of Python's `random.choices`, notes in doc order.
 
     per_document(model_id, pass_, doc, gt_phi_chars, char_tp). The stream has one order, so a model's notes of one
-    pass (three numbers each) are one task's; for more notes than that holds use `bootstrap`.
+    pass are one task's; Spark sorts them, and the task holds two numbers of each, 16 bytes. For more notes than that holds, or
+    than can be drawn in time, use `bootstrap`.
     """
-
-    def at(values: np.ndarray, q: float) -> float:
-        k = (len(values) - 1) * q
-        low = int(k)
-        return float(values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (k - low))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc", kind="stable")
-        gt, tp = pdf["gt_phi_chars"].to_numpy(), pdf["char_tp"].to_numpy()
-        n, found = len(gt), []
-        _, state, _ = random.Random(seed).getstate()
-        draw = np.random.RandomState()
-        draw.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
-        for _ in range(resamples):
-            chosen = (draw.random_sample(n) * n).astype(np.int64)
-            whole = gt[chosen].sum()
-            if whole:
-                found.append(tp[chosen].sum() / whole)
-        found = np.sort(np.array(found))
-        point = tp.sum() / gt.sum() if gt.sum() else None
-        low, high = (at(found, alpha / 2), at(found, 1 - alpha / 2)) if len(found) else (None, None)
-        return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "pass_": [pdf["pass_"].iloc[0]], "notes": [n], "recall": [point], "low": [low], "high": [high]})
-
-    return per_document.groupBy("model_id", "pass_").applyInPandas(run, "model_id string, pass_ string, notes long, recall double, low double, high double")
+    group = ["model_id", "pass_"]
+    each = per_document.select(*[F.col(c).cast("string").alias(c) for c in group], "doc", *[F.col(c).cast("long").alias(c) for c in ("gt_phi_chars", "char_tp")]).persist(StorageLevel.DISK_ONLY)
+    # one row for each model and pass, which is a task of its own
+    groups = sorted(map(tuple, each.select(*group).distinct().collect()))
+    numbers = each.sparkSession.createDataFrame([(*g, i) for i, g in enumerate(groups)], "model_id string, pass_ string, task int")
+    dealt = each.join(F.broadcast(numbers), group).repartitionById(max(1, len(groups)), "task").sortWithinPartitions(*group, "doc")
+    return dealt.select(*group, "gt_phi_chars", "char_tp").mapInArrow(_choices(resamples, seed, alpha), "model_id string, pass_ string, notes long, recall double, low double, high double")
 
 
 #: The prime below 2^31 up to which weights are drawn.
