@@ -1,14 +1,17 @@
 """SimHash near-duplicates at a similarity: five-word shingles with a Jaccard similarity of 0.8 or more, exactly verified.
 
-The same operator as `simhash_near.py`, for a wider radius. Two texts of similarity 0.8 differ in ten bits of 64
-on average, and in more than `RADIUS` with a chance of about 1e-7. A ring for that radius has segments of two or
-three bits, which make no keys: every two texts would meet. So here pairs meet by MinHash keys, `BANDS` keys of
-`ROWS` minima each, of which a pair of similarity s shares none with a chance of (1 - s ** ROWS) ** BANDS, 8e-6 at
-0.8. Pairs that meet must pass the ring's chains, then the full Hamming check, and last the shingles themselves
-are compared; only then they are links.
+The same operator as `simhash_near.py`, and then a wider radius. First fingerprints meet by pigeonring filtering, as
+there: those within `NEAR` bits are joined by a tree, whose edges, with one from each fingerprint's first text to
+its others, are the first pairs to be compared.
+
+Two texts of similarity 0.8 differ in ten bits of 64 on average, and in more than `RADIUS` with a chance of about
+1e-7. A ring for that radius has segments of two or three bits, which make no keys: every two texts would meet. So the
+pairs that are further apart than `NEAR` bits meet by MinHash keys, `BANDS` keys of `ROWS` minima each, of which a pair of
+similarity s shares none with a chance of (1 - s ** ROWS) ** BANDS, 8e-6 at 0.8. All pairs that meet must pass the
+ring's chains, then the full Hamming check, and last the shingles themselves are compared; only then they are links.
 
 Texts with equal shingles are one row from the start, named by a number of its own. Pairs that links already join
-need no comparison: in a sample of the keys each row is compared with one before it first, then in all keys.
+need no comparison: those of the ring and, in a sample of the keys, each row with one before it come first, then all keys.
 No key is capped or left out, and keys are dealt by ranges of (key, row), so that a frequent one goes to many tasks.
 
 What is then left are keys with rows that no links join. Their pairs are not made: a template's thousand
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, extended, hot_join, keep, keyed_rows, pack_texts, schema_with, text_blocks, unpack
 from .decontaminate import shingle_hashes, text_shingles
-from .simhash_near import components, first_of_each, near_differences
+from .simhash_near import RADIUS as NEAR
+from .simhash_near import components, first_of_each, links, near_differences
 
 SHINGLE = 5
 #: A pair is similar from 4/5 on.
@@ -238,6 +242,17 @@ def prefix_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("row", "row_b").alias("a"), F.greatest("row", "row_b").alias("b")).distinct()
 
 
+def ring_pairs(reps: DataFrame) -> DataFrame:
+    """reps(row, n, print) -> pairs (a, b) of rows by pigeonring filtering of their fingerprints: a tree of those within NEAR bits, and rows of one fingerprint with its first."""
+    prints = reps.groupBy("print").agg(F.min(F.struct("row", "n")).alias("first"))
+    first = keep(prints.select("print", F.col("first.row").alias("row"), F.col("first.n").alias("n")))
+    of = lambda c: first.select(F.col("print").alias(c), F.col("row").alias(f"row_{c}"), F.col("n").alias(f"n_{c}"))
+    near = links(first.select("print"), NEAR).join(of("a"), "a").join(of("b"), "b").select("row_a", "n_a", "row_b", "n_b")
+    equal = reps.select("print", F.col("row").alias("row_b"), F.col("n").alias("n_b")).join(of("print").withColumnsRenamed({"row_print": "row_a", "n_print": "n_a"}), "print").where("row_a <> row_b")
+    met = near.unionByName(equal.select("row_a", "n_a", "row_b", "n_b")).where(_could("n_a", "n_b"))
+    return met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+
+
 def groups(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     """sketched(doc_key, tie, same, same_low, n, print, keys) of docs(doc_key, tie, text) -> (same, same_low, component) of all texts; linked ones share it."""
     names = ["same", "same_low"]
@@ -246,14 +261,16 @@ def groups(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = reps.select(F.explode("keys").alias("key"), "row", "n")
     sorted_ = keyed.repartitionByRange(n, "key", "row").sortWithinPartitions("key", "row")
     near = cut(sorted_.mapInArrow(_neighbours, "key long, row long, n long, before long, n_before long"))
-    chosen = cut(reps.join(near.select("row").distinct(), "row", "left_semi").select("row", "doc_key", "tie", "print"))
+    ring = cut(ring_pairs(reps.select("row", "n", "print")))
+    met = near.select("row").unionByName(ring.select(F.explode(F.array("a", "b")).alias("row")))
+    chosen = cut(reps.join(met.distinct(), "row", "left_semi").select("row", "doc_key", "tie", "print"))
     keys = ["doc_key", "tie"]
     wanted = docs.select(*keys, "text").join(chosen.select(*keys), keys, "left_semi").dropDuplicates(keys)
     texts = cut(pack_texts(wanted, *keys).join(chosen, keys).select("row", "print", "packed"))
 
     beside = near.where("before is not null").where(_could("n", "n_before"))
-    first = beside.where(F.pmod("key", F.lit(SAMPLE)) == 0).select(F.col("before").alias("a"), F.col("row").alias("b")).distinct()
-    done = cut(compared(first, texts))
+    first = beside.where(F.pmod("key", F.lit(SAMPLE)) == 0).select(F.col("before").alias("a"), F.col("row").alias("b"))
+    done = cut(compared(first.unionByName(ring).distinct(), texts))
     labels = components(done.where("linked"), "row", "label")
 
     def labelled(rows: DataFrame, row: str, label: str) -> DataFrame:
