@@ -291,15 +291,33 @@ def _contracted(batches):
         yield trees(parts)
 
 
+def _reached(batches):
+    """All edges (a, b), `CONTRACTED` at most -> (node, label): the smallest node that can be reached."""
+    parts = list(batches)
+    ends = np.column_stack([np.concatenate([np.zeros(0, np.int64), *(p.column(i).to_numpy() for p in parts)]) for i in (0, 1)])
+    nodes, which = np.unique(ends, return_inverse=True)
+    sets = _Sets(len(nodes))
+    for a, b in which.reshape(-1, 2).tolist():
+        sets.join(a, b)
+    # nodes are in order, and a set's root is its first
+    yield pa.RecordBatch.from_pydict({"node": nodes, "label": nodes[[sets.root(i) for i in range(len(nodes))]] if len(nodes) else nodes})
+
+
 def components(edges: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
     """edges(a, b), longs -> (node, label): the smallest node that can be reached, for every node with an edge.
 
-    Tasks first replace their edges by trees, so that paths are short where they can. Then every round a node takes the
+    Tasks first replace their edges by trees, so that paths are short where they can. If no more are left than a task contracts at
+    once, it finds all labels, without rounds, each of whose shuffles takes the driver's memory too. Else every round a node takes the
     smallest label among its own and its neighbours', and then its label's label; at most about log(longest path) rounds. Many
     nodes may have one label, so the join by label is spread. Few edges are handled by few tasks, as every round shuffles anew.
     """
     own = keep(edges.select("a", "b").mapInArrow(_contracted, "a long, b long"))
-    tasks = min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() // TASK_EDGES + 1)
+    many = own.count()
+    if many <= CONTRACTED:
+        labels = cut(own.coalesce(1).mapInArrow(_reached, "node long, label long"))
+        own.unpersist()
+        return labels.select(F.col("node").alias(node), F.col("label").alias(label))
+    tasks = min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // TASK_EDGES + 1)
     few = lambda df: df.coalesce(tasks)
     # each edge both ways
     ways = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
