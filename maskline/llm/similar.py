@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, extended, hot_join, keep, keyed_rows, pack_texts, schema_with, text_blocks, unpack
+from .common import cut, extended, hot_join, keep, keyed_rows, pack_texts, schema_with, shuffles_removed, text_blocks, unpack
 from .decontaminate import shingle_hashes, text_shingles
 from .simhash_near import RADIUS as NEAR
 from .simhash_near import components, first_of_each, links, near_differences
@@ -294,7 +294,8 @@ def one_of_each_similar(docs: DataFrame) -> DataFrame:
     """The documents without similar ones: of each group the one with the smallest id stays."""
     rows = keyed_rows(docs)
     sketched = keep(sketches(rows.withColumn("doc_id", F.col("row.doc_id")), "doc_id", "doc_key", "tie"))
-    found = groups(sketched.drop("doc_id"), rows)
+    with shuffles_removed(docs.sparkSession):
+        found = groups(sketched.drop("doc_id"), rows)
     return first_of_each(hot_join(sketched.select("doc_id", "doc_key", "tie", "same", "same_low"), found, ["same", "same_low"], "doc_key"), docs, rows)
 
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, extended, held_out, keep, schema_with, table, text_blocks, unpack
+from .common import BLOCK_BYTES, extended, held_out, keep, lent, schema_with, shuffles_removed, table, text_blocks, unpack
 from .labelled import Adam, fit_line, labelled_sample, sigmoid
 
 FOLDS, FOLD = 5, 0
@@ -151,28 +151,37 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     sample = sample.repartition(PARTS, "at").sortWithinPartitions("at", "y")
     stored = keep(sample.select("y", "text").mapInArrow(_lists, "y int, buckets binary"))
     try:
-        n = {r.y: r.n for r in stored.groupBy("y").agg(F.count("*").alias("n")).collect()}
-        if not n.get(0) or not n.get(1):
-            return None
-        counts = stored.mapInArrow(_counts, "bucket int, other int, toxic int").groupBy("bucket").agg(*[F.sum(c).cast("int").alias(c) for c in ("other", "toxic")])
-        ratio, weights = np.zeros(1 << BITS), np.zeros((1 << BITS) + 1)
-        found = counts.toArrow()  # at most 2^BITS rows
-        bucket, a, b = (found[c].to_numpy() for c in ("bucket", "other", "toxic"))
-        ratio[bucket] = log_ratios(a, b, n[0], n[1])
-        del found, bucket, a, b
-        weights[-1] = np.log(n[1] / n[0])
-        given = spark.sparkContext.broadcast(ratio)
+        with shuffles_removed(spark):
+            return _fitted(stored)
+    finally:
+        stored.unpersist()
+        pa.default_memory_pool().release_unused()
+
+
+def _fitted(stored: DataFrame) -> Model | None:
+    """stored(y, buckets) -> the model; what a round shuffles and broadcasts is gone before the next."""
+    spark = stored.sparkSession
+    n = {r.y: r.n for r in stored.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        return None
+    counts = stored.mapInArrow(_counts, "bucket int, other int, toxic int").groupBy("bucket").agg(*[F.sum(c).cast("int").alias(c) for c in ("other", "toxic")])
+    ratio, weights = np.zeros(1 << BITS), np.zeros((1 << BITS) + 1)
+    found = counts.toArrow()  # at most 2^BITS rows
+    bucket, a, b = (found[c].to_numpy() for c in ("bucket", "other", "toxic"))
+    ratio[bucket] = log_ratios(a, b, n[0], n[1])
+    del found, bucket, a, b
+    weights[-1] = np.log(n[1] / n[0])
+    with lent(spark, ratio) as given:
         for _ in range(ROUNDS):
-            fitted = stored.mapInArrow(_fit_part(given, spark.sparkContext.broadcast(weights)), "bucket int, weight double, docs double")
-            mean = fitted.groupBy("bucket").agg((F.sum(F.col("weight") * F.col("docs")) / F.sum("docs")).alias("weight")).toArrow()
+            with lent(spark, weights) as start:
+                fitted = stored.mapInArrow(_fit_part(given, start), "bucket int, weight double, docs double")
+                mean = fitted.groupBy("bucket").agg((F.sum(F.col("weight") * F.col("docs")) / F.sum("docs")).alias("weight")).toArrow()
             weights = weights.copy()
             weights[mean["bucket"].to_numpy()] = mean["weight"].to_numpy()
             del mean
-        model = Model((weights[:-1] * ratio).astype(np.float32), float(weights[-1]))
-        told = stored.mapInArrow(_stored_margins(spark.sparkContext.broadcast(model.weights), model.bias), "y int, score double").toArrow()
-    finally:
-        stored.unpersist()
-        pa.default_memory_pool().release_unused()
+    model = Model((weights[:-1] * ratio).astype(np.float32), float(weights[-1]))
+    with lent(spark, model.weights) as given:
+        told = stored.mapInArrow(_stored_margins(given, model.bias), "y int, score double").toArrow()
     slope, shift = fit_line(told["score"].to_numpy(), told["y"].to_numpy().astype(float), 1500)
     return Model(model.weights * np.float32(slope), model.bias * slope + shift)
 
